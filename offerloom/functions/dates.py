@@ -14,7 +14,7 @@ MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC"
 def _month_number(word: Column) -> Column:
     """1..12 from the first three letters of a month word, null otherwise."""
     head = F.upper(F.substring(word, 1, 3))
-    pos = F.locate(head, F.lit(MONTHS))
+    pos = F.position(head, F.lit(MONTHS))
     return F.when((F.length(head) == 3) & (pos % 4 == 1), F.floor(pos / 4) + 1)
 
 

@@ -65,7 +65,7 @@ def squeeze(c: Column) -> Column:
 
 
 def _letters_digits(c: Column) -> Column:
-    return squeeze(F.regexp_replace(c, r"[^a-z0-9\s]", ""))
+    return squeeze(F.regexp_replace(c, "[^a-z0-9" + WS[1:], ""))
 
 
 def normalize_company(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blank_to_null, clean_object_name, distinct_names, letters_key, name_groups, parse_num, parse_shares, round2, split_person_names, squeeze
+from ..rows import once
 from ..rules import facts as R
 from .tables import with_tables
 
@@ -51,14 +52,14 @@ def _in_prose(text: Column, pattern: str) -> Column:
 
 def share_candidates(docs: DataFrame) -> DataFrame:
     """docs + flat text + one array of candidate counts per field, tables before prose."""
-    rows = with_tables(docs).withColumn("_rows", F.flatten("tables")).withColumn("_flat", squeeze(F.col("text")))
+    rows = once(with_tables(docs), {"_rows": F.flatten("tables"), "_flat": squeeze(F.col("text"))})
     fields = {}
     for field, labels in R.SHARE_LABELS.items():
         parts = [_labelled(F.col("_rows"), labels)]
         if field in R.SHARE_PROSE:
             parts.append(_in_prose(F.col("_flat"), R.SHARE_PROSE[field]))
         fields[f"c_{field}"] = F.array_distinct(F.concat(*parts))
-    return rows.withColumns(fields).drop("_rows", "tables")
+    return once(rows, fields).drop("_rows", "tables")
 
 
 RESERVED = "struct<score:int,ord:int,fresh:bigint,mm:bigint,emp:bigint,net:bigint>"
@@ -125,13 +126,11 @@ def issue_details(docs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     first = lambda f: F.get(f"c_{f}", F.lit(0))
     flat = F.col("_flat")
-    r = share_candidates(docs).withColumn(
-        "_res",
-        reservation_match(F.col("c_freshIssueShares"), F.col("c_marketMakerShares"), F.col("c_employeeReservationShares"), F.col("c_netOfferShares")),
-    )
+    found = [F.col(f"c_{f}") for f in ("freshIssueShares", "marketMakerShares", "employeeReservationShares", "netOfferShares")]
+    r = once(share_candidates(docs), {"_res": reservation_match(*found)})
     ofs_found = first("ofsShares")
     ofs_only = ofs_found.isNotNull() & (F.size("c_freshIssueShares") == 0) & flat.rlike(R.OFS_ONLY)
-    r = r.withColumns({
+    r = once(r, {
         "fresh_issue_shares": F.when(sme, F.col("_res.fresh")).otherwise(F.when(ofs_only, F.lit(0).cast("bigint")).otherwise(first("freshIssueShares"))),
         "market_maker_shares": F.when(sme, F.col("_res.mm")),
         "employee_reservation_shares": F.when(sme, F.col("_res.emp")).otherwise(first("employeeReservationShares")),
@@ -147,7 +146,7 @@ def issue_details(docs: DataFrame) -> DataFrame:
     for pattern, name in reversed(R.VENUES):
         venue = F.when(flat.rlike(pattern), name).otherwise(venue)
     names = reduce(F.concat, [F.regexp_extract_all(flat, F.lit(p), F.lit(1)) for p in R.MARKET_MAKER_NAMES])
-    r = r.withColumns({
+    r = once(r, {
         "total_issue_shares": F.when(F.size("c_totalIssueShares") > 0, total).otherwise(computed),
         "_pp": pre_post_match(F.col("c_preIssueShares"), F.col("c_postIssueShares"), fresh),
         "issue_type": F.when(flat.rlike(R.FIXED_PRICE), "Fixed Price").when(flat.rlike(R.BOOK_BUILT), "Bookbuilding"),
@@ -185,19 +184,21 @@ ISSUE_CHECKS = [
 ]
 
 
-def canonical_mention(mentions: Column, threshold: float = 0.9) -> Column:
-    """array of names → array of group heads, most mentioned first (first seen on ties)."""
-    heads = name_groups(mentions, threshold)
-    uniq = F.array_distinct(heads)
+def canonical_mentions(df: DataFrame, mentions: str, out: str, threshold: float = 0.9) -> DataFrame:
+    """df + ``out``: the group heads of an array of names, most mentioned first (first seen on ties)."""
+    staged = df.withColumn("_heads", name_groups(F.col(mentions), threshold))
     ranked = F.array_sort(
-        F.transform(uniq, lambda h, i: F.struct((-F.size(F.filter(heads, lambda x: x == h))).alias("n"), i.alias("i"), h.alias("h")))
+        F.transform(
+            F.array_distinct("_heads"),
+            lambda h, i: F.struct((-F.size(F.filter("_heads", lambda x: x == h))).alias("n"), i.alias("i"), h.alias("h")),
+        )
     )
-    return F.transform(ranked, lambda s: s["h"])
+    return staged.withColumn(out, F.transform(ranked, lambda s: s["h"])).drop("_heads")
 
 
 def with_market_maker(details: DataFrame) -> DataFrame:
     """issue_details + market_maker_name and its variants."""
-    staged = details.withColumn("market_maker_variants", canonical_mention(F.col("market_maker_mentions")))
+    staged = canonical_mentions(details, "market_maker_mentions", "market_maker_variants")
     return staged.withColumn("market_maker_name", F.get("market_maker_variants", F.lit(0))).drop("market_maker_mentions")
 
 
@@ -346,15 +347,15 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
 
     ranked = F.transform("tables", lambda t, i: F.struct(score(t).alias("score"), (-i).alias("o"), t.alias("rows")))
     best = F.array_max(ranked)
-    staged = staged.withColumn("_best", F.when(best["score"] >= 2, best["rows"]))
-    staged = staged.withColumn("_read", F.coalesce(F.transform("_best", _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>")))
+    staged = once(staged, {"_best": F.when(best["score"] >= 2, best["rows"])})
+    staged = once(staged, {"_read": F.coalesce(F.transform("_best", _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>"))})
     flat = squeeze(F.col("text"))
     at = F.regexp_instr(flat, F.lit(R.OBJECT_LIST_HEAD))
     span = F.when(at > 0, F.substr(flat, at, F.lit(R.OBJECT_LIST_SPAN)))
     named = F.filter(
         F.transform(F.regexp_extract_all(span, F.lit(R.OBJECT_LIST_ITEM), F.lit(1)), clean_object_name), lambda n: F.length(n) >= 8
     )
-    staged = staged.withColumns({
+    staged = once(staged, {
         "_objects": F.filter("_read", lambda r: r["kind"] == "object"),
         "_total": F.try_element_at(F.filter("_read", lambda r: r["kind"] == "total"), F.lit(-1))["amount"],
         "_named": F.coalesce(named, F.array().cast("array<string>")),
@@ -387,14 +388,14 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
 
 def promoter_names(docs: DataFrame) -> DataFrame:
     """doc_id, promoters, confidence, origin, evidence (map name key → kind of place)."""
-    flat = docs.withColumn("_flat", squeeze(F.col("text")))
+    flat = once(docs, {"_flat": squeeze(F.col("text"))})
     hits = []
     for pattern, place in R.PROMOTER_PATTERNS:
         raw = F.regexp_extract("_flat", pattern, 1)
         names = distinct_names(split_person_names(raw))
         ok = (F.length(F.trim(raw)) >= 5) & (F.size(names) > 0)
         hits.append(F.when(ok, F.struct(F.lit(place).alias("place"), names.alias("names"))))
-    found = flat.withColumn("_hits", F.array_compact(F.array(*hits))).filter(F.size("_hits") > 0)
+    found = once(flat, {"_hits": F.array_compact(F.array(*hits))}).filter(F.size("_hits") > 0)
     strong = F.exists("_hits", lambda h: h["place"] == "cover") | (F.size("_hits") >= 2)
     tagged = F.flatten(F.transform("_hits", lambda h: F.transform(h["names"], lambda n: F.struct(letters_key(n).alias("k"), h["place"].alias("p")))))
     keys = F.array_distinct(F.transform(tagged, lambda t: t["k"]))

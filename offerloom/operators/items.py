@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize_heading, parse_indian_num, parse_indian_number, trailing_page_number
 from ..functions.numbers import leading_float
 from ..rules import pages as PR
+from ..rows import once
 from ..rules import tables as R
 
 PAGE = ["doc_id", "page"]
@@ -86,14 +87,13 @@ def _period_clusters(cells: Column) -> Column:
 
 def with_periods(pages: DataFrame) -> DataFrame:
     """page_rows + periods: array<struct<x, label>> of columns whose header has a month and a year."""
-    joined = pages.withColumn(
-        "rows",
-        F.transform("rows", lambda r: F.struct(r["o"].alias("o"), _joined_cells(r["cells"]).alias("cells"))),
+    joined = once(
+        pages, {"rows": F.transform("rows", lambda r: F.struct(r["o"].alias("o"), _joined_cells(r["cells"]).alias("cells")))}
     )
     marks = F.filter(
         F.flatten(F.transform("rows", lambda r: r["cells"])), lambda c: c["text"].rlike(R.MONTH) | c["text"].rlike(R.YEAR)
     )
-    clustered = joined.withColumn("_marks", marks).withColumn("_groups", _period_clusters(F.col("_marks")))
+    clustered = once(joined.withColumn("_marks", marks), {"_groups": _period_clusters(F.col("_marks"))})
     both = F.filter(
         "_groups",
         lambda g: F.exists(g["texts"], lambda t: t.rlike(R.MONTH)) & F.exists(g["texts"], lambda t: t.rlike(R.YEAR)),
@@ -105,7 +105,7 @@ def with_periods(pages: DataFrame) -> DataFrame:
         return F.array_join(F.concat(months, rest), " ")
 
     periods = F.array_sort(F.transform(both, lambda g: F.struct(g["x"].alias("x"), label(g).alias("label"))))
-    return clustered.withColumn("periods", periods).drop("_marks", "_groups").filter(F.size("periods") >= 2)
+    return once(clustered, {"periods": periods}).drop("_marks", "_groups").filter(F.size("periods") >= 2)
 
 
 def match_metric(label: Column, metrics: list[tuple[str, list[str]]]) -> Column:
@@ -157,8 +157,8 @@ def item_metrics(items: DataFrame, metrics: list[tuple[str, list[str]]]) -> Data
     label = F.get(
         F.filter("r.cells", lambda c: ~_bare(c["text"]).rlike(r"^[-\d,()]+(\.\d+)?$") & (F.length(c["text"]) > 3)), F.lit(0)
     )["text"]
-    keyed = rows.withColumn("key", match_metric(label, metrics)).filter(F.col("key").isNotNull())
-    valued = keyed.withColumn("values", nearest_values(F.col("r.cells"), F.col("periods"))).filter(
+    keyed = once(rows, {"key": match_metric(label, metrics)}).filter(F.col("key").isNotNull())
+    valued = once(keyed, {"values": nearest_values(F.col("r.cells"), F.col("periods"))}).filter(
         F.exists("values", lambda v: v.isNotNull())
     )
     first = valued.groupBy(*PAGE, "key").agg(F.min_by(F.struct("values", "periods"), "row_idx").alias("m"))
@@ -344,9 +344,9 @@ def detect_tables(items: DataFrame) -> DataFrame:
             lambda k: F.array_join(F.transform(F.filter(placed, lambda p: p["col"] == k["col"]), lambda p: p["text"]), " "),
         )
 
-    placed = pages.withColumn("grid", F.transform("rows", lambda r: assign(r["cells"])))
+    placed = once(pages, {"grid": F.transform("rows", lambda r: assign(r["cells"]))})
     data = F.filter("grid", lambda g: F.size(F.filter(g, lambda c: F.trim(c) != "")) >= 2)
-    kept = placed.withColumn("data", data).filter(F.size("data") >= 3)
+    kept = once(placed, {"data": data}).filter(F.size("data") >= 3)
     numbers = F.exists(
         F.transform(
             "cols",

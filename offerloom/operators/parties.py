@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blank_to_null, canon_name, clean_email, clean_name, clean_phone, looks_like_party, name_groups, name_token, rx, squeeze
-from ..rows import first_by
+from ..rows import first_by, once
 from ..rules import facts as R
 
 MENTIONS = "doc_id bigint, role string, pos int, raw string, after string, before string"
@@ -71,7 +71,7 @@ def party_mentions(docs: DataFrame) -> DataFrame:
     raw = flat.mapInPandas(_mentions, MENTIONS).withColumn("name", canon_name(F.col("raw")))
     named = raw.filter(looks_like_party(F.col("name")))
     with_text = named.join(flat, "doc_id").withColumn("email", email_for(F.col("flat"), F.col("name")))
-    at = F.locate(F.col("email"), F.col("flat"))
+    at = F.position(F.col("email"), F.col("flat"))
     anchored = phone_near(F.col("flat"), at)
     own = clean_phone(F.coalesce(_first_phone(F.col("after")), _last_phone(F.col("before"))))
     return with_text.select(
@@ -107,10 +107,10 @@ def pick_registrar(parties: DataFrame) -> DataFrame:
 
 def company_contacts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, company_name) → registered office, contact person, email, phone, website."""
-    flat = docs.select("doc_id", "company_name", squeeze(F.col("text")).alias("flat"))
+    flat = once(docs, {"flat": squeeze(F.col("text"))}).select("doc_id", "company_name", "flat")
     office_at = F.regexp_instr("flat", F.lit(r"(?i)registered\s+office"))
     block = F.when(office_at > 0, F.substr("flat", office_at, F.lit(R.OFFICE_BLOCK))).otherwise(F.col("flat"))
-    named = flat.withColumn("_at", office_at).withColumn("_block", block)
+    named = once(flat, {"_at": office_at, "_block": block})
     email = F.coalesce(
         email_for(F.col("flat"), F.col("company_name")),
         blank_to_null(F.regexp_extract("_block", r"(?i)e-?mail(?:\s+id)?\s*:?\s*\[?([\w.+-]+@[\w.-]+\.\w{2,})", 1)),
@@ -118,16 +118,17 @@ def company_contacts(docs: DataFrame) -> DataFrame:
     site = F.coalesce(
         website_for(F.col("flat"), F.col("company_name")), blank_to_null(F.regexp_extract("_block", r"(?i)(https?://[^\s<>\"'|]+)", 1))
     )
-    staged = named.withColumn("_email", email).withColumn("_pos", F.locate(F.col("_email"), F.col("flat")))
-    by_email = F.when(F.col("_pos") > 0, phone_near(F.col("flat"), F.col("_pos"))).otherwise(clean_phone(_last_phone(F.col("flat"))))
+    staged = once(named, {"_email": email, "_site": site})
+    at = F.coalesce(F.position(F.col("_email"), F.col("flat")), F.lit(0))
+    by_email = F.when(at > 0, phone_near(F.col("flat"), at)).otherwise(clean_phone(_last_phone(F.col("flat"))))
     by_office = phone_near(F.col("flat"), F.greatest(F.lit(1), F.col("_at")))
     person = F.regexp_extract("_block", r"(?i)contact\s+person\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})", 1)
-    out = staged.select(
-        "doc_id",
-        blank_to_null(clean_name(F.regexp_extract("flat", rx(R.OFFICE), 1))).alias("registered_office"),
-        blank_to_null(clean_name(person)).alias("contact_person"),
-        clean_email(F.col("_email")).alias("email"),
-        F.when(F.col("_email").isNotNull(), by_email).otherwise(by_office).alias("phone"),
-        F.regexp_replace(site, r"[\\)\].*;,'\"]+$", "").alias("website"),
-    )
-    return out.filter(F.coalesce("registered_office", "contact_person", "email", "phone", "website").isNotNull())
+    out = once(staged, {
+        "registered_office": blank_to_null(clean_name(F.regexp_extract("flat", rx(R.OFFICE), 1))),
+        "contact_person": blank_to_null(clean_name(person)),
+        "email": clean_email(F.col("_email")),
+        "phone": F.when(F.col("_email").isNotNull(), by_email).otherwise(by_office),
+        "website": F.regexp_replace(F.col("_site"), r"[\\)\].*;,'\"]+$", ""),
+    })
+    columns = ["registered_office", "contact_person", "email", "phone", "website"]
+    return out.filter(F.coalesce(*columns).isNotNull()).select("doc_id", *columns)

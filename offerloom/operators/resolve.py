@@ -113,7 +113,8 @@ def fuzzy_edges(runs: DataFrame, pairs: DataFrame) -> DataFrame:
 def borderline_pairs(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of runs for review: near misses, and similar names whose dates are too far apart.
 
-    Runs of one and the same name count as similar names with score 1.
+    Runs of one and the same name count as similar names with score 1. The left run is the
+    one that appeared first.
     """
     near = run_pairs(runs, pairs.filter(F.col("score") < MATCH_SCORE)).withColumn(
         "reason", F.lit("near_miss_below_threshold")
@@ -125,9 +126,17 @@ def borderline_pairs(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     same = run_pairs(runs, several).filter(F.col("left_run") > F.col("right_run")).filter(apart)
     failed = similar.unionByName(same).withColumn("reason", F.lit("fuzzy_name_match_date_guard_failed"))
+    swap = F.col("left_run") > F.col("right_run")
+
+    def side(column: str, earlier: bool) -> Column:
+        first, second = (f"right_{column}", f"left_{column}") if earlier else (f"left_{column}", f"right_{column}")
+        return F.when(swap, F.col(first)).otherwise(F.col(second))
+
     return failed.unionByName(near).select(
-        "reason", "score", F.col("left_run").alias("left_id"), F.col("right_run").alias("right_id"),
-        "left_name", "right_name", "left_records", "right_records",
+        "reason", "score",
+        side("run", True).alias("left_id"), side("run", False).alias("right_id"),
+        side("name", True).alias("left_name"), side("name", False).alias("right_name"),
+        side("records", True).alias("left_records"), side("records", False).alias("right_records"),
     )
 
 

@@ -234,9 +234,9 @@ def restore_documents(documents: DataFrame, available: DataFrame) -> DataFrame:
     )
     return (
         documents.join(have, ["slug", "doc_type"], "full")
-        .withColumn("restored", lost)
-        .withColumn("status", F.when(lost, "extracted").otherwise(F.col("status")))
-        .withColumn("markdown_url", F.when(lost, F.col("_md")).otherwise(F.col("markdown_url")))
-        .withColumn("url", F.when(lost, F.coalesce(blank_to_null(F.col("url")), "_pdf")).otherwise(F.col("url")))
+        .withColumn("restored", F.coalesce(lost, F.lit(False)))
+        .withColumn("status", F.when(F.col("restored"), "extracted").otherwise(F.col("status")))
+        .withColumn("markdown_url", F.when(F.col("restored"), F.col("_md")).otherwise(F.col("markdown_url")))
+        .withColumn("url", F.when(F.col("restored"), F.coalesce(blank_to_null(F.col("url")), "_pdf")).otherwise(F.col("url")))
         .drop("_md", "_pdf")
     )

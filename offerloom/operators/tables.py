@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import WS, looks_like_period, parse_num
+from ..rows import once
 from ..rules import tables as R
 
 ROWS = "array<array<string>>"
@@ -45,9 +46,8 @@ def with_tables(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     numbered = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
     lines = F.filter(numbered, lambda s: _is_table_line(s["line"]))
-    staged = docs.withColumn(
-        "_keyed", F.transform(lines, lambda s, k: F.struct((s["i"] - k).alias("block"), _cells(s["line"]).alias("cells")))
-    )
+    keyed = F.transform(lines, lambda s, k: F.struct((s["i"] - k).alias("block"), _cells(s["line"]).alias("cells")))
+    staged = once(docs, {"_keyed": keyed})
     staged = staged.withColumn(
         "_starts",
         F.filter(
@@ -61,9 +61,8 @@ def with_tables(docs: DataFrame, text: str = "text") -> DataFrame:
         rows = F.transform(F.slice("_keyed", start, end - start), lambda s: s["cells"])
         return F.filter(rows, lambda r: ~_is_rule_row(r))
 
-    return staged.withColumn(
-        "tables", F.filter(F.transform("_starts", table), lambda t: F.size(t) >= 2)
-    ).drop("_keyed", "_starts")
+    found = F.filter(F.transform("_starts", table), lambda t: F.size(t) >= 2)
+    return once(staged, {"tables": found}).drop("_keyed", "_starts")
 
 
 def markdown_cells(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -102,15 +101,21 @@ def period_row(rows: Column) -> Column:
 def rule_score(rows: Column, rules: list[tuple[str, str]]) -> Column:
     """Number of different rules that some row label satisfies."""
     labels = F.transform(rows, first_label)
-    return reduce(add, [F.exists(labels, lambda x, p=p: x.rlike(p)).cast("int") for _, p in rules])
+
+    def met(pattern: str) -> Column:
+        return F.exists(labels, lambda x: x.rlike(pattern)).cast("int")
+
+    return reduce(add, [met(p) for _, p in rules])
 
 
 def tables_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, table_idx, rows, header (period row or null), and both rule scores."""
     listed = with_tables(docs, text).select("doc_id", F.posexplode("tables").alias("table_idx", "rows"))
-    return listed.withColumn("header", period_row(F.col("rows"))).withColumn(
-        "statement_score", rule_score(F.col("rows"), R.STATEMENT_METRICS)
-    ).withColumn("ratio_score", rule_score(F.col("rows"), R.RATIO_METRICS))
+    return once(listed, {
+        "header": period_row(F.col("rows")),
+        "statement_score": rule_score(F.col("rows"), R.STATEMENT_METRICS),
+        "ratio_score": rule_score(F.col("rows"), R.RATIO_METRICS),
+    })
 
 
 def best_table(tables: DataFrame, kind: str = "statement", least: int = 2) -> DataFrame:
@@ -124,6 +129,10 @@ def best_table(tables: DataFrame, kind: str = "statement", least: int = 2) -> Da
     ).select("doc_id", "t.*")
 
 
+def has_key(entries: Column, key: Column) -> Column:
+    return F.call_function("map_contains_key", entries, key)
+
+
 def _put(acc: Column, key: Column, values: Column) -> Column:
     one = F.map_from_entries(F.array(F.struct(key, values)))
     some = key.isNotNull() & F.exists(values, lambda v: v.isNotNull())
@@ -138,7 +147,7 @@ def statement_metrics(rows: Column, header: Column) -> Column:
         label = first_label(s["r"])
         key = F.lit(None).cast("string")
         for name, pattern in reversed(R.STATEMENT_METRICS):
-            key = F.when(~F.map_contains_key(acc, F.lit(name)) & label.rlike(pattern), name).otherwise(key)
+            key = F.when(~has_key(acc, F.lit(name)) & label.rlike(pattern), name).otherwise(key)
         key = F.when(s["i"] != header["row_idx"], key)
         return _put(acc, key, values_at(s["r"], header["cols"]))
 
@@ -155,7 +164,7 @@ def ratio_metrics(rows: Column, header: Column) -> Column:
         for name, pattern in reversed(R.RATIO_METRICS):
             key = F.when(label.rlike(pattern), name).otherwise(key)
         skip = (s["i"].eqNullSafe(header["row_idx"])) | (label == "")
-        key = F.when(~skip & ~F.map_contains_key(acc, F.coalesce(key, F.lit(""))), key)
+        key = F.when(~skip & ~has_key(acc, F.coalesce(key, F.lit(""))), key)
         numbers = F.slice(F.filter(F.transform(s["r"], parse_num), lambda v: v.isNotNull()), 1, 1)
         values = F.when(header.isNotNull(), values_at(s["r"], header["cols"])).otherwise(numbers)
         return _put(acc, key, values)

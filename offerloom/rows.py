@@ -28,3 +28,14 @@ def top_structs(value: Column, order: Column, n: int, ascending: bool = False) -
     """Aggregate: the n rows with the highest (or lowest) order, best first."""
     pairs = F.collect_list(F.struct(order.alias("o"), value.alias("v")))
     return F.transform(F.slice(F.sort_array(pairs, asc=ascending), 1, n), lambda p: p["v"])
+
+
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """df + columns whose expressions are evaluated once per row.
+
+    A filter or projection above a plain column is rewritten in terms of its expression, which
+    would run expensive text work again; a generated one-element array keeps it in place.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, made).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in cols])
