@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("resolution",)
+MODULES = ("resolution", "snapshots")
 
 
 def load_queries() -> tuple[dict, dict]:
