@@ -230,12 +230,12 @@ def date_range_filter(spark: SparkSession, folder: str) -> DataFrame:
 SELECT slug, company_name, bidding_start FROM (
   SELECT 'listing-' || c_custkey || '-ipo' AS slug, 'Listing ' || c_custkey AS company_name,
          CASE WHEN c_custkey % 7 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 700 AS INTEGER) END AS bidding_start, c_nationkey FROM customer)
-WHERE c_nationkey % 3 = 1 AND (regexp_matches(company_name, '(?i)listing 1\\d*5$'))
+WHERE c_nationkey % 3 = 1 AND (regexp_matches(company_name, '(?i)listing \\d*5$'))
 ORDER BY bidding_start DESC NULLS LAST, slug LIMIT 20 OFFSET 20
 """)
 def filtered_page(spark: SparkSession, folder: str) -> DataFrame:
     """Second page of twenty open listings found by a search, latest first."""
-    hits = listing.filter_listings(snapshot(spark, folder), status="open", source="nse", document="rhp", search=r"LISTING 1\d*5$")
+    hits = listing.filter_listings(snapshot(spark, folder), status="open", source="nse", document="rhp", search=r"LISTING \d*5$")
     return listing.page_of(hits, page=2, limit=20).select("slug", "company_name", "bidding_start")
 
 
@@ -375,7 +375,7 @@ def restore_documents(spark: SparkSession, folder: str) -> DataFrame:
 SELECT page_id, CASE WHEN contains(s, 'drhp') OR regexp_matches(s, 'draft\\s+red\\s*herring') THEN 'drhp' WHEN contains(s, 'rhp') OR regexp_matches(s, 'red\\s*herring') THEN 'rhp'
        WHEN regexp_matches(s, '\\bfinal\\b') THEN 'final' ELSE 'drhp' END AS doc_type,
        CASE WHEN contains(s, 'drhp') OR regexp_matches(s, 'draft\\s+red\\s*herring') THEN 0.9 WHEN contains(s, 'rhp') OR regexp_matches(s, 'red\\s*herring') THEN 0.88
-       WHEN regexp_matches(s, '\\bfinal\\b') THEN 0.8 ELSE 0.3 END AS confidence
+       WHEN regexp_matches(s, '\\bfinal\\b') THEN 0.8 ELSE 0.3 END::DOUBLE AS confidence
 FROM (SELECT page_id, regexp_replace(lower(url || CASE page_id % 5 WHEN 0 THEN '/x-drhp.pdf' WHEN 1 THEN '/Red-Herring_Prospectus.pdf' WHEN 2 THEN '/final.pdf' ELSE '' END), '[._\\-/+%]+', ' ', 'g') AS s FROM pages)
 """)
 def classify_documents(spark: SparkSession, folder: str) -> DataFrame:
