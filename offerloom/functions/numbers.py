@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, rx, squeeze
+from .text import WS, let, rx, squeeze
 
 # What makes a table cell a fiscal-period label.
 PERIOD = rx(
@@ -19,14 +19,16 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + F.lit(0.5)) / F.lit(100.0)
 
 
-def _signed(t: Column, digits: str) -> Column:
+def _signed(text: Column, digits: str) -> Column:
     """'(x)' and '-x' are negative; anything not matching ``digits`` is null."""
-    bracketed = t.rlike(r"^\(.*\)$")
-    t = F.when(bracketed, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t)
-    dashed = t.startswith("-")
-    body = F.regexp_replace(t, "^-", "")
-    value = F.when(body.rlike(digits), body.try_cast("double"))
-    return F.when(bracketed | dashed, -value).otherwise(value)
+    def value(t: Column) -> Column:
+        minus = t.rlike(r"^(\(.*\)|-.*)$")
+        number = F.regexp_replace(t, r"^\((.*)\)$", "$1")
+        body = F.regexp_replace(number, "^-", "")
+        amount = F.when(body.rlike(digits), body.try_cast("double"))
+        return F.when(minus | number.startswith("-"), -amount).otherwise(amount)
+
+    return let(text, value)
 
 
 def parse_num(c: Column) -> Column:
@@ -52,8 +54,7 @@ def parse_indian_number(c: Column) -> Column:
 
 
 def parse_shares(c: Column) -> Column:
-    t = F.trim(F.regexp_replace(c, r"[*^,]", ""))
-    return F.when(t.rlike(r"^\d+$"), t.try_cast("bigint"))
+    return let(F.trim(F.regexp_replace(c, r"[*^,]", "")), lambda t: F.when(t.rlike(r"^\d+$"), t.try_cast("bigint")))
 
 
 def _plain_number(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,9 +131,15 @@ def trailing_path_id(c: Column) -> Column:
     return F.regexp_extract(F.coalesce(c, F.lit("")), r"/(\d+)/?$", 1).try_cast("bigint")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trailing_page_number(c: Column) -> Column:
-    n = F.regexp_extract(c, r"[\s.]+(\d{1,4})\s*$", 1).try_cast("int")
-    return F.when((n > 0) & (n < 5000), n)
+    """Page number 1..4999 closing a line after a space or a full stop."""
+    n = F.regexp_extract(c, r"[\s.](\d{1,4})\s*$", 1).try_cast("int")
+    return let(n, lambda v: F.when((v > 0) & (v < 5000), v))
 
 
 def clean_object_name(c: Column) -> Column:

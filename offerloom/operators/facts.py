@@ -35,8 +35,7 @@ def _labelled(rows: Column, patterns: list[str]) -> Column:
         found = F.transform(
             row,
             lambda c, i: F.when(
-                (squeeze(c) != "") & (F.length(squeeze(c)) <= R.LABEL_CHARS)
-                & reduce(lambda a, b: a | b, [squeeze(c).rlike(p) for p in patterns]),
+                (c != "") & (F.length(c) <= R.LABEL_CHARS) & reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]),
                 _row_shares(row, i),
             ),
         )
@@ -52,7 +51,7 @@ def _in_prose(text: Column, pattern: str) -> Column:
 
 def share_candidates(docs: DataFrame) -> DataFrame:
     """docs + flat text + one array of candidate counts per field, tables before prose."""
-    rows = once(with_tables(docs), {"_rows": F.flatten("tables"), "_flat": squeeze(F.col("text"))})
+    rows = once(with_tables(docs), {"_rows": F.transform(F.flatten("tables"), lambda r: F.transform(r, squeeze)), "_flat": squeeze(F.col("text"))})
     fields = {}
     for field, labels in R.SHARE_LABELS.items():
         parts = [_labelled(F.col("_rows"), labels)]

@@ -108,9 +108,12 @@ def with_periods(pages: DataFrame) -> DataFrame:
     return once(clustered, {"periods": periods}).drop("_marks", "_groups").filter(F.size("periods") >= 2)
 
 
-def match_metric(label: Column, metrics: list[tuple[str, list[str]]]) -> Column:
-    """First metric with an alias whose words all occur in the label."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), r"[^a-z0-9\s]", " "), r"\s+", " "))
+def plain_label(label: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def match_metric(plain: Column, metrics: list[tuple[str, list[str]]]) -> Column:
+    """First metric with an alias whose words all occur in the plain label."""
     out = F.lit(None).cast("string")
     for key, aliases in reversed(metrics):
         tests = [reduce(lambda a, b: a & b, [F.contains(plain, F.lit(w)) for w in alias.split()]) for alias in aliases]
@@ -157,7 +160,8 @@ def item_metrics(items: DataFrame, metrics: list[tuple[str, list[str]]]) -> Data
     label = F.get(
         F.filter("r.cells", lambda c: ~_bare(c["text"]).rlike(r"^[-\d,()]+(\.\d+)?$") & (F.length(c["text"]) > 3)), F.lit(0)
     )["text"]
-    keyed = once(rows, {"key": match_metric(label, metrics)}).filter(F.col("key").isNotNull())
+    labelled = once(rows, {"_label": plain_label(label)})
+    keyed = once(labelled, {"key": match_metric(F.col("_label"), metrics)}).filter(F.col("key").isNotNull())
     valued = once(keyed, {"values": nearest_values(F.col("r.cells"), F.col("periods"))}).filter(
         F.exists("values", lambda v: v.isNotNull())
     )
@@ -378,16 +382,25 @@ def locate_by_contents(items: DataFrame, targets: dict[str, list[str]] | None =
     80 pages later at most. Sections not in the contents start at the first page with the heading.
     """
     targets = targets or PR.CONTENTS_TARGETS
-    lines = row_cells(items, 0.5).select(*PAGE, "text", trailing_page_number(F.col("text")).alias("number"))
-    lines = lines.withColumn("section", F.explode_outer(_targets(normalize_heading(F.col("text")), targets)))
-    flat = row_cells(items, 0.5).select(*PAGE, F.length("text").alias("len"), trailing_page_number(F.col("text")).alias("number"))
-    contents = flat.groupBy(*PAGE).agg(
-        F.count_if(F.col("len") > 8).alias("longer"), F.count("number").alias("numbered")
-    ).filter((F.col("longer") > 3) & (F.col("numbered") / F.col("longer") > 0.3)).select(*PAGE)
-    hits = lines.filter(F.col("section").isNotNull())
-    listed = hits.filter(F.col("number").isNotNull()).join(contents, PAGE, "left_semi").groupBy("doc_id", "section").agg(
-        F.min("number").alias("start")
+    read = F.transform(
+        "rows",
+        lambda r: F.struct(
+            F.length(r["text"]).alias("len"), trailing_page_number(r["text"]).alias("number"), normalize_heading(r["text"]).alias("heading")
+        ),
+    )
+    pages = once(page_rows(items, 0.5), {"lines": read}).drop("rows")
+    longer = F.size(F.filter("lines", lambda x: x["len"] > 8))
+    numbered = F.size(F.filter("lines", lambda x: x["number"].isNotNull()))
+    named = F.transform("lines", lambda x: F.struct(x["number"].alias("number"), _targets(x["heading"], targets).alias("sections")))
+    flagged = pages.select(
+        *PAGE, ((longer > 3) & (numbered / longer > 0.3)).alias("contents"),
+        F.explode(F.filter(named, lambda x: F.size(x["sections"]) > 0)).alias("x"),
+    )
+    hits = flagged.select(*PAGE, "contents", "x.number", F.explode("x.sections").alias("section"))
+    per_section = hits.groupBy("doc_id", "section").agg(
+        F.min(F.when(F.col("contents"), F.col("number"))).alias("start"), F.min("page").alias("first_page")
     )
+    listed = per_section.filter(F.col("start").isNotNull())
     starts = listed.groupBy("doc_id").agg(
         F.array_sort(F.collect_list("start")).alias("starts"), F.collect_list(F.struct("section", "start")).alias("s")
     )
@@ -398,7 +411,7 @@ def locate_by_contents(items: DataFrame, targets: dict[str, list[str]] | None =
         "doc_id", "section", F.col("start").alias("printed_start"), end.alias("printed_end"),
         F.lit(None).cast("int").alias("pdf_start"), F.lit(None).cast("int").alias("pdf_end"), F.lit("toc").alias("origin"),
     )
-    heads = hits.groupBy("doc_id", "section").agg(F.min("page").alias("p")).join(listed, ["doc_id", "section"], "left_anti")
+    heads = per_section.filter(F.col("start").isNull()).withColumnRenamed("first_page", "p")
     by_heading = heads.select(
         "doc_id", "section", F.lit(None).cast("int").alias("printed_start"), F.lit(None).cast("int").alias("printed_end"),
         F.col("p").cast("int").alias("pdf_start"), (F.col("p") + 60).cast("int").alias("pdf_end"), F.lit("fullscan").alias("origin"),

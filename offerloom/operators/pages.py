@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import page_hash, squeeze
+from ..rows import once
 from ..rules import pages as R
 
 OVERLAP_SKIP = 0.9  # Fixed value: share of known pages from which a later version is skipped.
@@ -179,17 +180,25 @@ def ratio_window(pages: DataFrame, window: int = 6, max_chars: int = 26000, leas
     return rich.select("doc_id", F.explode("used").alias("u")).select("doc_id", "u.page", "u.score")
 
 
+def plain_text(c: Column) -> Column:
+    return F.lower(squeeze(c))
+
+
 def is_grounded(quote: Column, page: Column) -> Column:
-    """A quote occurs on its page: wholly, by its first 40 characters, or by 70 % of its words."""
-    q, p = F.lower(squeeze(quote)), F.lower(squeeze(page))
-    words = F.filter(F.split(q, " "), lambda t: F.length(t) > 1)
-    hits = F.size(F.filter(words, lambda t: F.contains(p, t)))
+    """A quote occurs on its page: wholly, by its first 40 characters, or by 70 % of its words.
+
+    Both sides are plain texts; they are read once per word, so they should be plain columns.
+    """
+    words = F.filter(F.split(quote, " "), lambda t: F.length(t) > 1)
+    hits = F.size(F.filter(words, lambda t: F.contains(page, t)))
     enough = (F.size(words) > 0) & (hits >= F.size(words) * 0.7)
-    found = F.contains(p, q) | F.contains(p, F.substring(q, 1, 40)) | enough
-    return F.coalesce((F.length(q) >= 4) & (F.length(p) > 0) & found, F.lit(False))
+    found = F.contains(page, quote) | F.contains(page, F.substring(quote, 1, 40)) | enough
+    return F.coalesce((F.length(quote) >= 4) & (F.length(page) > 0) & found, F.lit(False))
 
 
 def ground_facts(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """facts(doc_id, page, quote, …) + grounded; only cited pages are joined."""
     cited = pages.select("doc_id", "page", F.col("text").alias("_text"))
-    return facts.join(cited, ["doc_id", "page"], "left").withColumn("grounded", is_grounded(F.col("quote"), F.col("_text"))).drop("_text")
+    joined = facts.join(cited, ["doc_id", "page"], "left")
+    plain = once(joined, {"_quote": plain_text(F.col("quote")), "_page": plain_text(F.col("_text"))})
+    return plain.withColumn("grounded", is_grounded(F.col("_quote"), F.col("_page"))).drop("_text", "_quote", "_page")

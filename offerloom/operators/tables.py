@@ -6,6 +6,7 @@ tables are never shuffled, and no Python runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -139,41 +140,42 @@ def _put(acc: Column, key: Column, values: Column) -> Column:
     return F.when(some, F.map_concat(acc, one)).otherwise(acc).cast(METRICS)
 
 
+def labelled_rows(rows: Column) -> Column:
+    """Rows with their position and label, so that a fold reads the label instead of building it."""
+    return F.transform(rows, lambda r, i: F.struct(i.alias("i"), first_label(r).alias("label"), r.alias("r")))
+
+
 def statement_metrics(rows: Column, header: Column) -> Column:
-    """map key → values per period: each row fills the first matching key that is still empty."""
-    indexed = F.transform(rows, lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    """map key → values per period: each row fills the first matching key that is still empty.
 
+    ``rows`` are labelled rows.
+    """
     def step(acc: Column, s: Column) -> Column:
-        label = first_label(s["r"])
         key = F.lit(None).cast("string")
         for name, pattern in reversed(R.STATEMENT_METRICS):
-            key = F.when(~has_key(acc, F.lit(name)) & label.rlike(pattern), name).otherwise(key)
+            key = F.when(~has_key(acc, F.lit(name)) & s["label"].rlike(pattern), name).otherwise(key)
         key = F.when(s["i"] != header["row_idx"], key)
         return _put(acc, key, values_at(s["r"], header["cols"]))
 
-    return F.aggregate(indexed, F.create_map().cast(METRICS), step)
+    return F.aggregate(rows, F.create_map().cast(METRICS), step)
 
 
 def ratio_metrics(rows: Column, header: Column) -> Column:
-    """map key → values: each row's first matching rule; the first row with a value stays."""
-    indexed = F.transform(rows, lambda r, i: F.struct(i.alias("i"), r.alias("r")))
-
+    """map key → values: each labelled row's first matching rule; the first row with a value stays."""
     def step(acc: Column, s: Column) -> Column:
-        label = first_label(s["r"])
-        key = F.lit(None).cast("string")
-        for name, pattern in reversed(R.RATIO_METRICS):
-            key = F.when(label.rlike(pattern), name).otherwise(key)
-        skip = (s["i"].eqNullSafe(header["row_idx"])) | (label == "")
+        key = first_rule(s["label"], R.RATIO_METRICS)
+        skip = (s["i"].eqNullSafe(header["row_idx"])) | (s["label"] == "")
         key = F.when(~skip & ~has_key(acc, F.coalesce(key, F.lit(""))), key)
         numbers = F.slice(F.filter(F.transform(s["r"], parse_num), lambda v: v.isNotNull()), 1, 1)
         values = F.when(header.isNotNull(), values_at(s["r"], header["cols"])).otherwise(numbers)
         return _put(acc, key, values)
 
-    return F.aggregate(indexed, F.create_map().cast(METRICS), step)
+    return F.aggregate(rows, F.create_map().cast(METRICS), step)
 
 
-def _long(best: DataFrame, metrics: Column) -> DataFrame:
-    filled = best.withColumn("metrics", metrics)
+def _long(best: DataFrame, metrics: Callable[[Column, Column], Column]) -> DataFrame:
+    staged = once(best, {"_rows": labelled_rows(F.col("rows"))})
+    filled = once(staged, {"metrics": metrics(F.col("_rows"), F.col("header"))})
     rows = filled.select("doc_id", "table_idx", "header", F.explode("metrics").alias("key", "values"))
     return rows.select("doc_id", "table_idx", "header", "key", F.posexplode("values").alias("period_idx", "value")).select(
         "doc_id", "table_idx", "key", "period_idx", F.get("header.labels", F.col("period_idx")).alias("period"), "value"
@@ -183,13 +185,13 @@ def _long(best: DataFrame, metrics: Column) -> DataFrame:
 def table_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, table_idx, key, period_idx, period, value of the best statement table."""
     best = best_table(tables_of(docs, text), "statement")
-    return _long(best, statement_metrics(F.col("rows"), F.col("header")))
+    return _long(best, statement_metrics)
 
 
 def table_ratios(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, table_idx, key, period_idx, period, value of the best ratio table."""
     best = best_table(tables_of(docs, text), "ratio")
-    return _long(best, ratio_metrics(F.col("rows"), F.col("header")))
+    return _long(best, ratio_metrics)
 
 
 def first_rule(label: Column, rules: list[tuple[str, str]]) -> Column:
