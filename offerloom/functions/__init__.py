@@ -52,6 +52,7 @@ from .text import (  # noqa: F401
     slugify,
     split_person_names,
     squeeze,
+    trim_all,
     trailing_page_number,
     trailing_path_id,
 )

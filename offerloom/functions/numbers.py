@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, let, rx, squeeze
+from .text import WS_CHARS, let, rx, squeeze
 
 # What makes a table cell a fiscal-period label.
 PERIOD = rx(
@@ -33,14 +33,12 @@ def _signed(text: Column, digits: str) -> Column:
 
 def parse_num(c: Column) -> Column:
     """Indian-format amount: strips ₹ , % and spaces."""
-    t = F.regexp_replace(c, "[₹,%]|" + WS, "")
-    return _signed(t, r"^\d*\.?\d+$")
+    return _signed(F.translate(c, "₹,%" + WS_CHARS, ""), r"^\d*\.?\d+$")
 
 
 def parse_indian_num(c: Column) -> Column:
     """Like parse_num, with $ as well."""
-    t = F.regexp_replace(c, "[₹,%$]|" + WS, "")
-    return _signed(t, r"^-?\d*\.?\d+$")
+    return _signed(F.translate(c, "₹,%$" + WS_CHARS, ""), r"^-?\d*\.?\d+$")
 
 
 def leading_float(c: Column) -> Column:
@@ -54,7 +52,7 @@ def parse_indian_number(c: Column) -> Column:
 
 
 def parse_shares(c: Column) -> Column:
-    return let(F.trim(F.regexp_replace(c, r"[*^,]", "")), lambda t: F.when(t.rlike(r"^\d+$"), t.try_cast("bigint")))
+    return let(F.trim(F.translate(c, "*^,", "")), lambda t: F.when(t.rlike(r"^\d+$"), t.try_cast("bigint")))
 
 
 def _plain_number(c: Column) -> Column:

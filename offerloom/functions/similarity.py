@@ -85,25 +85,29 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     return _jaro_winkler(left, right)
 
 
-def first_similar(names: list[str], threshold: float) -> list[int]:
-    """For each name the position of its group: the first group head it resembles.
+def group_heads(rows: list[list[str]], threshold: float) -> list[list[str]]:
+    """For each list of names the head of every name: the first earlier head it resembles.
 
-    Heads are compared in order of appearance, lower-cased, head first.
+    Position by position, all lists of a batch are scored in one call.
     """
-    heads: list[int] = []
-    group: list[int] = []
-    for pos, name in enumerate(names):
-        low = name.lower()
-        if heads:
-            head_names = np.array([names[h].lower() for h in heads], dtype=object)
-            scores = score_pairs(head_names, np.array([low] * len(heads), dtype=object))
-            near = np.flatnonzero(scores >= threshold)
-            if len(near):
-                group.append(heads[int(near[0])])
-                continue
-        heads.append(pos)
-        group.append(pos)
-    return group
+    uniq = [list(dict.fromkeys(r)) for r in rows]
+    heads: list[list[str]] = [[] for _ in rows]
+    found: list[dict[str, str]] = [{} for _ in rows]
+    for pos in range(max(map(len, uniq), default=0)):
+        live = [i for i, names in enumerate(uniq) if pos < len(names)]
+        owner = [i for i in live for _ in heads[i]]
+        a = np.array([h.lower() for i in live for h in heads[i]], dtype=object)
+        b = np.array([uniq[i][pos].lower() for i in owner], dtype=object)
+        near = score_pairs(a, b) >= threshold
+        at = 0
+        for i in live:
+            name, mine = uniq[i][pos], heads[i]
+            hit = np.flatnonzero(near[at : at + len(mine)])
+            at += len(mine)
+            found[i][name] = mine[int(hit[0])] if len(hit) else name
+            if not len(hit):
+                mine.append(name)
+    return [[found[i][n] for n in r] for i, r in enumerate(rows)]
 
 
 def name_groups(names: Column, threshold: float = 0.9) -> Column:
@@ -111,12 +115,6 @@ def name_groups(names: Column, threshold: float = 0.9) -> Column:
 
     @F.pandas_udf(ArrayType(StringType()))
     def heads(batch: pd.Series) -> pd.Series:
-        out = []
-        for row in batch:
-            items = [] if row is None else list(row)
-            uniq = list(dict.fromkeys(items))
-            head = dict(zip(uniq, (uniq[g] for g in first_similar(uniq, threshold))))
-            out.append([head[i] for i in items])
-        return pd.Series(out)
+        return pd.Series(group_heads([[] if r is None else list(r) for r in batch], threshold))
 
     return heads(names)

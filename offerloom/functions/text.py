@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # White space as the source feeds understand it (wider than Java's \s).
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+# The same characters one by one, for trimming and translating without a pattern.
+WS_CHARS = " \t\n\x0b\f\r" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
 # A word boundary over [A-Za-z0-9_] only: Java's own \b also looks at accented letters.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
@@ -61,6 +64,10 @@ def first_text(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
+def trim_all(c: Column) -> Column:
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
 def squeeze(c: Column) -> Column:
     """Collapse every run of white space to one space and trim; null becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS + "+", " "))

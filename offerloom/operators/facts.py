@@ -337,12 +337,11 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
     def score(table: Column) -> Column:
         general = F.exists(table, lambda r: F.exists(r, lambda c: c.rlike(R.GENERAL_PURPOSE)))
         hinted = F.size(F.filter(table, lambda r: F.exists(r, lambda c: c.rlike(R.OBJECT_HINT))))
-        total = F.exists(table, lambda r: _object_row(r)["kind"] == "total")
-        total_any = F.exists(
+        total = F.exists(
             table,
             lambda r: F.coalesce(squeeze(F.get(F.filter(r, lambda c: squeeze(c) != ""), F.lit(0))), F.lit("")).rlike(R.OBJECT_TOTAL),
         )
-        return F.when(general, hinted + F.when(total | total_any, 2).otherwise(0)).otherwise(0)
+        return F.when(general, hinted + F.when(total, 2).otherwise(0)).otherwise(0)
 
     ranked = F.transform("tables", lambda t, i: F.struct(score(t).alias("score"), (-i).alias("o"), t.alias("rows")))
     best = F.array_max(ranked)

@@ -13,20 +13,35 @@ from ..functions import blank_to_null, canon_name, clean_email, clean_name, clea
 from ..rows import first_by, once
 from ..rules import facts as R
 
-MENTIONS = "doc_id bigint, role string, pos int, raw string, after string, before string"
+MENTIONS = (
+    "doc_id bigint, role string, pos int, raw string, after string, before string, "
+    "emails array<struct<email:string,after:string,before:string>>"
+)
+EMAIL = re.compile(r"[\w.+-]+@[\w.-]+\.\w{2,}", re.ASCII)
+
+
+def _around(text: str, at: int) -> tuple[str, str]:
+    return text[at : at + R.PHONE_AFTER], text[max(0, at - R.PHONE_BEFORE) : at]
 
 
 def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Role mentions with the text around them; the only step that needs match positions."""
+    """Role mentions with the text around them and the addresses of the document.
+
+    The only step that needs match positions; names and contacts are chosen in Spark. The
+    surroundings of an address are given only where it is printed in lower case.
+    """
     patterns = {role: re.compile(p, re.IGNORECASE | re.ASCII) for role, p in R.PARTY_ROLES.items()}
     for pdf in batches:
         out = []
         for doc_id, text in zip(pdf["doc_id"], pdf["flat"]):
-            for role, pattern in patterns.items():
-                for m in pattern.finditer(text or ""):
-                    at = m.start()
-                    out.append((doc_id, role, at, m.group(1), text[at : at + R.PHONE_AFTER], text[max(0, at - R.PHONE_BEFORE) : at]))
-        yield pd.DataFrame(out, columns=["doc_id", "role", "pos", "raw", "after", "before"])
+            found = [(role, m) for role, pattern in patterns.items() for m in pattern.finditer(text)]
+            emails = []
+            for address in dict.fromkeys(e.lower() for e in EMAIL.findall(text)) if found else ():
+                at = text.find(address)
+                after, before = _around(text, at) if at >= 0 else (None, None)
+                emails.append({"email": address, "after": after, "before": before})
+            out += [(doc_id, role, m.start(), m.group(1), *_around(text, m.start()), emails) for role, m in found]
+        yield pd.DataFrame(out, columns=["doc_id", "role", "pos", "raw", "after", "before", "emails"])
 
 
 def _email_pattern(token: Column) -> Column:
@@ -65,17 +80,28 @@ def phone_near(text: Column, at: Column) -> Column:
     return clean_phone(F.coalesce(_first_phone(after), _last_phone(before)))
 
 
+def _phone_around(after: Column, before: Column) -> Column:
+    return clean_phone(F.coalesce(_first_phone(after), _last_phone(before)))
+
+
 def party_mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, role, pos, name, email, phone of every plausible mention."""
+    """doc_id, role, pos, name, email, phone of every plausible mention. Texts are not shuffled."""
     flat = docs.select("doc_id", squeeze(F.col("text")).alias("flat"))
-    raw = flat.mapInPandas(_mentions, MENTIONS).withColumn("name", canon_name(F.col("raw")))
-    named = raw.filter(looks_like_party(F.col("name")))
-    with_text = named.join(flat, "doc_id").withColumn("email", email_for(F.col("flat"), F.col("name")))
-    at = F.position(F.col("email"), F.col("flat"))
-    anchored = phone_near(F.col("flat"), at)
-    own = clean_phone(F.coalesce(_first_phone(F.col("after")), _last_phone(F.col("before"))))
-    return with_text.select(
-        "doc_id", "role", "pos", "name", "email", F.when(F.coalesce(at, F.lit(0)) > 0, anchored).otherwise(own).alias("phone")
+    raw = once(flat.mapInPandas(_mentions, MENTIONS), {"name": canon_name(F.col("raw"))})
+    named = once(raw.filter(looks_like_party(F.col("name"))), {"_token": name_token(F.col("name"))})
+
+    def holds(e: Column) -> Column:
+        local = F.substring_index(e["email"], "@", 1)
+        domain = F.regexp_replace(F.substring_index(e["email"], "@", -1), r"\.\w{2,}$", "")
+        return F.contains(local, F.col("_token")) | F.contains(domain, F.col("_token"))
+
+    best = F.get(F.filter("emails", holds), F.lit(0))
+    picked = once(named, {"_best": best})
+    near_email = _phone_around(F.col("_best.after"), F.col("_best.before"))
+    near_name = _phone_around(F.col("after"), F.col("before"))
+    return picked.select(
+        "doc_id", "role", "pos", "name", F.col("_best.email").alias("email"),
+        F.when(F.col("_best.after").isNotNull(), near_email).otherwise(near_name).alias("phone"),
     )
 
 

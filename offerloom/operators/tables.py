@@ -13,7 +13,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import WS, looks_like_period, parse_num
+from ..functions import looks_like_period, parse_num, trim_all
+from ..functions.text import WS_CHARS
 from ..rows import once
 from ..rules import tables as R
 
@@ -21,22 +22,20 @@ ROWS = "array<array<string>>"
 METRICS = "map<string,array<double>>"
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
-
-
 def _is_table_line(line: Column) -> Column:
-    return line.rlike(rf"^{WS}*\|.*\|")
+    """Starts with a bar and has another one."""
+    t = F.ltrim(line, F.lit(WS_CHARS))
+    return t.startswith("|") & (F.position(F.lit("|"), line) < F.length(line) - F.position(F.lit("|"), F.reverse(line)) + 1)
 
 
 def _cells(line: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_replace(_trim(line), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(inner, r"\|"), _trim)
+    inner = F.regexp_replace(trim_all(line), r"^\||\|$", "")
+    return F.transform(F.split(inner, r"\|"), trim_all)
 
 
 def _is_rule_row(cells: Column) -> Column:
-    """A row of dashes (or blanks) under the header."""
-    return F.forall(cells, lambda c: (c == "") | F.regexp_replace(c, WS, "").rlike("^:?-{2,}:?$"))
+    """A row of dashes (or blanks) under the header; a letter in the first cell settles it."""
+    return F.forall(cells, lambda c: (c == "") | (c.rlike("^[:-]") & F.translate(c, WS_CHARS, "").rlike("^:?-{2,}:?$")))
 
 
 def with_tables(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,7 +73,7 @@ def markdown_cells(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def first_label(row: Column) -> Column:
-    return F.coalesce(_trim(F.get(F.filter(row, lambda c: _trim(c) != ""), F.lit(0))), F.lit(""))
+    return F.coalesce(trim_all(F.get(F.filter(row, lambda c: trim_all(c) != ""), F.lit(0))), F.lit(""))
 
 
 def values_at(row: Column, cols: Column) -> Column:
@@ -109,13 +108,12 @@ def rule_score(rows: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(add, [met(p) for _, p in rules])
 
 
-def tables_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, table_idx, rows, header (period row or null), and both rule scores."""
+def tables_of(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = ("statement", "ratio")) -> DataFrame:
+    """doc_id, table_idx, rows, header (period row or null), and the wanted rule scores."""
+    rules = {"statement": R.STATEMENT_METRICS, "ratio": R.RATIO_METRICS}
     listed = with_tables(docs, text).select("doc_id", F.posexplode("tables").alias("table_idx", "rows"))
     return once(listed, {
-        "header": period_row(F.col("rows")),
-        "statement_score": rule_score(F.col("rows"), R.STATEMENT_METRICS),
-        "ratio_score": rule_score(F.col("rows"), R.RATIO_METRICS),
+        "header": period_row(F.col("rows")), **{f"{k}_score": rule_score(F.col("rows"), rules[k]) for k in kinds}
     })
 
 
@@ -184,13 +182,13 @@ def _long(best: DataFrame, metrics: Callable[[Column, Column], Column]) -> DataF
 
 def table_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, table_idx, key, period_idx, period, value of the best statement table."""
-    best = best_table(tables_of(docs, text), "statement")
+    best = best_table(tables_of(docs, text, ("statement",)), "statement")
     return _long(best, statement_metrics)
 
 
 def table_ratios(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, table_idx, key, period_idx, period, value of the best ratio table."""
-    best = best_table(tables_of(docs, text), "ratio")
+    best = best_table(tables_of(docs, text, ("ratio",)), "ratio")
     return _long(best, ratio_metrics)
 
 

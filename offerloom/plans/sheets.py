@@ -300,7 +300,7 @@ def issue_details(spark: SparkSession, folder: str) -> DataFrame:
     rows = [
         _row(F.lit("Fresh Issue"), share(n + 5000)), _row(F.lit("Market Maker Reservation Portion"), share(n)), _row(F.lit("Net Issue to Public"), share(F.lit(5000))),
         _row(F.lit("Equity Shares outstanding prior to the Issue"), F.format_string("%,d", F.lit(20000))), _row(F.lit("Equity Shares outstanding after the Issue"), F.format_string("%,d", (n + 25000).cast("bigint"))),
-        F.lit(""), F.when(k % 2 == 0, "The entire issue constitutes fresh issue on BSE SME.").otherwise("Listed on NSE."), F.when(k % 3 == 0, "A fixed price issue.").otherwise("A book built issue."),
+        F.lit(""), F.when(k % 2 == 0, "The entire issue constitutes fresh issue on BSE SME.").otherwise("Listed on NSE."), F.when(k % 3 == 0, "A fixed price issue.").otherwise("A book building issue."),
     ]
     d = table(spark, folder, "part").select(k.alias("doc_id"), F.concat_ws("\n", *rows).alias("text"), F.lit(True).alias("is_sme"))
     return facts.issue_details(d).select(
