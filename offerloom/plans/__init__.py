@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("resolution", "snapshots", "serieses", "texts", "sheets")
+MODULES = ("resolution", "snapshots", "serieses", "texts", "sheets", "scores")
 
 
 def load_queries() -> tuple[dict, dict]:
