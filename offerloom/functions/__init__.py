@@ -39,6 +39,7 @@ from .text import (  # noqa: F401
     first_defined,
     first_text,
     is_person_name,
+    let,
     letters_key,
     looks_like_party,
     name_token,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,15 +11,24 @@ from pyspark.sql import functions as F
 # White space as the source feeds understand it (wider than Java's \s).
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+# Runs of white space that are not one plain space already; nothing else needs replacing.
+WS_RUN = f"[ ]{WS}+|[" + WS[3:].join([r"\t\n\x0B\f\r", ""]) + f"{WS}*"
+
 # The same characters one by one, for trimming and translating without a pattern.
 WS_CHARS = " \t\n\x0b\f\r" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
-# A word boundary over [A-Za-z0-9_] only: Java's own \b also looks at accented letters.
+# A word boundary over [A-Za-z0-9_] only: Java's own \\b also looks at accented letters.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def rx(pattern: str) -> str:
-    """Pattern with ASCII word boundaries."""
+    """Pattern with ASCII word boundaries.
+
+    A boundary before a word or a group of words only needs to look back, one after a letter
+    only needs to look ahead.
+    """
+    pattern = re.sub(r"(?<=[A-Za-z])(?<!\\[A-Za-z])\\b", lambda _: r"(?!\w)", pattern)
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9(]|\\d)", lambda _: r"(?<!\w)", pattern)
     return pattern.replace(r"\b", BOUNDARY)
 
 
@@ -70,7 +80,7 @@ def trim_all(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse every run of white space to one space and trim; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS_RUN, " "))
 
 
 def _letters_digits(c: Column) -> Column:
@@ -157,7 +167,7 @@ def clean_object_name(c: Column) -> Column:
 
 
 def clean_name(c: Column) -> Column:
-    t = F.regexp_replace(squeeze(c), "[•·*\"“”]", "")
+    t = F.translate(squeeze(c), "•·*\"“”", "")
     return F.trim(F.regexp_replace(t, r"\s*,\s*$", ""))
 
 

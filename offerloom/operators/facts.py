@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, clean_object_name, distinct_names, letters_key, name_groups, parse_num, parse_shares, round2, split_person_names, squeeze
+from ..functions import blank_to_null, clean_object_name, distinct_names, let, letters_key, name_groups, parse_num, parse_shares, round2, split_person_names, squeeze
 from ..rows import once
 from ..rules import facts as R
 from .tables import with_tables
@@ -93,13 +93,13 @@ def reservation_match(fresh: Column, mm: Column, emp: Column, net: Column) -> Co
         fits,
         lambda s, i: F.struct(s["score"].alias("score"), i.alias("ord"), s["fresh"].alias("fresh"), s["mm"].alias("mm"), s["emp"].alias("emp"), s["net"].alias("net")),
     )
-    best = F.array_min(ranked)
-    first = lambda a: F.get(a, F.lit(0))
+    def told(best: Column) -> Column:
+        def pick(name: str, fallback: Column) -> Column:
+            return F.when(best.isNotNull(), best[name]).otherwise(F.get(fallback, F.lit(0))).alias(name)
 
-    def pick(name: str, fallback: Column) -> Column:
-        return F.when(best.isNotNull(), best[name]).otherwise(first(fallback)).alias(name)
+        return F.struct(pick("fresh", fresh), pick("mm", mm), pick("emp", emp), pick("net", net))
 
-    return F.struct(pick("fresh", fresh), pick("mm", mm), pick("emp", emp), pick("net", net))
+    return let(F.array_min(ranked), told)
 
 
 def pre_post_match(pre: Column, post: Column, fresh: Column) -> Column:
@@ -301,28 +301,46 @@ def detect_unit(text: Column) -> Column:
 
 
 def _letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(squeeze(c), "[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(c, "[^A-Za-z]+", ""))
+
+
+def _printed_rows(table: Column) -> Column:
+    """Rows with squeezed cells, their text (cells hold no bar) and their first filled cell."""
+    def row(r: Column) -> Column:
+        cells = F.transform(r, squeeze)
+        return F.struct(
+            cells.alias("cells"), F.array_join(r, "|").alias("text"),
+            F.coalesce(F.get(F.filter(cells, lambda c: c != ""), F.lit(0)), F.lit("")).alias("first"),
+        )
+
+    return F.transform(table, row)
 
 
 def _object_row(row: Column) -> Column:
-    """struct(kind, name, amount) of a table row; kind is header, total, skip or object."""
-    header = F.exists(row, lambda c: c.rlike("(?i)particulars")) & F.exists(row, lambda c: c.rlike("(?i)amount|%"))
-    first_cell = F.coalesce(squeeze(F.get(F.filter(row, lambda c: squeeze(c) != ""), F.lit(0))), F.lit(""))
-    total = first_cell.rlike(R.OBJECT_TOTAL)
-    total_at = F.array_position(F.transform(row, lambda c: squeeze(c).rlike(R.OBJECT_TOTAL)), F.lit(True)) - 1
-    widest = F.array_max(F.transform(row, lambda c, i: F.struct(_letters(c).alias("n"), (-i).alias("o"))))
-    name_at = F.when(widest["n"] >= 6, -widest["o"])
+    """struct(kind, name, amount) of a printed row; kind is header, total, skip or object."""
+    cells = row["cells"]
+    header = row["text"].rlike("(?i)particulars") & row["text"].rlike("(?i)amount|%")
+    total = row["first"].rlike(R.OBJECT_TOTAL)
+    widest = F.array_max(F.transform(cells, lambda c, i: F.struct(_letters(c).alias("n"), (-i).alias("o"))))
 
     def amount_after(pos: Column) -> Column:
-        values = F.transform(F.slice(row, pos.cast("int") + 2, F.size(row)), parse_num)
+        values = F.transform(F.slice(cells, pos.cast("int") + 2, F.size(cells)), parse_num)
         return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
-    name = clean_object_name(F.get(row, name_at.cast("int")))
-    usable = name_at.isNotNull() & (F.length(name) >= 6) & ~name.rlike(R.OBJECT_META)
-    kind = F.when(header, "header").when(total, "total").when(F.coalesce(usable, F.lit(False)), "object").otherwise("skip")
-    return F.struct(
-        kind.alias("kind"), name.alias("name"),
-        F.when(total, amount_after(total_at)).otherwise(amount_after(F.coalesce(name_at, F.lit(0)))).alias("amount"),
+    def named(at: Column) -> Column:
+        def judged(name: Column) -> Column:
+            usable = (F.length(name) >= 6) & ~name.rlike(R.OBJECT_META)
+            return F.struct(F.when(usable, "object").otherwise("skip").alias("kind"), name.alias("name"), amount_after(at).alias("amount"))
+
+        return let(clean_object_name(F.get(cells, at)), judged)
+
+    none = F.lit(None)
+    total_at = F.array_position(F.transform(cells, lambda c: c.rlike(R.OBJECT_TOTAL)), F.lit(True)) - 1
+    plain = lambda kind, amount: F.struct(F.lit(kind).alias("kind"), none.cast("string").alias("name"), amount.alias("amount"))
+    return (
+        F.when(header, plain("header", none.cast("double")))
+        .when(total, plain("total", amount_after(total_at)))
+        .otherwise(let(widest, lambda w: F.when(w["n"] >= 6, named(-w["o"])).otherwise(plain("skip", none.cast("double")))))
     )
 
 
@@ -332,21 +350,18 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
     The table with a general-purpose row and most object rows is read; with fewer than two
     objects the numbered list in the text is used when it names more.
     """
-    staged = with_tables(docs)
+    staged = once(with_tables(docs), {"_tables": F.transform("tables", _printed_rows)})
 
     def score(table: Column) -> Column:
-        general = F.exists(table, lambda r: F.exists(r, lambda c: c.rlike(R.GENERAL_PURPOSE)))
-        hinted = F.size(F.filter(table, lambda r: F.exists(r, lambda c: c.rlike(R.OBJECT_HINT))))
-        total = F.exists(
-            table,
-            lambda r: F.coalesce(squeeze(F.get(F.filter(r, lambda c: squeeze(c) != ""), F.lit(0))), F.lit("")).rlike(R.OBJECT_TOTAL),
-        )
+        general = F.exists(table, lambda r: r["text"].rlike(R.GENERAL_PURPOSE))
+        hinted = F.size(F.filter(table, lambda r: r["text"].rlike(R.OBJECT_HINT)))
+        total = F.exists(table, lambda r: r["first"].rlike(R.OBJECT_TOTAL))
         return F.when(general, hinted + F.when(total, 2).otherwise(0)).otherwise(0)
 
-    ranked = F.transform("tables", lambda t, i: F.struct(score(t).alias("score"), (-i).alias("o"), t.alias("rows")))
-    best = F.array_max(ranked)
-    staged = once(staged, {"_best": F.when(best["score"] >= 2, best["rows"])})
-    staged = once(staged, {"_read": F.coalesce(F.transform("_best", _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>"))})
+    ranked = F.transform("_tables", lambda t, i: F.struct(score(t).alias("score"), (-i).alias("o"), i.alias("at")))
+    staged = once(staged, {"_best": F.array_max(ranked)})
+    rows = F.when(F.col("_best.score") >= 2, F.get("_tables", F.col("_best.at")))
+    staged = once(staged, {"_read": F.coalesce(F.transform(rows, _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>"))})
     flat = squeeze(F.col("text"))
     at = F.regexp_instr(flat, F.lit(R.OBJECT_LIST_HEAD))
     span = F.when(at > 0, F.substr(flat, at, F.lit(R.OBJECT_LIST_SPAN)))

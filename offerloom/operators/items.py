@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import normalize_heading, parse_indian_num, parse_indian_number, trailing_page_number
+from ..functions import let, normalize_heading, parse_indian_num, parse_indian_number, trailing_page_number
 from ..functions.numbers import leading_float
 from ..rules import pages as PR
 from ..rows import once
@@ -144,11 +144,13 @@ def nearest_values(cells: Column, periods: Column, reach: float = 120) -> Column
             F.transform(data, lambda c, i: F.struct(F.abs(c["x"] - p["x"]).alias("d"), i.alias("i"), c["text"].alias("text"))),
             lambda s: (s["d"] < reach) & ~F.array_contains(acc["used"], s["i"]),
         )
-        best = F.array_min(free)
-        return F.struct(
-            F.when(best.isNotNull(), F.array_append(acc["used"], best["i"])).otherwise(acc["used"]).alias("used"),
-            F.array_append(acc["vals"], parse_indian_num(best["text"])).alias("vals"),
-        ).cast(TAKEN)
+        def take(best: Column) -> Column:
+            return F.struct(
+                F.when(best.isNotNull(), F.array_append(acc["used"], best["i"])).otherwise(acc["used"]).alias("used"),
+                F.array_append(acc["vals"], parse_indian_num(best["text"])).alias("vals"),
+            )
+
+        return let(F.array_min(free), take).cast(TAKEN)
 
     return F.aggregate(periods, start.cast(TAKEN), step)["vals"]
 

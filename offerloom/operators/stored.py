@@ -164,6 +164,7 @@ def to_stored(master: DataFrame, now: Column) -> DataFrame:
     rates = p.get(f"{c}.subscriptionRates", "array<struct<category:string,subscriptionRate:double>>")
     payloads = [s for s in SOURCES if s in master.columns]
     return master.select(
+        *(["entity_id"] if "entity_id" in master.columns else []),
         slugify(first_text(F.col("company_name"), F.col("symbol"))).alias("slug"),
         blank_to_null(F.col("isin")).alias("isin"),
         blank_to_null(F.col("symbol")).alias("symbol"),

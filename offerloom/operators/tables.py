@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import looks_like_period, parse_num, trim_all
+from ..functions import let, looks_like_period, parse_num, trim_all
 from ..functions.text import WS_CHARS
 from ..rows import once
 from ..rules import tables as R
@@ -83,19 +83,21 @@ def values_at(row: Column, cols: Column) -> Column:
 def period_row(rows: Column) -> Column:
     """struct(n, row_idx, cols, labels) of the row with most period cells (two or more), or null."""
     def scored(row: Column, i: Column) -> Column:
-        cols = F.filter(
-            F.transform(row, lambda c, k: F.when(looks_like_period(c), k)), lambda k: k.isNotNull()
+        found = F.filter(F.transform(row, lambda c, k: F.when(looks_like_period(c), k)), lambda k: k.isNotNull())
+        return let(
+            found,
+            lambda cols: F.struct(
+                F.size(cols).alias("n"), (-i).alias("neg"), cols.alias("cols"), F.transform(cols, lambda k: F.get(row, k)).alias("labels")
+            ),
         )
-        return F.struct(
-            F.size(cols).alias("n"), (-i).alias("neg"), cols.alias("cols"),
-            F.transform(cols, lambda k: F.get(row, k)).alias("labels"),
+
+    def told(best: Column) -> Column:
+        return F.when(
+            best.isNotNull(),
+            F.struct(best["n"].alias("n"), (-best["neg"]).alias("row_idx"), best["cols"].alias("cols"), best["labels"].alias("labels")),
         )
 
-    best = F.array_max(F.filter(F.transform(rows, scored), lambda s: s["n"] >= 2))
-    return F.when(
-        best.isNotNull(),
-        F.struct(best["n"].alias("n"), (-best["neg"]).alias("row_idx"), best["cols"].alias("cols"), best["labels"].alias("labels")),
-    )
+    return let(F.array_max(F.filter(F.transform(rows, scored), lambda s: s["n"] >= 2)), told)
 
 
 def rule_score(rows: Column, rules: list[tuple[str, str]]) -> Column:

@@ -27,10 +27,7 @@ def scrape_into(snapshot: DataFrame, feeds: list[DataFrame | None], now: Column)
     """The next snapshot, with the action taken per row, after one round of feeds."""
     resolved, _ = resolve_entities(cut_lineage(combine_feeds(*feeds)))
     live = drop_listed(merge_records(resolved))
-    stored = to_stored(live, now)
-    # Merged rows keep the order of their first record.
-    ordered = stored.withColumn("seq", F.xxhash64("slug", "isin", "symbol"))
-    return upsert_snapshot(snapshot, ordered, now)
+    return upsert_snapshot(snapshot, to_stored(live, now).withColumnRenamed("entity_id", "seq"), now)
 
 
 # Issue fields as the checks name them.

@@ -117,11 +117,17 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(c.alias("doc_id"), (t + 1).cast("int").alias("page"), F.concat("text", more).alias("text"))
 
 
-def _hits_sql(patterns: list[str]) -> str:
-    # RE2 has ASCII word boundaries of its own.
+# RE2 has ASCII word boundaries of its own and no look-around.
+def _re2(pattern: str) -> str:
     from ..functions.text import BOUNDARY
 
-    return " + ".join(f"CASE WHEN regexp_matches(text, '{p.replace(BOUNDARY, chr(92) + 'b')}') THEN 1 ELSE 0 END" for p in patterns)
+    for java in (BOUNDARY, r"(?<!\w)", r"(?!\w)"):
+        pattern = pattern.replace(java, r"\b")
+    return pattern
+
+
+def _hits_sql(patterns: list[str]) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(text, '{_re2(p)}') THEN 1 ELSE 0 END" for p in patterns)
 
 
 SCORES = f"""

@@ -4,12 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Ceiling for a side that is broadcast after its size was measured.
-BROADCAST_ROWS = 200_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -31,6 +26,7 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -53,17 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder, so lost executors cost no rerun."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side only when a bounded count proves that it is small.
-
-    The probe stops after ``rows + 1`` rows; a larger side stays a shuffle join.
-    """
-    probe = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return F.broadcast(df) if probe <= rows else df
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a frame that several branches of one plan read."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -1,8 +1,8 @@
 """Streaming forms of the three batch updates: events, premiums and the snapshot.
 
 The batch steps never forget a key, so the streams keep no expiring state of their own: the
-snapshot on disk is the state. Each micro-batch is joined with it and written as a new
-version, which makes a replayed batch harmless: the same input gives the same rows.
+snapshot on disk is the state. Each micro-batch reads the version of the batch before it and
+writes its own, so a batch that is retried reads the same rows and writes them again.
 """
 
 from __future__ import annotations
@@ -27,60 +27,37 @@ def first_seen_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(EVENT_KEY)
 
 
-class VersionedTable:
-    """A parquet table in numbered folders; readers use the newest complete one.
+def before(spark: SparkSession, path: str, batch_id: int, start: DataFrame) -> DataFrame:
+    """The snapshot left by the batch before; ``start`` is what the first batch builds on."""
+    return spark.read.schema(start.schema).parquet(f"{path}/v={batch_id - 1}") if batch_id > 0 else start
 
-    A version is named after the micro-batch that wrote it, so a retried batch reads the version
-    before it and writes its own folder again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
-        self.spark, self.path, self.empty = spark, path.rstrip("/"), empty
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name[2:]))
-        return sorted(found)
-
-    def before(self, version: int) -> DataFrame:
-        """The newest version older than the given one."""
-        older = [v for v in self._versions() if v < version]
-        return self.spark.read.schema(self.empty.schema).parquet(f"{self.path}/v={older[-1]}") if older else self.empty
-
-    def latest(self) -> DataFrame:
-        return self.before(1 << 62)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot; the version is a partition column, so older ones are not read."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("v").alias("v")).first()["v"]
+    return versions.filter(F.col("v") == newest).drop("v")
 
 
-def _each_batch(table: VersionedTable, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def _each_batch(path: str, start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
-        table.write(step(table.before(batch_id), batch), batch_id)
+        current = before(batch.sparkSession, path, batch_id, start)
+        step(current, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return run
 
 
-def premium_stream(points: DataFrame, table: VersionedTable, order: str = "ts") -> DataStreamWriter:
+def premium_stream(points: DataFrame, path: str, start: DataFrame, order: str = "ts") -> DataStreamWriter:
     """Polls (slug, date, value, order) → one row per slug and day, last write wins."""
     def step(current: DataFrame, batch: DataFrame) -> DataFrame:
-        merged = upsert_premium_history(current, batch, F.unix_micros(order))
-        return merged.select("slug", "date", "value")
+        return upsert_premium_history(current, batch, F.unix_micros(order)).select("slug", "date", "value")
 
-    return points.writeStream.foreachBatch(_each_batch(table, step))
+    return points.writeStream.foreachBatch(_each_batch(path, start, step))
 
 
-def snapshot_stream(records: DataFrame, table: VersionedTable, now: Callable[[], Column], order: str = "seq") -> DataStreamWriter:
+def snapshot_stream(records: DataFrame, path: str, start: DataFrame, now: Callable[[], Column], order: str = "seq") -> DataStreamWriter:
     """Arriving stored records → upserted snapshot, batch by batch."""
     def step(current: DataFrame, batch: DataFrame) -> DataFrame:
         return upsert_snapshot(current, batch, now(), order).select(*current.columns)
 
-    return records.writeStream.foreachBatch(_each_batch(table, step))
+    return records.writeStream.foreachBatch(_each_batch(path, start, step))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import gold, quality
 from offerloom.plans.reconcile import extract_facts, reconcile, scrape_into
 from offerloom.sources import feeds, files
-from offerloom.streaming.jobs import VersionedTable, first_seen_events, premium_stream
+from offerloom.streaming.jobs import first_seen_events, latest, premium_stream, snapshot_stream
 from tests.test_documents import FIN, OBJ, PARTY, SHARES_SME
 from tests.test_resolve import payloads
 
@@ -158,14 +158,14 @@ def test_streams(spark):
     t = lambda h: dt.datetime(2026, 6, 1, h)
     day = D(2026, 6, 1)
     spark.createDataFrame([("a", day, 1.0, t(1)), ("a", day, 2.0, t(3)), ("b", day, 5.0, t(1))], schema).coalesce(1).write.parquet(f"{root}/in/1")
-    table = VersionedTable(spark, f"{root}/out", spark.createDataFrame([], "slug string, date date, value double"))
+    start = spark.createDataFrame([], "slug string, date date, value double")
     source = spark.readStream.schema(schema).parquet(f"{root}/in/*")
-    run = lambda: premium_stream(source, table).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    run = lambda: premium_stream(source, f"{root}/out", start).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination(120)
     run()
-    assert {(r.slug, r.value) for r in table.latest().collect()} == {("a", 2.0), ("b", 5.0)}
+    assert {(r.slug, r.value) for r in latest(spark, f"{root}/out").collect()} == {("a", 2.0), ("b", 5.0)}
     spark.createDataFrame([("a", day, 9.0, t(4)), ("c", day, 7.0, t(1))], schema).coalesce(1).write.parquet(f"{root}/in/2")
     run()
-    assert {(r.slug, r.value) for r in table.latest().collect()} == {("a", 9.0), ("b", 5.0), ("c", 7.0)}
+    assert {(r.slug, r.value) for r in latest(spark, f"{root}/out").collect()} == {("a", 9.0), ("b", 5.0), ("c", 7.0)}
     ev = "entity_id bigint, status string, date date"
     spark.createDataFrame([(1, "open", day), (1, "open", day), (1, "close", day)], ev).write.parquet(f"{root}/ev/1")
     out = first_seen_events(spark.readStream.schema(ev).parquet(f"{root}/ev/*"))
@@ -174,6 +174,19 @@ def test_streams(spark):
     assert spark.table("seen_events").count() == 2
 
 
+def test_snapshot_stream(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    cols = "slug string, isin string, symbol string, company_name string, status string"
+    start = spark.createDataFrame([], cols + ", created_at timestamp, updated_at timestamp")
+    rec = "seq bigint, isin string, symbol string, company_name string, status string"
+    source = spark.readStream.schema(rec).parquet(f"{root}/in/*")
+    now = lambda: F.lit("2026-06-07").cast("timestamp")
+    for n, rows in enumerate([[(1, "I1", "A", "Acme", "open"), (2, None, None, "Beta", "open")], [(3, "I1", None, "Acme Ltd", "closed")]]):
+        spark.createDataFrame(rows, rec).write.parquet(f"{root}/in/{n}")
+        snapshot_stream(source, f"{root}/out", start, now).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(r.slug, r.status, r.symbol) for r in latest(spark, f"{root}/out").collect()} == {("acme-ipo", "closed", "A"), ("beta-ipo", "open", None)}
+
+
 def test_reconcile_and_scrape(spark):
     a = feeds.map_feed_a(payloads(spark, feeds.FEED_A_SCHEMA, [
         {"name": "Apex Logistics IPO", "symbol": "APX", "isin": "I1", "minimum_price": 100, "maximum_price": 110, "bidding_start_date": "2026-06-01", "status": "open"},
