@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, rx, squeeze
+from .text import rx
 
 # Document types in the order in which they are preferred for reading.
 READ_ORDER = ("rhp", "final", "drhp")
@@ -93,7 +93,3 @@ def canonical_section(short: Column) -> Column:
 def short_section(canonical: Column) -> Column:
     pairs = [F.lit(x) for k, v in SECTION_NAMES.items() for x in (v, k)]
     return F.coalesce(F.create_map(*pairs)[canonical], canonical)
-
-
-def has_text(c: Column) -> Column:
-    return blank_to_null(squeeze(c)).isNotNull()

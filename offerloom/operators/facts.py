@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, clean_object_name, distinct_names, let, letters_key, name_groups, parse_num, parse_shares, round2, split_person_names, squeeze
+from ..functions import clean_object_name, distinct_names, let, letters_key, name_groups, parse_num, parse_shares, round2, split_person_names, squeeze
 from ..rows import once
 from ..rules import facts as R
 from .tables import with_tables
@@ -422,7 +422,3 @@ def promoter_names(docs: DataFrame) -> DataFrame:
         F.when(strong, "multi").otherwise(F.get("_hits", F.lit(0))["place"]).alias("origin"),
         evidence.alias("evidence"),
     )
-
-
-def usable_text(docs: DataFrame) -> DataFrame:
-    return docs.filter(blank_to_null(F.col("text")).isNotNull())

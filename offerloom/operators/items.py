@@ -26,7 +26,7 @@ def _round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def row_cells(items: DataFrame, tolerance: float = 4, round_x: bool = False, top_down: bool = True) -> DataFrame:
+def row_cells(items: DataFrame, tolerance: float = 4, round_x: bool = False) -> DataFrame:
     """One row per printed line: doc_id, page, row_y, cells ordered by x, text."""
     x = _round_half_up(F.col("x")).cast("double") if round_x else F.col("x").cast("double")
     bucket = (_round_half_up(F.col("y") / F.lit(tolerance)) * tolerance).cast("double")
@@ -38,14 +38,15 @@ def row_cells(items: DataFrame, tolerance: float = 4, round_x: bool = False, top
     )
 
 
-def page_rows(items: DataFrame, tolerance: float = 4, round_x: bool = False, top_down: bool = True) -> DataFrame:
+def page_rows(items: DataFrame, tolerance: float = 4, round_x: bool = False) -> DataFrame:
     """One row per page with its lines in reading order: rows array<struct<o, cells, text>>.
 
     The repartition lets both aggregations use the same shuffle.
     """
     lines = row_cells(items.repartition("doc_id", "page"), tolerance, round_x)
-    o = -F.col("row_y") if top_down else F.col("row_y")
-    return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(o.alias("o"), "cells", "text"))).alias("rows"))
+    return lines.groupBy(*PAGE).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("row_y")).alias("o"), "cells", "text"))).alias("rows")
+    )
 
 
 # --- periods and metrics ----------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import first_text
 from ..rows import first_by, last_by
 from ..sources.feeds import FEED_A, FEED_B, SOURCES
 
@@ -50,8 +49,3 @@ def merge_records(resolved: DataFrame, exchange: str = FEED_B, broker: str = FEE
         F.col("_band.lo").alias("price_min"), F.col("_band.hi").alias("price_max"),
         "rhp", "drhp", "listing_date", *payloads, "sources", "record_count",
     )
-
-
-def label_of(df_cols: tuple[str, ...] = ("company_name", "symbol")) -> Column:
-    """What a listing is called: company name, else symbol."""
-    return first_text(*[F.col(c) for c in df_cols])

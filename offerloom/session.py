@@ -35,13 +35,15 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; fall back only if none is set."""
+    """Use the shared folder named by the cluster; a local session may make its own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
