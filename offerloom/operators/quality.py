@@ -20,9 +20,9 @@ def bounds_table(spark: SparkSession, bounds: dict | None = None) -> DataFrame:
 def bounds_flags(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """facts(…, field, value[, is_number]) outside their field's bounds, with a reason.
 
-    The rule table is a constant of 35 rows, hence broadcast.
+    The built-in rule table is a constant of 35 rows, hence broadcast; a given one is left to Catalyst.
     """
-    rules = bounds if bounds is not None else bounds_table(facts.sparkSession)
+    rules = bounds if bounds is not None else F.broadcast(bounds_table(facts.sparkSession))
     value = F.col("value")
     number = F.col("is_number") if "is_number" in facts.columns else F.lit(True)
     limit = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
@@ -31,7 +31,7 @@ def bounds_flags(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame
         .when(value < F.col("low"), F.concat(F.lit("below_min:"), limit(F.col("low"))))
         .when(value > F.col("high"), F.concat(F.lit("above_max:"), limit(F.col("high"))))
     )
-    return facts.join(F.broadcast(rules), "field").withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("low", "high")
+    return facts.join(rules, "field").withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("low", "high")
 
 
 def _zero(name: str) -> Column:
