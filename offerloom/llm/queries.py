@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rans
+from . import packing, rans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op10_token_files")
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rans.token_file_digest(_table(spark, folder, "documents"))
+
+
+@query("op8_best_fit_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"))
