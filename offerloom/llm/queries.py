@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rans
+from . import langid, packing, rans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,11 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+@query("op1_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = langid.remainder(5) == 0
+    model = langid.fit(docs.filter(~held))
+    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
