@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rans, toxicity
+from . import langid, line_rules, packing, rans, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,9 @@ def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
     held = langid.remainder(3) == 1
     model = toxicity.fit(docs.filter(~held), _table(spark, folder, "labels").filter(~held))
     return toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), model).drop("text")
+
+
+@query("op6_line_rules", line_rules.judge_sql())
+def line_rules_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_rules.judge(docs).drop("text", "clean_text")
