@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, packing, rans, toxicity
+from . import langid, line_rules, packing, rans, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
 def line_rules_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return line_rules.judge(docs).drop("text", "clean_text")
+
+
+@query("op7_shards")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
