@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, packing, rans, sharding, toxicity
+from . import langid, line_rules, mixing, packing, rans, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def line_rules_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_shards")
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+@query("op3_mixture")
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, folder, "documents"))
