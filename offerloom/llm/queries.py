@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, mixing, packing, rans, sharding, toxicity
+from . import langid, line_rules, mixing, packing, rans, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,18 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_mixture")
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_digest(_table(spark, folder, "documents"))
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+k AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
+-- Base 32: groups of ten hex digits are 40 bits, each eight digits of five.
+d AS (SELECT page_id, payload_bytes, h, list_reduce(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)),
+  lambda a, b: a || b) AS payload_digest FROM k),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM f""")
+def warc_records(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(_table(spark, folder, "pages")))
