@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, mixing, packing, rans, sharding, toxicity, warc
+from . import langid, line_rules, mixing, near_dup, packing, rans, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +82,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'r
 FROM f""")
 def warc_records(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(_table(spark, folder, "pages")))
+
+
+@query("op5_near_duplicates")
+def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, folder, "documents"))
