@@ -205,11 +205,11 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class) and n_words.
+    """One row per document: doc_id, class_id (the least doc_id of its class), n_words, text_hash and stays.
 
     Documents are linked if their similarity is `threshold` or more; classes are the components. Texts
     with equal word sequences are linked too, among them all texts without words (null ones as well).
-    Repeated rows are kept. A null id counts as the least.
+    Repeated rows are kept. A null id counts as the least. `stays` marks the first document of a class.
     """
     none = F.lit(-(1 << 63))
     feats = stored(_features(docs), "near-features")
@@ -256,8 +256,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     links = links.unionByName(last.filter(F.col("similarity") >= threshold).select("u", "v"))
 
     comps = stored(connected_components(links), "near-classes")
-    placed = nodes.select("node", "k1", "k2", "rep").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = stored(placed.groupBy("component").agg(F.min("rep").alias("class_id")), "near-least")
-    classes = stored(placed.join(least, "component").select("k1", "k2", "class_id"), "near-class-of")
-    out = feats.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2"])
-    return out.select("doc_id", F.when(F.col("class_id") != none, F.col("class_id")).alias("class_id"), F.col("n").alias("n_words"))
+    placed = nodes.select("node", "k1", "k2", "rep", "text_hash").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = stored(placed.groupBy("component").agg(F.min(F.struct("rep", "text_hash")).alias("first")), "near-least")
+    classes = stored(placed.join(least, "component").select("k1", "k2", "first"), "near-class-of")
+    out = feats.select("doc_id", "text_hash", "k1", "k2", "n").join(classes, ["k1", "k2"])
+    first = F.struct(F.coalesce("doc_id", none).alias("rep"), "text_hash") == F.col("first")
+    class_id = F.when(F.col("first.rep") != none, F.col("first.rep"))
+    return out.select("doc_id", class_id.alias("class_id"), F.col("n").alias("n_words"), "text_hash", first.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The document of the least id of each class, once, with all its columns; of repeated rows any one."""
+    stay = near_duplicates(docs, threshold).filter("stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    marked = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    met = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return met.dropDuplicates(["_id", "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,7 +86,7 @@ def warc_records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_near_duplicates")
 def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, folder, "documents"))
+    return near_dup.near_duplicates(_table(spark, folder, "documents")).select("doc_id", "class_id", "n_words")
 
 
 @query("op2_top_products", """
