@@ -2,7 +2,7 @@
 
 A byte-level BPE tokenizer splits a text before it merges bytes. Texts are cut here at places where it
 surely splits: around a word of letters, or before white space that follows a word. Each distinct piece
-is encoded once by the tokenizers library, so that most words are only looked up.
+is encoded by the tokenizers library when it is first met, and then only looked up.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ _PIECES = re.compile(r" ?[^\W\d_]+(?=[!-/:-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _NEWLINE = 198
-_HELD = 400_000
+_HELD = 300_000
 
 
 def default_tokenizer() -> str:
@@ -30,8 +31,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which a byte-level vocabulary writes each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Pieces:
-    """Encodes texts to little-endian unsigned 16-bit ids; keeps at most about 400,000 pieces."""
+    """Encodes texts to little-endian unsigned 16-bit ids; keeps at most about 600,000 pieces.
+
+    Words of letters go to the tokenizer's model by themselves; other pieces pass through all of it.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,25 +52,29 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16 or self._ids(["\n"]) != [[_NEWLINE]]:
             raise ValueError("a byte-level tokenizer of at most 65,536 ids is needed")
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[list[str]]) -> None:
         if len(self.known) > _HELD:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = set().union(*pieces).difference(self.known)
-        spaces = [p for p in new if p.isspace()]
-        words = list(new.difference(spaces))
-        for piece, ids in zip(spaces, self._ids(spaces), strict=True):
-            self.known[piece] = np.array(ids, "<u2").tobytes()
+        again = new.intersection(self.older)
+        self.known.update({p: self.older[p] for p in again})
+        new -= again
+        words = [p for p in new if (p[1:] if p[0] == " " else p).isalpha()]
+        others = list(new.difference(words))
+        for piece, ids in zip(others, self._ids(others), strict=True):
+            self.known[piece] = array("H", ids).tobytes()
         if words:
-            ids = np.array(self._ids(["\n".join(words)])[0], "<u2")
-            cut = np.flatnonzero(ids == _NEWLINE)
-            starts, ends = [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
-            raw = ids.tobytes()
-            self.known.update(zip(words, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+            spelled = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+            tokenize = self.tokenizer.model.tokenize
+            for piece, word in zip(words, spelled, strict=True):
+                self.known[piece] = array("H", [t.id for t in tokenize(word)]).tobytes()
 
     def _parts(self, text: str) -> list[str]:
         """A very long text in parts that the tokenizer would split too."""
