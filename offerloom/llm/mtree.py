@@ -28,7 +28,7 @@ from .common import stored
 PAGE = 128
 SUBTREE = 4096
 _STEP = 8  # pages that a search takes at a time
-_NODES = "tree long, sub long, page long, n long, ids binary, vectors binary, norms binary, entry_dist binary, router binary, router_norm double, radius double, parent_dist double"
+_NODES = "tree long, sub long, page long, n long, ids binary, vectors binary, entry_dist binary, router binary, radius double, parent_dist double"
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -43,9 +43,9 @@ def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
     return kept.select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _gap(q: np.ndarray, qn: np.ndarray, v: np.ndarray, vn: np.ndarray, m: float) -> np.ndarray:
-    """Distances between augmented vectors: q (rows) with norms qn, v with norms vn; a query has no last coordinate."""
-    return np.sqrt(np.maximum(qn[:, None] + vn[None, :] - 2 * (q @ v.T) + m, 0))
+def _gap(q: np.ndarray, qn: np.ndarray, v: np.ndarray, m: float) -> np.ndarray:
+    """Distances of queries (rows of q, squared norms qn) to index vectors, whose squared norms are all m."""
+    return np.sqrt(np.maximum(qn[:, None] + m - 2 * (q @ v.T), 0))
 
 
 def _between(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, m: float) -> np.ndarray:
@@ -64,7 +64,7 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 class Index:
     """A stored M-tree over quantised vectors."""
 
-    def __init__(self, vectors: DataFrame, seed: int = 5) -> None:
+    def __init__(self, vectors: DataFrame, seed: int = 5, subtree: int = SUBTREE) -> None:
         square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
         self.vectors = vectors = stored(vectors.withColumn("norm", square), "mtree-vectors")
         count, largest, width = vectors.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("v"))).first()
@@ -74,13 +74,13 @@ class Index:
         if self.m >= 2**52:
             raise ValueError("the vectors' squares are too large for exact scores")
         # A bounded sample: at most about 256 routing vectors, drawn by a hash of the id.
-        wanted = min(256, max(1, count // SUBTREE))
+        wanted = min(256, max(1, count // subtree))
         drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * wanted / count)) + 1
         sample = vectors.filter(drawn).orderBy("vec_id").limit(wanted).toPandas()
         if not len(sample):
             sample = vectors.limit(1).toPandas()
         routers, norms, m, w = _matrix(sample["v"], self.width), sample["norm"].to_numpy(float), self.m, self.width
-        self.routers, self.router_norms = routers, norms
+        self.routers = routers
 
         def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -91,7 +91,7 @@ class Index:
         sizes = {r["tree"]: r["n"] for r in placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
         parts = F.lit(1)
         for tree, n in sizes.items():
-            parts = F.when(F.col("tree") == tree, F.lit(math.ceil(n / SUBTREE))).otherwise(parts)
+            parts = F.when(F.col("tree") == tree, F.lit(math.ceil(n / subtree))).otherwise(parts)
         placed = placed.withColumn("sub", F.pmod(F.xxhash64("vec_id"), parts))
 
         def build(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,25 +109,25 @@ class Index:
                     r, rn = v[seeds[p]][None, :], n[seeds[p]][None]
                     d = _between(v[own], n[own], r, rn, m)[:, 0]
                     up = float(_between(r, rn, routers[tree][None, :], norms[tree][None], m)[0, 0])
-                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), v[own].tobytes(), n[own].tobytes(), d.tobytes(), r.tobytes(), float(rn[0]), float(d.max()), up))
+                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), v[own].tobytes(), d.tobytes(), r.tobytes(), float(d.max()), up))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in _NODES.split(", ")])
 
         self.pages = stored(placed.groupBy("tree", "sub").applyInPandas(build, _NODES), "mtree-pages")
-        # One row per subtree: count / SUBTREE rows and at most one more per routing vector.
+        # One row per subtree: count / subtree rows and at most one more per routing vector.
         self.subtrees = self.pages.groupBy("tree", "sub").agg(F.max(F.col("parent_dist") + F.col("radius")).alias("reach")).toPandas().sort_values(["tree", "sub"], ignore_index=True)
 
     def search(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
         """Up to k rows per query (vec_id, v): query_id, vec_id, score, by score, then smaller id; a query is not its own result."""
         m, w, subtrees = self.m, self.width, self.subtrees
         tree_of, reach = subtrees["tree"].to_numpy(), subtrees["reach"].to_numpy(float)
-        routers, norms = self.routers, self.router_norms
+        routers = self.routers
         blocks = max(1, -(-queries.count() // block))
 
         def route(first: bool):
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for frame in frames:
                     q, qn = _matrix(frame["v"], w), frame["norm"].to_numpy(float)
-                    d = _gap(q, qn, routers, norms, m)[:, tree_of]
+                    d = _gap(q, qn, routers, m)[:, tree_of]
                     home = d.argmin(axis=1)
                     if first:
                         yield frame[["vec_id", "v", "norm"]].assign(tree=subtrees["tree"].to_numpy()[home], sub=subtrees["sub"].to_numpy()[home], bound=np.inf)
@@ -147,16 +147,16 @@ class Index:
             vs = [np.frombuffer(b).reshape(-1, w) for b in pages["vectors"]]
             ds = [np.frombuffer(b) for b in pages["entry_dist"]]
             router = np.concatenate([np.frombuffer(b).reshape(1, w) for b in pages["router"]])
-            router_norm, radius, parent = (pages[c].to_numpy(float) for c in ("router_norm", "radius", "parent_dist"))
+            radius, parent = (pages[c].to_numpy(float) for c in ("radius", "parent_dist"))
             tree = int(pages["tree"].iloc[0])
             q, qn, bounds = _matrix(asked["v"], w), asked["norm"].to_numpy(float), asked["bound"].to_numpy(float)
-            above = _gap(q, qn, routers[tree][None, :], norms[tree][None], m)[:, 0]
+            above = _gap(q, qn, routers[tree][None, :], m)[:, 0]
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, me in enumerate(asked["vec_id"].tolist()):
                 bound, slack = bounds[i], 1e-7 * (1 + above[i])
                 # The parent's distance alone rules out pages.
                 open_ = np.flatnonzero(np.abs(above[i] - parent) - radius - slack <= bound)
-                d = _gap(q[i : i + 1], qn[i : i + 1], router[open_], router_norm[open_], m)[0]
+                d = _gap(q[i : i + 1], qn[i : i + 1], router[open_], m)[0]
                 low = np.maximum(d - radius[open_], 0) - slack
                 order = np.argsort(low, kind="stable")
                 best_id, best = np.zeros(0, np.int64), np.zeros(0)
