@@ -109,7 +109,19 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, strength:
     classes = np.maximum(1, np.array([(gold == 0).sum(), (gold == 1).sum()]))
     by_class = np.where(gold == 1, 1 / classes[1], 1 / classes[0])[:, None]
     anchor = ((agrees * by_class).sum(axis=0) + 1e-4) / ((cast * by_class).sum(axis=0) + 2e-4)
-    accuracy, corr, p = anchor, np.zeros((votes.shape[1],) * 2), np.full(len(votes), 0.5)
+    values = votes.astype(float)
+
+    def correlations(q: np.ndarray) -> np.ndarray:
+        """Positive correlations of the votes given the class, which is toxic with probability q."""
+        means = np.stack([((1 - q) @ values) / ((1 - q).sum() + 1e-9), (q @ values) / (q.sum() + 1e-9)])
+        rest = values - (q[:, None] * means[1] + (1 - q[:, None]) * means[0])
+        spread = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
+        corr = (rest.T @ rest) / max(1, len(votes)) / np.outer(spread, spread)
+        np.fill_diagonal(corr, 0)
+        return np.where(corr > 0.1, corr, 0)
+
+    by_labels = correlations((gold == 1).astype(float))
+    accuracy, corr, p = anchor, by_labels, np.full(len(votes), 0.5)
     for _ in range(rounds):
         clear = np.clip(accuracy, 0.5, most)
         weight = np.log(clear / (1 - clear))
@@ -117,12 +129,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20, strength:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         right = np.where(votes > 0, p[:, None], np.where(votes < 0, 1 - p[:, None], 0))
         accuracy = (right.sum(axis=0) + strength * anchor) / (n + strength)
-        rates = np.stack([((1 - p) @ cast) / ((1 - p).sum() + 1e-9), (p @ cast) / (p.sum() + 1e-9)])
-        rest = cast - (p[:, None] * rates[1] + (1 - p[:, None]) * rates[0])
-        spread = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
-        corr = (rest.T @ rest) / max(1, len(votes)) / np.outer(spread, spread)
-        corr = np.where(corr > 0.1, corr, 0)
-        np.fill_diagonal(corr, 0)
+        # Voters that fully make up the posterior seem independent given it; the labels show that they are not.
+        corr = np.maximum(by_labels, correlations(p))
     return p, accuracy, corr
 
 
