@@ -115,6 +115,8 @@ def decode_blocks(states: np.ndarray, words: Sequence[np.ndarray], lengths: np.n
         place = np.minimum(at[:, None] + rank - 1, len(stream) - 1)
         state = np.where(low, (state << _32) | stream[np.where(low, place, 0)], state)
         at = at + rank[:, -1]
+    if (state != _LOW).any():
+        raise DamagedFile("a block does not end in the state it was begun with")
     flat = out.transpose(1, 0, 2).reshape(len(lengths), -1)
     return [flat[i, :n] for i, n in enumerate(lengths.tolist())]
 
