@@ -174,16 +174,17 @@ def _features(docs: DataFrame) -> DataFrame:
                     held += lengths[to]
                     to += 1
                 doc, h, k1, k2, n = shingles(texts.slice(at, to - at).to_pylist())
-                bands = band_hashes(prob_minhash(*weighted(doc, h), to - at))
+                distinct = weighted(doc, h)
+                bands = band_hashes(prob_minhash(*distinct, to - at))
                 lists = pa.ListArray.from_arrays(np.arange(0, (to - at + 1) * BANDS, BANDS, dtype=np.int32), bands.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), lists],
-                    ["doc_id", "text_hash", "k1", "k2", "n", "bands"],
+                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.bincount(distinct[0], minlength=to - at)), lists],
+                    ["doc_id", "text_hash", "k1", "k2", "n", "size", "bands"],
                 )
                 at = to
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n long, size long, bands array<long>")
 
 
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -198,6 +199,20 @@ def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("u", "v", similarity("a", "b").alias("similarity"))
 
 
+def _private(texts: DataFrame) -> DataFrame:
+    """For each node with shingles that no other node of texts has: their number and their sum of counts."""
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held = frame["text"].tolist()
+            for a, b in slices(held):
+                doc, h, w = weighted(*shingles(held[a:b])[:2])
+                yield pd.DataFrame({"node": frame["node"].to_numpy()[a:b][doc], "h": h.view(np.int64), "w": w})
+
+    cells = texts.select("node", "text").mapInPandas(spread, "node long, h long, w long")
+    own = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "w")).alias("r")).filter("c = 1")
+    return own.groupBy(F.col("r.node").alias("node")).agg(F.count(F.lit(1)).alias("private"), F.sum("r.w").alias("private_w"))
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket rows with the component of their node."""
     comps = stored(connected_components(links.select("u", "v")), "near-components").withColumnRenamed("id", "node")
@@ -213,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     none = F.lit(-(1 << 63))
     feats = stored(_features(docs), "near-features")
-    own = F.struct(F.coalesce("doc_id", none).alias("rep"), "text_hash", "n")
+    own = F.struct(F.coalesce("doc_id", none).alias("rep"), "text_hash", "n", "size")
     nodes = feats.groupBy("k1", "k2").agg(F.min(own).alias("r"), F.min("bands").alias("bands"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "r.*", "bands"), "near-nodes")
     buckets = nodes.filter("n > 0").select("node", F.posexplode("bands").alias("band", "h"))
@@ -241,15 +256,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         seen = stored(_tested(pairs, texts), "near-tested")
         tested = seen if tested is None else tested.unionByName(seen)
         links = tested.filter(F.col("similarity") >= threshold).select("u", "v")
-    # The rest: nodes of one bucket in different components, if distances to the bucket's pivot allow a link.
+    # The rest: nodes of one bucket in different components, if their private shingles and their distances to
+    # the bucket's pivot allow a link. Of x with s shingles, p of them private, and y with q private ones, at
+    # most s - p are shared and at least s + q are in either.
     labelled = _labelled(rows, links)
     split = labelled.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node")).alias("p")).filter("lo < hi")
-    split = stored(split.select("band", "h", F.col("p.node").alias("pivot")), "near-split")
+    sizes = nodes.select("node", "size", F.greatest(F.col("n") - SPAN + 1, F.lit(1)).alias("total"))
+    of_pivot = sizes.select(F.col("node").alias("pivot"), (F.col("size") == F.col("total")).alias("plain"))
+    split = stored(split.select("band", "h", F.col("p.node").alias("pivot")).join(of_pivot, "pivot"), "near-split")
     far = tested.select("u", "v", (1 - F.col("similarity")).alias("d"))
     apart = labelled.join(split, ["band", "h"]).withColumn("u", F.least("node", "pivot")).withColumn("v", F.greatest("node", "pivot"))
-    apart = stored(apart.join(far, ["u", "v"], "left").select("band", "h", "node", "comp", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "near-apart")
-    other = apart.select("band", "h", F.col("node").alias("v"), F.col("comp").alias("comp_v"), F.col("d").alias("d_v"))
-    near = F.coalesce(F.abs(F.col("d") - F.col("d_v")) <= 1 - threshold + 1e-9, F.lit(True))
+    apart = stored(apart.join(far, ["u", "v"], "left").select("band", "h", "node", "comp", F.when(F.col("plain"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))).alias("d")), "near-apart")
+    left_over = apart.select("node").distinct()
+    private = _private(texts.join(left_over, "node"))
+    zero = F.lit(0).cast("long")
+    private = left_over.join(sizes, "node").join(private, "node", "left").select("node", "size", "total", F.coalesce("private", zero).alias("p"), F.coalesce("private_w", zero).alias("pw"))
+    apart = stored(apart.join(private, "node"), "near-left-over")
+    other = apart.select("band", "h", *[F.col(c).alias(f"{c}_v") for c in ("comp", "d", "size", "total", "p", "pw")], F.col("node").alias("v"))
+    shared = F.least((F.col("size") - F.col("p")) / (F.col("size") + F.col("p_v")), (F.col("size_v") - F.col("p_v")) / (F.col("size_v") + F.col("p")))
+    by_counts = F.least(1 - F.col("pw") / F.col("total"), 1 - F.col("pw_v") / F.col("total_v"))
+    # Without repeated shingles the two similarities are one, and its distance obeys the triangle inequality.
+    plain = (F.col("size") == F.col("total")) & (F.col("size_v") == F.col("total_v"))
+    most = F.when(plain, shared).otherwise(F.greatest(shared, by_counts))
+    near = ~plain | F.coalesce(F.abs(F.col("d") - F.col("d_v")) <= 1 - threshold + 1e-9, F.lit(True))
+    near = near & (most >= threshold - 1e-9)
     rest = apart.withColumnRenamed("node", "u").join(other, ["band", "h"]).filter((F.col("comp") < F.col("comp_v")) & near)
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
     last = stored(_tested(rest, texts), "near-rest")
