@@ -25,7 +25,11 @@ def bounds_flags(facts: DataFrame, bounds: DataFrame | None = None) -> DataFrame
     rules = bounds if bounds is not None else F.broadcast(bounds_table(facts.sparkSession))
     value = F.col("value")
     number = F.col("is_number") if "is_number" in facts.columns else F.lit(True)
-    limit = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+    def limit(c: Column) -> Column:
+        """A bound as printed: whole numbers in full, without a point or an exponent."""
+        return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
+
     reason = (
         F.when(~number, "not_a_number")
         .when(value < F.col("low"), F.concat(F.lit("below_min:"), limit(F.col("low"))))

@@ -28,9 +28,34 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), field.alias("field"), value.alias("value"))
 
 
-@query("bounds_flags", f"WITH {FACTS} SELECT doc_id, field, round(value, 4) AS value, reason FROM flags WHERE reason IS NOT NULL")
+# Every bounded field in turn, with values around its bounds: the line number picks the distance.
+ALL_BOUNDS = f"""
+bounds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {lo:.1f}::DOUBLE, {hi:.1f}::DOUBLE, '{lo:.15g}', '{int(hi)}')" for i, (k, (lo, hi)) in enumerate(BOUNDS.items()))}) t(i, field, low, high, low_text, high_text)),
+far AS (SELECT l_orderkey AS doc_id, l_linenumber, b.*, CASE l_linenumber % 4 WHEN 0 THEN low - l_quantity / 100 WHEN 1 THEN low WHEN 2 THEN high ELSE high + l_quantity END AS value
+  FROM lineitem JOIN bounds b ON b.i = (l_orderkey + l_linenumber) % {len(BOUNDS)})
+"""
+
+
+def _around_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    at = (F.col("l_orderkey") + F.col("l_linenumber")) % len(BOUNDS)
+
+    def pick(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+
+    no, low, high = F.col("l_linenumber") % 4, pick([float(lo) for lo, _ in BOUNDS.values()]), pick([float(hi) for _, hi in BOUNDS.values()])
+    value = F.when(no == 0, low - F.col("l_quantity") / 100).when(no == 1, low).when(no == 2, high).otherwise(high + F.col("l_quantity"))
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pick(list(BOUNDS)).alias("field"), value.alias("value"))
+
+
+@query("bounds_flags", f"""
+WITH {FACTS}, {ALL_BOUNDS}
+SELECT doc_id, field, round(value, 4) AS value, reason FROM flags WHERE reason IS NOT NULL
+UNION ALL
+SELECT doc_id, field, round(value, 4), CASE WHEN value < low THEN 'below_min:' || low_text ELSE 'above_max:' || high_text END FROM far WHERE value < low OR value > high
+""")
 def bounds_flags(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.bounds_flags(_facts(spark, folder)).select("doc_id", "field", F.round("value", 4).alias("value"), "reason")
+    facts = _facts(spark, folder).unionByName(_around_bounds(spark, folder))
+    return quality.bounds_flags(facts).select("doc_id", "field", F.round("value", 4).alias("value"), "reason")
 
 
 # Shares of an order from its numbers; some relations hold, some are one off.
