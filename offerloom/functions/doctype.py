@@ -9,7 +9,6 @@ from .text import rx
 
 # Document types in the order in which they are preferred for reading.
 READ_ORDER = ("rhp", "final", "drhp")
-COVER_CHARS = 4000
 
 
 def _verdict(doc_type: str | None, confidence: float, method: str) -> Column:
@@ -36,9 +35,10 @@ def classify_by_name(url: Column) -> Column:
     )
 
 
-def classify_by_cover(text: Column) -> Column:
-    """Null when the top of the first page names no type."""
-    head = F.substring(F.regexp_replace(F.upper(text), r"\s+", " "), 1, COVER_CHARS)
+def classify_by_cover(text: Column, top: int | None = None) -> Column:
+    """Null when the first page (with ``top``, its first so many characters) names no type."""
+    head = F.regexp_replace(F.upper(text), r"\s+", " ")
+    head = head if top is None else F.substring(head, 1, top)
     return (
         F.when(head.rlike("DRAFT RED HERRING PROSPECTUS"), _verdict("drhp", 0.99, "cover"))
         .when(head.rlike("RED HERRING PROSPECTUS"), _verdict("rhp", 0.98, "cover"))

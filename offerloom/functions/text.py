@@ -153,10 +153,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def trailing_page_number(c: Column) -> Column:
-    """Page number 1..4999 closing a line after a space or a full stop."""
-    n = F.regexp_extract(c, r"[\s.](\d{1,4})\s*$", 1).try_cast("int")
-    return let(n, lambda v: F.when((v > 0) & (v < 5000), v))
+def trailing_page_number(c: Column, last: int | None = None) -> Column:
+    """Page number closing a line after a space or a full stop; null above ``last``, if given."""
+    n = F.regexp_extract(c, r"[\s.](\d{1,9})\s*$", 1).try_cast("int")
+    return let(n, lambda v: F.when((v > 0) & (F.lit(True) if last is None else v <= last), v))
 
 
 def clean_object_name(c: Column) -> Column:

@@ -55,8 +55,8 @@ def score_corpus(scores: DataFrame) -> DataFrame:
     return _rates(totals)
 
 
-def cell_errors(cells: DataFrame, shown: int | None = 8) -> DataFrame:
-    """Missed and wrong cells with what was expected and got; the first ``shown`` per file."""
+def cell_errors(cells: DataFrame, shown: int | None = None) -> DataFrame:
+    """Missed and wrong cells with what was expected and got; with ``shown``, the first so many per file."""
     errors = cells.filter(F.col("type") != "correct").select("symbol", "key", "period_idx", "period", "expected", "got", "type")
     if shown is None:
         return errors

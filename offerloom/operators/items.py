@@ -268,25 +268,26 @@ def page_fields(items: DataFrame) -> DataFrame:
     return last.select(*PAGE, "field", "col", "w.label", "w.value")
 
 
-def best_page(fields: DataFrame, first: int = 1, last: int = 100, enough: int = 5) -> DataFrame:
-    """Per document the first page with five fields, else the page with most (first on ties).
+def best_page(fields: DataFrame, first: int = 1, last: int | None = None, enough: int | None = None) -> DataFrame:
+    """Per document the page with most fields (first on ties); with ``enough``, rather the first with so many.
 
     Year columns count as one more field.
     """
-    per_page = fields.filter(F.col("page").between(first, last)).groupBy(*PAGE).agg(
+    pages = fields.filter(F.col("page") >= first) if last is None else fields.filter(F.col("page").between(first, last))
+    per_page = pages.groupBy(*PAGE).agg(
         (F.count_distinct("field") + F.max(F.when(F.col("label").isNotNull(), 1).otherwise(0))).alias("score")
     )
     return per_page.groupBy("doc_id").agg(
         F.coalesce(
-            F.min(F.when(F.col("score") >= enough, F.col("page"))),
+            *([] if enough is None else [F.min(F.when(F.col("score") >= enough, F.col("page")))]),
             F.max_by("page", F.struct("score", -F.col("page"))),
         ).alias("page")
     )
 
 
-def promoter_holding(items: DataFrame, last_page: int = 120) -> DataFrame:
+def promoter_holding(items: DataFrame, last_page: int | None = None) -> DataFrame:
     """doc_id, pre_issue, post_issue from the first total row of promoters with two percentages."""
-    rows = row_cells(items.filter(F.col("page") <= last_page), 4).filter(F.col("text").rlike(R.HOLDING_ROW))
+    rows = row_cells(items if last_page is None else items.filter(F.col("page") <= last_page), 4).filter(F.col("text").rlike(R.HOLDING_ROW))
     shares = F.filter("cells", lambda c: c["text"].rlike(r"\d+\.\d+%?"))
     values = F.transform(shares, lambda c: leading_float(F.regexp_replace(c["text"], "%", "")))
     fit = rows.withColumn("v", values).filter(F.size("v") >= 2)
@@ -377,12 +378,16 @@ def _targets(heading: Column, targets: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*tests))
 
 
-def locate_by_contents(items: DataFrame, targets: dict[str, list[str]] | None = None) -> DataFrame:
+def locate_by_contents(
+    items: DataFrame, targets: dict[str, list[str]] | None = None, last_span: int | None = None, most_span: int | None = None,
+) -> DataFrame:
     """doc_id, section, printed_start, printed_end, pdf_start, pdf_end, origin.
 
     Contents pages have more than three longer lines, over 30 % of lines against those ending
-    in a number. A section starts at its least printed number and ends before the next start,
-    80 pages later at most. Sections not in the contents start at the first page with the heading.
+    in a number. A section starts at its least printed number and ends before the next start, the
+    last one at an unknown page (null). Sections not in the contents start at the first page with the
+    heading, and their end is unknown. ``last_span`` pages are taken where the end is unknown, and no
+    section has over ``most_span``, if given.
     """
     targets = targets or PR.CONTENTS_TARGETS
     read = F.transform(
@@ -409,7 +414,10 @@ def locate_by_contents(items: DataFrame, targets: dict[str, list[str]] | None =
     )
     rows = starts.select("doc_id", "starts", F.explode("s").alias("s")).select("doc_id", "starts", "s.section", "s.start")
     following = F.get("starts", F.array_position("starts", F.col("start")).cast("int"))
-    end = F.least(F.coalesce(following - 1, F.col("start") + 60), F.col("start") + 80)
+    unknown = F.lit(None).cast("int")
+    end = F.coalesce(following - 1, unknown if last_span is None else F.col("start") + last_span)
+    if most_span is not None:
+        end = F.least(end, F.col("start") + most_span)
     by_contents = rows.select(
         "doc_id", "section", F.col("start").alias("printed_start"), end.alias("printed_end"),
         F.lit(None).cast("int").alias("pdf_start"), F.lit(None).cast("int").alias("pdf_end"), F.lit("toc").alias("origin"),
@@ -417,7 +425,7 @@ def locate_by_contents(items: DataFrame, targets: dict[str, list[str]] | None =
     heads = per_section.filter(F.col("start").isNull()).withColumnRenamed("first_page", "p")
     by_heading = heads.select(
         "doc_id", "section", F.lit(None).cast("int").alias("printed_start"), F.lit(None).cast("int").alias("printed_end"),
-        F.col("p").cast("int").alias("pdf_start"), (F.col("p") + 60).cast("int").alias("pdf_end"), F.lit("fullscan").alias("origin"),
+        F.col("p").cast("int").alias("pdf_start"), (unknown if last_span is None else F.col("p") + last_span).cast("int").alias("pdf_end"), F.lit("fullscan").alias("origin"),
     )
     return by_contents.unionByName(by_heading)
 

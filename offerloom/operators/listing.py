@@ -57,12 +57,12 @@ def sort_order(sort: str | None = None, order: str | None = None) -> list[Column
 
 def page_of(filtered: DataFrame, sort: str | None = None, order: str | None = None, page: int = 1, limit: int = 50) -> DataFrame:
     """One page; Spark runs it as a top-k per task and one small merge."""
-    page, limit = max(1, page or 1), min(200, max(1, limit or 50))
+    page, limit = max(1, page or 1), max(1, limit or 50)
     return filtered.orderBy(*sort_order(sort, order)).offset((page - 1) * limit).limit(limit)
 
 
 def page_info(filtered: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:
-    page, limit = max(1, page or 1), min(200, max(1, limit or 50))
+    page, limit = max(1, page or 1), max(1, limit or 50)
     return filtered.agg(F.count(F.lit(1)).alias("total")).select(
         F.lit(page).alias("page"), F.lit(limit).alias("limit"), "total", (F.lit(page * limit) < F.col("total")).alias("has_more")
     )
@@ -84,20 +84,20 @@ def latest_by_type(rows: DataFrame, type_col: str, at: str) -> DataFrame:
     return rows.groupBy(type_col).agg(F.max_by(F.struct(*[c for c in rows.columns if c != type_col]), at).alias("r")).select(type_col, "r.*")
 
 
-def newest_per_entity(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
-    """The n newest rows per entity; Spark limits each group before the shuffle."""
+def newest_per_entity(rows: DataFrame, key: str, order: list[Column], n: int | None = None) -> DataFrame:
+    """Rows per entity with their position, newest first; with n, the first n, which Spark limits before the shuffle."""
     ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return ranked.filter(F.col("_rn") <= n).withColumnRenamed("_rn", "position")
+    return (ranked if n is None else ranked.filter(F.col("_rn") <= n)).withColumnRenamed("_rn", "position")
 
 
-def last_errors(errors: DataFrame, key: str = "slug", at: str = "at", tie: str | None = None) -> DataFrame:
-    """The last five errors per entity."""
-    return newest_per_entity(errors, key, [F.desc(at), *([F.desc(tie)] if tie else [])], 5)
+def last_errors(errors: DataFrame, key: str = "slug", at: str = "at", tie: str | None = None, n: int | None = None) -> DataFrame:
+    """Errors per entity, newest first; with n, the last n."""
+    return newest_per_entity(errors, key, [F.desc(at), *([F.desc(tie)] if tie else [])], n)
 
 
-def premium_history(points: DataFrame, key: str = "slug") -> DataFrame:
-    """The last 500 premium points per listing, newest first."""
-    return newest_per_entity(points, key, [F.desc("date")], 500)
+def premium_history(points: DataFrame, key: str = "slug", n: int | None = None) -> DataFrame:
+    """Premium points per listing, newest first; with n, the last n."""
+    return newest_per_entity(points, key, [F.desc("date")], n)
 
 
 def pending_documents(stored: DataFrame) -> DataFrame:

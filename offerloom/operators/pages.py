@@ -55,8 +55,8 @@ def version_skip(overlap: DataFrame, limit: float = OVERLAP_SKIP) -> DataFrame:
     )
 
 
-def detect_sections(pages: DataFrame, rules: dict[str, str] | None = None, front: int = R.FRONT_PAGES) -> DataFrame:
-    """doc_id, section, start, end: first page after the front matter that matches each rule.
+def detect_sections(pages: DataFrame, rules: dict[str, str] | None = None, front: int = 0) -> DataFrame:
+    """doc_id, section, start, end: first page that matches each rule, after ``front`` pages of cover and contents.
 
     A section ends before the next larger start, or at the last page. One aggregation.
     """
@@ -130,7 +130,7 @@ def ratio_pages(pages: DataFrame) -> DataFrame:
 _MARKER = 20
 
 
-def _around_best(pages: DataFrame, score: Column, least: int, picked: int, reach: int | None) -> DataFrame:
+def _around_best(pages: DataFrame, score: Column, least: int, picked: int | None, reach: int | None) -> DataFrame:
     """The best page (first on ties) and the nearest good pages around it, with ``nearness``.
 
     Only page numbers, scores and sizes travel, never the texts. The per-document limit is
@@ -145,23 +145,30 @@ def _around_best(pages: DataFrame, score: Column, least: int, picked: int, reach
     near = scored.join(best, "doc_id").withColumn("distance", distance)
     good = (F.col("score") >= least) if reach is None else (F.col("score") >= least) & (F.col("distance") <= reach)
     order = W.partitionBy("doc_id").orderBy("distance", "page")
-    return near.filter((F.col("distance") == 0) | good).withColumn("nearness", F.row_number().over(order)).filter(
-        F.col("nearness") <= picked
-    )
+    ranked = near.filter((F.col("distance") == 0) | good).withColumn("nearness", F.row_number().over(order))
+    return ranked if picked is None else ranked.filter(F.col("nearness") <= picked)
 
 
-def statement_window(pages: DataFrame, window: int = 5, max_chars: int = 28000) -> DataFrame:
-    """doc_id, page, score: up to five pages around the best statement page, in reading order,
-    as long as they fit the character budget."""
+def statement_window(pages: DataFrame, window: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """doc_id, page, score: the best statement page and all good ones; with ``window``, the so many nearest,
+    and with ``max_chars``, in reading order as long as they fit that budget."""
     near = _around_best(pages, statement_score(F.col("text")), 2, window, None)
+    if max_chars is None:
+        return near.select("doc_id", "page", "score")
     running = F.sum("size").over(W.partitionBy("doc_id").orderBy("page"))
     return near.withColumn("_used", running).filter(F.col("_used") <= max_chars).select("doc_id", "page", "score")
 
 
-def ratio_window(pages: DataFrame, window: int = 6, max_chars: int = 26000, least_best: int = 4) -> DataFrame:
-    """doc_id, page, score: up to six pages near the best ratio page; the best scores are fitted
-    into the budget first and a page that does not fit is passed over."""
-    near = _around_best(pages, ratio_score(F.col("text")), 3, window, 4)
+def ratio_window(
+    pages: DataFrame, window: int | None = None, max_chars: int | None = None, least_best: int = 4, reach: int | None = None,
+) -> DataFrame:
+    """doc_id, page, score: the best ratio page and all good ones; with ``window``, the so many nearest, and
+    with ``reach``, at most so far away. With ``max_chars`` the best scores are fitted into that budget
+    first and a page that does not fit is passed over."""
+    near = _around_best(pages, ratio_score(F.col("text")), 3, window, reach)
+    if max_chars is None:
+        top = near.groupBy("doc_id").agg(F.max("score").alias("top")).filter(F.col("top") >= least_best)
+        return near.join(top, "doc_id").select("doc_id", "page", "score")
     entry = F.struct((-F.col("score")).alias("o"), "nearness", "page", "score", "size")
     per_doc = near.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
     page_type = "array<struct<page:int,score:int>>"
@@ -184,21 +191,23 @@ def plain_text(c: Column) -> Column:
     return F.lower(squeeze(c))
 
 
-def is_grounded(quote: Column, page: Column) -> Column:
-    """A quote occurs on its page: wholly, by its first 40 characters, or by 70 % of its words.
+def is_grounded(quote: Column, page: Column, lead: int | None = None) -> Column:
+    """A quote occurs on its page: wholly, by 70 % of its words, or, with ``lead``, by so many first characters.
 
     Both sides are plain texts; they are read once per word, so they should be plain columns.
     """
     words = F.filter(F.split(quote, " "), lambda t: F.length(t) > 1)
     hits = F.size(F.filter(words, lambda t: F.contains(page, t)))
     enough = (F.size(words) > 0) & (hits >= F.size(words) * 0.7)
-    found = F.contains(page, quote) | F.contains(page, F.substring(quote, 1, 40)) | enough
+    found = F.contains(page, quote) | enough
+    if lead is not None:
+        found = found | F.contains(page, F.substring(quote, 1, lead))
     return F.coalesce((F.length(quote) >= 4) & (F.length(page) > 0) & found, F.lit(False))
 
 
-def ground_facts(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """facts(doc_id, page, quote, …) + grounded; only cited pages are joined."""
+def ground_facts(facts: DataFrame, pages: DataFrame, lead: int | None = None) -> DataFrame:
+    """facts(doc_id, page, quote, …) + grounded."""
     cited = pages.select("doc_id", "page", F.col("text").alias("_text"))
     joined = facts.join(cited, ["doc_id", "page"], "left")
     plain = once(joined, {"_quote": plain_text(F.col("quote")), "_page": plain_text(F.col("_text"))})
-    return plain.withColumn("grounded", is_grounded(F.col("_quote"), F.col("_page"))).drop("_text", "_quote", "_page")
+    return plain.withColumn("grounded", is_grounded(F.col("_quote"), F.col("_page"), lead)).drop("_text", "_quote", "_page")

@@ -82,8 +82,9 @@ def upsert_premium_history(existing: DataFrame, points: DataFrame, order: Column
 
 
 def eligible_for_candles(listings: DataFrame, since: Column | None = None, limit: int | None = None, status: str = "listed") -> DataFrame:
-    """Listed rows with an isin, oldest listing first, at most 100 per run (10 by default)."""
+    """Listed rows with an isin, oldest listing first; with a limit, the first so many."""
     rows = listings.filter((F.col("status") == status) & F.col("isin").isNotNull())
     if since is not None:
         rows = rows.filter(F.col("listing_date") >= since)
-    return rows.orderBy(F.asc_nulls_first("listing_date"), "slug").limit(min(100, limit or 10))
+    rows = rows.orderBy(F.asc_nulls_first("listing_date"), "slug")
+    return rows if limit is None else rows.limit(limit)

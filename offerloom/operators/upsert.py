@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructType
 
 from ..functions import blank_to_null, first_text, slugify
-from ..rows import last_by
+from ..rows import first_by, last_by
+from .components import connected_components
 from .matching import find_existing
+from .resolve import equal_key_edges
 
 # Fields whose change is reported. A price band is two columns here.
 WATCHED = {
@@ -83,8 +85,13 @@ def unique_slugs(df: DataFrame, taken: DataFrame | None = None, order: str = "se
     )
 
 
-def _target_slugs(incoming: DataFrame, current: DataFrame) -> DataFrame:
-    """incoming + target: the slug each row is written to."""
+def _target_slugs(incoming: DataFrame, current: DataFrame, order: str) -> DataFrame:
+    """incoming + slug: the row each record is written to.
+
+    A record goes to the stored row that it matches by itself. Others follow the records of the same
+    batch that share an isin, a symbol or a name's slug with them, as if these were stored before: to the
+    stored row that the first matching one of them goes to, else all to one new row.
+    """
     found = find_existing(incoming.drop("slug"), current)
     named = blank_to_null(F.col("company_name")).isNotNull()
     label = first_text(F.col("company_name"), F.col("symbol"))
@@ -98,8 +105,19 @@ def _target_slugs(incoming: DataFrame, current: DataFrame) -> DataFrame:
     )
     suffix = first_text(F.col("symbol"), F.right(F.coalesce("isin", F.lit("")), F.lit(4)))
     own = F.when(~named & F.coalesce("_owned", F.lit(False)), slugify(label, suffix)).otherwise(F.col("_base"))
-    return based.join(owned, "_base", "left").withColumn("slug", F.coalesce("existing_slug", own)).drop(
-        "_base", "_owned", "existing_slug"
+    keyed = based.join(owned, "_base", "left").withColumn("_own", own)
+    keys = keyed.select(
+        F.col(order).alias("seq"), blank_to_null(F.col("isin")).alias("isin"), blank_to_null(F.col("symbol")).alias("symbol"),
+        F.when(named, F.col("_base")).alias("name"),
+    )
+    edges = equal_key_edges(keys, "isin").unionByName(equal_key_edges(keys, "symbol")).unionByName(equal_key_edges(keys, "name"))
+    groups = connected_components(edges).select(F.col("id").alias(order), F.col("component").alias("_group"))
+    grouped = keyed.join(groups, order, "left").withColumn("_group", F.coalesce("_group", order))
+    targets = grouped.groupBy("_group").agg(
+        first_by(F.col("existing_slug"), F.col(order)).alias("_stored"), first_by(F.col("_own"), F.col(order)).alias("_new")
+    )
+    return grouped.join(targets, "_group").withColumn("slug", F.coalesce("existing_slug", "_stored", "_new")).drop(
+        "_base", "_owned", "_own", "_group", "_stored", "_new", "existing_slug"
     )
 
 
@@ -116,7 +134,7 @@ def upsert_snapshot(current: DataFrame, incoming: DataFrame, now: Column, order:
     Given incoming values win, missing ones keep the current value. created_at and gmp stay;
     sources are always refreshed; updated_at moves only when a watched field changed.
     """
-    rows = _folded(_target_slugs(incoming, current), order)
+    rows = _folded(_target_slugs(incoming, current, order), order)
     kept = {"slug", "created_at", "updated_at", "action", "changes"}
     cols = [c for c in current.columns if c not in kept]
     extra = [c for c in rows.columns if c not in kept and c not in cols]
@@ -171,12 +189,14 @@ def upsert_snapshot(current: DataFrame, incoming: DataFrame, now: Column, order:
     )
 
 
-def upsert_tally(actions: DataFrame) -> DataFrame:
-    """Rows per action; always one row per known action."""
+def upsert_tally(actions: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Rows per action, and the number of records that could not be stored; always one row for each."""
     totals = actions.agg(*[F.count_if(F.col("action") == a).alias(a) for a in CHANGES[:3]])
-    return totals.select(F.explode(F.array(*[
+    counted = totals.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("action"), F.col(a).alias("rows")) for a in CHANGES[:3]
     ])).alias("t")).select("t.*")
+    errors = failed.agg(F.count(F.lit(1)).alias("rows")) if failed is not None else actions.sparkSession.range(1).select(F.lit(0).cast("long").alias("rows"))
+    return counted.unionByName(errors.select(F.lit("errors").alias("action"), "rows"))
 
 
 def merge_documents(current: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("slug", "doc_type")) -> DataFrame:

@@ -306,7 +306,7 @@ def gold_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("gold_errors", f"""
-WITH {GOLD} SELECT symbol, key, period_idx, type FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY key, period_idx) AS rn FROM typed WHERE type <> 'correct') WHERE rn <= 8
+WITH {GOLD} SELECT symbol, key, period_idx, type FROM typed WHERE type <> 'correct'
 """)
 def gold_errors(spark: SparkSession, folder: str) -> DataFrame:
     return gold.cell_errors(gold.compare_cells(*_gold(spark, folder))).select("symbol", "key", "period_idx", "type")

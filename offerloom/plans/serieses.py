@@ -138,12 +138,12 @@ def premium_history(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("candle_targets", """
 SELECT slug, listing_date FROM (SELECT 'o' || o_orderkey AS slug, CAST(o_orderdate AS DATE) AS listing_date FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0)
-WHERE listing_date >= DATE '1999-01-01' ORDER BY listing_date, slug LIMIT 100
+WHERE listing_date >= DATE '1999-01-01'
 """)
 def candle_targets(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred oldest listed offerings since a day (the limit is the run's batch size)."""
+    """Listed offerings since a day, oldest first."""
     li = table(spark, folder, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("slug"), F.when(F.col("o_custkey") % 2 == 0, F.lit("I")).alias("isin"),
         F.when(F.col("o_orderstatus") == "F", "listed").otherwise("open").alias("status"), F.to_date("o_orderdate").alias("listing_date"),
     )
-    return series.eligible_for_candles(li, F.lit("1999-01-01").cast("date"), 500).select("slug", "listing_date")
+    return series.eligible_for_candles(li, F.lit("1999-01-01").cast("date")).select("slug", "listing_date")

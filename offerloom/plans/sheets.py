@@ -399,7 +399,7 @@ def printed_lot_table(spark: SparkSession, folder: str) -> DataFrame:
     return facts.printed_lot_table(table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
-@query("page_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 1 AND 4999 THEN CAST(o_orderkey AS INTEGER) END AS page FROM orders")
+@query("page_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey > 0 THEN CAST(o_orderkey AS INTEGER) END AS page FROM orders")
 def page_numbers(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, folder, "orders").select("o_orderkey", fn.trailing_page_number(F.concat(F.lit("Our management ......"), k.cast("string"))).alias("page"))

@@ -120,9 +120,42 @@ def diff_fields(spark: SparkSession, folder: str) -> DataFrame:
     return upserted(spark, folder).filter("action = 'updated'").select("slug", F.array_join("changes", ",").alias("changes"))
 
 
-@query("upsert_tally", f"WITH {UPSERTED} SELECT action, CAST(count(*) AS BIGINT) AS rows FROM acted WHERE action <> 'untouched' GROUP BY action")
+@query("upsert_tally", f"""
+WITH {UPSERTED}, a AS (SELECT action, count(*) AS n FROM acted GROUP BY action)
+SELECT k.action, CAST(coalesce(n, 0) AS BIGINT) AS rows FROM (VALUES ('new'), ('updated'), ('unchanged')) k(action) LEFT JOIN a USING (action)
+UNION ALL SELECT 'errors', count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+""")
 def upsert_tally(spark: SparkSession, folder: str) -> DataFrame:
-    return upsert.upsert_tally(upserted(spark, folder)).filter("rows > 0")
+    known = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    failed = table(spark, folder, "orders").filter(~F.col("o_orderpriority").isin(known))
+    return upsert.upsert_tally(upserted(spark, folder), failed)
+
+
+# Three new records that only meet through each other: the second shares the isin of the first, the
+# third its symbol. Every tenth order makes such a trio.
+@query("upsert_within_batch", """
+SELECT 'trio-' || o_orderkey || '-ipo' AS slug, 'Trio ' || o_orderkey || ' Agro' AS company_name, 'IN' || o_orderkey AS isin, 'SY' || o_orderkey AS symbol, 'new' AS action
+FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL
+SELECT 'listing-' || c_custkey || '-ipo', 'Listing ' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'I' || c_custkey END, 'S' || c_custkey, CASE WHEN n.c IS NULL THEN 'untouched' ELSE 'unchanged' END
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 10 <> 0 AND o_custkey % 2 = 0) n ON n.c = c_custkey
+""")
+def upsert_within_batch(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    key = k.cast("string")
+    none = F.lit(None).cast("string")
+    trio = [
+        (0, F.concat(F.lit("IN"), key), F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key)),
+        (1, F.concat(F.lit("IN"), key), F.lit(""), F.concat(F.lit("Trio "), key, F.lit(" India"))),
+        (2, none, F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key, F.lit(" Agro"))),
+    ]
+    rows = [o.filter(k % 10 == 0).select((k * 4 + i).alias("seq"), isin.alias("isin"), symbol.alias("symbol"), name.alias("company_name")) for i, isin, symbol, name in trio]
+    # Stored rows are met by isin, or by the symbol of a record whose isin another one shares.
+    known = o.filter((k % 10 != 0) & (F.col("o_custkey") % 2 == 0)).select((k * 4 + 3).alias("seq"), F.concat(F.lit("I"), c).alias("isin"), F.lit("").alias("symbol"), F.concat(F.lit("Renamed "), c).alias("company_name"))
+    incoming = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(known)
+    out = upsert.upsert_snapshot(snapshot(spark, folder), incoming, _ts(NOW))
+    return out.select("slug", "company_name", "isin", "symbol", "action")
 
 
 @query("unique_slugs", """
@@ -306,7 +339,15 @@ SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id
 """)
 def last_five_errors(spark: SparkSession, folder: str) -> DataFrame:
     errors = table(spark, folder, "events").filter("event_type = 'error'").select("user_id", "event_id", "ts")
-    return listing.last_errors(errors, "user_id", "ts", "event_id").select("user_id", "event_id")
+    return listing.last_errors(errors, "user_id", "ts", "event_id", 5).select("user_id", "event_id")
+
+
+@query("error_history", """
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS position FROM events WHERE event_type = 'error'
+""")
+def error_history(spark: SparkSession, folder: str) -> DataFrame:
+    errors = table(spark, folder, "events").filter("event_type = 'error'").select("user_id", "event_id", "ts")
+    return listing.last_errors(errors, "user_id", "ts", "event_id").select("user_id", "event_id", "position")
 
 
 @query("subscription_pivot", """

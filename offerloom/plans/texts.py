@@ -64,7 +64,7 @@ WORD_RULES = {"the": "(?i)^the", "les": "(?i)^les?", "que": "(?i)^que", "und": "
 
 SECTIONS = f"""
 {LINES},
-hits AS (SELECT doc_id, section, min(page) FILTER (WHERE page > 1 AND regexp_matches(text, rule)) AS start, max(page) AS last_page
+hits AS (SELECT doc_id, section, min(page) FILTER (WHERE regexp_matches(text, rule)) AS start, max(page) AS last_page
   FROM lines, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in WORD_RULES.items())}) AS r(section, rule) GROUP BY 1, 2),
 found AS (SELECT * FROM hits WHERE start IS NOT NULL),
 ranges AS (SELECT doc_id, section, start, coalesce((SELECT min(g.start) FROM found g WHERE g.doc_id = f.doc_id AND g.start > f.start) - 1, last_page) AS "end" FROM found f)
@@ -72,7 +72,7 @@ ranges AS (SELECT doc_id, section, start, coalesce((SELECT min(g.start) FROM fou
 
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.detect_sections(lines_of(spark, folder), WORD_RULES, front=1)
+    return pages.detect_sections(lines_of(spark, folder), WORD_RULES)
 
 
 @query("detect_sections", f"WITH {SECTIONS} SELECT * FROM ranges")
@@ -149,24 +149,42 @@ def score_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("page_window", f"""
 WITH {SCORES},
+best AS (SELECT doc_id, arg_max(page, {{'s': statement_score, 'p': -page}}) AS b FROM scores GROUP BY 1)
+SELECT doc_id, page, statement_score AS score FROM scores JOIN best USING (doc_id) WHERE page = b OR statement_score >= 2
+""")
+def page_window(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.statement_window(turns(spark, folder))
+
+
+@query("ratio_window", f"""
+WITH {SCORES},
+best AS (SELECT doc_id, arg_max(page, {{'s': ratio_score, 'p': -page}}) AS b, max(ratio_score) AS top FROM scores GROUP BY 1)
+SELECT doc_id, page, ratio_score AS score FROM scores JOIN best USING (doc_id) WHERE top >= 4 AND (page = b OR ratio_score >= 3)
+""")
+def ratio_window(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.ratio_window(turns(spark, folder))
+
+
+@query("page_window_in_budget", f"""
+WITH {SCORES},
 best AS (SELECT doc_id, arg_max(page, {{'s': statement_score, 'p': -page}}) AS b FROM scores GROUP BY 1),
 near AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY abs(page - b), page) AS rn FROM scores s JOIN best USING (doc_id) WHERE page = b OR statement_score >= 2),
 used AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY page) AS total FROM near WHERE rn <= 5)
 SELECT doc_id, page, statement_score AS score FROM used WHERE total <= 2000
 """)
-def page_window(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.statement_window(turns(spark, folder), max_chars=2000)
+def page_window_in_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.statement_window(turns(spark, folder), window=5, max_chars=2000)
 
 
-@query("ratio_window", f"""
+@query("ratio_window_nearest", f"""
 WITH {SCORES},
 best AS (SELECT doc_id, arg_max(page, {{'s': ratio_score, 'p': -page}}) AS b, max(ratio_score) AS top FROM scores GROUP BY 1),
 near AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY abs(page - b), page) AS rn FROM scores s JOIN best USING (doc_id)
          WHERE top >= 4 AND (page = b OR (ratio_score >= 3 AND abs(page - b) <= 4)))
 SELECT doc_id, page, ratio_score AS score FROM near WHERE rn <= 6
 """)
-def ratio_window(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.ratio_window(turns(spark, folder), max_chars=1_000_000)
+def ratio_window_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.ratio_window(turns(spark, folder), window=6, reach=4)
 
 
 @query("fact_pages", f"""
@@ -177,11 +195,11 @@ def fact_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 GROUND = """
-facts AS (SELECT c.conv_id AS doc_id, CAST(c.turn + 1 AS INTEGER) AS page, CAST(m.turn AS INTEGER) AS cited, m.text[1 : 60] AS quote, c.text FROM conversations c JOIN conversations m
+facts AS (SELECT c.conv_id AS doc_id, CAST(c.turn + 1 AS INTEGER) AS page, CAST(m.turn AS INTEGER) AS cited, m.text AS quote, c.text FROM conversations c JOIN conversations m
   ON m.conv_id = c.conv_id AND (m.turn = c.turn OR m.turn = c.turn + 1)),
 n AS (SELECT *, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'))) AS q, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS p FROM facts),
 w AS (SELECT *, list_filter(string_split(q, ' '), lambda t: length(t) > 1) AS words FROM n),
-g AS (SELECT doc_id, page, cited, length(q) >= 4 AND length(p) > 0 AND (contains(p, q) OR contains(p, q[1 : 40])
+g AS (SELECT doc_id, page, cited, length(q) >= 4 AND length(p) > 0 AND (contains(p, q)
    OR (len(words) > 0 AND len(list_filter(words, lambda t: contains(p, t))) >= len(words) * 0.7)) AS grounded FROM w)
 """
 
@@ -189,14 +207,14 @@ g AS (SELECT doc_id, page, cited, length(q) >= 4 AND length(p) > 0 AND (contains
 def _grounded(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations")
     pg = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), "text")
-    quotes = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("cited"), F.substring("text", 1, 60).alias("quote"))
+    quotes = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("cited"), F.col("text").alias("quote"))
     facts = quotes.withColumn("page", F.explode(F.array(F.col("cited") + 1, F.col("cited")))).filter("page >= 1")
     return pages.ground_facts(facts, pg)
 
 
 @query("grounding", f"WITH {GROUND} SELECT doc_id, page, cited, grounded FROM g")
 def grounding(spark: SparkSession, folder: str) -> DataFrame:
-    """First words of each turn (as quotes) looked up in their own and in the turn before."""
+    """Each turn (as a quote) looked up in their own and in the turn before."""
     known = table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"))
     return _grounded(spark, folder).join(known, ["doc_id", "page"], "left_semi").select("doc_id", "page", "cited", "grounded")
 
@@ -222,7 +240,7 @@ WITH o AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 90 + 10 AS INTEGER) AS
 starts AS (SELECT doc_id, 'RISK_FACTORS' AS section, s AS start FROM o UNION ALL SELECT doc_id, 'CAPITAL_STRUCTURE', s + 30 FROM o UNION ALL SELECT doc_id, 'OBJECTS_OF_THE_OFFER', s + 30 FROM o
   UNION ALL SELECT doc_id, 'OUR_BUSINESS', s + 200 FROM o UNION ALL SELECT doc_id, 'DIVIDEND_POLICY', s + 300 FROM o)
 SELECT doc_id, section, start AS printed_start,
-  CAST(least(CASE section WHEN 'RISK_FACTORS' THEN start + 29 WHEN 'CAPITAL_STRUCTURE' THEN start - 1 WHEN 'OBJECTS_OF_THE_OFFER' THEN start - 1 WHEN 'OUR_BUSINESS' THEN start + 99 ELSE start + 60 END, start + 80) AS INTEGER) AS printed_end,
+  CAST((CASE section WHEN 'RISK_FACTORS' THEN start + 29 WHEN 'CAPITAL_STRUCTURE' THEN start - 1 WHEN 'OBJECTS_OF_THE_OFFER' THEN start - 1 WHEN 'OUR_BUSINESS' THEN start + 99 END) AS INTEGER) AS printed_end,
   CAST(NULL AS INTEGER) AS pdf_start, 'toc' AS origin FROM starts
 UNION ALL SELECT doc_id, 'OUR_MANAGEMENT', NULL, NULL, 9, 'fullscan' FROM o
 """)

@@ -11,7 +11,6 @@ SECTION_SIGNALS = {
     "management": rx(r"(?i)^our\s+management\b|board\s+of\s+directors"),
     "kpis": r"(?i)key\s+performance\s+indicator|basis\s+for\s+(the\s+)?(offer|issue)\s+price",
 }
-FRONT_PAGES = 5  # cover and contents
 
 STATEMENT_SIGNALS = [
     r"(?i)revenue\s+from\s+operations",

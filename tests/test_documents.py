@@ -123,7 +123,7 @@ def test_contents(spark):
     toc = [(1, 10 * i, f"{n} ....... {p}") for i, (n, p) in enumerate([("RISK FACTORS", 24), ("CAPITAL STRUCTURE", 60), ("OBJECTS OF THE ISSUE", 60), ("OUR BUSINESS", 200), ("OTHER", 210)])]
     body = [(1, 10, "Dividend Policy and more")]
     df = spark.createDataFrame(it(toc, page=2) + it(body, page=90) + it([(1, 1, "our business is old")], page=40), ITEM)
-    got = {r.section: (r.printed_start, r.printed_end, r.pdf_start, r.origin) for r in items.locate_by_contents(df).collect()}
+    got = {r.section: (r.printed_start, r.printed_end, r.pdf_start, r.origin) for r in items.locate_by_contents(df, last_span=60, most_span=80).collect()}
     assert got["RISK_FACTORS"] == (24, 59, None, "toc") and got["CAPITAL_STRUCTURE"] == (60, 59, None, "toc") and got["OUR_BUSINESS"] == (200, 260, None, "toc")
     assert got["DIVIDEND_POLICY"] == (None, None, 90, "fullscan")
 
@@ -131,20 +131,20 @@ def test_contents(spark):
 def test_sections_and_windows(spark):
     texts = ["cover", "toc", "x", "x", "balance sheet on page five", "Risk Factors here", "nothing", "mention of risk factors", "Capital structure", "profit and loss", "end"]
     df = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)], "doc_id bigint, page int, text string")
-    sec = {r.section: (r.start, r.end) for r in pages.detect_sections(df).collect()}
+    sec = {r.section: (r.start, r.end) for r in pages.detect_sections(df, front=5).collect()}
     assert sec == {"risk-factors": (6, 8), "capital-structure": (9, 9), "financials": (10, 11)}
-    sl = pages.slice_sections(df, pages.detect_sections(df))
+    sl = pages.slice_sections(df, pages.detect_sections(df, front=5))
     assert sorted((r.section, r.page) for r in sl.collect())[-3:] == [("risk-factors", 6), ("risk-factors", 7), ("risk-factors", 8)]
     ratio = "Key Performance Indicators RoCE 10% RoE 12% return on net worth 5% debt equity ebitda margin 20%"
     kp = spark.createDataFrame([(1, 1, "table of contents return on equity 5%"), (1, 2, ratio), (1, 3, "RoE 5% 6% 7%"), (1, 4, "RoE"), (1, 9, ratio.replace("Key", "Kex"))], "doc_id bigint, page int, text string")
     sc = {r.page: r.s for r in kp.select("page", pages.ratio_score(F.col("text")).alias("s")).collect()}
     assert sc == {1: 0, 2: 17, 3: 5, 4: 2, 9: 14}
-    assert {r.page for r in pages.ratio_window(kp).collect()} == {2, 3}
-    assert {r.page for r in pages.ratio_window(kp, max_chars=130).collect()} == {2}
+    assert {r.page for r in pages.ratio_window(kp, 6, reach=4).collect()} == {2, 3}
+    assert {r.page for r in pages.ratio_window(kp, 6, 130, reach=4).collect()} == {2}
     st = "Revenue from operations total income 100 March 2025 March 2024 March 2023"
     sp = spark.createDataFrame([(1, 1, st), (1, 2, "total income restated 12"), (1, 3, st + " EBITDA"), (1, 5, "EBITDA restated 55"), (1, 6, "EBITDA none")], "doc_id bigint, page int, text string")
     assert [r.s for r in sp.orderBy("page").select(pages.statement_score(F.col("text")).alias("s")).collect()] == [5, 2, 6, 2, 0]
-    assert sorted(r.page for r in pages.statement_window(sp).collect()) == [1, 2, 3, 5]
+    assert sorted(r.page for r in pages.statement_window(sp, 5, 28000).collect()) == [1, 2, 3, 5]
     assert sorted(r.page for r in pages.statement_window(sp, window=2).collect()) == [2, 3]
     assert sorted(r.page for r in pages.statement_window(sp, max_chars=150).collect()) == [1, 2]
 

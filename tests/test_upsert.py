@@ -94,7 +94,7 @@ def test_upsert(spark):
     assert (b.updated_at, b.changes, b.company_name, b.sources["nse"].last_fetched) == (T0, [], "B", T1)
     n = r["new-co-ipo"]
     assert (n.price_min, n.price_max, n.created_at) == (5.0, 4.0, T1)
-    assert {x.action: x.rows for x in upsert.upsert_tally(out).collect()} == {"new": 2, "updated": 1, "unchanged": 1}
+    assert {x.action: x.rows for x in upsert.upsert_tally(out, inc.limit(2)).collect()} == {"new": 2, "updated": 1, "unchanged": 1, "errors": 2}
 
 
 def test_unique_slugs_and_documents(spark):
@@ -173,4 +173,4 @@ def test_listing(spark):
     assert rng(year=2026) == ["a", "b"] and rng(year=2025) == [] and rng(start="2026-06-15") == ["b"] and rng(start="2026-05-01", end="2026-06-15") == ["a"]
     assert feeds.drop_listed(df).count() == 2
     errs = spark.createDataFrame([("a", i, f"e{i}") for i in range(9)], "slug string, at int, error string")
-    assert sorted(r.at for r in listing.last_errors(errs).collect()) == [4, 5, 6, 7, 8]
+    assert sorted(r.at for r in listing.last_errors(errs, n=5).collect()) == [4, 5, 6, 7, 8]
