@@ -341,14 +341,16 @@ def promoter_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("party_mentions", """
-WITH d AS (SELECT o_orderkey AS doc_id, upper(p_name[1]) || p_name[2:] || ' Capital' AS n, regexp_extract(p_name || ' capital', '[a-z]{4,}') AS t, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS ph FROM orders JOIN part ON p_partkey = o_orderkey % 2000)
+WITH d AS (SELECT o_orderkey AS doc_id, upper(p_name[1]) || p_name[2:] || ' Capital' AS n, regexp_extract(p_name || ' capital', '[a-z]{4,}') AS t, lpad(CAST(o_orderkey AS VARCHAR), 8, '1') AS ph
+  FROM (SELECT l_orderkey AS o_orderkey, min(l_partkey) AS k FROM lineitem GROUP BY 1) JOIN part ON p_partkey = k)
 SELECT doc_id, 'lead_manager' AS role, n || ' Private Limited' AS name, 'mb@' || t || 'house.com' AS email, '+91 22 ' || ph AS phone, CAST(2 AS BIGINT) AS mentions FROM d
 UNION ALL SELECT doc_id, 'registrar', 'Kfin Technologies Limited', CASE WHEN doc_id % 2 = 0 THEN 'ris@kfintech.com' END, CASE WHEN doc_id % 2 = 0 THEN '040 ' || ph ELSE '+91 22 ' || ph END, 1 FROM d
 """)
 def party_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """A lead manager named twice and a registrar in a text per order."""
+    """A lead manager (an order's first part) named twice and a registrar in a text per order."""
     n = table(spark, folder, "part").select("p_partkey", "p_name")
-    o = table(spark, folder, "orders").join(n, F.col("p_partkey") == F.col("o_orderkey") % 2000)
+    first = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("p_partkey"))
+    o = first.join(n, "p_partkey")
     name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100), F.lit(" Capital"))
     token = F.regexp_extract(F.concat("p_name", F.lit(" capital")), "[a-z]{4,}", 0)
     phone = F.lpad(F.col("o_orderkey").cast("string"), 8, "1")
