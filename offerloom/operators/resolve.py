@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import blank_to_null, normalize_company, normalize_symbol
 from ..session import cut_lineage
 from .components import connected_components
-from .names import similar_names
+from .names import similar_names_within
 
 # Score limits and the date guard.
 MATCH_SCORE = 0.90
@@ -82,7 +82,7 @@ def run_edges(keys: DataFrame, runs: DataFrame) -> DataFrame:
 def name_pairs(runs: DataFrame, threshold: float) -> DataFrame:
     """left_name (appearing later), right_name (appearing earlier), score >= threshold."""
     ranked = cut_lineage(runs.groupBy("name").agg(F.min("run").alias("rank")))
-    return similar_names(ranked, ranked, threshold)
+    return similar_names_within(ranked, threshold)
 
 
 def _side(runs: DataFrame, side: str) -> DataFrame:

@@ -438,4 +438,4 @@ def name_pairs_of_suppliers(spark: SparkSession, folder: str) -> DataFrame:
         fn.normalize_company(F.concat_ws(" ", "p_name", "p_type", F.regexp_extract("p_brand", r"\d+", 0))).alias("name")
     ).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     ranked = cut_lineage(distinct.select("name", F.xxhash64("name").alias("rank")))
-    return names.similar_names(ranked, ranked, 0.97).groupBy("right_name").agg(F.count(F.lit(1)).alias("similar"))
+    return names.similar_names_within(ranked, 0.97).groupBy("right_name").agg(F.count(F.lit(1)).alias("similar"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from offerloom.operators.components import connected_components
 from offerloom.operators.matching import best_name_match, contains_match, find_existing
 from offerloom.operators.merge import merge_records
-from offerloom.operators.names import similar_names
+from offerloom.operators.names import similar_names, similar_names_within
 from offerloom.operators.resolve import NEAR_SCORE, match_keys, name_pairs, name_runs, resolve_entities
 from offerloom.sources import feeds
 from tests.test_functions import model_score
@@ -163,6 +163,10 @@ def test_similar_names_exact(spark, threshold):
     got = {(r.left_name, r.right_name) for r in similar_names(df, df, threshold).collect()}
     want = {(a, b) for a in names for b in names if model_score(a, b) >= threshold}
     assert got == want
+    ranked = spark.createDataFrame([(n, i * 7919 % 1009) for i, n in enumerate(names)], "name string, rank int")
+    rank = {n: i * 7919 % 1009 for i, n in enumerate(names)}
+    got = [(r.left_name, r.right_name) for r in similar_names_within(ranked, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if rank[a] > rank[b]}
 
 
 def brute_force_entities(rows):
