@@ -29,6 +29,8 @@ from .common import slices, stored
 SPAN = 5
 ROWS = 5
 BANDS = 26
+#: In a bucket of over LARGE nodes pairs are told apart by shingles that at most RARE nodes have.
+LARGE, RARE = 64, 32
 _M = ROWS * BANDS
 _U = np.uint64
 _R, _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0x165667B19E3779F9 | 1
@@ -199,8 +201,8 @@ def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("u", "v", similarity("a", "b").alias("similarity"))
 
 
-def _private(texts: DataFrame) -> DataFrame:
-    """For each node with shingles that no other node of texts has: their number and their sum of counts."""
+def _rare(texts: DataFrame) -> DataFrame:
+    """Per node its shingles that at most RARE nodes of texts have: their number and sum of counts, and the hashes of those not its own alone."""
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held = frame["text"].tolist()
@@ -208,9 +210,12 @@ def _private(texts: DataFrame) -> DataFrame:
                 doc, h, w = weighted(*shingles(held[a:b])[:2])
                 yield pd.DataFrame({"node": frame["node"].to_numpy()[a:b][doc], "h": h.view(np.int64), "w": w})
 
-    cells = texts.select("node", "text").mapInPandas(spread, "node long, h long, w long")
-    own = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "w")).alias("r")).filter("c = 1")
-    return own.groupBy(F.col("r.node").alias("node")).agg(F.count(F.lit(1)).alias("private"), F.sum("r.w").alias("private_w"))
+    cells = stored(texts.select("node", "text").mapInPandas(spread, "node long, h long, w long"), "near-cells")
+    counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE), "near-rare")
+    held = cells.join(counts, "h").groupBy("node").agg(
+        F.count(F.lit(1)).alias("q"), F.sum("w").alias("qw"), F.collect_list(F.when(F.col("c") > 1, F.col("h"))).alias("rare")
+    )
+    return held
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -256,30 +261,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         seen = stored(_tested(pairs, texts), "near-tested")
         tested = seen if tested is None else tested.unionByName(seen)
         links = tested.filter(F.col("similarity") >= threshold).select("u", "v")
-    # The rest: nodes of one bucket in different components, if their private shingles and their distances to
-    # the bucket's pivot allow a link. Of x with s shingles, p of them private, and y with q private ones, at
-    # most s - p are shared and at least s + q are in either.
+    # The rest: nodes of one bucket in different components, if the distances to the bucket's pivot allow a
+    # link and, in large buckets, their rare shingles: if x with s shingles and y share none of x's p and y's
+    # q rare ones, at most s - p are shared and at least s + q are in either.
     labelled = _labelled(rows, links)
-    split = labelled.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node")).alias("p")).filter("lo < hi")
+    split = labelled.groupBy("band", "h").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node")).alias("p"), F.count(F.lit(1)).alias("members")
+    ).filter("lo < hi")
     sizes = nodes.select("node", "size", F.greatest(F.col("n") - SPAN + 1, F.lit(1)).alias("total"))
     of_pivot = sizes.select(F.col("node").alias("pivot"), (F.col("size") == F.col("total")).alias("plain"))
-    split = stored(split.select("band", "h", F.col("p.node").alias("pivot")).join(of_pivot, "pivot"), "near-split")
+    split = stored(split.select("band", "h", F.col("p.node").alias("pivot"), (F.col("members") > LARGE).alias("large")).join(of_pivot, "pivot"), "near-split")
     far = tested.select("u", "v", (1 - F.col("similarity")).alias("d"))
     apart = labelled.join(split, ["band", "h"]).withColumn("u", F.least("node", "pivot")).withColumn("v", F.greatest("node", "pivot"))
-    apart = stored(apart.join(far, ["u", "v"], "left").select("band", "h", "node", "comp", F.when(F.col("plain"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))).alias("d")), "near-apart")
-    left_over = apart.select("node").distinct()
-    private = _private(texts.join(left_over, "node"))
+    distance = F.when(F.col("plain"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")))
+    apart = stored(apart.join(far, ["u", "v"], "left").select("band", "h", "node", "comp", "large", distance.alias("d")), "near-apart")
+    rare = stored(_rare(texts.join(apart.filter("large").select("node").distinct(), "node")), "near-rare-of")
     zero = F.lit(0).cast("long")
-    private = left_over.join(sizes, "node").join(private, "node", "left").select("node", "size", "total", F.coalesce("private", zero).alias("p"), F.coalesce("private_w", zero).alias("pw"))
-    apart = stored(apart.join(private, "node"), "near-left-over")
-    other = apart.select("band", "h", *[F.col(c).alias(f"{c}_v") for c in ("comp", "d", "size", "total", "p", "pw")], F.col("node").alias("v"))
-    shared = F.least((F.col("size") - F.col("p")) / (F.col("size") + F.col("p_v")), (F.col("size_v") - F.col("p_v")) / (F.col("size_v") + F.col("p")))
-    by_counts = F.least(1 - F.col("pw") / F.col("total"), 1 - F.col("pw_v") / F.col("total_v"))
+    facts = apart.join(sizes, "node").join(rare, "node", "left")
+    own = [F.when(F.col("large"), F.coalesce(c, zero)).otherwise(zero).alias(c) for c in ("q", "qw")]
+    apart = stored(facts.select("band", "h", "node", "comp", "d", "size", "total", *own, F.when(F.col("large"), F.col("rare")).alias("rare")), "near-left-over")
+    other = apart.select("band", "h", *[F.col(c).alias(f"{c}_v") for c in ("comp", "d", "size", "total", "q", "qw", "rare")], F.col("node").alias("v"))
+    shared = F.least((F.col("size") - F.col("q")) / (F.col("size") + F.col("q_v")), (F.col("size_v") - F.col("q_v")) / (F.col("size_v") + F.col("q")))
+    by_counts = F.least(1 - F.col("qw") / F.col("total"), 1 - F.col("qw_v") / F.col("total_v"))
     # Without repeated shingles the two similarities are one, and its distance obeys the triangle inequality.
     plain = (F.col("size") == F.col("total")) & (F.col("size_v") == F.col("total_v"))
     most = F.when(plain, shared).otherwise(F.greatest(shared, by_counts))
+    meets = F.coalesce(F.arrays_overlap("rare", "rare_v"), F.lit(False))
     near = ~plain | F.coalesce(F.abs(F.col("d") - F.col("d_v")) <= 1 - threshold + 1e-9, F.lit(True))
-    near = near & (most >= threshold - 1e-9)
+    near = near & ((most >= threshold - 1e-9) | meets)
     rest = apart.withColumnRenamed("node", "u").join(other, ["band", "h"]).filter((F.col("comp") < F.col("comp_v")) & near)
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
     last = stored(_tested(rest, texts), "near-rest")

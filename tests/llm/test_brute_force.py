@@ -79,7 +79,10 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("large", [64, 2])
+def test_near_duplicates_against_all_pairs(spark, large, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "RARE", large)
     rng = random.Random(5)
     texts = []
     for _ in range(25):
