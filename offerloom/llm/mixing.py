@@ -98,7 +98,10 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def slots_of(spark: SparkSession, sources: list[Source], shards: int) -> DataFrame:
-    """One row per slot of the mix: shard, source number, slot number of the source, and its block."""
+    """One row per slot of the mix: shard, source number, slot number of the source, and its block.
+
+    They come from few rows of ranges, so Spark would think them few and broadcast them: joins say "merge".
+    """
     taken = draws(sources, shards)
     first = np.cumsum(taken, axis=0) - taken
     rows = [(k, i, int(first[k, i]), int(taken[k, i]), sources[i].blocks) for k in range(shards) for i in range(len(sources)) if taken[k, i]]
@@ -154,7 +157,7 @@ def mix_digest(docs: DataFrame, block_words: int = 64, shards: int = 64) -> Data
     times = mix.slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     facts = ["source_size", "target"]
     taken = (
-        mix.pieces(*facts).join(times, ["src", "block"], "left")
+        mix.pieces(*facts).join(times.hint("merge"), ["src", "block"], "left")
         .groupBy("src", "at", "doc_id", "size", *facts).agg(F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).alias("taken"))
     )
     empty = mix.placed.filter(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long"))
@@ -182,5 +185,5 @@ def mix_documents(docs: DataFrame, block_words: int = 256, shards: int = 64) ->
 
     parts = whole.select("src", "doc_id", "lang", "source", F.explode(F.transform(F.sequence(first, last), part)).alias("p"))
     parts = parts.select("src", "doc_id", "lang", "source", "p.*")
-    out = parts.join(mix.slots, ["src", "block"])
+    out = parts.join(mix.slots.hint("merge"), ["src", "block"])
     return out.select("shard", "slot", "start", "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
