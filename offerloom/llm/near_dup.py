@@ -218,6 +218,19 @@ def _rare(texts: DataFrame) -> DataFrame:
     return held
 
 
+def _hubs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket rows with their node's number of links, and as comp the node with most links among it and those it is linked to.
+
+    Nodes of one comp are connected, which is enough to spare their test; components proper cost many more steps.
+    """
+    ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = stored(ends.groupBy("u").agg(F.count(F.lit(1)).alias("degree")), "near-degrees")
+    around = ends.join(degree.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.max(F.struct("degree", "v")).alias("best"))
+    own = F.struct("degree", F.col("u").alias("v"))
+    hubs = degree.join(around, "u").select(F.col("u").alias("node"), "degree", F.greatest(own, F.col("best"))["v"].alias("hub"))
+    return rows.join(stored(hubs, "near-hubs"), "node", "left").withColumn("comp", F.coalesce("hub", "node")).drop("hub")
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket rows with the component of their node."""
     comps = stored(connected_components(links.select("u", "v")), "near-components").withColumnRenamed("id", "node")
@@ -248,8 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         if links is None:
             rank, labelled = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("pivot")), rows.withColumn("comp", F.col("node"))
         else:
-            degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-            labelled = _labelled(rows, links).join(degree, "node", "left")
+            labelled = _hubs(rows, links)
             rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("o"), F.xxhash64("node", F.lit(turn)).alias("o2"), F.col("node").alias("pivot"))
         labelled = stored(labelled, "near-labelled")
         pivots = labelled.groupBy("band", "h").agg(F.min(F.struct(*[rank.alias("r")], F.col("comp").alias("c"))).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
