@@ -3,8 +3,10 @@
 The shingles of a document are its runs of five words, weighted by how often they occur. ProbMinHash
 lets each shingle arrive at random places of a signature by a Poisson process of its weight; a place
 keeps its first arrival, and a shingle stops once it is later than all places' arrivals. Two signatures
-agree in a place with the probability Jaccard similarity of the documents. Bands of places give
-candidates, which are verified on their whole texts.
+agree in a place with the probability Jaccard similarity of the documents. A document with repeated
+shingles has a second signature, with all weights 1, whose places agree with the plain Jaccard similarity;
+for any other document both are one. Bands of places of either give candidates, which are verified on
+their whole texts.
 
 Equal word sequences are one node from the start. Within a bucket of a band, nodes are not paired with
 each other but with a pivot: first a random one, then the node with the most links. Nodes already in the
@@ -136,6 +138,24 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bands_of(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> pa.ListArray:
+    """Band hashes of documents 0 to n - 1, and after them those of weights 1 where shingles repeat.
+
+    The band of an entry is its place modulo BANDS; a second entry equal to the first is null.
+    """
+    weighed = band_hashes(prob_minhash(doc, h, weight, n))
+    repeats = np.bincount(doc, weights=weight > 1, minlength=n) > 0
+    of, mine = np.cumsum(repeats) - 1, repeats[doc]
+    plain = band_hashes(prob_minhash(of[doc[mine]], h[mine], np.ones(int(mine.sum())), int(repeats.sum())))
+    offsets = np.concatenate([[0], np.cumsum(BANDS * (1 + repeats))])
+    values, same = np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], bool)
+    places = np.arange(BANDS)
+    values[offsets[:-1, None] + places] = weighed
+    second = offsets[:-1][repeats][:, None] + BANDS + places
+    values[second], same[second] = plain, plain == weighed[repeats]
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(values, mask=same))
+
+
 def similarities(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
     """For each pair of texts the larger of Jaccard (of distinct shingles) and probability Jaccard (by counts)."""
     out = np.zeros(len(a))
@@ -177,8 +197,7 @@ def _features(docs: DataFrame) -> DataFrame:
                     to += 1
                 doc, h, k1, k2, n = shingles(texts.slice(at, to - at).to_pylist())
                 distinct = weighted(doc, h)
-                bands = band_hashes(prob_minhash(*distinct, to - at))
-                lists = pa.ListArray.from_arrays(np.arange(0, (to - at + 1) * BANDS, BANDS, dtype=np.int32), bands.ravel())
+                lists = bands_of(*distinct, to - at)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.bincount(distinct[0], minlength=to - at)), lists],
                     ["doc_id", "text_hash", "k1", "k2", "n", "size", "bands"],
@@ -249,7 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     own = F.struct(F.coalesce("doc_id", none).alias("rep"), "text_hash", "n", "size")
     nodes = feats.groupBy("k1", "k2").agg(F.min(own).alias("r"), F.min("bands").alias("bands"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "r.*", "bands"), "near-nodes")
-    buckets = nodes.filter("n > 0").select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = nodes.filter("n > 0").select("node", F.posexplode("bands").alias("place", "h")).filter("h is not null")
+    buckets = buckets.select("node", (F.col("place") % BANDS).alias("band"), "h")
     shared = stored(buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"), "near-buckets")
     rows = stored(buckets.join(shared, ["band", "h"]), "near-rows")
     wanted = rows.select("node").distinct().join(nodes.select("node", "rep", "text_hash"), "node")

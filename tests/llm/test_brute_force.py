@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,6 +117,45 @@ def test_near_duplicates_against_all_pairs(spark, large, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng = random.Random(15)
+    texts = []
+    for k, times in enumerate([5, 20, 20, 20, 50, 50, 50, 200]):
+        once, passage = [f"a{k}-{i}" for i in range(300)], [f"b{k}-{i}" for i in range(30)]
+        at = rng.randrange(300)
+        texts += [" ".join(once[:at] + passage * n + once[at:]) for n in (1, times)]
+        # Few of the counted shingles are shared, and of the distinct ones too: near neither.
+        texts.append(" ".join(passage * 40 + [f"c{k}-{i}" for i in range(100)]))
+        # Most of the counted shingles are shared, of the distinct ones less than 0.8.
+        texts.append(" ".join(passage * 400 + [f"d{k}-{i}" for i in range(40)]))
+    counts = []
+    for t in texts:
+        w = t.split()
+        counts.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    root, by = list(range(len(texts))), Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x, y = counts[i], counts[j]
+        both = x.keys() & y.keys()
+        if not both:
+            continue
+        plain = len(both) / len(x.keys() | y.keys())
+        weighed = sum(n / sum(max(x[t] / a, y[t] / b) for t in x.keys() | y.keys()) for (a, b), n in Counter((x[s], y[s]) for s in both).items())
+        by[plain >= 0.8, weighed >= 0.8] += 1
+        if max(plain, weighed) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert by[True, False] >= 7
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(6)
     h = rng.integers(1, 1 << 62, 60).astype(np.uint64)
