@@ -2,8 +2,9 @@
 
 Groups of equal texts stand in the order of their least id. The smallest capacity for which a greedy
 walk needs no more than the given number of shards is found by binary search. The walk only needs sums
-over ranges of ids, so the driver holds a few thousand ranges; those in which a cut may fall are split
-further until each holds one group. Within that capacity the cuts then go where shards are most even.
+over ranges of ids, of which the driver holds a few thousand. A walk over ranges bounds the capacity from
+above, one that may cut inside ranges from below; only the ranges that the latter cuts are split, until the
+bounds meet. Within that capacity the cuts then go where shards are most even.
 """
 
 from __future__ import annotations
@@ -73,17 +74,39 @@ def even_cuts(before: np.ndarray, capacity: int, shards: int) -> list[int]:
     return ends if at == n else greedy(before, capacity, shards)
 
 
-def _windows(r: _Ranges, shards: int, low: int, high: int) -> set[int]:
-    """Ranges of several groups in which a cut may fall for a capacity from low to high, or an even cut."""
+def _reach(r: _Ranges, before: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+    """Ranges of several groups in which cuts fall if these may be cut anywhere, or None if even so the shards do not suffice.
+
+    No greedy walk over groups gets further: so a capacity that does not suffice here never does.
+    """
+    inside, at, total = [], 0, int(before[-1])
+    for _ in range(shards):
+        at += capacity
+        if at >= total:
+            return inside
+        i = int(np.searchsorted(before, at, "right")) - 1
+        if r.counts[i] == 1:
+            at = int(before[i])
+        elif before[i] < at:
+            inside.append(i)
+    return None
+
+
+def _to_split(r: _Ranges, shards: int, floor: int) -> tuple[set[int], int, int]:
+    """Ranges to split next, and bounds of the least capacity; once they meet, ranges beside the even cuts."""
     before, n = r.before, len(r.starts)
-    flagged, at = set(), 0
-    for k in range(1, shards):
-        at = max(at, int(np.searchsorted(before, before[at] + low, "right")) - 1) if at < n else n
-        to = int(np.searchsorted(before, min(int(before[-1]), k * high), "left"))
-        flagged.update(range(max(0, at - 1), min(n, to + 1)))
-    for cut in even_cuts(before, high, shards):
-        flagged.update(range(max(0, cut - 2), min(n, cut + 2)))
-    return {i for i in flagged if r.counts[i] > 1}
+    high = least_capacity(before, shards, floor)
+    low, to = floor, high
+    while low < to:
+        mid = (low + to) // 2
+        if _reach(r, before, mid, shards) is None:
+            low = mid + 1
+        else:
+            to = mid
+    if low < high:
+        return set(_reach(r, before, low, shards)), low, high
+    beside = {i for cut in even_cuts(before, high, shards) for i in range(max(0, cut - 2), min(n, cut + 2))}
+    return {i for i in beside if r.counts[i] > 1}, low, high
 
 
 def plan_cuts(groups: DataFrame, shards: int) -> list[int]:
@@ -106,8 +129,7 @@ def plan_cuts(groups: DataFrame, shards: int) -> list[int]:
     r = _Ranges([b << shift for b, _, _ in first], [shift] * len(first), np.array([s for _, s, _ in first], np.int64), np.array([n for _, _, n in first]))
     floor = max(-(-total // shards), largest)
     while True:
-        high = least_capacity(r.before, shards, floor)
-        open_ = _windows(r, shards, floor, high)
+        open_, floor, high = _to_split(r, shards, floor)
         if not open_:
             break
         shift = max(r.shifts[i] for i in open_)

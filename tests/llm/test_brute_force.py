@@ -231,6 +231,29 @@ def test_shards_are_of_least_capacity(spark, hot, monkeypatch):
     assert max(sum(s for s, k in zip(sizes, shards, strict=True) if k == j) for j in range(4)) == brute_capacity(sizes, 4)
 
 
+@pytest.mark.parametrize("hot_at", [1, 1500])
+def test_a_hot_group_does_not_bring_all_groups_to_the_driver(spark, hot_at, monkeypatch):
+    monkeypatch.setattr(sharding, "_RANGES", 64)
+    rng = random.Random(16)
+    sizes = [rng.randrange(1, 60) for _ in range(3000)]
+    sizes[hot_at] = sum(sizes) // 2
+    ids = [i * 1000 + rng.randrange(900) for i in range(3000)]
+    groups = spark.createDataFrame(list(zip(ids, sizes, strict=True)), "first long, size long")
+    collected, collect = [], type(groups).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(groups), "collect", counted)
+    cuts = sharding.plan_cuts(groups, 8)
+    assert sum(collected) < 1500
+    shards = np.searchsorted(cuts, ids, "right")
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    assert np.bincount(shards, weights=sizes).max() == sharding.least_capacity(before, 8, max(sizes)) == max(sizes)
+
+
 def test_packing_is_whole_and_bounded(spark):
     rng = random.Random(10)
     lengths = [rng.choice([rng.randrange(1, 1025), 1024, 600, 512]) for _ in range(3000)]
