@@ -2,7 +2,8 @@
 
 A byte-level BPE tokenizer splits a text before it merges bytes. Texts are cut here at places where it
 surely splits: around a word of letters, or before white space that follows a word. Each distinct piece
-is encoded by the tokenizers library when it is first met, and then only looked up.
+is encoded by the tokenizers library when it is first met, and then only looked up. Added tokens, such as
+`<|endoftext|>`, are cut out first and have their own ids, as in the library.
 """
 
 from __future__ import annotations
@@ -49,7 +50,11 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content) for t in added):
+            raise ValueError("added tokens must stand for themselves, wherever they are")
+        longest = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         if self.tokenizer.get_vocab_size() > 1 << 16 or self._ids(["\n"]) != [[_NEWLINE]]:
             raise ValueError("a byte-level tokenizer of at most 65,536 ids is needed")
         self.letters = _byte_letters()
@@ -76,6 +81,13 @@ class Pieces:
             for piece, word in zip(words, spelled, strict=True):
                 self.known[piece] = array("H", [t.id for t in tokenize(word)]).tobytes()
 
+    def _cut(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return _PIECES.findall(text)
+        # Every other part is an added token.
+        parts = self.added.split(text)
+        return [p for i, part in enumerate(parts) for p in ([part] if i % 2 else _PIECES.findall(part))]
+
     def _parts(self, text: str) -> list[str]:
         """A very long text in parts that the tokenizer would split too."""
         parts, start = [], 0
@@ -99,7 +111,7 @@ class Pieces:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
-        pieces = [[] if i in odd else _PIECES.findall(t) for i, t in enumerate(texts)]
+        pieces = [[] if i in odd else self._cut(t) for i, t in enumerate(texts)]
         self._learn(pieces)
         look = self.known.__getitem__
         out = [b"".join(map(look, p)) for p in pieces]

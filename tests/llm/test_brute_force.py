@@ -297,6 +297,20 @@ def test_token_ids_equal_the_tokenizers():
         assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    rng = random.Random(17)
+    signs = [*"ab é1_' \n\t\x1c.<|>", "<|endoftext|>", "<|endoftext|>", "endoftext", "wort"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "wort <|endoftext|> " * 80_000, "<|endoftext|>" * 100_000]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    got = tokens.Pieces(tokens.default_tokenizer()).encode(texts)
+    assert np.frombuffer(got[0], "<u2").tolist() == [64, 50256, 65]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_token_file_round_trip():
     rng = np.random.default_rng(13)
     docs = [rng.zipf(1.3, n).clip(0, 50_256).astype("<u2") for n in (0, 1, 70_000, 5, 200_000, 0)]
