@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, mixing, mtree, near_dup, packing, rans, sharding, toxicity, warc
+from . import langid, line_rules, mixing, mtree, near_dup, negatives, packing, pieces, rans, runs, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +100,37 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def top_products(spark: SparkSession, folder: str) -> DataFrame:
     return mtree.top_products(_table(spark, folder, "embeddings"))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM r WHERE place <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(_table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label")), vec % 100 == 0)
+
+
+@query("op12_sentence_pieces")
+def sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, folder, "documents"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return runs.digest(runs.find_runs(runs.planted(docs)))
