@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) bigint edges → (id, component), component = least id; only ids with an edge appear."""
     current = cut_lineage(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct())
     before = _signature(current)
-    while True:
+    while before[0]:
         current = cut_lineage(_small_star(_large_star(current)))
         after = _signature(current)
         if after == before:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import blank_to_null, normalize_premium_name, slugify
 from ..rows import pick_row
+from ..session import cut_lineage
 from .names import similar_names
 
 PREMIUM_SCORE = 0.92  # Fixed value: least name score of a premium match.
 LEAST_CONTAINED = 4  # Fixed value: shorter names are not searched inside others.
-GRAM = 8  # Longest piece of a name used as join key of the contains match.
+GRAM = 8  # Longest piece of a name by which it is looked up.
 
 
 def find_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -26,6 +27,9 @@ def find_existing(incoming: DataFrame, existing: DataFrame) -> DataFrame:
         .withColumn("_symbol", blank_to_null(F.col("symbol")))
         .withColumn("_slug", F.when(named.isNotNull(), slugify(named)))
     )
+    # Rows without a key would gather in one partition of the joins: each gets a key of its own that nothing has.
+    for column in ("_isin", "_symbol", "_slug"):
+        keyed = keyed.withColumn(column, F.coalesce(column, F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
     slugs = existing.select(F.col("slug").alias("_slug")).distinct().withColumn("_by_slug", F.col("_slug"))
     return (
         keyed.join(lookup("isin"), "_isin", "left")
@@ -55,27 +59,36 @@ def best_name_match(
     return t.join(best, "name").select(key, F.col(f"b.{pos}").alias(pos), F.col("b.score").alias("score"))
 
 
-def _pieces(name: Column) -> Column:
-    """All substrings of 4..8 characters."""
-    def of_size(n: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length(name) - n + 1)
-        return F.transform(starts, lambda i: F.substring(name, i, n))
+def _pieces(name: Column, size: Column) -> Column:
+    """All substrings of so many characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substring(name, i, size)))
 
-    top = F.least(F.length(name), F.lit(GRAM))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(LEAST_CONTAINED), top), of_size)))
 
+def looked_up(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short name, long name) that share the short one's rarest piece.
 
-def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(short name, long name) where the short one occurs in the long one."""
-    s = short.filter(F.length("name") >= LEAST_CONTAINED).select(
-        F.col("name").alias("short_name"), F.substring("name", 1, GRAM).alias("piece")
-    )
-    g = long.filter(F.length("name") >= LEAST_CONTAINED).select(
-        F.col("name").alias("long_name"), F.explode(_pieces(F.col("name"))).alias("piece")
-    )
-    return s.join(g, (s["piece"] == g["piece"]) & F.contains(g["long_name"], s["short_name"])).select(
-        "short_name", "long_name"
+    An inverted index holds the pieces of the long names. A short name is looked up by that of its pieces
+    which the fewest long names have, so a word that many names share decides for no name that has another
+    piece; a short name with a piece that no long name has is in none.
+    """
+    size = F.least(F.length("name"), F.lit(GRAM))
+    s = short.filter(F.length("name") >= LEAST_CONTAINED).withColumn("size", size)
+    asked = cut_lineage(s.select("name", "size", F.explode(_pieces(F.col("name"), F.col("size"))).alias("piece")))
+    sizes = F.transform(F.sequence(F.lit(LEAST_CONTAINED), F.least(F.length("name"), F.lit(GRAM))), lambda n: _pieces(F.col("name"), n))
+    index = long.filter(F.length("name") >= LEAST_CONTAINED).select(F.col("name").alias("long_name"), F.explode(F.flatten(sizes)).alias("piece"))
+    index = cut_lineage(index)
+    often = index.groupBy("piece").agg(F.count(F.lit(1)).alias("names"))
+    rarest = asked.join(often, "piece", "left").groupBy(F.col("name").alias("short_name")).agg(
+        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece")).alias("r")
     )
+    chosen = rarest.filter("r.names > 0").select("short_name", F.col("r.piece").alias("piece"))
+    return chosen.join(index, "piece").select("short_name", "long_name")
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short name, long name) where the short one occurs in the long one, if it is not the same."""
+    held = F.contains(F.col("long_name"), F.col("short_name")) & (F.col("long_name") != F.col("short_name"))
+    return looked_up(short, long).filter(held)
 
 
 def contains_match(
@@ -84,8 +97,7 @@ def contains_match(
 ) -> DataFrame:
     """entry key, listing key: the first listing whose name equals, contains or lies in the entry's.
 
-    A name is found inside another through a shared leading piece, so no pair of unrelated
-    names is compared.
+    A name is found inside another through the rarest of its pieces.
     """
     norm = normalize_premium_name(F.col(name))
     e = entries.select(entry_key, norm.alias("entry_name")).filter("entry_name <> ''")

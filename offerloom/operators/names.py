@@ -74,8 +74,9 @@ def _keys(df: DataFrame, threshold: float, shorter: bool) -> DataFrame:
     """Join keys of each name in its role as the shorter or the longer of a pair."""
     four, fewer = _bounds(threshold)
     length = F.length("name")
-    rank = ["rank"] if "rank" in df.columns else []
-    base = df.select("name", *rank, length.alias("len"), bag_tokens(F.col("name")).alias("tokens"))
+    rank = [c for c in ("rank", "at", "reach") if c in df.columns]
+    places = ("short_at" if shorter else "long_at") if "at" in df.columns else None
+    base = df.select("name", *rank, *([places] if places else []), length.alias("len"), bag_tokens(F.col("name")).alias("tokens"))
     parts = []
     for cls, bound in (("4", four), ("x", fewer)):
         if shorter:
@@ -97,6 +98,9 @@ def _keys(df: DataFrame, threshold: float, shorter: bool) -> DataFrame:
             signature = F.when(floor >= 2, _pairs_of(_head(F.col("tokens"), F.col("len"), need, 2))).otherwise(
                 _head(F.col("tokens"), F.col("len"), need, 1)
             )
+        if places:
+            # The time of a name is part of its keys.
+            signature = F.flatten(F.transform(signature, lambda t: F.transform(F.col(places), lambda p: F.concat(t, F.lit("@"), p))))
         parts.append(
             sized.select("name", *rank, "len", "tokens", "short_len", F.explode(signature).alias("sig")).withColumn(
                 "cls", F.lit(cls)
@@ -130,7 +134,9 @@ def similar_names_within(ranked: DataFrame, threshold: float) -> DataFrame:
     """left_name, right_name, score for all pairs of names of one frame (name, rank) scoring >= threshold.
 
     The left name ranks after the right one. Each name meets the longer ones, and those of its length that
-    rank before it, so no pair is tested in two roles.
+    rank before it, so no pair is tested in two roles. With columns at and reach (buckets of time of a name,
+    and those around them), short_at and long_at (its keys in either role), names whose times do not meet
+    are no pair.
     """
     four, fewer = _bounds(threshold)
     s, g = _keys(ranked, threshold, True).alias("s"), _keys(ranked, threshold, False).alias("g")
@@ -141,7 +147,8 @@ def similar_names_within(ranked: DataFrame, threshold: float) -> DataFrame:
         g,
         (F.col("s.cls") == F.col("g.cls")) & (F.col("s.short_len") == F.col("g.short_len")) & (F.col("s.sig") == F.col("g.sig"))
         & ((F.col("s.len") < F.col("g.len")) | ((F.col("s.len") == F.col("g.len")) & (F.col("s.rank") > F.col("g.rank"))))
-        & ((F.col("s.cls") == "4") == prefix4) & (common >= bound - F.lit(1e-9)),
+        & ((F.col("s.cls") == "4") == prefix4) & (common >= bound - F.lit(1e-9))
+        & (F.arrays_overlap("s.reach", "g.at") if "at" in ranked.columns else F.lit(True)),
     )
     later = F.col("s.rank") > F.col("g.rank")
     pairs = met.select(

@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import page_hash, squeeze
-from ..rows import once
+from ..rows import may_meet, once
 from ..rules import pages as R
+from ..session import cut_lineage
 
 OVERLAP_SKIP = 0.9  # Fixed value: share of known pages from which a later version is skipped.
 
@@ -78,12 +79,28 @@ def detect_sections(pages: DataFrame, rules: dict[str, str] | None = None, front
     )
 
 
-def slice_sections(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pages of each section. Ranges are clamped to the document; an empty range gives no pages."""
-    clamped = ranges.select("doc_id", "section", F.greatest("start", F.lit(1)).alias("_start"), F.col("end").alias("_end"))
-    return pages.join(clamped, "doc_id").filter(F.col("page").between(F.col("_start"), F.col("_end"))).select(
-        "doc_id", "section", "page", "text"
+def sliced_pages(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """doc_id, section, page: the page numbers in each range, clamped to the document's pages; no texts.
+
+    A range becomes its numbers, as many rows as it will have pages, which an equal key can meet: no
+    page is compared with ranges that it is not in.
+    """
+    last = numbers.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    clamped = ranges.join(last, "doc_id").select(
+        "doc_id", "section", F.greatest("start", F.lit(1)).cast("long").alias("_start"), F.least("end", "_last").cast("long").alias("_end")
     )
+    return clamped.filter("_start <= _end").select("doc_id", "section", F.explode(F.sequence("_start", "_end")).alias("page"))
+
+
+def slice_sections(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Pages of each section. Ranges are clamped to the document; an empty range gives no pages.
+
+    Only pages that some range has enter the join with their texts.
+    """
+    wanted = sliced_pages(pages.select("doc_id", "page"), ranges)
+    kind = pages.schema["page"].dataType
+    wanted = cut_lineage(wanted.withColumn("page", F.col("page").cast(kind)))
+    return may_meet(pages, wanted, ["doc_id", "page"]).join(wanted, ["doc_id", "page"]).select("doc_id", "section", "page", "text")
 
 
 def _hits(text: Column, patterns: list[str]) -> Column:
@@ -206,8 +223,8 @@ def is_grounded(quote: Column, page: Column, lead: int | None = None) -> Column:
 
 
 def ground_facts(facts: DataFrame, pages: DataFrame, lead: int | None = None) -> DataFrame:
-    """facts(doc_id, page, quote, …) + grounded."""
-    cited = pages.select("doc_id", "page", F.col("text").alias("_text"))
+    """facts(doc_id, page, quote, …) + grounded. Texts of pages that nothing cites stay where they are."""
+    cited = may_meet(pages.select("doc_id", "page", F.col("text").alias("_text")), facts.select("doc_id", "page"), ["doc_id", "page"])
     joined = facts.join(cited, ["doc_id", "page"], "left")
     plain = once(joined, {"_quote": plain_text(F.col("quote")), "_page": plain_text(F.col("_text"))})
     return plain.withColumn("grounded", is_grounded(F.col("_quote"), F.col("_page"), lead)).drop("_text", "_quote", "_page")

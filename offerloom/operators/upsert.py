@@ -8,9 +8,9 @@ from pyspark.sql.types import MapType, StringType, StructType
 
 from ..functions import blank_to_null, first_text, slugify
 from ..rows import first_by, last_by
+from ..session import cut_lineage
 from .components import connected_components
 from .matching import find_existing
-from .resolve import equal_key_edges
 
 # Fields whose change is reported. A price band is two columns here.
 WATCHED = {
@@ -85,40 +85,60 @@ def unique_slugs(df: DataFrame, taken: DataFrame | None = None, order: str = "se
     )
 
 
-def _target_slugs(incoming: DataFrame, current: DataFrame, order: str) -> DataFrame:
-    """incoming + slug: the row each record is written to.
+def _shared_groups(rows: DataFrame) -> DataFrame:
+    """(seq, kind, value) of records and their keys -> (seq, group): records that keys connect, group = least seq.
+
+    A key that one record has connects nothing. Where no record of a key has another shared key, the key's
+    records are a group at once; only the rest goes through the component steps. Records without a
+    shared key do not appear.
+    """
+    keys = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")).filter("n > 1")
+    held = cut_lineage(rows.join(keys.drop("n"), ["kind", "value"]))
+    several = held.groupBy("seq").agg(F.count(F.lit(1)).alias("keys"), F.max("first").alias("first")).withColumn("loose", F.col("keys") > 1)
+    tangled = held.join(several.filter("loose").select("seq"), "seq").select("kind", "value").distinct().withColumn("tangled", F.lit(True))
+    marked = cut_lineage(held.join(tangled, ["kind", "value"], "left"))
+    plain = marked.filter("tangled IS NULL").select("seq", F.col("first").alias("group"))
+    edges = marked.filter("tangled").select(F.col("seq").alias("u"), F.col("first").alias("v"))
+    return plain.unionByName(connected_components(edges).select(F.col("id").alias("seq"), F.col("component").alias("group")))
+
+
+def target_slugs(incoming: DataFrame, current: DataFrame, order: str) -> DataFrame:
+    """order + slug: the row that each record is written to.
 
     A record goes to the stored row that it matches by itself. Others follow the records of the same
-    batch that share an isin, a symbol or a name's slug with them, as if these were stored before: to the
-    stored row that the first matching one of them goes to, else all to one new row.
+    batch that share an isin, a symbol or a name's slug with them, or with another such record, as if these were stored
+    before: to the stored row of the first of them that matches one, else all to one new row. Only records
+    without a stored match are grouped, and only narrow rows are moved for it.
     """
-    found = find_existing(incoming.drop("slug"), current)
+    narrow = incoming.select(F.col(order).alias("seq"), "isin", "symbol", "company_name")
     named = blank_to_null(F.col("company_name")).isNotNull()
     label = first_text(F.col("company_name"), F.col("symbol"))
-    based = found.withColumn("_base", slugify(label))
+    found = cut_lineage(find_existing(narrow, current.select("slug", "isin", "symbol")).select(
+        "seq", "existing_slug", blank_to_null(F.col("isin")).alias("isin"), blank_to_null(F.col("symbol")).alias("symbol"),
+        named.alias("named"), label.alias("label"), slugify(label).alias("base"),
+    ))
+    stored = found.filter(F.col("existing_slug").isNotNull())
+    fresh = found.filter(F.col("existing_slug").isNull())
+
+    def keys(rows: DataFrame, *more: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("isin", F.col("isin")), ("symbol", F.col("symbol")), ("name", F.when(F.col("named"), F.col("base"))))])
+        return rows.select("seq", *more, F.explode(pairs).alias("k")).select("seq", *more, "k.kind", "k.value").filter("value IS NOT NULL")
+
+    own_keys = cut_lineage(keys(fresh))
+    # The first stored match among the records with which a fresh one shares a key.
+    asked = own_keys.select("kind", "value").distinct()
+    led = keys(stored, "existing_slug").groupBy("kind", "value").agg(F.min(F.struct("seq", "existing_slug")).alias("lead")).join(asked, ["kind", "value"], "left_semi")
+    led = own_keys.join(led, ["kind", "value"]).groupBy("seq").agg(F.min("lead").alias("lead"))
     # Only rows without a company name can meet a slug that belongs to someone else.
-    owned = (
-        current.select(F.col("slug").alias("_base"))
-        .unionByName(based.filter(named & F.col("existing_slug").isNull()).select("_base"))
-        .distinct()
-        .withColumn("_owned", F.lit(True))
-    )
+    nameless = fresh.filter(~F.col("named")).select("base").distinct()
+    owned = current.select(F.col("slug").alias("base")).unionByName(fresh.filter("named").select("base")).join(nameless, "base", "left_semi").distinct().withColumn("owned", F.lit(True))
     suffix = first_text(F.col("symbol"), F.right(F.coalesce("isin", F.lit("")), F.lit(4)))
-    own = F.when(~named & F.coalesce("_owned", F.lit(False)), slugify(label, suffix)).otherwise(F.col("_base"))
-    keyed = based.join(owned, "_base", "left").withColumn("_own", own)
-    keys = keyed.select(
-        F.col(order).alias("seq"), blank_to_null(F.col("isin")).alias("isin"), blank_to_null(F.col("symbol")).alias("symbol"),
-        F.when(named, F.col("_base")).alias("name"),
-    )
-    edges = equal_key_edges(keys, "isin").unionByName(equal_key_edges(keys, "symbol")).unionByName(equal_key_edges(keys, "name"))
-    groups = connected_components(edges).select(F.col("id").alias(order), F.col("component").alias("_group"))
-    grouped = keyed.join(groups, order, "left").withColumn("_group", F.coalesce("_group", order))
-    targets = grouped.groupBy("_group").agg(
-        first_by(F.col("existing_slug"), F.col(order)).alias("_stored"), first_by(F.col("_own"), F.col(order)).alias("_new")
-    )
-    return grouped.join(targets, "_group").withColumn("slug", F.coalesce("existing_slug", "_stored", "_new")).drop(
-        "_base", "_owned", "_own", "_group", "_stored", "_new", "existing_slug"
-    )
+    own = F.when(~F.col("named") & F.coalesce("owned", F.lit(False)), slugify(F.col("label"), suffix)).otherwise(F.col("base"))
+    marked = fresh.join(owned, "base", "left").withColumn("own", own).join(led, "seq", "left")
+    grouped = marked.join(_shared_groups(own_keys), "seq", "left").withColumn("group", F.coalesce("group", "seq")).select("seq", "group", "own", "lead")
+    targets = grouped.groupBy("group").agg(F.min("lead").alias("lead"), first_by(F.col("own"), F.col("seq")).alias("new"))
+    chosen = grouped.join(targets.select("group", F.coalesce("lead.existing_slug", "new").alias("slug")), "group").select("seq", "slug")
+    return stored.select("seq", F.col("existing_slug").alias("slug")).unionByName(chosen).withColumnRenamed("seq", order)
 
 
 def _folded(df: DataFrame, order: str) -> DataFrame:
@@ -127,14 +147,17 @@ def _folded(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy("slug").agg(*[last_by(_present(df, c), F.col(order)).alias(c) for c in cols])
 
 
-def upsert_snapshot(current: DataFrame, incoming: DataFrame, now: Column, order: str = "seq") -> DataFrame:
+def upsert_snapshot(current: DataFrame, incoming: DataFrame, now: Column, order: str = "seq", targets: DataFrame | None = None) -> DataFrame:
     """The next snapshot with ``action`` and ``changes`` per row.
 
+    ``targets`` are the rows of target_slugs, where they are known; then ``current`` needs no rows but theirs.
+
     ``current`` has slug, created_at and updated_at; ``incoming`` has an ordinal ``order``.
     Given incoming values win, missing ones keep the current value. created_at and gmp stay;
     sources are always refreshed; updated_at moves only when a watched field changed.
     """
-    rows = _folded(_target_slugs(incoming, current, order), order)
+    slugs = target_slugs(incoming, current, order) if targets is None else targets
+    rows = _folded(incoming.drop("slug").join(slugs, order), order)
     kept = {"slug", "created_at", "updated_at", "action", "changes"}
     cols = [c for c in current.columns if c not in kept]
     extra = [c for c in rows.columns if c not in kept and c not in cols]

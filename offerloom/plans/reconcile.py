@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import facts, parties, quality, tables, timeline
 from ..operators.listing import within_date_range
 from ..operators.merge import merge_records
-from ..operators.resolve import resolve_entities
+from ..operators.resolve import link_entities, resolve_entities
 from ..operators.stored import to_stored
 from ..operators.upsert import upsert_snapshot
 from ..session import cut_lineage
@@ -25,7 +25,7 @@ def reconcile(feeds: list[DataFrame | None], start: str | None = None, end: str
 
 def scrape_into(snapshot: DataFrame, feeds: list[DataFrame | None], now: Column) -> DataFrame:
     """The next snapshot, with the action taken per row, after one round of feeds."""
-    resolved, _ = resolve_entities(cut_lineage(combine_feeds(*feeds)))
+    resolved = link_entities(cut_lineage(combine_feeds(*feeds)))
     live = drop_listed(merge_records(resolved))
     return upsert_snapshot(snapshot, to_stored(live, now).withColumnRenamed("entity_id", "seq"), now)
 

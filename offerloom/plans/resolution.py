@@ -257,7 +257,7 @@ WITH {OFFERS}, {RUNS}, {SCORED}
 SELECT a AS left_name, b AS right_name, round(score, 6) AS score FROM scored WHERE score >= 0.85
 """)
 def similar_names(spark: SparkSession, folder: str) -> DataFrame:
-    runs = resolve.name_runs(resolve.match_keys(offers(spark, folder)))
+    runs = resolve.name_runs(resolve.run_days(resolve.match_keys(offers(spark, folder))))
     return resolve.name_pairs(runs, resolve.NEAR_SCORE).withColumn("score", F.round("score", 6))
 
 
@@ -270,29 +270,33 @@ fuzzy AS (
 
 @query("resolve_fuzzy_dates", f"WITH {OFFERS}, {RUNS}, {SCORED}, {FUZZY_EDGES} SELECT u, v FROM fuzzy")
 def resolve_fuzzy_dates(spark: SparkSession, folder: str) -> DataFrame:
-    runs = cut_lineage(resolve.name_runs(resolve.match_keys(offers(spark, folder))))
-    return resolve.fuzzy_edges(runs, resolve.name_pairs(runs, resolve.MATCH_SCORE))
+    runs = cut_lineage(resolve.name_runs(resolve.run_days(resolve.match_keys(offers(spark, folder)))))
+    return resolve.fuzzy_edges(resolve.swept_pairs(runs, resolve.dated_name_pairs(runs)))
 
 
 @query("borderline_pairs", f"""
 WITH {OFFERS}, {RUNS}, {SCORED},
 sides AS (
-  SELECT score, l.run AS lr, r.run AS rr, l.name AS ln, r.name AS rn, l.records AS lc, r.records AS rc,
-         coalesce(l.d0 - r.d1 <= 30 AND r.d0 - l.d1 <= 30, FALSE) AS near
-  FROM scored JOIN runs l ON l.name = a JOIN runs r ON r.name = b WHERE score >= 0.85
+  SELECT score, l.run AS lr, r.run AS rr, l.name AS ln, r.name AS rn, coalesce(l.d0 - r.d1 <= 30 AND r.d0 - l.d1 <= 30, FALSE) AS near
+  FROM scored JOIN runs r ON r.name = a JOIN runs l ON l.name = b WHERE score >= 0.85
   UNION ALL
-  SELECT 1.0, l.run, r.run, l.name, r.name, l.records, r.records, coalesce(l.d0 - r.d1 <= 30 AND r.d0 - l.d1 <= 30, FALSE)
-  FROM runs l JOIN runs r ON l.name = r.name AND l.run > r.run)
-SELECT CASE WHEN score >= 0.9 THEN 'fuzzy_name_match_date_guard_failed' ELSE 'near_miss_below_threshold' END AS reason,
-       round(score, 6) AS score, least(lr, rr) AS left_id, greatest(lr, rr) AS right_id,
-       CASE WHEN lr > rr THEN rn ELSE ln END AS left_name, CASE WHEN lr > rr THEN ln ELSE rn END AS right_name,
-       CASE WHEN lr > rr THEN rc ELSE lc END AS left_records, CASE WHEN lr > rr THEN lc ELSE rc END AS right_records
-FROM sides WHERE score < 0.9 OR NOT near
+  SELECT 1.0, l.run, r.run, l.name, r.name, FALSE FROM runs l JOIN runs r ON l.name = r.name AND l.run < r.run),
+lists AS (SELECT name, string_agg(CAST(run AS VARCHAR), ',' ORDER BY run) AS ids, CAST(sum(records) AS BIGINT) AS records FROM runs GROUP BY name),
+classes AS (
+  SELECT ln, rn, score, CAST(count(*) FILTER (WHERE score < 0.9 OR NOT near) AS BIGINT) AS pairs,
+    min({{'l': rr, 'r': lr}}) FILTER (WHERE NOT near) AS first_apart, min(lr) AS l0, min(rr) AS r0,
+    coalesce(string_agg(lr || ':' || rr, ',' ORDER BY r_start, l_start) FILTER (WHERE score >= 0.9 AND near), '') AS near_ids
+  FROM (SELECT s.*, a.d0 AS l_start, b.d0 AS r_start FROM sides s JOIN runs a ON a.run = lr JOIN runs b ON b.run = rr)
+  GROUP BY ln, rn, score)
+SELECT CASE WHEN score >= 0.9 THEN 'fuzzy_name_match_date_guard_failed' ELSE 'near_miss_below_threshold' END AS reason, round(score, 6) AS score,
+  CASE WHEN ln = rn OR score < 0.9 THEN l0 ELSE first_apart.r END AS left_id, CASE WHEN ln = rn OR score < 0.9 THEN r0 ELSE first_apart.l END AS right_id,
+  ln AS left_name, rn AS right_name, l.ids AS left_ids, r.ids AS right_ids, near_ids, pairs, l.records AS left_records, r.records AS right_records
+FROM classes JOIN lists l ON l.name = ln JOIN lists r ON r.name = rn WHERE pairs > 0
 """)
 def borderline_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    runs = cut_lineage(resolve.name_runs(resolve.match_keys(offers(spark, folder))))
-    pairs = cut_lineage(resolve.name_pairs(runs, resolve.NEAR_SCORE))
-    return resolve.borderline_pairs(runs, pairs).withColumn("score", F.round("score", 6))
+    runs = cut_lineage(resolve.name_runs(resolve.run_days(resolve.match_keys(offers(spark, folder)))))
+    swept = resolve.swept_pairs(runs, resolve.name_pairs(runs, resolve.NEAR_SCORE))
+    return resolve.borderline_pairs(runs, swept).withColumn("score", F.round("score", 6))
 
 
 ENTITIES = f"""
@@ -313,8 +317,7 @@ labels_of(id, label) USING KEY (id) AS (
 
 @query("resolve_entities", f"WITH RECURSIVE {ENTITIES} SELECT id AS seq, label AS entity_id FROM labels_of")
 def resolve_entities(spark: SparkSession, folder: str) -> DataFrame:
-    resolved, _ = resolve.resolve_entities(offers(spark, folder))
-    return resolved.select("seq", "entity_id")
+    return resolve.link_entities(offers(spark, folder)).select("seq", "entity_id")
 
 
 @query("merge_precedence", """
@@ -360,8 +363,7 @@ def reconciled_listings(spark: SparkSession, folder: str) -> DataFrame:
     """End to end: records → entities → merged listings → those of one year that are not listed."""
     from ..operators.listing import within_date_range
 
-    resolved, _ = resolve.resolve_entities(offers(spark, folder))
-    merged = feeds.drop_listed(merge.merge_records(resolved))
+    merged = feeds.drop_listed(merge.merge_records(resolve.link_entities(offers(spark, folder))))
     return merged.filter(within_date_range(F.col("bidding_start"), year=2026)).select(
         "entity_id", "status", "company_name", "bidding_start", "record_count"
     )
@@ -415,19 +417,20 @@ def best_name_match(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("contains_match", """
-WITH e AS (SELECT s_suppkey AS entry_id, p_name AS name FROM supplier JOIN part ON p_partkey = s_suppkey),
+WITH e AS (SELECT p_partkey AS entry_id, CASE WHEN p_partkey % 3 = 0 THEN 'apex ' || p_name ELSE p_name END AS name FROM part),
 l AS (SELECT name, min(pos) AS pos FROM (
-        SELECT CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE 'big ' || p_name || ' works' END AS name, p_partkey AS pos FROM part) GROUP BY name)
+        SELECT CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE 'big apex ' || p_name || ' works' END AS name, p_partkey AS pos FROM part) GROUP BY name)
 SELECT entry_id, min(l.pos) AS slug FROM e JOIN l
   ON e.name = l.name OR (length(e.name) >= 4 AND contains(l.name, e.name)) OR (length(l.name) >= 4 AND contains(e.name, l.name))
 GROUP BY entry_id
 """)
 def contains_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Short names found inside longer ones, both ways."""
+    """Short names found inside longer ones, both ways; a third of the names starts with one word."""
     p = table(spark, folder, "part")
-    e = table(spark, folder, "supplier").join(p, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entry_id"), F.col("p_name").alias("company_name"))
-    name = F.when(F.col("p_partkey") % 2 == 0, F.element_at(F.split("p_name", " "), 2)).otherwise(F.concat(F.lit("Big "), F.col("p_name"), F.lit(" Works Ltd.")))
-    listings = p.select(F.col("p_partkey").alias("slug"), F.col("p_partkey").alias("list_pos"), name.alias("company_name"))
+    key = F.col("p_partkey")
+    e = p.select(key.alias("entry_id"), F.when(key % 3 == 0, F.concat(F.lit("Apex "), "p_name")).otherwise(F.col("p_name")).alias("company_name"))
+    name = F.when(key % 2 == 0, F.element_at(F.split("p_name", " "), 2)).otherwise(F.concat(F.lit("Big Apex "), F.col("p_name"), F.lit(" Works Ltd.")))
+    listings = p.select(key.alias("slug"), key.alias("list_pos"), name.alias("company_name"))
     return matching.contains_match(e, listings)
 
 

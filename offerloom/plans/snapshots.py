@@ -131,29 +131,32 @@ def upsert_tally(spark: SparkSession, folder: str) -> DataFrame:
     return upsert.upsert_tally(upserted(spark, folder), failed)
 
 
-# Three new records that only meet through each other: the second shares the isin of the first, the
-# third its symbol. Every tenth order makes such a trio.
+# A third of the orders make three new records that only meet through each other: the second shares the
+# isin of the first, the third its symbol. The other orders are known by their customer's isin or symbol.
 @query("upsert_within_batch", """
 SELECT 'trio-' || o_orderkey || '-ipo' AS slug, 'Trio ' || o_orderkey || ' Agro' AS company_name, 'IN' || o_orderkey AS isin, 'SY' || o_orderkey AS symbol, 'new' AS action
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL
 SELECT 'listing-' || c_custkey || '-ipo', 'Listing ' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'I' || c_custkey END, 'S' || c_custkey, CASE WHEN n.c IS NULL THEN 'untouched' ELSE 'unchanged' END
-FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 10 <> 0 AND o_custkey % 2 = 0) n ON n.c = c_custkey
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 3 <> 0) n ON n.c = c_custkey
 """)
 def upsert_within_batch(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     key = k.cast("string")
     none = F.lit(None).cast("string")
-    trio = [
-        (0, F.concat(F.lit("IN"), key), F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key)),
-        (1, F.concat(F.lit("IN"), key), F.lit(""), F.concat(F.lit("Trio "), key, F.lit(" India"))),
-        (2, none, F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key, F.lit(" Agro"))),
-    ]
-    rows = [o.filter(k % 10 == 0).select((k * 4 + i).alias("seq"), isin.alias("isin"), symbol.alias("symbol"), name.alias("company_name")) for i, isin, symbol, name in trio]
-    # Stored rows are met by isin, or by the symbol of a record whose isin another one shares.
-    known = o.filter((k % 10 != 0) & (F.col("o_custkey") % 2 == 0)).select((k * 4 + 3).alias("seq"), F.concat(F.lit("I"), c).alias("isin"), F.lit("").alias("symbol"), F.concat(F.lit("Renamed "), c).alias("company_name"))
-    incoming = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(known)
+    by_isin = (k % 3 == 1) & (F.col("o_custkey") % 2 == 0)
+
+    def row(i: int, isin, symbol, name):
+        return F.struct((k * 4 + i).alias("seq"), isin.alias("isin"), symbol.alias("symbol"), name.alias("company_name"))
+
+    trio = F.array(
+        row(0, F.concat(F.lit("IN"), key), F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key)),
+        row(1, F.concat(F.lit("IN"), key), F.lit(""), F.concat(F.lit("Trio "), key, F.lit(" India"))),
+        row(2, none, F.concat(F.lit("SY"), key), F.concat(F.lit("Trio "), key, F.lit(" Agro"))),
+    )
+    known = F.array(row(3, F.when(by_isin, F.concat(F.lit("I"), c)), F.when(by_isin, "").otherwise(F.concat(F.lit("S"), c)), F.concat(F.lit("Renamed "), c)))
+    incoming = o.select(F.explode(F.when(k % 3 == 0, trio).otherwise(known)).alias("r")).select("r.*")
     out = upsert.upsert_snapshot(snapshot(spark, folder), incoming, _ts(NOW))
     return out.select("slug", "company_name", "isin", "symbol", "action")
 

@@ -39,3 +39,22 @@ def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
     kept = [c for c in df.columns if c not in cols]
     return df.select(*kept, made).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in cols])
+
+
+#: Key hashes are marked in this many bits: at most 4,096 bitmaps of 4 kB, 16 MB in all.
+_SLOTS, _PER_BITMAP = 1 << 27, 1 << 15
+
+
+def may_meet(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key may be in `keys`; the others never enter a shuffle.
+
+    The keys' hashes are marked in bitmaps of bounded size, which all tasks get. Of rows without a key in
+    `keys`, a share of len(keys) / 2**27 passes at most, so an exact join must follow. Null keys do not pass.
+    """
+    slot = F.pmod(F.xxhash64(*on), F.lit(_SLOTS))
+    marked = keys.dropna(subset=on).select(slot.alias("s"))
+    bitmaps = marked.groupBy(F.floor(F.col("s") / _PER_BITMAP).alias("_part")).agg(F.bitmap_construct_agg(F.col("s") % _PER_BITMAP).alias("_bits"))
+    known = df.withColumn("_s", slot).withColumn("_part", F.floor(F.col("_s") / _PER_BITMAP)).withColumn("_at", (F.col("_s") % _PER_BITMAP).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    held = known.join(F.broadcast(bitmaps), "_part").filter(F.getbit(byte, F.col("_at") % 8) == 1)
+    return held.dropna(subset=on).select(*df.columns)

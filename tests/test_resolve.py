@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators.components import connected_components
+from offerloom.operators import matching
 from offerloom.operators.matching import best_name_match, contains_match, find_existing
 from offerloom.operators.merge import merge_records
 from offerloom.operators.names import similar_names, similar_names_within
-from offerloom.operators.resolve import NEAR_SCORE, match_keys, name_pairs, name_runs, resolve_entities
+from offerloom.operators import resolve
+from offerloom.operators.resolve import NEAR_SCORE, match_keys, name_pairs, name_runs, resolve_entities, run_days
 from offerloom.sources import feeds
 from tests.test_functions import model_score
 
@@ -136,8 +138,12 @@ def test_resolve_entities(spark):
     resolved, border = resolve_entities(frame(spark, rows))
     got = {r.seq: r.entity_id for r in resolved.collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9}
-    failed = {(r.left_id, r.right_id) for r in border.filter("reason like 'fuzzy%'").collect()}
-    assert failed == {(1, 4), (2, 4), (1, 3), (3, 4)}
+    failed = {(r.left_name, r.right_name): r for r in border.filter("reason like 'fuzzy%'").collect()}
+    both, own = failed["apex logistics", "apex logistix"], failed["apex logistics", "apex logistics"]
+    assert (both.left_ids, both.right_ids, both.near_ids, both.pairs, both.left_id, both.right_id) == ("1,3,4", "2", "1:2,3:2", 1, 4, 2)
+    assert (own.left_ids, own.pairs, own.left_id, own.right_id) == ("1,3,4", 3, 1, 3) and len(failed) == 2
+    linked = {r.seq: r.entity_id for r in resolve.link_entities(frame(spark, rows)).collect()}
+    assert linked == got
 
 
 @pytest.mark.parametrize("threshold", [0.85, 0.9, 0.92])
@@ -198,13 +204,66 @@ def test_resolve_against_brute_force(spark):
     for i in range(160):
         day = None if rng.random() < 0.15 else D(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 900))
         rows.append(record(i, "nse", rng.choice(base), day, rng.choice([None, None, None, f"I{rng.randint(0, 40)}"]), rng.choice([None, None, f"S{rng.randint(0, 60)}"])))
-    resolved, _ = resolve_entities(frame(spark, rows))
-    assert {r.seq: r.entity_id for r in resolved.collect()} == brute_force_entities(rows)
+    resolved, border = resolve_entities(frame(spark, rows))
+    want = brute_force_entities(rows)
+    assert {r.seq: r.entity_id for r in resolved.collect()} == want
+    assert {r.seq: r.entity_id for r in resolve.link_entities(frame(spark, rows)).collect()} == want
+    # Every pair of runs under review, from the classes and from all pairs of runs.
+    runs = name_runs(run_days(match_keys(frame(spark, rows)))).collect()
+    first = {}
+    for r in runs:
+        first[r["name"]] = min(first.get(r["name"], r.run), r.run)
+    pairs = set()
+    for a in runs:
+        for b in runs:
+            if a.run < b.run:
+                x, y = sorted((a, b), key=lambda r: (first[r["name"]], r.run))
+                score = 1.0 if x["name"] == y["name"] else model_score(y["name"], x["name"])
+                near = a.run_start and b.run_start and (a.run_start - b.run_end).days <= 30 and (b.run_start - a.run_end).days <= 30
+                if score >= 0.85 and (score < 0.9 or not near):
+                    pairs.add((x.run, y.run))
+    got, total = set(), 0
+    for r in border.collect():
+        left, right = ([int(i) for i in ids.split(",")] for ids in (r.left_ids, r.right_ids))
+        near = {tuple(map(int, x.split(":"))) for x in r.near_ids.split(",") if x}
+        own = r.left_name == r.right_name
+        got |= {(i, j) for i in left for j in right if (i, j) not in near and (not own or i < j)}
+        assert (r.left_id, r.right_id) in got
+        total += r.pairs
+    assert got == pairs and total == len(pairs)
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_dated_name_pairs_need_meeting_times(spark, few):
+    """Pairs within reach are all found, whatever names count as long active; pairs far apart leave no candidate."""
+    rng = random.Random(few)
+    base = ["apex logistics", "apex logistix", "apex logistic", "green energy", "green energi", "greens energy"]
+    rows = []
+    for i in range(150):
+        name = rng.choice(base)
+        # The last name of each family is active years later.
+        start = D(2031, 1, 1) if name in ("apex logistic", "greens energy") else D(2026, 1, 1)
+        rows.append(record(i, "nse", name, start + dt.timedelta(days=rng.choice([0, 10, 200, 260, 290]) + rng.randint(0, 40))))
+    runs = name_runs(run_days(match_keys(frame(spark, rows))))
+    swept = resolve.swept_pairs(runs, resolve.dated_name_pairs(runs, 0.9, few=few))
+    got = {(r.u, r.v) for r in resolve.fuzzy_edges(swept).collect()}
+    held = runs.collect()
+    first = {}
+    for r in held:
+        first[r["name"]] = min(first.get(r["name"], r.run), r.run)
+    want = {
+        (a.run, b.run) for a in held for b in held
+        if first[a["name"]] > first[b["name"]] and model_score(a["name"], b["name"]) >= 0.9
+        and (a.run_start - b.run_end).days <= 30 and (b.run_start - a.run_end).days <= 30
+    }
+    assert got == want and want
+    pairs = {frozenset((r.left_name, r.right_name)) for r in resolve.dated_name_pairs(runs, 0.9, few=few).collect()}
+    assert pairs == {frozenset(base[:2]), frozenset(base[3:5])}
 
 
 def test_name_runs_hot_name(spark):
     rows = [record(i, "nse", "Hot Name", D(2026, 1, 1) + dt.timedelta(days=(i % 10) * 40)) for i in range(500)] + [record(999, "nse", "Hot Name", None)]
-    runs = name_runs(match_keys(frame(spark, rows)))
+    runs = name_runs(run_days(match_keys(frame(spark, rows))))
     assert runs.count() == 11 and runs.agg(F.sum("records")).first()[0] == 501
     assert name_pairs(runs, NEAR_SCORE).count() == 0
 
@@ -233,3 +292,25 @@ def test_premium_matches(spark):
                                "slug string, company_name string, list_pos bigint")
     got = {r.entry_id: r.slug for r in contains_match(e, li).collect()}
     assert got == {1: "h1", 2: "g", 3: "s"}
+
+
+def test_contains_match_with_a_hot_lead_word(spark):
+    """Half the names start with one word: the rarest piece keeps candidates linear, and all matches are found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    names = [("industrial " if i % 2 else "") + word() + " " + word() for i in range(400)]
+    listings = [(f"s{i}", f"new {n} works" if i % 3 else n, i) for i, n in enumerate(names)]
+    entries = [(i, n if i % 5 else n.split()[-1]) for i, n in enumerate(names)]
+    e = spark.createDataFrame(entries, "entry_id bigint, company_name string")
+    li = spark.createDataFrame(listings, "slug string, company_name string, list_pos bigint")
+    want = {}
+    for i, n in entries:
+        hits = [(p, s) for s, m, p in listings if n == m or (len(n) >= 4 and n in m) or (len(m) >= 4 and m in n)]
+        if hits:
+            want[i] = min(hits)[1]
+    assert {r.entry_id: r.slug for r in contains_match(e, li).collect()} == want
+    short = e.selectExpr("company_name as name").distinct()
+    long = li.selectExpr("company_name as name").distinct()
+    # Candidates are counted before the names themselves are compared.
+    counts = [matching.looked_up(short.orderBy("name").limit(n), long).count() for n in (150, 300)]
+    assert counts[1] <= 3 * counts[0] and counts[1] <= 6 * 300
