@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from offerloom.operators import gold, quality
 from offerloom.plans.reconcile import extract_facts, reconcile, scrape_into
 from offerloom.sources import feeds, files
-from offerloom.streaming.jobs import first_seen_events, latest, premium_stream, snapshot_stream
+from offerloom.streaming import jobs
+from offerloom.streaming.store import BucketedSnapshot, cascade_delete_stored
 from tests.test_documents import FIN, OBJ, PARTY, SHARES_SME
 from tests.test_resolve import payloads
 
@@ -152,39 +153,63 @@ def test_files(spark):
     assert files.with_artifact_key(spark.createDataFrame([("a b", "x", "rhp")], "symbol string, slug string, doc_type string")).first().artifact_key == "ipos/A_B/rhp.md"
 
 
-def test_streams(spark):
+def test_streams_restart_from_their_checkpoint(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     schema = "slug string, date date, value double, ts timestamp"
     t = lambda h: dt.datetime(2026, 6, 1, h)
     day = D(2026, 6, 1)
-    spark.createDataFrame([("a", day, 1.0, t(1)), ("a", day, 2.0, t(3)), ("b", day, 5.0, t(1))], schema).coalesce(1).write.parquet(f"{root}/in/1")
-    start = spark.createDataFrame([], "slug string, date date, value double")
-    source = spark.readStream.schema(schema).parquet(f"{root}/in/*")
-    run = lambda: premium_stream(source, f"{root}/out", start).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination(120)
-    run()
-    assert {(r.slug, r.value) for r in latest(spark, f"{root}/out").collect()} == {("a", 2.0), ("b", 5.0)}
-    spark.createDataFrame([("a", day, 9.0, t(4)), ("c", day, 7.0, t(1))], schema).coalesce(1).write.parquet(f"{root}/in/2")
-    run()
-    assert {(r.slug, r.value) for r in latest(spark, f"{root}/out").collect()} == {("a", 9.0), ("b", 5.0), ("c", 7.0)}
-    ev = "entity_id bigint, status string, date date"
-    spark.createDataFrame([(1, "open", day), (1, "open", day), (1, "close", day)], ev).write.parquet(f"{root}/ev/1")
-    out = first_seen_events(spark.readStream.schema(ev).parquet(f"{root}/ev/*"))
-    q = out.writeStream.format("memory").queryName("seen_events").option("checkpointLocation", f"{root}/cp2").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("seen_events").count() == 2
+    store = BucketedSnapshot(f"{root}/out", spark.createDataFrame([("z", day, 3.0)], "slug string, date date, value double"), buckets=16)
+    batches = [
+        [("a", day, 1.0, t(1)), ("a", day, 2.0, t(3)), ("b", day, 5.0, t(1))],
+        [("a", day, 9.0, t(4)), ("c", day, 7.0, t(1))],
+        [("c", day, 8.0, t(9))],
+    ]
+    rows = spark.createDataFrame([(*r, n) for n, b in enumerate(batches) for r in b], schema + ", n int")
+    jobs.replay(rows, [F.col("n") == i for i in range(3)], lambda s: jobs.premium_stream(s, store), "premiums")
+    assert {(r.slug, r.value) for r in store.latest().collect()} == {("a", 9.0), ("b", 5.0), ("c", 8.0), ("z", 3.0)}
+    # The last batch wrote the bucket of its one key; two manifests are left, and no file that neither names.
+    assert store.versions() == [1, 2]
+    new, old = store.manifest(2), store.manifest(1)
+    assert [b for b, v in new.items() if v == 2] == store.touched(spark.createDataFrame([("c",)], "slug string"))
+    on_disk = {(int(b), v) for v in store._numbers("rows", "v=") for b in store._numbers(f"rows/v={v}", "bucket=")}
+    assert on_disk == set(new.items()) | set(old.items())
+    ev = "entity_id bigint, status string, date date, n int"
+    seen = spark.createDataFrame([(1, "open", day, 0), (1, "open", day, 0), (1, "close", day, 0), (1, "open", day, 1), (2, "open", day, 1)], ev)
+    jobs.replay(seen, [F.col("n") == 0, F.col("n") == 1], lambda s: jobs.event_stream(s.drop("n"), f"{root}/events"), "events")
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/events").collect())) == [(1, "close", day), (1, "open", day), (2, "open", day)]
+
+
+def test_bucketed_snapshot_retries_and_deletes(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    frame = lambda rows: spark.createDataFrame(rows, "slug string, n int")
+    store = BucketedSnapshot(f"{root}/t", frame([(f"s{i}", i) for i in range(40)]), buckets=8)
+    rows = lambda: {r.slug: r.n for r in store.latest().collect()}
+    for _ in range(2):
+        # A batch that runs again reads what its first run read.
+        held = store.rows(store.before(0), store.touched(frame([("s1", 0)])))
+        store.replace(0, held.withColumn("n", F.col("n") + F.when(F.col("slug") == "s1", 100).otherwise(0)), store.touched(frame([("s1", 0)])))
+        assert rows()["s1"] == 101 and len(rows()) == 40
+    other = BucketedSnapshot(f"{root}/o", frame([("s1", 1), ("s1", 2), ("x", 3)]), buckets=8)
+    cascade_delete_stored([store, other], 1, frame([("s1", 0), ("unknown", 0)]))
+    assert "s1" not in rows() and len(rows()) == 39 and [r.slug for r in other.latest().collect()] == ["x"]
+    gone = BucketedSnapshot(f"{root}/g", frame([("a", 1)]), buckets=8)
+    gone.delete(0, frame([("a", 1)]))
+    assert gone.latest().count() == 0 and gone.latest().columns == ["slug", "n"]
 
 
 def test_snapshot_stream(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     cols = "slug string, isin string, symbol string, company_name string, status string"
-    start = spark.createDataFrame([], cols + ", created_at timestamp, updated_at timestamp")
-    rec = "seq bigint, isin string, symbol string, company_name string, status string"
-    source = spark.readStream.schema(rec).parquet(f"{root}/in/*")
+    start = spark.createDataFrame([(f"old-{i}-ipo", f"X{i}", None, f"Old {i}", "listed", None, None) for i in range(30)], cols + ", created_at timestamp, updated_at timestamp")
+    store = BucketedSnapshot(f"{root}/out", start, buckets=16)
+    rec = "seq bigint, isin string, symbol string, company_name string, status string, n int"
+    rows = [(1, "I1", "A", "Acme", "open", 0), (2, None, None, "Beta", "open", 0), (3, "I1", None, "Acme Ltd", "closed", 1), (4, "X7", None, "New name", "open", 1)]
     now = lambda: F.lit("2026-06-07").cast("timestamp")
-    for n, rows in enumerate([[(1, "I1", "A", "Acme", "open"), (2, None, None, "Beta", "open")], [(3, "I1", None, "Acme Ltd", "closed")]]):
-        spark.createDataFrame(rows, rec).write.parquet(f"{root}/in/{n}")
-        snapshot_stream(source, f"{root}/out", start, now).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination(120)
-    assert {(r.slug, r.status, r.symbol) for r in latest(spark, f"{root}/out").collect()} == {("acme-ipo", "closed", "A"), ("beta-ipo", "open", None)}
+    jobs.replay(spark.createDataFrame(rows, rec), [F.col("n") == 0, F.col("n") == 1], lambda s: jobs.snapshot_stream(s.drop("n"), store, now), "records")
+    got = {r.slug: (r.status, r.symbol) for r in store.latest().collect()}
+    assert len(got) == 32 and got["acme-ipo"] == ("closed", "A") and got["beta-ipo"] == ("open", None) and got["old-7-ipo"] == ("open", None)
+    # The second batch rewrote the buckets of two slugs.
+    assert sum(v == 1 for v in store.manifest(1).values()) <= 2
 
 
 def test_reconcile_and_scrape(spark):
