@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Words of more symbols are cut; a word with more occurrences that must come in order leaves the rounds.
 _LONG, _MANY = 64, 32
 _RECUT = 16  # rounds between cuts
-_HELD, _HELD_CHARS = 300_000, 1 << 24
+_HELD, _HELD_CHARS = 100_000, 1 << 23
 _NONE = np.int32(1 << 30)
 _CODES = 0x110000
 
@@ -304,8 +304,8 @@ def _mapped(rows: DataFrame, name: str, kind: str, take: str, give) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Arrays of some million ids or characters at a time.
-            step = max(1, min(batch.num_rows, 1 + (1 << 22) * batch.num_rows // max(1, batch.nbytes)))
+            # Arrays of some hundred thousand ids or characters at a time.
+            step = max(1, min(batch.num_rows, 1 + (1 << 20) * batch.num_rows // max(1, batch.nbytes)))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
                 yield pa.RecordBatch.from_arrays([*part.columns, give(part.column(at))], names=[*part.schema.names, name])
