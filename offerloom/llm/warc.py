@@ -93,16 +93,44 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> str:
     return folder
 
 
-_HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
+#: The magic as a line of its own.
+_LINE = re.compile(rb"(?<![^\n])" + re.escape(MAGIC))
+_LENGTH = re.compile("[0-9]{1,18}")
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Fields of the record that begins at a place, and where its block begins; None if it is no header."""
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        return None
-    fields = {m[1].decode("utf-8", "replace").lower(): m[2].decode("utf-8", "replace") for m in _HEADER.finditer(data, at + len(MAGIC), end + 2)}
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+def _header(data: bytes, at: int, end: int) -> tuple[dict[str, str], int] | None:
+    """Fields of the record that begins at a place and whose header's blank line is at `end`, and where its
+    block begins; None if it is no header, as without a length of at most 18 ASCII digits."""
+    fields = {}
+    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
+        name, colon, value = line.partition(b":")
+        if colon:
+            fields[name.decode("utf-8", "replace").lower()] = value.strip(b" \t").decode("utf-8", "replace")
+    return (fields, end + 4) if _LENGTH.fullmatch(fields.get("content-length", "")) else None
+
+
+def _headers(path: str, start: int, width: int, size: int) -> Iterator[tuple[int, int]]:
+    """(place, successor's place) of all headers that begin in a range of a file.
+
+    A header ends at its first blank line and holds no other magic line, so every byte is read for
+    one header only, however often the magic is repeated.
+    """
+    first, ahead = max(0, start - 1), 1 << 16
+    data = files.get(path, first, width + ahead + start - first)
+    lines = [m.start() for m in _LINE.finditer(data)]
+    i = 0
+    while i < len(lines) and (at := lines[i]) + first < start + width:
+        following = lines[i + 1] if i + 1 < len(lines) else len(data)
+        end = data.find(b"\r\n\r\n", at, following)
+        if end < 0 and following == len(data) and first + len(data) < size:
+            ahead *= 4  # a header that is longer than what was read ahead
+            data = files.get(path, first, width + ahead + start - first)
+            lines = [m.start() for m in _LINE.finditer(data)]
+            continue
+        # What looks like a line at the front of the data may follow another character.
+        if end >= 0 and at + first >= start and (at or not first) and (h := _header(data, at, end)):
+            yield first + at, first + h[1] + int(h[0]["content-length"]) + 4
+        i += 1
 
 
 _CANDIDATE = "path string, range long, place long, next long, exit long, length long"
@@ -112,17 +140,7 @@ def _candidates(ranges: DataFrame, width: int) -> DataFrame:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, start, size in zip(frame["path"], frame["range"].tolist(), frame["length"].tolist(), strict=True):
-                data, ahead = b"", 1 << 16
-                found: list[tuple[int, int]] = []
-                data = files.get(path, start, width + ahead)
-                at = data.find(MAGIC)
-                while 0 <= at < width:
-                    while (h := _header(data, at)) is None and data.find(b"\r\n\r\n", at) < 0 and start + len(data) < size:
-                        ahead *= 4  # a header that is longer than what was read ahead
-                        data = files.get(path, start, width + ahead)
-                    if h is not None:
-                        found.append((start + at, start + h[1] + int(h[0]["content-length"]) + 4))
-                    at = data.find(MAGIC, at + 1)
+                found = list(_headers(path, start, width, size))
                 leaves: dict[int, int] = {}
                 for place, following in reversed(found):
                     leaves[place] = leaves.get(following, following)
@@ -175,7 +193,7 @@ def read_archives(spark: SparkSession, folder: str, width: int = 1 << 24) -> Dat
                 raise DamagedArchive(f"{path}: no record at {at}")
         data = files.get(path, true[0][0], true[-1][1] - true[0][0]) if true else b""
         for at, end in true:
-            fields, body = _header(data, at - true[0][0])
+            fields, body = _header(data, at - true[0][0], data.index(b"\r\n\r\n", at - true[0][0]))
             block = data[body : end - 4 - true[0][0]]
             digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
             size_of = int(fields["x-payload-length"])

@@ -113,3 +113,29 @@ def test_mtree(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_products(table).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 20480), (0, 2, 2, 20480), (0, 3, 8, 8192), (0, 4, 20, 0), (0, 5, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 2, 0), (20, 4, 8, -8192)]
     assert mtree.top_products(table.limit(0)).count() == 0
+
+
+def test_warc_payloads_that_look_like_records(spark):
+    """Lengths that are no number or too large, and magic lines without end, are only payload."""
+    import time
+
+    bad = ["99999999999999999999", "²", "-1", "", "1e3", "12 ", "9" * 18]
+    pages = [f"WARC/1.0\r\nContent-Length: {x}\r\n\r\nrest" for x in bad] + ["WARC/1.0\r\n\r\n", "x WARC/1.0\r\nContent-Length: 3\r\n\r\n"]
+    pages += ["WARC/1.0\r\na: b\r\n" * 60_000, "WARC/1.0\r\n" * 100_000, "\r\n\r\n" * 100_000, "no colon " * 100_000, "WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 2_000]
+    table = spark.createDataFrame([(i, f"http://h/{i}/WARC/1.0", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    folder = warc.write_archives(table.repartition(2))
+    for width in (1 << 24, 30_011):
+        begun = time.time()
+        got = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, folder, width=width).collect()}
+        assert got == {i: len(p.encode()) for i, p in enumerate(pages)}
+        assert time.time() - begun < 120
+
+
+def test_warc_headers_are_read_in_linear_time(tmp_path):
+    import time
+
+    for text in (b"WARC/1.0\r\na: b\r\n" * 60_000, b"WARC/1.0\r\n" * 100_000, b"WARC/1.0\r\n" + b"no colon " * 120_000, b"WARC/1.0\r\nContent-Length: 99999999999999999999\r\n\r\n" * 20_000):
+        (tmp_path / "f").write_bytes(text)
+        begun = time.time()
+        assert not list(warc._headers(f"file://{tmp_path}/f", 0, 1 << 24, len(text)))
+        assert time.time() - begun < 5
