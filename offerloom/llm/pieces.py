@@ -249,7 +249,7 @@ class Pieces:
         if len(self.known) > _HELD or self.held > _HELD_CHARS:
             self.known, self.older, self.held = {}, self.known, 0
         new = words.difference(self.known)
-        again = new.intersection(self.older)
+        again = {w for w in new if w in self.older}
         self.known.update({w: self.older[w] for w in again})
         fresh = list(new - again)
         if fresh:

@@ -197,14 +197,22 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int | Non
     """Encode (doc_id, text) in ascending doc_id order; returns one row per file, in `part`, `file` order.
 
     Null and empty texts are documents of the end id alone (of no ids, without one); null ids come
-    first; rows that repeat an id are ordered by text. A task holds one file's ids. Files are written
+    first; rows that repeat an id are ordered by a hash of their ids. Texts are encoded where they are read, and only
+    their ids, two bytes each, are sorted; a task holds one file's ids. Files are written
     under a temporary name and renamed, so a task that runs again leaves the same files.
     """
     path, folder = tokenizer or default_tokenizer(), scratch(docs.sparkSession, "token-files")
     end = b"" if end_id is None else np.array([end_id], "<u2").tobytes()
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = pieces(path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                blobs = [blob + end for blob in encoder.encode(batch.column(1).slice(a, 256).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), pieces(path)
+        part = TaskContext.get().partitionId()
         number, ids, blobs, held = 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -216,20 +224,23 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, end_id: int | Non
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(names), 256):
-                for name, blob in zip(names[a : a + 256], encoder.encode(texts.slice(a, 256).to_pylist()), strict=True):
-                    ids.append(name)
-                    blobs.append(blob + end)
-                    held += len(blob) // 2 + 1
-                    if held >= file_tokens:
-                        yield flush()
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(name)
+                blobs.append(blob)
+                # A document without ids counts too, so a file has a bounded number of them.
+                held += len(blob) // 2 + (not end)
+                if held >= file_tokens:
+                    yield flush()
         if ids:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(write, "part long, file long, path string, docs long, tokens long, bytes long"), "token-manifest")
+    coded = rows.mapInArrow(encode, "doc_id long, ids binary")
+    # The row number only tells equal rows apart, which may follow each other in any order.
+    coded = stored(coded.select("doc_id", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"), "ids"), "token-ids")
+    order = ["doc_id", "h", "row"]
+    ordered = coded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return stored(ordered.mapInArrow(write, "part long, file long, path string, docs long, tokens long, bytes long"), "token-manifest")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:

@@ -18,7 +18,11 @@ import numpy as np
 
 from .common import SLICE_CHARS, slices
 
-_PIECES = re.compile(r" ?[^\W\d_]+(?=[!-/:-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: A word of letters that ASCII punctuation, white space or the end follows (ASCII words first, for speed), else
+#: characters up to white space, else white space.
+_PIECES = re.compile(
+    r" ?[A-Za-z]++(?![^\t-\r -/:-@\[-`{-~])| ?[^\W\d_]++(?![^\s!-/:-@\[-`{-~])| ?\S++|\s+(?!\S)|\s+"
+)
 #: White space to Python but not to the tokenizer; such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,8 +57,8 @@ class Pieces:
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized or re.search(r"\s", t.content) for t in added):
             raise ValueError("added tokens must stand for themselves, wherever they are")
-        longest = sorted((t.content for t in added), key=len, reverse=True)
-        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.specials = longest = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")")
         if self.tokenizer.get_vocab_size() > 1 << 16 or self._ids(["\n"]) != [[_NEWLINE]]:
             raise ValueError("a byte-level tokenizer of at most 65,536 ids is needed")
         self.letters = _byte_letters()
@@ -68,7 +72,7 @@ class Pieces:
         if len(self.known) > _HELD:
             self.known, self.older = {}, self.known
         new = set().union(*pieces).difference(self.known)
-        again = new.intersection(self.older)
+        again = {p for p in new if p in self.older}
         self.known.update({p: self.older[p] for p in again})
         new -= again
         words = [p for p in new if (p[1:] if p[0] == " " else p).isalpha()]
@@ -82,7 +86,7 @@ class Pieces:
                 self.known[piece] = array("H", [t.id for t in tokenize(word)]).tobytes()
 
     def _cut(self, text: str) -> list[str]:
-        if self.added is None or not self.added.search(text):
+        if not any(t in text for t in self.specials):
             return _PIECES.findall(text)
         # Every other part is an added token.
         parts = self.added.split(text)

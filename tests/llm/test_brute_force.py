@@ -288,7 +288,6 @@ def test_token_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.default_tokenizer())
-    plain.encode_special_tokens = True
     rng = random.Random(12)
     signs = "ab é²½Ⅷ١1_' \n\t\x1c\x85 　.,!#́漢字я<|endoftext|>"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["don't we'll\n\n I'M  so", "", "wort " * 500_000]
