@@ -10,8 +10,8 @@ their whole texts.
 
 Equal word sequences are one node from the start. Within a bucket of a band, nodes are not paired with
 each other but with a pivot: first a random one, then the node with the most links. Nodes already in the
-pivot's component are not tested again. What then still lies in different components of a bucket is
-compared too, but for pairs that the triangle inequality of the Jaccard distance excludes.
+pivot's component are not tested again. Nodes of buckets that then still hold several components meet by
+their rarest shingles, in a prefix-filter join that loses no link between them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -31,8 +32,6 @@ from .common import slices, stored
 SPAN = 5
 ROWS = 5
 BANDS = 26
-#: In a bucket of over LARGE nodes pairs are told apart by shingles that at most RARE nodes have.
-LARGE, RARE = 64, 32
 _M = ROWS * BANDS
 _U = np.uint64
 _R, _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1, 0x165667B19E3779F9 | 1
@@ -220,8 +219,8 @@ def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("u", "v", similarity("a", "b").alias("similarity"))
 
 
-def _rare(texts: DataFrame) -> DataFrame:
-    """Per node its shingles that at most RARE nodes of texts have: their number and sum of counts, and the hashes of those not its own alone."""
+def _cells(texts: DataFrame) -> DataFrame:
+    """Distinct shingles of each node: node, h, and w, how often it occurs."""
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             held = frame["text"].tolist()
@@ -229,12 +228,45 @@ def _rare(texts: DataFrame) -> DataFrame:
                 doc, h, w = weighted(*shingles(held[a:b])[:2])
                 yield pd.DataFrame({"node": frame["node"].to_numpy()[a:b][doc], "h": h.view(np.int64), "w": w})
 
-    cells = stored(texts.select("node", "text").mapInPandas(spread, "node long, h long, w long"), "near-cells")
-    counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE), "near-rare")
-    held = cells.join(counts, "h").groupBy("node").agg(
-        F.count(F.lit(1)).alias("q"), F.sum("w").alias("qw"), F.collect_list(F.when(F.col("c") > 1, F.col("h"))).alias("rare")
-    )
-    return held
+    return texts.select("node", "text").mapInPandas(spread, "node long, h long, w long")
+
+
+def prefix_pairs(texts: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different components that may be linked: a prefix-filter join over weighted shingles.
+
+    If x and y do not share the parts p and q of their weights, their probability Jaccard is at most
+    (1 - p)(1 - q) / (1 - p q); with all weights 1 that is their plain Jaccard. Shingles are put in one order, the
+    measured rarest first. Before the first shingle that two nodes share there is only weight that they do not
+    share, so a linked pair meets at a shingle whose weights before it satisfy that bound, and one
+    of them is at most (1 - t) / (1 + t). A node is entered under the shingles before which at most 1 - t of its
+    weight lies; each of the two measures has its entries, one for both where no shingle repeats.
+    """
+    cells = stored(_cells(texts), "near-cells")
+    counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "near-counts")
+    ranked = cells.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    before = W.partitionBy("node").orderBy("c", "h").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("node")
+    zero = F.lit(0).cast("long")
+    placed = ranked.select(
+        "node", "h", "c",
+        (F.coalesce(F.count(F.lit(1)).over(before), zero) / F.count(F.lit(1)).over(whole)).alias("even"),
+        (F.coalesce(F.sum("w").over(before), zero) / F.sum("w").over(whole)).alias("own"),
+        (F.max("w").over(whole) > 1).alias("repeats"),
+    ).filter("c > 1")
+    both = F.array(F.struct(F.lit(2).alias("m"), F.col("even").alias("p")))
+    each = F.array(F.struct(F.lit(0).alias("m"), F.col("even").alias("p")), F.struct(F.lit(1).alias("m"), F.col("own").alias("p")))
+    entries = placed.select("node", "h", F.explode(F.when(F.col("repeats"), each).otherwise(both)).alias("e")).select("node", "h", "e.m", "e.p")
+    slack = 1e-9
+    entries = entries.filter(F.col("p") <= 1 - threshold + slack).join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    # A shingle whose nodes are of one component has nothing to tell.
+    mixed = entries.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    entries = stored(entries.join(mixed, "h"), "near-entries")
+    left = entries.filter(F.col("p") <= (1 - threshold) / (1 + threshold) + slack)
+    right = entries.select(*[F.col(c).alias(f"{c}_v") for c in ("h", "node", "m", "p", "comp")])
+    same = (F.col("m") == F.col("m_v")) | (F.col("m") == 2) | (F.col("m_v") == 2)
+    bound = (1 - F.col("p")) * (1 - F.col("p_v")) >= threshold * (1 - F.col("p") * F.col("p_v")) - slack
+    met = left.join(right, (F.col("h") == F.col("h_v")) & (F.col("comp") != F.col("comp_v")) & same & bound)
+    return met.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v")).distinct()
 
 
 def _hubs(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -250,12 +282,6 @@ def _hubs(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(stored(hubs, "near-hubs"), "node", "left").withColumn("comp", F.coalesce("hub", "node")).drop("hub")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket rows with the component of their node."""
-    comps = stored(connected_components(links.select("u", "v")), "near-components").withColumnRenamed("id", "node")
-    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), n_words, text_hash and stays.
 
@@ -293,36 +319,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         seen = stored(_tested(pairs, texts), "near-tested")
         tested = seen if tested is None else tested.unionByName(seen)
         links = tested.filter(F.col("similarity") >= threshold).select("u", "v")
-    # The rest: nodes of one bucket in different components, if the distances to the bucket's pivot allow a
-    # link and, in large buckets, their rare shingles: if x with s shingles and y share none of x's p and y's
-    # q rare ones, at most s - p are shared and at least s + q are in either.
-    labelled = _labelled(rows, links)
-    split = labelled.groupBy("band", "h").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node")).alias("p"), F.count(F.lit(1)).alias("members")
-    ).filter("lo < hi")
-    sizes = nodes.select("node", "size", F.greatest(F.col("n") - SPAN + 1, F.lit(1)).alias("total"))
-    of_pivot = sizes.select(F.col("node").alias("pivot"), (F.col("size") == F.col("total")).alias("plain"))
-    split = stored(split.select("band", "h", F.col("p.node").alias("pivot"), (F.col("members") > LARGE).alias("large")).join(of_pivot, "pivot"), "near-split")
-    far = tested.select("u", "v", (1 - F.col("similarity")).alias("d"))
-    apart = labelled.join(split, ["band", "h"]).withColumn("u", F.least("node", "pivot")).withColumn("v", F.greatest("node", "pivot"))
-    distance = F.when(F.col("plain"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-    apart = stored(apart.join(far, ["u", "v"], "left").select("band", "h", "node", "comp", "large", distance.alias("d")), "near-apart")
-    rare = stored(_rare(texts.join(apart.filter("large").select("node").distinct(), "node")), "near-rare-of")
-    zero = F.lit(0).cast("long")
-    facts = apart.join(sizes, "node").join(rare, "node", "left")
-    own = [F.when(F.col("large"), F.coalesce(c, zero)).otherwise(zero).alias(c) for c in ("q", "qw")]
-    apart = stored(facts.select("band", "h", "node", "comp", "d", "size", "total", *own, F.when(F.col("large"), F.col("rare")).alias("rare")), "near-left-over")
-    other = apart.select("band", "h", *[F.col(c).alias(f"{c}_v") for c in ("comp", "d", "size", "total", "q", "qw", "rare")], F.col("node").alias("v"))
-    shared = F.least((F.col("size") - F.col("q")) / (F.col("size") + F.col("q_v")), (F.col("size_v") - F.col("q_v")) / (F.col("size_v") + F.col("q")))
-    by_counts = F.least(1 - F.col("qw") / F.col("total"), 1 - F.col("qw_v") / F.col("total_v"))
-    # Without repeated shingles the two similarities are one, and its distance obeys the triangle inequality.
-    plain = (F.col("size") == F.col("total")) & (F.col("size_v") == F.col("total_v"))
-    most = F.when(plain, shared).otherwise(F.greatest(shared, by_counts))
-    meets = F.coalesce(F.arrays_overlap("rare", "rare_v"), F.lit(False))
-    near = ~plain | F.coalesce(F.abs(F.col("d") - F.col("d_v")) <= 1 - threshold + 1e-9, F.lit(True))
-    near = near & ((most >= threshold - 1e-9) | meets)
-    rest = apart.withColumnRenamed("node", "u").join(other, ["band", "h"]).filter((F.col("comp") < F.col("comp_v")) & near)
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti")
+    # The rest: nodes of buckets that still hold several components, by their rarest shingles.
+    comps = stored(connected_components(links), "near-components").withColumnRenamed("id", "node")
+    labelled = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    split = labelled.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "h")
+    apart = stored(rows.join(split, ["band", "h"]).select("node").distinct(), "near-apart")
+    rest = prefix_pairs(texts.join(apart, "node"), comps, threshold).join(tested.select("u", "v"), ["u", "v"], "left_anti")
     last = stored(_tested(rest, texts), "near-rest")
     links = links.unionByName(last.filter(F.col("similarity") >= threshold).select("u", "v"))
 

@@ -80,10 +80,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-@pytest.mark.parametrize("large", [64, 2])
-def test_near_duplicates_against_all_pairs(spark, large, monkeypatch):
-    monkeypatch.setattr(near_dup, "LARGE", large)
-    monkeypatch.setattr(near_dup, "RARE", large)
+def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(5)
     texts = []
     for _ in range(25):
@@ -117,6 +114,43 @@ def test_near_duplicates_against_all_pairs(spark, large, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_prefix_join_loses_no_link_and_leaves_a_star_family_alone(spark):
+    """Every pair of texts at the threshold is a candidate; texts that differ in enough shingles of their own meet nowhere."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(8):
+        base = [word() for _ in range(rng.randrange(30, 120))]
+        for _ in range(7):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(len(t))] = word()
+            if rng.random() < 0.4:
+                a = rng.randrange(len(t) - 12)
+                t += t[a : a + 12] * rng.randrange(1, 6)
+            texts.append(" ".join(t))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    none = spark.createDataFrame([], "node long, component long")
+    met = {(r["u"], r["v"]) for r in near_dup.prefix_pairs(nodes, none, 0.8).collect()}
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    similar = near_dup.similarities([texts[u] for u, _ in pairs], [texts[v] for _, v in pairs])
+    linked = {p for p, s in zip(pairs, similar, strict=True) if s >= 0.8}
+    assert len(linked) > 20 and linked <= met and len(met) < len(pairs) / 3
+    # Each text replaces three words of a hundred: 15 of 96 shingles are its own, any two are about 0.73 similar.
+    base = [word() for _ in range(100)]
+    family = []
+    for i in range(150):
+        t = list(base)
+        for k in (10, 40, 70):
+            t[k] = f"own{i}x{k}"
+        family.append((i, " ".join(t)))
+    star = spark.createDataFrame(family, "node long, text string")
+    assert near_dup.prefix_pairs(star, none, 0.8).count() == 0
+    # Pairs of one component are left out.
+    same = spark.createDataFrame([(i, 0) for i in range(len(texts))], "node long, component long")
+    assert near_dup.prefix_pairs(nodes, same, 0.8).count() == 0
+
+
 def test_near_duplicates_with_repeated_passages(spark):
     rng = random.Random(15)
     texts = []
