@@ -18,6 +18,8 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -44,7 +46,51 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Pieces:
+class Decoder:
+    """Texts of ids; all that a reader needs of a model file."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size, self.end = lib.get_piece_size(), lib.eos_id()
+        names = [lib.id_to_piece(i) for i in range(self.size)]
+        self.silent = [lib.is_control(i) for i in range(self.size)]
+        self.special = [c or lib.is_unknown(i) or lib.is_byte(i) for i, c in enumerate(self.silent)]
+        self.byte = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.names = names
+        self.spaced = [n.startswith(SPACE) and not special for n, special in zip(names, self.special, strict=True)]
+        table = [b"" if silent else n.replace(SPACE, " ").encode() for n, silent in zip(names, self.silent, strict=True)]
+        for b, i in enumerate(self.byte.tolist()):
+            table[i] = bytes([b])
+        table[lib.unk_id()] = " ⁇ ".encode()
+        self.table = table
+
+    def decode(self, lists: Sequence[Sequence[int]]) -> list[str]:
+        """The text of each list of ids; bytes that are no UTF-8 become U+FFFD each."""
+        table, silent, spaced = self.table, self.silent, self.spaced
+        out = []
+        for ids in lists:
+            found = [table[i] for i in ids]
+            # Control ids have no text; bytes on both sides of one make no common character.
+            if b"" in found[:-1]:
+                first = next((i for i in ids if not silent[i]), None)
+                parts = self._between(found)
+            else:
+                first, parts = ids[0] if len(found) else None, [b"".join(found)]
+            text = "".join([p.decode("utf-8", "offerloom-bytes") for p in parts])
+            out.append(text[1:] if first is not None and spaced[first] else text)
+        return out
+
+    @staticmethod
+    def _between(found: list[bytes]) -> list[bytes]:
+        parts: list[list[bytes]] = [[]]
+        for x in found:
+            parts[-1].append(x) if x else parts.append([])
+        return [b"".join(p) for p in parts]
+
+
+class Pieces(Decoder):
     """Encoder and decoder of one model file.
 
     The model must be BPE with byte fallback, a space in front, and no other normalisation; a few texts are
@@ -52,19 +98,11 @@ class Pieces:
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
-        import sentencepiece
-
-        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = lib.get_piece_size()
-        special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(size)]
+        super().__init__(path)
+        lib, size, special = self.library, self.size, self.special
         if any(lib.is_unused(i) for i in range(size)):
             raise ValueError("pieces must not be marked unused")
-        names = [lib.id_to_piece(i) for i in range(size)]
-        self.size, self.end = size, lib.eos_id()
-        self.vocabulary = {n: i for i, n in enumerate(names) if not special[i]}
-        self.byte = np.array([lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.vocabulary = {n: i for i, n in enumerate(self.names) if not special[i]}
         # Ranks: 0 is the best score; equal scores share one.
         scores = np.array([0.0 if special[i] else -lib.get_score(i) for i in range(size)])
         ranks = np.unique(scores, return_inverse=True)[1].astype(np.int32)
@@ -91,13 +129,6 @@ class Pieces:
             self.words = re.compile("(?s).+")
         else:
             self.words = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        table = [b"" if lib.is_control(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
-        for b, i in enumerate(self.byte.tolist()):
-            table[i] = bytes([b])
-        table[lib.unk_id()] = " ⁇ ".encode()
-        self.table = table
-        self.spaced = [n.startswith(SPACE) and not special[i] for i, n in enumerate(names)]
-        self.silent = [lib.is_control(i) for i in range(size)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -117,15 +148,15 @@ class Pieces:
     @functools.cached_property
     def live(self) -> np.ndarray:
         """Keys of neighbouring symbols that lie together in some piece."""
-        keys = set()
+        keys = array("q")
         for name in self.vocabulary:
             for i in range(len(name) - 1):
                 for j in range(i + 1, len(name)):
                     left = self._symbol(name[i:j])
                     if left is not None:
                         rights = (self._symbol(name[j:k]) for k in range(j + 1, len(name) + 1))
-                        keys.update(self._key(left, r) for r in rights if r is not None)
-        return np.array(sorted(keys), np.int64)
+                        keys.extend(self._key(left, r) for r in rights if r is not None)
+        return np.unique(np.frombuffer(keys, np.int64))
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair of symbols; pairs that make no piece have the rank _NONE."""
@@ -267,71 +298,59 @@ class Pieces:
             out += [np.frombuffer(b"".join(map(look, w)), "<i4") for w in words]
         return out
 
-    def decode(self, lists: Sequence[Sequence[int]]) -> list[str]:
-        """The text of each list of ids; bytes that are no UTF-8 become U+FFFD each."""
-        table, silent, spaced = self.table, self.silent, self.spaced
-        out = []
-        for ids in lists:
-            found = [table[i] for i in ids]
-            # Control ids have no text; bytes on both sides of one make no common character.
-            if b"" in found[:-1]:
-                first = next((i for i in ids if not silent[i]), None)
-                parts = self._between(found)
-            else:
-                first, parts = ids[0] if len(found) else None, [b"".join(found)]
-            text = "".join([p.decode("utf-8", "offerloom-bytes") for p in parts])
-            out.append(text[1:] if first is not None and spaced[first] else text)
-        return out
-
-    @staticmethod
-    def _between(found: list[bytes]) -> list[bytes]:
-        parts: list[list[bytes]] = [[]]
-        for x in found:
-            parts[-1].append(x) if x else parts.append([])
-        return [b"".join(p) for p in parts]
-
-
 @functools.lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     """One encoder per Python worker."""
     return Pieces(path)
 
 
-def _mapped(rows: DataFrame, name: str, kind: str, take: str, give) -> DataFrame:
-    """Add a column computed from batches of another; all other columns pass through."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{name}` {kind}"
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder per Python worker."""
+    return Decoder(path)
+
+
+def _mapped(rows: DataFrame, added: dict[str, str], take: str, give) -> DataFrame:
+    """Add columns computed from batches of another; all other columns pass through."""
+    for name in added:
+        if name in rows.columns:
+            raise ValueError(f"the column {name} is there already")
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*((f.name, f.dataType.simpleString()) for f in rows.schema.fields), *added.items()])
     at = rows.columns.index(take)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Arrays of some hundred thousand ids or characters at a time.
-            step = max(1, min(batch.num_rows, 1 + (1 << 20) * batch.num_rows // max(1, batch.nbytes)))
+            step = max(1, min(batch.num_rows, 1 + (1 << 19) * batch.num_rows // max(1, batch.nbytes)))
             for a in range(0, batch.num_rows, step):
                 part = batch.slice(a, step)
-                yield pa.RecordBatch.from_arrays([*part.columns, give(part.column(at))], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *give(part.column(at))], names=[*part.schema.names, *added])
 
     return rows.mapInArrow(run, schema)
 
 
-def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, end: bool = True) -> DataFrame:
-    """Add the ids of each text as array<int>, by default closed by the end id.
+def _lists(found: Sequence[np.ndarray], tail: np.ndarray) -> pa.Array:
+    lengths = np.array([len(f) + len(tail) for f in found], np.int64)
+    flat = np.concatenate([x for f in found for x in (f, tail)]) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, end: bool = True, decoded: str | None = None) -> DataFrame:
+    """Add the ids of each text as array<int>, by default closed by the end id, and where named, the text decoded from them.
 
-    Equal to the library's encode(text) without sampling. A null text counts as empty, an empty one has the
-    end id only. Rows stay as they are, repeated ones too. A column named as the new one raises ValueError.
+    Equal to the library's encode(text) without sampling, and its decode(ids). A null text counts as empty, an
+    empty one has the end id only. Rows stay as they are, repeated ones too. A column named as a new one raises ValueError.
     """
-    if ids in docs.columns:
-        raise ValueError(f"the column {ids} is there already")
     path = model or default_model()
 
-    def give(texts: pa.Array) -> pa.Array:
+    def give(texts: pa.Array) -> list[pa.Array]:
         encoder = pieces(path)
         found = encoder.encode(texts.to_pylist())
-        tail = np.array([encoder.end] * end, np.int32)
-        lengths = np.array([len(f) + len(tail) for f in found], np.int64)
-        flat = np.concatenate([x for f in found for x in (f, tail)]) if found else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+        out = [_lists(found, np.array([encoder.end] * end, np.int32))]
+        return [*out, pa.array(encoder.decode([f.tolist() for f in found]), pa.string())] if decoded else out
 
-    return _mapped(docs.withColumn(text, F.col(text).cast("string")), ids, "array<int>", text, give)
+    added = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    return _mapped(docs.withColumn(text, F.col(text).cast("string")), added, text, give)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
@@ -339,26 +358,24 @@ def decode_ids(rows: DataFrame, ids: str = "ids", text: str = "decoded", model:
 
     A null list gives an empty text; null ids are left out. A column named as the new one raises ValueError.
     """
-    if text in rows.columns:
-        raise ValueError(f"the column {text} is there already")
     path = model or default_model()
 
-    def give(lists: pa.Array) -> pa.Array:
+    def give(lists: pa.Array) -> list[pa.Array]:
         if lists.null_count or lists.flatten().null_count:
             given = [[i for i in v if i is not None] if v else [] for v in lists.to_pylist()]
         else:
             flat, edges = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
             given = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.array(pieces(path).decode(given), pa.string())
+        return [pa.array(decoder(path).decode(given), pa.string())]
 
-    return _mapped(rows, text, "string", ids, give)
+    return _mapped(rows, {text: "string"}, ids, give)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Per document: doc_id, the number of ids, and digests of the ids and of the text decoded from them."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    coded = encode_texts(rows, model=model).select("doc_id", "ids")
-    back = decode_ids(coded, model=model)
+    # One Python worker a task does both.
+    back = encode_texts(rows, model=model, decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
