@@ -60,8 +60,11 @@ def classify_with_hint(hint: Column, url: Column) -> Column:
     return F.coalesce(known, classify_by_name(url)["doc_type"], F.lit("drhp"))
 
 
-def admission(filename: Column, pages: Column, head: Column) -> Column:
-    """Why a file is (not) taken as a prospectus; 0 pages means the count is unknown."""
+def admission(filename: Column, pages: Column, head: Column, least_pages: int = 3, whole_pages: int = 20) -> Column:
+    """Why a file is (not) taken as a prospectus; 0 pages means the count is unknown.
+
+    A prospectus has ``least_pages`` at least, and below ``whole_pages`` it must not call itself abridged.
+    """
     name = F.lower(F.coalesce(filename, F.lit("")))
     abridged = F.lower(F.coalesce(head, F.lit(""))).contains("abridged")
     # Words of files that accompany a prospectus.
@@ -69,8 +72,8 @@ def admission(filename: Column, pages: Column, head: Column) -> Column:
     return (
         F.when(name.rlike(side_papers), "not_a_prospectus")
         .when(name.contains("abridged"), "abridged_detected")
-        .when((pages > 0) & (pages < 3), F.when(abridged, "abridged_detected").otherwise("not_a_prospectus"))
-        .when((pages < 20) & abridged, "abridged_detected")
+        .when((pages > 0) & (pages < least_pages), F.when(abridged, "abridged_detected").otherwise("not_a_prospectus"))
+        .when((pages < whole_pages) & abridged, "abridged_detected")
         .otherwise("success")
     )
 

@@ -30,35 +30,50 @@ def _row_shares(cells: Column, label_idx: Column) -> Column:
     return F.coalesce(worded, F.get(plain, F.lit(0)))
 
 
-def _labelled(rows: Column, patterns: list[str]) -> Column:
+#: Any label of any field; a cell without a match is looked at no further.
+_ANY_LABEL = "|".join(f"(?:{p})" for patterns in R.SHARE_LABELS.values() for p in patterns)
+_TAGGED = "array<struct<label:string,shares:bigint>>"
+
+
+def _tagged(rows: Column, label_chars: int | None) -> Column:
+    """Label cells of all rows with the share count of their row, in order: one pass over the cells."""
     def in_row(row: Column) -> Column:
-        found = F.transform(
-            row,
-            lambda c, i: F.when(
-                (c != "") & (F.length(c) <= R.LABEL_CHARS) & reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]),
-                _row_shares(row, i),
-            ),
-        )
-        return F.filter(found, lambda v: v.isNotNull())
+        def is_label(c: Column) -> Column:
+            short = F.lit(True) if label_chars is None else F.length(c) <= label_chars
+            return (c != "") & short & c.rlike(_ANY_LABEL)
+
+        found = F.transform(row, lambda c, i: F.when(is_label(c), F.struct(c.alias("label"), _row_shares(row, i).alias("shares"))))
+        return F.filter(found, lambda t: t["shares"].isNotNull())
 
-    return F.flatten(F.transform(rows, in_row)).cast(SHARES)
+    return F.flatten(F.transform(rows, in_row)).cast(_TAGGED)
 
 
-def _in_prose(text: Column, pattern: str) -> Column:
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+def _labelled(tagged: Column, patterns: list[str]) -> Column:
+    own = F.filter(tagged, lambda t: reduce(lambda a, b: a | b, [t["label"].rlike(p) for p in patterns]))
+    return F.transform(own, lambda t: t["shares"]).cast(SHARES)
+
+
+def _in_prose(text: Column, lowered: Column, pattern: str, word: str) -> Column:
+    """Counts that a pattern finds in running text; only texts with the word can match."""
+    hits = F.when(F.contains(lowered, F.lit(word)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(hits, parse_shares), lambda v: v.isNotNull()).cast(SHARES)
 
 
-def share_candidates(docs: DataFrame) -> DataFrame:
-    """docs + flat text + one array of candidate counts per field, tables before prose."""
+def share_candidates(docs: DataFrame, label_chars: int | None = None) -> DataFrame:
+    """docs + flat text + one array of candidate counts per field, tables before prose.
+
+    Cells are matched once against all labels together, and only label cells by field. With ``label_chars``
+    (surveyed: R.LABEL_CHARS) longer cells are no labels.
+    """
     rows = once(with_tables(docs), {"_rows": F.transform(F.flatten("tables"), lambda r: F.transform(r, squeeze)), "_flat": squeeze(F.col("text"))})
+    tagged = once(rows, {"_tags": _tagged(F.col("_rows"), label_chars), "_low": F.lower("_flat")})
     fields = {}
     for field, labels in R.SHARE_LABELS.items():
-        parts = [_labelled(F.col("_rows"), labels)]
+        parts = [_labelled(F.col("_tags"), labels)]
         if field in R.SHARE_PROSE:
-            parts.append(_in_prose(F.col("_flat"), R.SHARE_PROSE[field]))
+            parts.append(_in_prose(F.col("_flat"), F.col("_low"), R.SHARE_PROSE[field], R.PROSE_WORD[field]))
         fields[f"c_{field}"] = F.array_distinct(F.concat(*parts))
-    return once(rows, fields).drop("_rows", "tables")
+    return once(tagged, fields).drop("_rows", "_tags", "_low", "tables")
 
 
 RESERVED = "struct<score:int,ord:int,fresh:bigint,mm:bigint,emp:bigint,net:bigint>"
@@ -119,14 +134,14 @@ def sale_type(fresh: Column, ofs: Column) -> Column:
     )
 
 
-def issue_details(docs: DataFrame) -> DataFrame:
+def issue_details(docs: DataFrame, label_chars: int | None = None) -> DataFrame:
     """docs(doc_id, text, is_sme) → share structure, its invariants and a confidence."""
     sme = F.coalesce(F.col("is_sme"), F.lit(True))
     zero = lambda c: F.coalesce(c, F.lit(0))
     first = lambda f: F.get(f"c_{f}", F.lit(0))
     flat = F.col("_flat")
     found = [F.col(f"c_{f}") for f in ("freshIssueShares", "marketMakerShares", "employeeReservationShares", "netOfferShares")]
-    r = once(share_candidates(docs), {"_res": reservation_match(*found)})
+    r = once(share_candidates(docs, label_chars), {"_res": reservation_match(*found)})
     ofs_found = first("ofsShares")
     ofs_only = ofs_found.isNotNull() & (F.size("c_freshIssueShares") == 0) & flat.rlike(R.OFS_ONLY)
     r = once(r, {
@@ -344,11 +359,12 @@ def _object_row(row: Column) -> Column:
     )
 
 
-def objects_of_issue(docs: DataFrame) -> DataFrame:
+def objects_of_issue(docs: DataFrame, few: int = 2, list_chars: int | None = None) -> DataFrame:
     """doc_id, ord, name, amount, amount_cr, total, total_cr, unit, origin.
 
-    The table with a general-purpose row and most object rows is read; with fewer than two
-    objects the numbered list in the text is used when it names more.
+    The table with a general-purpose row and most object rows is read; with fewer than ``few``
+    objects the numbered list in the text is used when it names more. The list is read to the end of the
+    text; with ``list_chars`` (surveyed: R.OBJECT_LIST_SPAN) for so many characters.
     """
     staged = once(with_tables(docs), {"_tables": F.transform("tables", _printed_rows)})
 
@@ -364,7 +380,7 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
     staged = once(staged, {"_read": F.coalesce(F.transform(rows, _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>"))})
     flat = squeeze(F.col("text"))
     at = F.regexp_instr(flat, F.lit(R.OBJECT_LIST_HEAD))
-    span = F.when(at > 0, F.substr(flat, at, F.lit(R.OBJECT_LIST_SPAN)))
+    span = F.when(at > 0, F.substr(flat, at) if list_chars is None else F.substr(flat, at, F.lit(list_chars)))
     named = F.filter(
         F.transform(F.regexp_extract_all(span, F.lit(R.OBJECT_LIST_ITEM), F.lit(1)), clean_object_name), lambda n: F.length(n) >= 8
     )
@@ -377,7 +393,7 @@ def objects_of_issue(docs: DataFrame) -> DataFrame:
     lowered = F.transform("_named", F.lower)
     listed = F.filter("_named", lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
     staged = staged.withColumn("_listed", F.transform(listed, lambda n: F.struct(F.lit("object").alias("kind"), n.alias("name"), F.lit(None).cast("double").alias("amount"))))
-    use_list = (F.size("_objects") < 2) & (F.size("_listed") > F.size("_objects"))
+    use_list = (F.size("_objects") < few) & (F.size("_listed") > F.size("_objects"))
     staged = staged.withColumns({
         "_final": F.when(use_list, F.col("_listed")).otherwise(F.col("_objects")),
         "origin": F.when(use_list, "list").otherwise("table"),

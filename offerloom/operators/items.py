@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import let, normalize_heading, parse_indian_num, parse_indian_number, trailing_page_number
@@ -299,20 +298,46 @@ def promoter_holding(items: DataFrame, last_page: int | None = None) -> DataFram
 # --- tables by column positions ---------------------------------------------------------
 
 
+_RUNS = "array<struct<lo:bigint,hi:bigint,n:bigint>>"
+
+
+def _column_runs(xs: Column, gap: int) -> Column:
+    """Sorted positions → runs (lo, hi, n) that a gap separates, in one sweep."""
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        near = F.coalesce(x - last["hi"] < gap, F.lit(False))
+        grown = F.array(F.struct(last["lo"].alias("lo"), x.alias("hi"), (last["n"] + 1).alias("n")))
+        fresh = F.array(F.struct(x.alias("lo"), x.alias("hi"), F.lit(1).cast("long").alias("n")))
+        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, fresh)).cast(_RUNS)
+
+    return F.aggregate(xs, F.array().cast(_RUNS), step)
+
+
+def _centers(xs: Column, gap: int, least: int) -> Column:
+    """array<struct<center, items>> of the runs with so many positions, from left to right."""
+    kept = F.filter(_column_runs(F.array_sort(xs), gap), lambda r: r["n"] >= least)
+    return F.transform(kept, lambda r: F.struct(_round_half_up((r["lo"] + r["hi"]) / 2).alias("center"), r["n"].alias("items")))
+
+
+def _column_of(x: Column, centers: Column) -> Column:
+    """Index of the closest of the sorted centers, the lowest on ties: the number of middles that x lies beyond."""
+    middles = F.transform(F.slice(centers, 2, F.greatest(F.size(centers) - 1, F.lit(0))), lambda c, i: (c["center"] + F.get(centers, i)["center"]) / 2)
+    return F.size(F.filter(middles, lambda m: x > m))
+
+
+def page_columns(items: DataFrame, gap: int = 20, least: int = 2) -> DataFrame:
+    """One row per page: its items (x, seq, str) and the columns (center, items) that their positions form.
+
+    Columns are runs of x positions closer than ``gap``, of ``least`` items at least. One shuffle gathers a page.
+    """
+    held = items.filter(F.trim("str") != "").groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "seq", "str")).alias("items"))
+    xs = F.transform("items", lambda i: _round_half_up(i["x"]))
+    return once(held, {"columns": _centers(xs, gap, least)})
+
+
 def column_centers(items: DataFrame, gap: int = 20, least: int = 2) -> DataFrame:
-    """doc_id, page, col, center: x positions in runs closer than ``gap``, two items at least."""
-    xs = items.filter(F.trim("str") != "").select(*PAGE, _round_half_up(F.col("x")).alias("x"))
-    # Equal positions are folded first; a window partition holds one row per pixel of a page.
-    per_x = xs.groupBy(*PAGE, "x").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy(*PAGE).orderBy("x")
-    jump = F.coalesce(F.col("x") - F.lag("x").over(order) >= gap, F.lit(False)).cast("int")
-    runs = per_x.withColumn("_jump", jump).withColumn("_run", F.sum("_jump").over(order))
-    centers = runs.groupBy(*PAGE, "_run").agg(
-        F.sum("n").alias("items"), _round_half_up((F.min("x") + F.max("x")) / 2).alias("center")
-    ).filter(F.col("items") >= least)
-    return centers.withColumn("col", F.row_number().over(W.partitionBy(*PAGE).orderBy("center")) - 1).select(
-        *PAGE, "col", "center", "items"
-    )
+    """doc_id, page, col, center, items: the columns of page_columns."""
+    return page_columns(items, gap, least).select(*PAGE, F.posexplode("columns").alias("col", "c")).select(*PAGE, "col", "c.center", "c.items")
 
 
 def nearest_column(cells: DataFrame, centers: DataFrame) -> DataFrame:
@@ -320,46 +345,37 @@ def nearest_column(cells: DataFrame, centers: DataFrame) -> DataFrame:
 
     The columns of a page travel as one array, so cells are not multiplied by columns.
     """
-    listed = centers.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("col", "center"))).alias("_c"))
-    best = F.array_min(F.transform("_c", lambda s: F.struct(F.abs(F.col("x") - s["center"]).alias("d"), s["col"].alias("col"))))
-    return cells.join(listed, PAGE).withColumn("col", best["col"]).drop("_c")
+    listed = centers.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("center", "col"))).alias("_c"))
+    return cells.join(listed, PAGE).withColumn("col", F.get("_c", _column_of(F.col("x"), F.col("_c")))["col"]).drop("_c")
+
+
+def placed_items(pages: DataFrame) -> DataFrame:
+    """Rows of page_columns → each item with col, its closest column; pages without a column give nothing."""
+    placed = F.transform("items", lambda i: F.struct(i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"), _column_of(i["x"], F.col("columns")).alias("col")))
+    return pages.filter(F.size("columns") > 0).select(*PAGE, F.explode(placed).alias("i")).select(*PAGE, "i.*")
 
 
 def detect_tables(items: DataFrame) -> DataFrame:
     """doc_id, page, num_cols, row_idx, is_header, cells: pages that hold a table.
 
     A table needs five rows, three columns, three rows filling two columns, and a column with
-    three numbers.
+    three numbers. Items are read and shuffled once: lines and columns of a page are found in its row.
     """
-    lines = row_cells(items, 4, round_x=True)
-    centers = column_centers(items).groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("col", "center"))).alias("cols")
-    ).filter(F.size("cols") >= 3)
-    pages = lines.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("row_y")).alias("o"), "cells"))).alias("rows")
-    ).filter(F.size("rows") >= 5).join(centers, PAGE)
+    xs = F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["x"].cast("long"))))
+    lines = page_rows(items, 4, round_x=True).filter(F.size("rows") >= 5)
+    pages = once(lines, {"cols": _centers(xs, 20, 2)}).filter(F.size("cols") >= 3)
 
     def assign(cells: Column) -> Column:
-        placed = F.transform(
-            cells,
-            lambda c: F.struct(
-                F.array_min(F.transform(F.col("cols"), lambda k: F.struct(F.abs(c["x"] - k["center"]).alias("d"), k["col"].alias("col"))))["col"].alias("col"),
-                c["text"].alias("text"),
-            ),
-        )
-        return F.transform(
-            F.col("cols"),
-            lambda k: F.array_join(F.transform(F.filter(placed, lambda p: p["col"] == k["col"]), lambda p: p["text"]), " "),
-        )
+        placed = F.transform(cells, lambda c: F.struct(_column_of(c["x"], F.col("cols")).alias("col"), c["text"].alias("text")))
+        return let(placed, lambda held: F.transform(
+            F.col("cols"), lambda _, k: F.array_join(F.transform(F.filter(held, lambda p: p["col"] == k), lambda p: p["text"]), " ")
+        ))
 
     placed = once(pages, {"grid": F.transform("rows", lambda r: assign(r["cells"]))})
     data = F.filter("grid", lambda g: F.size(F.filter(g, lambda c: F.trim(c) != "")) >= 2)
     kept = once(placed, {"data": data}).filter(F.size("data") >= 3)
     numbers = F.exists(
-        F.transform(
-            "cols",
-            lambda k: F.size(F.filter("data", lambda g: F.trim(F.get(g, k["col"])).rlike(r"^-?[\d,]+\.?\d*%?$"))),
-        ),
+        F.transform("cols", lambda _, k: F.size(F.filter("data", lambda g: F.trim(F.get(g, k)).rlike(r"^-?[\d,]+\.?\d*%?$")))),
         lambda n: n >= 3,
     )
     return kept.filter(numbers).select(*PAGE, F.size("cols").alias("num_cols"), F.posexplode("data").alias("row_idx", "cells")).select(

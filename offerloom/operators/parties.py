@@ -2,46 +2,31 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, canon_name, clean_email, clean_name, clean_phone, looks_like_party, name_groups, name_token, rx, squeeze
+from ..functions import blank_to_null, canon_name, clean_email, clean_name, clean_phone, let, looks_like_party, name_groups, name_token, rx, squeeze
 from ..rows import first_by, once
 from ..rules import facts as R
 
-MENTIONS = (
-    "doc_id bigint, role string, pos int, raw string, after string, before string, "
-    "emails array<struct<email:string,after:string,before:string>>"
-)
-EMAIL = re.compile(r"[\w.+-]+@[\w.-]+\.\w{2,}", re.ASCII)
-
+EMAIL = r"[\w.+-]+@[\w.-]+\.\w{2,}"
+_MENTION = "array<struct<role:string,pos:int,raw:string>>"
 
-def _around(text: str, at: int) -> tuple[str, str]:
-    return text[at : at + R.PHONE_AFTER], text[max(0, at - R.PHONE_BEFORE) : at]
 
+def _found(text: Column, role: str, pattern: str) -> Column:
+    """Matches of a pattern as (role, pos, raw); positions are sums of the lengths of the pieces between them."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    pieces = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MENTION).alias("out"))
 
-def _mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Role mentions with the text around them and the addresses of the document.
+    def step(acc: Column, i: Column) -> Column:
+        at = acc["at"] + F.length(F.get(pieces, i))
+        one = F.array(F.struct(F.lit(role).alias("role"), at.alias("pos"), F.get(groups, i).alias("raw")))
+        return F.struct((at + F.length(F.get(whole, i))).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    The only step that needs match positions; names and contacts are chosen in Spark. The
-    surroundings of an address are given only where it is printed in lower case.
-    """
-    patterns = {role: re.compile(p, re.IGNORECASE | re.ASCII) for role, p in R.PARTY_ROLES.items()}
-    for pdf in batches:
-        out = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["flat"]):
-            found = [(role, m) for role, pattern in patterns.items() for m in pattern.finditer(text)]
-            emails = []
-            for address in dict.fromkeys(e.lower() for e in EMAIL.findall(text)) if found else ():
-                at = text.find(address)
-                after, before = _around(text, at) if at >= 0 else (None, None)
-                emails.append({"email": address, "after": after, "before": before})
-            out += [(doc_id, role, m.start(), m.group(1), *_around(text, m.start()), emails) for role, m in found]
-        yield pd.DataFrame(out, columns=["doc_id", "role", "pos", "raw", "after", "before", "emails"])
+    listed = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(listed, start, step)["out"]
 
 
 def _email_pattern(token: Column) -> Column:
@@ -72,37 +57,85 @@ def _last_phone(text: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit("(?i)" + R.PHONE), F.lit(1)), F.lit(-1))
 
 
-def phone_near(text: Column, at: Column) -> Column:
-    """Phone within 300 characters after a 1-based position, else the last of 220 before it."""
-    after = F.substr(text, at, F.lit(R.PHONE_AFTER))
-    start = F.greatest(F.lit(1), at - R.PHONE_BEFORE)
-    before = F.substr(text, start, at - start)
-    return clean_phone(F.coalesce(_first_phone(after), _last_phone(before)))
+def phone_near(text: Column, at: Column, after: int | None = None, before: int | None = None) -> Column:
+    """First phone after a 1-based position, else the last one before it; with numbers, within so many characters."""
+    tail = F.substr(text, at) if after is None else F.substr(text, at, F.lit(after))
+    start = F.lit(1) if before is None else F.greatest(F.lit(1), at - before)
+    return clean_phone(F.coalesce(_first_phone(tail), _last_phone(F.substr(text, start, at - start))))
+
+
+def _mentions(docs: DataFrame, after: int | None, before: int | None) -> DataFrame:
+    """doc_id and its plausible mentions with their contacts, in order: one array per document."""
+    flat = once(docs, {"_flat": squeeze(F.col("text"))}).select("doc_id", "_flat")
+    found = F.concat(*[_found(F.col("_flat"), role, "(?i)" + rx(p)) for role, p in R.PARTY_ROLES.items()])
+    raw = once(flat, {"_raw": found}).filter(F.size("_raw") > 0)
+    addresses = F.array_distinct(F.transform(F.regexp_extract_all("_flat", F.lit(EMAIL), F.lit(0)), F.lower))
+    # An address that is not printed in lower case has no place of its own.
+    placed = F.transform(addresses, lambda e: F.struct(
+        e.alias("email"), F.position(e, F.col("_flat")).alias("at"), F.substring_index(e, "@", 1).alias("local"),
+        F.regexp_replace(F.substring_index(e, "@", -1), r"\.\w{2,}$", "").alias("domain"),
+    ))
+    named = once(raw, {
+        "_named": F.filter(
+            F.transform("_raw", lambda m: F.struct(m["role"].alias("role"), m["pos"].alias("pos"), canon_name(m["raw"]).alias("name"))),
+            lambda m: looks_like_party(m["name"]),
+        ),
+        "_mail": placed,
+    }).filter(F.size("_named") > 0)
+
+    def contact(m: Column) -> Column:
+        def known(token: Column) -> Column:
+            best = F.get(F.filter("_mail", lambda e: F.contains(e["local"], token) | F.contains(e["domain"], token)), F.lit(0))
+            return let(best, lambda b: F.struct(
+                m["role"].alias("role"), m["pos"].alias("pos"), m["name"].alias("name"), b["email"].alias("email"),
+                phone_near(F.col("_flat"), F.when(b["at"] > 0, b["at"]).otherwise(m["pos"] + 1), after, before).alias("phone"),
+            ))
+
+        return let(name_token(m["name"]), known)
+
+    return once(named, {"mentions": F.transform("_named", contact)}).select("doc_id", "mentions")
+
+
+def party_mentions(docs: DataFrame, phone_after: int | None = None, phone_before: int | None = None) -> DataFrame:
+    """doc_id, role, pos, name, email, phone of every plausible mention. Nothing is shuffled.
+
+    A phone is looked for behind the address or name, then before it; with ``phone_after`` and ``phone_before``
+    (the surveyed windows are R.PHONE_AFTER and R.PHONE_BEFORE) within so many characters.
+    """
+    return _mentions(docs, phone_after, phone_before).select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
 
 
-def _phone_around(after: Column, before: Column) -> Column:
-    return clean_phone(F.coalesce(_first_phone(after), _last_phone(before)))
+def parties_of(docs: DataFrame, threshold: float = 0.9, phone_after: int | None = None, phone_before: int | None = None) -> DataFrame:
+    """doc_id, role, name, pos, email, phone, mentions: the parties of each document, within its own row.
 
+    Mentions of one role with similar names become one party; the first name stays and later mentions fill
+    missing contacts. Equal to dedupe_parties of party_mentions, without a shuffle.
+    """
+    held = _mentions(docs, phone_after, phone_before)
+    # Greedy clusters go by the order of positions, one list of names per role.
+    def of_role(role: str) -> Column:
+        own = F.filter("mentions", lambda m: m["role"] == role)
+        return F.array_sort(own, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
 
-def party_mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, role, pos, name, email, phone of every plausible mention. Texts are not shuffled."""
-    flat = docs.select("doc_id", squeeze(F.col("text")).alias("flat"))
-    raw = once(flat.mapInPandas(_mentions, MENTIONS), {"name": canon_name(F.col("raw"))})
-    named = once(raw.filter(looks_like_party(F.col("name"))), {"_token": name_token(F.col("name"))})
+    def folded(mentions: str, heads: str) -> Column:
+        tagged = F.arrays_zip(mentions, heads)
 
-    def holds(e: Column) -> Column:
-        local = F.substring_index(e["email"], "@", 1)
-        domain = F.regexp_replace(F.substring_index(e["email"], "@", -1), r"\.\w{2,}$", "")
-        return F.contains(local, F.col("_token")) | F.contains(domain, F.col("_token"))
+        def fold(own: Column) -> Column:
+            given = lambda c: F.get(F.filter(F.transform(own, lambda t: t[mentions][c]), lambda v: v.isNotNull()), F.lit(0)).alias(c)
+            first = F.get(own, F.lit(0))
+            return F.struct(
+                first[mentions]["role"].alias("role"), first[heads].alias("name"), first[mentions]["pos"].alias("pos"), given("email"), given("phone"),
+                F.size(own).cast("long").alias("mentions"),
+            )
 
-    best = F.get(F.filter("emails", holds), F.lit(0))
-    picked = once(named, {"_best": best})
-    near_email = _phone_around(F.col("_best.after"), F.col("_best.before"))
-    near_name = _phone_around(F.col("after"), F.col("before"))
-    return picked.select(
-        "doc_id", "role", "pos", "name", F.col("_best.email").alias("email"),
-        F.when(F.col("_best.after").isNotNull(), near_email).otherwise(near_name).alias("phone"),
-    )
+        return F.transform(F.array_distinct(heads), lambda head: let(F.filter(tagged, lambda t: t[heads] == head), fold))
+
+    held = once(held, {f"_m{i}": of_role(role) for i, role in enumerate(R.PARTY_ROLES)})
+    parts = []
+    for i in range(len(R.PARTY_ROLES)):
+        held = held.withColumn(f"_h{i}", name_groups(F.transform(f"_m{i}", lambda m: m["name"]), threshold))
+        parts.append(folded(f"_m{i}", f"_h{i}"))
+    return once(held, {"_parties": F.concat(*parts)}).select("doc_id", F.explode("_parties").alias("p")).select("doc_id", "p.*")
 
 
 def dedupe_parties(mentions: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -131,11 +164,16 @@ def pick_registrar(parties: DataFrame) -> DataFrame:
     ).select("doc_id", "r.*")
 
 
-def company_contacts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, company_name) → registered office, contact person, email, phone, website."""
+def company_contacts(docs: DataFrame, office_chars: int | None = None, phone_after: int | None = None, phone_before: int | None = None) -> DataFrame:
+    """docs(doc_id, text, company_name) → registered office, contact person, email, phone, website.
+
+    Contacts of the office are read from its heading to the end of the text; with ``office_chars`` (surveyed:
+    R.OFFICE_BLOCK) from so many characters, and phones as in party_mentions.
+    """
     flat = once(docs, {"flat": squeeze(F.col("text"))}).select("doc_id", "company_name", "flat")
     office_at = F.regexp_instr("flat", F.lit(r"(?i)registered\s+office"))
-    block = F.when(office_at > 0, F.substr("flat", office_at, F.lit(R.OFFICE_BLOCK))).otherwise(F.col("flat"))
+    office = F.substr(F.col("flat"), office_at) if office_chars is None else F.substr(F.col("flat"), office_at, F.lit(office_chars))
+    block = F.when(office_at > 0, office).otherwise(F.col("flat"))
     named = once(flat, {"_at": office_at, "_block": block})
     email = F.coalesce(
         email_for(F.col("flat"), F.col("company_name")),
@@ -146,8 +184,8 @@ def company_contacts(docs: DataFrame) -> DataFrame:
     )
     staged = once(named, {"_email": email, "_site": site})
     at = F.coalesce(F.position(F.col("_email"), F.col("flat")), F.lit(0))
-    by_email = F.when(at > 0, phone_near(F.col("flat"), at)).otherwise(clean_phone(_last_phone(F.col("flat"))))
-    by_office = phone_near(F.col("flat"), F.greatest(F.lit(1), F.col("_at")))
+    by_email = F.when(at > 0, phone_near(F.col("flat"), at, phone_after, phone_before)).otherwise(clean_phone(_last_phone(F.col("flat"))))
+    by_office = phone_near(F.col("flat"), F.greatest(F.lit(1), F.col("_at")), phone_after, phone_before)
     person = F.regexp_extract("_block", r"(?i)contact\s+person\s*:?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})", 1)
     out = once(staged, {
         "registered_office": blank_to_null(clean_name(F.regexp_extract("flat", rx(R.OFFICE), 1))),

@@ -46,7 +46,7 @@ def extract_facts(docs: DataFrame) -> dict[str, DataFrame]:
     issue = facts.with_market_maker(facts.issue_details(docs.select("doc_id", "text", "is_sme", "price_min", "price_max", "face_value", "issue_price")))
     objects = facts.objects_of_issue(docs)
     promoters = facts.promoter_names(docs)
-    people = parties.dedupe_parties(parties.party_mentions(docs))
+    people = parties.parties_of(docs)
     prices = {"priceMin": "price_min", "priceMax": "price_max", "faceValue": "face_value", "issuePrice": "issue_price"}
     flat = (
         quality.flatten_metrics(metrics, metric="key")

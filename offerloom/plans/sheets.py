@@ -165,8 +165,8 @@ def column_centers(spark: SparkSession, folder: str) -> DataFrame:
 WITH {CENTERS} SELECT i.doc_id, i.page, i.seq, arg_min(c.col, {{'d': abs(i.x - c.center), 'c': c.col}}) AS col FROM (SELECT DISTINCT doc_id, page, seq, x FROM items) i JOIN centers c USING (doc_id, page) GROUP BY 1, 2, 3
 """)
 def nearest_column(spark: SparkSession, folder: str) -> DataFrame:
-    cells = line_items(spark, folder).select("doc_id", "page", "seq", "x").distinct()
-    return items.nearest_column(cells, items.column_centers(line_items(spark, folder))).select("doc_id", "page", "seq", "col")
+    placed = items.placed_items(items.page_columns(line_items(spark, folder)))
+    return placed.select("doc_id", "page", "seq", "x", "col").distinct().drop("x")
 
 
 @query("detect_tables", """
@@ -309,6 +309,74 @@ def issue_details(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("issue_structures", """
+WITH p AS (SELECT p_partkey AS doc_id, p_partkey % 5 AS kind, CAST(p_size * 1000 AS BIGINT) AS n FROM part)
+SELECT doc_id,
+  CASE kind WHEN 0 THEN n + 5000 WHEN 1 THEN n + 5000 WHEN 2 THEN n + 10000 WHEN 3 THEN 0 ELSE n + 5000 END AS fresh,
+  CASE kind WHEN 1 THEN n WHEN 3 THEN n + 5000 WHEN 4 THEN n END AS ofs,
+  CASE kind WHEN 0 THEN n WHEN 2 THEN n END AS mm,
+  CASE kind WHEN 1 THEN CAST(1000 AS BIGINT) WHEN 4 THEN 1000 END AS emp,
+  CASE kind WHEN 0 THEN 5000 WHEN 1 THEN 2 * n + 4000 WHEN 2 THEN 10000 WHEN 4 THEN 2 * n + 4001 END AS net,
+  CASE kind WHEN 0 THEN n + 5000 WHEN 1 THEN 2 * n + 5000 WHEN 2 THEN n + 10000 WHEN 3 THEN n + 5000 ELSE 2 * n + 5000 END AS total,
+  CASE kind WHEN 1 THEN 'Fresh + OFS' WHEN 4 THEN 'Fresh + OFS' WHEN 3 THEN 'Offer for Sale only' ELSE 'Fresh capital only' END AS sale_type,
+  CASE WHEN kind = 4 THEN 'needs_review' ELSE 'high' END AS confidence
+FROM p
+""")
+def issue_structures(spark: SparkSession, folder: str) -> DataFrame:
+    """Share structures of five kinds: SME table, mainboard table, running text, an offer for sale alone, and parts that do not add up.
+
+    Labels are longer than the surveyed limit in the mainboard table.
+    """
+    n, kind = F.col("p_size") * 1000, F.col("p_partkey") % 5
+    whole = lambda c: F.format_string("%,d", c.cast("bigint"))
+    share = lambda c: F.concat(whole(c), F.lit(" Equity Shares"))
+    five = F.lit(5000)
+    long = "Fresh Issue of shares that our company offers to all investors who are entitled to apply for them under this prospectus"
+
+    def lines(*rows: Column) -> Column:
+        return F.concat_ws("\n", *rows)
+
+    def main(net: Column) -> Column:
+        return lines(
+            _row(F.lit(long), share(n + 5000)), _row(F.lit("Offer for Sale"), share(n)), _row(F.lit("Total Issue Size"), share(n * 2 + 5000)),
+            _row(F.lit("Employee Reservation Portion"), share(F.lit(1000))), _row(F.lit("Net Offer"), share(net)),
+        )
+
+    sme = lines(_row(F.lit("Fresh Issue"), share(n + 5000)), _row(F.lit("Market Maker Reservation Portion"), share(n)), _row(F.lit("Net Issue to Public"), share(five)))
+    prose = F.concat(
+        F.lit("Total issue size of up to "), share(n + 10000), F.lit(". The fresh issue of "), share(n + 10000), F.lit(" is open. "), share(n),
+        F.lit(" are reserved for subscription by the market maker. The issue less the market maker reservation portion i.e. "), share(F.lit(10000)), F.lit(" is net."),
+    )
+    sale = lines(_row(F.lit("Offer for Sale"), share(n + 5000)), _row(F.lit("Total Offer Size"), share(n + 5000)), F.lit(""), F.lit("Listing through an offer for sale."))
+    text = F.when(kind == 0, sme).when(kind == 1, main(n * 2 + 4000)).when(kind == 2, prose).when(kind == 3, sale).otherwise(main(n * 2 + 4001))
+    d = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), kind.isin(0, 2).alias("is_sme"))
+    fields = {"fresh_issue": "fresh", "ofs": "ofs", "market_maker": "mm", "employee_reservation": "emp", "net_offer": "net", "total_issue": "total"}
+    return facts.issue_details(d).select("doc_id", *[F.col(f"{c}_shares").alias(a) for c, a in fields.items()], "sale_type", "confidence")
+
+
+@query("objects_in_lists", f"""
+WITH {LINES},
+o AS (SELECT l_orderkey AS doc_id, rn * 2 - 2 AS ord, 'Setting up the manufacturing unit of our company for the products of part ' || l_partkey || ' in all the regions that we serve' AS name FROM lines
+      UNION ALL SELECT l_orderkey, rn * 2 - 1, 'Marketing and brand building for the same products of supplier ' || l_suppkey || ' over the next three financial years' FROM lines),
+first AS (SELECT doc_id, name, min(ord) AS ord FROM o GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, name, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS DOUBLE) AS total,
+  CASE WHEN doc_id % 2 = 0 THEN 'Crore' ELSE 'Lakhs' END AS unit, 'list' AS origin
+FROM first
+""")
+def objects_in_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects that only a numbered list names, over 1,500 characters long for orders with many lines; amounts in Crore or Lakhs."""
+    def item(number: Column, text: Column) -> Column:
+        return F.concat(number.cast("string"), F.lit(". "), text, F.lit("; "))
+
+    listed = F.flatten(F.transform("l", lambda x, i: F.array(
+        item(i * 2 + 1, F.concat(F.lit("Setting up the manufacturing unit of our company for the products of part "), x["part"].cast("string"), F.lit(" in all the regions that we serve"))),
+        item(i * 2 + 2, F.concat(F.lit("Marketing and brand building for the same products of supplier "), x["supp"].cast("string"), F.lit(" over the next three financial years"))),
+    )))
+    unit = F.when(F.col("doc_id") % 2 == 0, "Amount in Rs. crore. ").otherwise("All figures as printed. ")
+    d = order_lines(spark, folder).select("doc_id", F.concat(unit, F.lit("The net proceeds go to the following objects: "), F.array_join(listed, "")).alias("text"))
+    return facts.objects_of_issue(d).select("doc_id", "ord", "name", "amount", "total", "unit", "origin")
+
+
 @query("objects_of_issue", f"""
 WITH {LINES},
 n AS (SELECT l_orderkey AS doc_id, max(rn) AS n, floor(sum(l_extendedprice) * 100 + 0.5) / 100 AS s FROM lines GROUP BY 1),
@@ -360,7 +428,7 @@ def party_mentions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Tel: 040-"), phone, F.lit("; Email: ris@kfintech.com"))).otherwise("; none"),
     )
     d = o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
-    return parties.dedupe_parties(parties.party_mentions(d)).select("doc_id", "role", "name", "email", "phone", "mentions")
+    return parties.parties_of(d).select("doc_id", "role", "name", "email", "phone", "mentions")
 
 
 @query("company_contacts", """

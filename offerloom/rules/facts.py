@@ -33,6 +33,12 @@ SHARE_PROSE = {
     "preIssueShares": r"(?i)equity\s+shares\s+outstanding\s+prior\s+to\s+the\s+(?:issue|offer)[^\d]{0,30}?([\d,]{5,})",
     "postIssueShares": r"(?i)equity\s+shares\s+outstanding\s+after\s+the\s+(?:issue|offer)[^\d]{0,30}?(?:up\s*to\s+)?([\d,]{5,})",
 }
+# A word that each pattern of running text needs, in lower case.
+PROSE_WORD = {
+    "totalIssueShares": "size", "freshIssueShares": "fresh", "marketMakerShares": "reserved", "employeeReservationShares": "reserved",
+    "netOfferShares": "less", "preIssueShares": "outstanding", "postIssueShares": "outstanding",
+}
+# Surveyed limits; the operators take them as arguments and read everything by default.
 LABEL_CHARS = 80
 SHARES_IN_ROW = r"(?i)([\d][\d,]{3,})\s*[*^]?\s*(?:equity\s+)?shares"
 LEAST_SHARES = 1000

@@ -268,12 +268,27 @@ def test_parties(spark):
     p = {(r.role, r.name): r for r in parties.dedupe_parties(m).collect()}
     lm = p[("lead_manager", "Marwadi Chandarana Intermediaries Brokers Private Limited")]
     assert lm.mentions == 2 and lm.email == "mb@marwadichandarana.com" and lm.phone and lm.phone.startswith("+91")
+    within = {(r.role, r.name): r for r in parties.parties_of(d).collect()}
+    assert {k: r.asDict() for k, r in within.items()} == {k: r.asDict() for k, r in p.items()}
     reg = parties.pick_registrar(parties.dedupe_parties(m)).first()
     assert reg.name == "Kfin Technologies Limited" and reg.email == "einward.ris@kfintech.com"
     c = parties.company_contacts(d).filter("doc_id = 0").first()
     assert (c.registered_office, c.contact_person, c.email, c.website) == ("12 MG Road, Mumbai 400001", "Asha Rao", "cs@vahhchemicals.com", "https://www.vahhchemicals.com")
 
 
+def test_party_windows_are_arguments(spark):
+    """A phone far behind the name counts by default, and not within the surveyed window."""
+    far = "Registrar to the Issue: Kfin Technologies Limited " + "see the section " * 40 + "Tel: +91 40 6716 2222"
+    d = docs(spark, far, far + " Lead Manager: Second House Limited Phone: 040-55554444")
+    whole = {(r.doc_id, r.role): r.phone for r in parties.party_mentions(d).collect()}
+    assert whole[0, "registrar"] == whole[1, "registrar"] == "+91 40 6716 2222" and whole[1, "lead_manager"] == "040 55554444"
+    near = {(r.doc_id, r.role): r.phone for r in parties.party_mentions(d, 300, 220).collect()}
+    assert near[0, "registrar"] is None and near[1, "lead_manager"] == "040 55554444"
+    office = "Registered Office: 1 Hill Road Tel: 022-1111111 " + "text " * 200 + "Contact Person: Asha Rao 12"
+    c = docs(spark, office, company_name="None Ltd")
+    assert parties.company_contacts(c).first().contact_person == "Asha Rao" and parties.company_contacts(c, office_chars=700).first().contact_person is None
+
+
 def test_canonical_mention(spark):
     df = spark.createDataFrame([(["Rikhav Securities Limited", "RIKHAV SECURITIES LIMITED", "Other Broking Limited", "Other Broking Limited", "Other Broking Ltd Limited"],), ([],)], "names array<string>")
     got = [r.v for r in facts.canonical_mentions(df, "names", "v").collect()]
