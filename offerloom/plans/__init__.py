@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("resolution", "snapshots", "serieses", "texts", "sheets", "scores", "streams")
+MODULES = ("resolution", "snapshots", "serieses", "texts", "sheets", "scores", "streams", "records")
 
 
 def load_queries() -> tuple[dict, dict]:

@@ -23,7 +23,7 @@ from ..functions import (
     squeeze,
 )
 from ..functions.doctype import classify_with_hint
-from ..rows import pick_row
+from ..rows import once, pick_row
 
 # Source labels in merge order.
 FEED_A, FEED_B, FEED_C, FEED_D = "upstox", "nse", "groww", "zerodha"
@@ -261,7 +261,7 @@ def parse_listing_rows(pages: DataFrame, page_col: str = "page_id", html_col: st
         type_text.alias("type"),
         type_text.rlike("(?i)sme").alias("isSme"),
         _inner_text(F.regexp_extract(tr, _classed("span", "ipo-name"), 1)).alias("companyName"),
-        F.regexp_replace(href, "/?$", "/").alias("detailPath"),
+        F.concat(F.regexp_replace(href, "/$", ""), F.lit("/")).alias("detailPath"),
         F.coalesce(_inner_text(bidding), F.lit("")).alias("biddingRange"),
         F.coalesce(_inner_text(F.get(dates, F.lit(1))), F.lit("")).alias("listingDateText"),
         _inner_text(F.regexp_extract(tr, _classed("td", "text-right"), 1)).alias("priceText"),
@@ -299,7 +299,7 @@ def map_feed_d(rows: DataFrame, today: Column) -> DataFrame:
     band = parse_price_band(F.col("priceText"))
     url = blank_to_null(F.col("prospectusUrl"))
     kind = F.when(url.isNotNull(), classify_with_hint(F.lit(None).cast("string"), url))
-    rows = rows.withColumn("docType", kind).withColumn("_span", span).withColumn("_listing", listing)
+    rows = once(rows, {"docType": kind, "_span": span, "_listing": listing})
     return _record(
         rows,
         FEED_D,
