@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ from ..operators.components import connected_components
 from .common import slices, stored
 
 SPAN = 5
+#: Words of a parity sketch: 1,024 bits.
+SKETCH = 16
 ROWS = 5
 BANDS = 26
 _M = ROWS * BANDS
@@ -219,16 +223,33 @@ def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select("u", "v", similarity("a", "b").alias("similarity"))
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches (n, SKETCH) of documents 0 to n - 1: each distinct shingle flips one of 64 * SKETCH bits.
+
+    The bits in which two sketches differ are at most as many as the shingles that only one of the two has.
+    """
+    bits = 64 * SKETCH
+    at = (mix(h ^ _U(_B2)) >> _U(32)) * _U(bits) >> _U(32)
+    odd = (np.bincount(doc * bits + at.astype(np.int64), minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def _cells(texts: DataFrame) -> DataFrame:
-    """Distinct shingles of each node: node, h, and w, how often it occurs."""
+    """Per node its distinct shingles: h and w, how often each occurs, and the words of its sketch."""
+    columns = [f"s{i}" for i in range(SKETCH)]
+
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            held = frame["text"].tolist()
+            held, nodes = frame["text"].tolist(), frame["node"].to_numpy()
             for a, b in slices(held):
                 doc, h, w = weighted(*shingles(held[a:b])[:2])
-                yield pd.DataFrame({"node": frame["node"].to_numpy()[a:b][doc], "h": h.view(np.int64), "w": w})
+                cuts = np.searchsorted(doc, np.arange(1, b - a))
+                words = sketches(doc, h, b - a)
+                out = pd.DataFrame({"node": nodes[a:b], "hs": np.split(h.view(np.int64), cuts), "ws": np.split(w, cuts)})
+                yield out.assign(**{c: words[:, i] for i, c in enumerate(columns)})
 
-    return texts.select("node", "text").mapInPandas(spread, "node long, h long, w long")
+    schema = "node long, hs array<long>, ws array<long>, " + ", ".join(f"{c} long" for c in columns)
+    return texts.select("node", "text").mapInPandas(spread, schema)
 
 
 def prefix_pairs(texts: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
@@ -239,9 +260,11 @@ def prefix_pairs(texts: DataFrame, comps: DataFrame, threshold: float) -> DataFr
     measured rarest first. Before the first shingle that two nodes share there is only weight that they do not
     share, so a linked pair meets at a shingle whose weights before it satisfy that bound, and one
     of them is at most (1 - t) / (1 + t). A node is entered under the shingles before which at most 1 - t of its
-    weight lies; each of the two measures has its entries, one for both where no shingle repeats.
+    weight lies; each of the two measures has its entries, one for both where no shingle repeats. Pairs without repeated
+    shingles whose sketches differ in more bits than the shingles of a linked pair could do not leave the join.
     """
-    cells = stored(_cells(texts), "near-cells")
+    held = stored(_cells(texts), "near-cells")
+    cells = held.select("node", F.explode(F.arrays_zip("hs", "ws")).alias("z")).select("node", F.col("z.hs").alias("h"), F.col("z.ws").alias("w"))
     counts = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "near-counts")
     ranked = cells.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     before = W.partitionBy("node").orderBy("c", "h").rowsBetween(W.unboundedPreceding, -1)
@@ -260,12 +283,16 @@ def prefix_pairs(texts: DataFrame, comps: DataFrame, threshold: float) -> DataFr
     entries = entries.filter(F.col("p") <= 1 - threshold + slack).join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     # A shingle whose nodes are of one component has nothing to tell.
     mixed = entries.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    entries = stored(entries.join(mixed, "h"), "near-entries")
+    words = [f"s{i}" for i in range(SKETCH)]
+    entries = stored(entries.join(mixed, "h").join(held.select("node", F.size("hs").alias("size"), *words), "node"), "near-entries")
     left = entries.filter(F.col("p") <= (1 - threshold) / (1 + threshold) + slack)
-    right = entries.select(*[F.col(c).alias(f"{c}_v") for c in ("h", "node", "m", "p", "comp")])
+    right = entries.select(*[F.col(c).alias(f"{c}_v") for c in ("h", "node", "m", "p", "comp", "size", *words)])
     same = (F.col("m") == F.col("m_v")) | (F.col("m") == 2) | (F.col("m_v") == 2)
     bound = (1 - F.col("p")) * (1 - F.col("p_v")) >= threshold * (1 - F.col("p") * F.col("p_v")) - slack
-    met = left.join(right, (F.col("h") == F.col("h_v")) & (F.col("comp") != F.col("comp_v")) & same & bound)
+    # At least 2 t / (1 + t) of both sides' shingles are shared, so at most the rest differs.
+    differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_v"))) for c in words])
+    near = (F.col("m") == 1) | (F.col("m_v") == 1) | (differ <= (F.col("size") + F.col("size_v")) * ((1 - threshold) / (1 + threshold)) + slack)
+    met = left.join(right, (F.col("h") == F.col("h_v")) & (F.col("comp") != F.col("comp_v")) & same & bound & near)
     return met.select(F.least("node", "node_v").alias("u"), F.greatest("node", "node_v").alias("v")).distinct()
 
 

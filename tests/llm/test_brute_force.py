@@ -136,6 +136,11 @@ def test_prefix_join_loses_no_link_and_leaves_a_star_family_alone(spark):
     similar = near_dup.similarities([texts[u] for u, _ in pairs], [texts[v] for _, v in pairs])
     linked = {p for p, s in zip(pairs, similar, strict=True) if s >= 0.8}
     assert len(linked) > 20 and linked <= met and len(met) < len(pairs) / 3
+    # A sketch never differs in more bits than two texts do in shingles.
+    doc, h, _ = near_dup.weighted(*near_dup.shingles(texts)[:2])
+    bits = np.unpackbits(near_dup.sketches(doc, h, len(texts)).view(np.uint8), axis=1)
+    held = [set(h[doc == i].tolist()) for i in range(len(texts))]
+    assert all((bits[u] != bits[v]).sum() <= len(held[u] ^ held[v]) for u, v in pairs)
     # Each text replaces three words of a hundred: 15 of 96 shingles are its own, any two are about 0.73 similar.
     base = [word() for _ in range(100)]
     family = []
