@@ -23,17 +23,21 @@ from .common import slices
 
 NGRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that count as of a word, yet are neither letters nor decimal digits: fractions, Roman and circled numbers.
+_NUMBERS = "".join(c for c in map(chr, range(0xB2, 0x1FBFA)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: A text's length class is the number of these bounds that its number of n-grams reaches.
+LENGTHS = (24, 96, 384, 1536)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Logits per bucket (bucket, language), temperature, and the score below which a text is rejected."""
+    """Logits per bucket (bucket, language), temperature, and per length class the score below which a text is rejected."""
 
     langs: tuple[str, ...]
     table: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: tuple[float, ...]
 
 
 def normal(text: str | None) -> str:
@@ -78,27 +82,10 @@ def _windows(text: str, rng: np.random.Generator) -> list[str]:
     return spans
 
 
-def train(texts: Sequence[str], labels: Sequence[str], buckets: int = 1 << 18, width: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 7, kept: float = 0.999) -> Model:
-    """Fit a model; a tenth of the rows is held back to fit the temperature and the threshold.
-
-    Texts without letters are left out. The threshold keeps the share `kept` of the held-back spans that
-    are rightly classed. With no usable row the model knows no language and answers `und` always.
-    """
-    rng = np.random.default_rng(seed)
-    rows = [(normal(t), la) for t, la in zip(texts, labels, strict=True)]
-    rows = [r for r in rows if r[0]]
-    langs = tuple(sorted({la for _, la in rows}))
-    if not langs:
-        return Model((), np.zeros((buckets, 0), np.float32), 1.0, 0.0)
-    y_of = {la: i for i, la in enumerate(langs)}
-    held = rng.random(len(rows)) < 0.1
-    spans: dict[bool, list[tuple[np.ndarray, int]]] = {False: [], True: []}
-    for (text, la), h in zip(rows, held, strict=True):
-        spans[bool(h)] += [(_grams(s, buckets, rng), y_of[la]) for s in _windows(text, rng)]
-    spans[True] = spans[True] or spans[False]
+def _descend(lesson: list[tuple[np.ndarray, int]], langs: int, buckets: int, width: int, epochs: int, rate: float, rng: np.random.Generator) -> np.ndarray:
+    """Table of logits after stochastic gradient descent; buckets never seen say nothing."""
     embed = rng.normal(0, 0.1, (buckets, width)).astype(np.float32)
-    layer = np.zeros((width, len(langs)), np.float32)
-    lesson = spans[False] or spans[True]
+    layer = np.zeros((width, langs), np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(lesson)):
@@ -114,27 +101,97 @@ def train(texts: Sequence[str], labels: Sequence[str], buckets: int = 1 << 18, w
     seen = np.zeros(buckets, bool)
     for g, _ in lesson:
         seen[g] = True
-    table = (embed @ layer) * seen[:, None]  # buckets never seen say nothing
-    z = np.array([table[g].mean(axis=0) for g, _ in spans[True]])
-    y = np.array([y for _, y in spans[True]])
+    return np.ascontiguousarray((embed @ layer) * seen[:, None], np.float32)
+
+
+def _logits(table: np.ndarray, spans: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    return np.array([table[g].mean(axis=0) for g, _ in spans]).reshape(len(spans), table.shape[1])
+
+
+def _temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least loss on rows that the descent has not seen.
+
+    As if one row more were of another language: without an error among the rows the loss would fall for ever.
+    """
+    n, k = z.shape
+    slip = 1 / (n + 2) if k > 1 else 0.0
 
     def loss(t: float) -> float:
-        s = z / t
-        s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
+        s = (z - z.max(axis=1, keepdims=True)) / t
+        s = np.log(np.exp(s).sum(axis=1))[:, None] - s
+        right = s[np.arange(n), y]
+        return float(np.mean((1 - slip) * right + slip * (s.sum(axis=1) - right) / max(1, k - 1)))
+
+    return min((float(2.0**e) for e in np.arange(-9, 3.01, 0.25)), key=loss)
 
-    temperature = min((2.0**e for e in np.arange(-5, 3.01, 0.25)), key=loss)
+
+def _confidence(z: np.ndarray, temperature: float) -> np.ndarray:
     s = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
-    score = s.max(axis=1) / s.sum(axis=1)
-    right = score[z.argmax(axis=1) == y]
-    threshold = float(np.quantile(right, 1 - kept)) * 0.9 if len(right) else 0.0
-    return Model(langs, np.ascontiguousarray(table, np.float32), float(temperature), threshold)
+    return s.max(axis=1) / s.sum(axis=1)
+
+
+def length_class(grams: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LENGTHS, grams, side="right")
+
+
+def train(
+    texts: Sequence[str], labels: Sequence[str], buckets: int = 1 << 18, width: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 7,
+    kept: float = 0.999, folds: int = 5, rejected: float = 0.95,
+) -> Model:
+    """Fit a model; a tenth of the rows is held back to fit the temperature and the thresholds.
+
+    Texts without letters are left out. The threshold of a length class rejects the share `rejected` of texts in
+    languages that a model has not learned: the languages are left out of further models, in at most `folds`
+    groups, and scored by them. It stays below 0.95 times the score that the share `kept` of the class's held-back
+    spans reaches that are rightly classed. With two languages or fewer only that bound is there. With no usable row the model
+    knows no language and answers `und` always.
+    """
+    rng = np.random.default_rng(seed)
+    rows = [(normal(t), la) for t, la in zip(texts, labels, strict=True)]
+    rows = [r for r in rows if r[0]]
+    langs = tuple(sorted({la for _, la in rows}))
+    if not langs:
+        return Model((), np.zeros((buckets, 0), np.float32), 1.0, (0.0,) * (len(LENGTHS) + 1))
+    y_of = {la: i for i, la in enumerate(langs)}
+    held = rng.random(len(rows)) < 0.1
+    spans: dict[bool, list[tuple[np.ndarray, int]]] = {False: [], True: []}
+    for (text, la), h in zip(rows, held, strict=True):
+        spans[bool(h)] += [(_grams(s, buckets, rng), y_of[la]) for s in _windows(text, rng)]
+    lesson = spans[False] or spans[True]
+    judged = spans[True] or spans[False]
+    table = _descend(lesson, len(langs), buckets, width, epochs, rate, rng)
+    z, y = _logits(table, judged), np.array([la for _, la in judged])
+    temperature = _temperature(z, y)
+    score, right = _confidence(z, temperature), z.argmax(axis=1) == y
+    size = length_class(np.array([len(g) for g, _ in judged]))
+    strange: list[tuple[np.ndarray, np.ndarray]] = []
+    groups = [g for g in np.array_split(np.arange(len(langs)), min(folds, len(langs))) if len(g)] if len(langs) > 2 else []
+    for group in groups:
+        left = {la: i for i, la in enumerate(sorted(set(range(len(langs))) - set(group.tolist())))}
+        part = _descend([(g, left[la]) for g, la in lesson if la in left], len(left), buckets, width, max(1, epochs // 2), rate, rng)
+        known, other = [(g, left[la]) for g, la in judged if la in left], [(g, la) for g, la in judged if la not in left]
+        if known and other:
+            own = _temperature(_logits(part, known), np.array([la for _, la in known]))
+            strange.append((_confidence(_logits(part, other), own), length_class(np.array([len(g) for g, _ in other]))))
+    thresholds = []
+    for c in range(len(LENGTHS) + 1):
+        mine = score[right & (size == c)]
+        most = float(np.quantile(mine, 1 - kept)) * 0.95 if len(mine) else 0.0
+        unknown = np.concatenate([s[k == c] for s, k in strange]) if strange else np.zeros(0)
+        thresholds.append(min(most, float(np.quantile(unknown, rejected))) if len(unknown) else most)
+    return Model(langs, table, temperature, tuple(thresholds))
 
 
 def score_texts(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each whole text; `und` and 0 without letters."""
+    return judge_texts(model, texts)[:2]
+
+
+def judge_texts(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of each whole text; texts without letters are."""
     n, buckets = len(model.langs), len(model.table)
-    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    names, scores, rejects = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    limits = np.array(model.thresholds)
     for a, b in slices([t or "" for t in texts]):
         clean = [normal(t) for t in texts[a:b]]
         sizes = np.array([len(c) for c in clean])
@@ -158,10 +215,12 @@ def score_texts(model: Model, texts: Sequence[str | None]) -> tuple[list[str], n
         z = sums / np.maximum(counts, 1)[:, None] / model.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
+        low = p.max(axis=1) < limits[length_class(counts)]
         for i, k in enumerate(live.tolist()):
             names[a + k] = model.langs[int(p[i].argmax())]
             scores[a + k] = float(p[i].max())
-    return names, scores
+            rejects[a + k] = low[i]
+    return names, scores, rejects
 
 
 def remainder(divisor: int, of: str = "doc_id") -> Column:
@@ -170,34 +229,37 @@ def remainder(divisor: int, of: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, rows_per_lang: int = 500, longest: int = 20_000) -> Model:
-    """Train on about `rows_per_lang` rows of each lang, drawn by a hash of id and text.
+    """Train on about `rows_per_lang` rows of each lang, drawn by a hash of id and text; repeated rows count once.
 
-    The sample leaves out texts of over `longest` characters, so at most rows x languages x longest
-    characters reach the driver. Only rows with a text and a lang are used.
+    The sample leaves out texts of over `longest` characters and ends after 2 x rows x languages, so at most that
+    many texts of that length reach the driver. Only rows with a text and a lang are used.
     """
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(rows_per_lang / n)).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < share * (1 << 30)
-    sample = rows.filter(drawn).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    rank = F.xxhash64("doc_id", "text", F.lit("langid"))
+    drawn = rows.withColumn("rank", rank).filter(F.pmod("rank", F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    sample = drawn.orderBy("rank", "doc_id", "lang", "text").limit(2 * rows_per_lang * max(1, len(counts))).drop("rank").toPandas()
+    sample = sample.sort_values(["doc_id", "text", "lang"], kind="stable")
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Add lang_pred, score and rejected to the rows of docs (which must have text, and none of the three).
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add lang_pred, score and rejected to the rows of docs; columns that have these names are replaced.
 
     A text that is null or has no letter is `und` with score 0. Rejected are those and texts whose score
-    is under the model's threshold. Rows are kept as they are, repeated rows too.
+    is under the model's threshold for their length. Rows are kept as they are, repeated rows too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    results = ["lang_pred", "score", "rejected"]
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for texts in batches:
-            names, scores = score_texts(m, [t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": [n == UNKNOWN or s < m.threshold for n, s in zip(names, scores, strict=True)]})
+            names, scores, rejects = judge_texts(shared.value, [t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejects})
 
-    return docs.withColumn("_p", predict(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_p.*")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in results]
+    return docs.withColumn("_langid", predict(F.col(f"`{text}`").cast("string"))).select(*kept, *[F.col(f"_langid.{c}") for c in results])
