@@ -43,6 +43,15 @@ def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
     return kept.select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
 
 
+def _scores(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer inner products of the rows with a query, as the nearest long."""
+    if exact:
+        return (vectors.astype(float) @ query.astype(float)).astype(np.int64)
+    wide = vectors.astype(object) @ query.astype(object)
+    top = (1 << 63) - 1
+    return np.array([max(-top, min(top, x)) for x in wide.tolist()], np.int64)
+
+
 def _gap(q: np.ndarray, qn: np.ndarray, v: np.ndarray, m: float) -> np.ndarray:
     """Distances of queries (rows of q, squared norms qn) to index vectors, whose squared norms are all m."""
     return np.sqrt(np.maximum(qn[:, None] + m - 2 * (q @ v.T), 0))
@@ -54,8 +63,8 @@ def _between(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, m: fl
     return np.sqrt(np.maximum(2 * m - 2 * inner, 0))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
+def _matrix(column: pd.Series, width: int, kind: type = float) -> np.ndarray:
+    out = np.zeros((len(column), width), kind)
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
@@ -65,14 +74,14 @@ class Index:
     """A stored M-tree over quantised vectors."""
 
     def __init__(self, vectors: DataFrame, seed: int = 5, subtree: int = SUBTREE) -> None:
-        square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         self.vectors = vectors = stored(vectors.withColumn("norm", square), "mtree-vectors")
         count, largest, width = vectors.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.size("v"))).first()
         self.count, self.m, self.width = count, float(largest or 0), width or 1
         if not count:
             return
-        if self.m >= 2**52:
-            raise ValueError("the vectors' squares are too large for exact scores")
+        # Products of doubles are exact below 2^53; beyond, scores are computed with Python integers.
+        self.exact = self.m < 2**52
         # A bounded sample: at most about 256 routing vectors, drawn by a hash of the id.
         wanted = min(256, max(1, count // subtree))
         drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * wanted / count)) + 1
@@ -87,7 +96,7 @@ class Index:
                 d = _between(_matrix(frame["v"], w), frame["norm"].to_numpy(float), routers, norms, m)
                 yield frame.assign(tree=d.argmin(axis=1), dist=d.min(axis=1))[["vec_id", "v", "norm", "tree", "dist"]]
 
-        placed = stored(vectors.mapInPandas(assign, "vec_id long, v array<long>, norm long, tree long, dist double"), "mtree-placed")
+        placed = stored(vectors.mapInPandas(assign, "vec_id long, v array<long>, norm double, tree long, dist double"), "mtree-placed")
         sizes = {r["tree"]: r["n"] for r in placed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
         parts = F.lit(1)
         for tree, n in sizes.items():
@@ -97,7 +106,8 @@ class Index:
         def build(frame: pd.DataFrame) -> pd.DataFrame:
             tree, sub = int(frame["tree"].iloc[0]), int(frame["sub"].iloc[0])
             frame = frame.sort_values("vec_id", ignore_index=True)
-            v, n = _matrix(frame["v"], w), frame["norm"].to_numpy(float)
+            whole, n = _matrix(frame["v"], w, np.int64), frame["norm"].to_numpy(float)
+            v = whole.astype(float)
             pages = max(1, -(-len(v) // PAGE))
             seeds = np.random.default_rng(tree * 1_000_003 + sub).choice(len(v), pages, replace=False)
             near = _between(v, n, v[seeds], n[seeds], m).argmin(axis=1)
@@ -109,18 +119,22 @@ class Index:
                     r, rn = v[seeds[p]][None, :], n[seeds[p]][None]
                     d = _between(v[own], n[own], r, rn, m)[:, 0]
                     up = float(_between(r, rn, routers[tree][None, :], norms[tree][None], m)[0, 0])
-                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), v[own].tobytes(), d.tobytes(), r.tobytes(), float(d.max()), up))
+                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), whole[own].tobytes(), d.tobytes(), r.tobytes(), float(d.max()), up))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in _NODES.split(", ")])
 
         self.pages = stored(placed.groupBy("tree", "sub").applyInPandas(build, _NODES), "mtree-pages")
         # One row per subtree: count / subtree rows and at most one more per routing vector.
         self.subtrees = self.pages.groupBy("tree", "sub").agg(F.max(F.col("parent_dist") + F.col("radius")).alias("reach")).toPandas().sort_values(["tree", "sub"], ignore_index=True)
 
+    def pages_for(self, asked: DataFrame) -> DataFrame:
+        """The pages of each subtree once for every block of queries that asks it."""
+        return self.pages.join(asked.select("tree", "sub", "block").distinct(), ["tree", "sub"])
+
     def search(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
         """Up to k rows per query (vec_id, v): query_id, vec_id, score, by score, then smaller id; a query is not its own result."""
         m, w, subtrees = self.m, self.width, self.subtrees
         tree_of, reach = subtrees["tree"].to_numpy(), subtrees["reach"].to_numpy(float)
-        routers = self.routers
+        routers, exact, scale = self.routers, self.exact, math.sqrt(self.m)
         blocks = max(1, -(-queries.count() // block))
 
         def route(first: bool):
@@ -132,7 +146,7 @@ class Index:
                     if first:
                         yield frame[["vec_id", "v", "norm"]].assign(tree=subtrees["tree"].to_numpy()[home], sub=subtrees["sub"].to_numpy()[home], bound=np.inf)
                         continue
-                    slack = 1e-7 * (1 + d)
+                    slack = 1e-7 * (1 + d + scale)
                     ok = d - reach[None, :] - slack <= frame["bound"].to_numpy(float)[:, None]
                     ok[np.arange(len(frame)), home] = False
                     i, s = np.nonzero(ok)
@@ -144,29 +158,30 @@ class Index:
             if not len(asked) or not len(pages):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
             ids = [np.frombuffer(b, np.int64) for b in pages["ids"]]
-            vs = [np.frombuffer(b).reshape(-1, w) for b in pages["vectors"]]
+            vs = [np.frombuffer(b, np.int64).reshape(-1, w) for b in pages["vectors"]]
             ds = [np.frombuffer(b) for b in pages["entry_dist"]]
             router = np.concatenate([np.frombuffer(b).reshape(1, w) for b in pages["router"]])
             radius, parent = (pages[c].to_numpy(float) for c in ("radius", "parent_dist"))
             tree = int(pages["tree"].iloc[0])
-            q, qn, bounds = _matrix(asked["v"], w), asked["norm"].to_numpy(float), asked["bound"].to_numpy(float)
+            asks, qn, bounds = _matrix(asked["v"], w, np.int64), asked["norm"].to_numpy(float), asked["bound"].to_numpy(float)
+            q = asks.astype(float)
             above = _gap(q, qn, routers[tree][None, :], m)[:, 0]
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i, me in enumerate(asked["vec_id"].tolist()):
-                bound, slack = bounds[i], 1e-7 * (1 + above[i])
+                bound, slack = bounds[i], 1e-7 * (1 + above[i] + scale)
                 # The parent's distance alone rules out pages.
                 open_ = np.flatnonzero(np.abs(above[i] - parent) - radius - slack <= bound)
                 d = _gap(q[i : i + 1], qn[i : i + 1], router[open_], m)[0]
                 low = np.maximum(d - radius[open_], 0) - slack
                 order = np.argsort(low, kind="stable")
-                best_id, best = np.zeros(0, np.int64), np.zeros(0)
+                best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for a in range(0, len(order), _STEP):
                     batch = [x for x in order[a : a + _STEP].tolist() if low[x] <= bound]
                     if not batch:
                         break
                     keep = [np.abs(ds[open_[x]] - d[x]) - slack <= bound for x in batch]
                     new = np.concatenate([ids[open_[x]][g] for x, g in zip(batch, keep, strict=True)])
-                    score = np.concatenate([vs[open_[x]][g] for x, g in zip(batch, keep, strict=True)]) @ q[i]
+                    score = _scores(np.concatenate([vs[open_[x]][g] for x, g in zip(batch, keep, strict=True)]), asks[i], exact)
                     other = new != me
                     best_id, best = np.concatenate([best_id, new[other]]), np.concatenate([best, score[other]])
                     if len(best) > k:
@@ -174,24 +189,23 @@ class Index:
                         best_id, best = best_id[top], best[top]
                     if len(best) >= k:
                         bound = min(bound, math.sqrt(max(0.0, qn[i] + m - 2 * float(best.min()))))
-                out.append((np.full(len(best), me), best_id, best.astype(np.int64)))
+                out.append((np.full(len(best), me), best_id, best))
             cols = [np.concatenate([o[j] for o in out]) for j in range(3)]
             return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
-        def searched(asked: DataFrame) -> DataFrame:
-            """Queries that meet a subtree come in blocks of bounded size, each with the subtree's pages."""
-            asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-            pages = self.pages.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        def searched(asked: DataFrame, name: str) -> DataFrame:
+            """Queries that meet a subtree come in blocks of bounded size; its pages go to the blocks that ask it, and to no others."""
             keys = ["tree", "sub", "block"]
-            return asked.groupBy(*keys).cogroup(pages.groupBy(*keys)).applyInPandas(look, _FOUND)
+            asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), name)
+            return asked.groupBy(*keys).cogroup(self.pages_for(asked).groupBy(*keys)).applyInPandas(look, _FOUND)
 
-        schema = "vec_id long, v array<long>, norm long, tree long, sub long, bound double"
+        schema = "vec_id long, v array<long>, norm double, tree long, sub long, bound double"
         queries = stored(queries, "mtree-queries")
-        home = stored(searched(queries.mapInPandas(route(True), schema)), "mtree-home")
+        home = stored(searched(queries.mapInPandas(route(True), schema), "mtree-first"), "mtree-home")
         kth = home.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-        bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + F.lit(m) - 2 * F.col("least")))).otherwise(F.lit(float("inf")))
+        bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + F.lit(m) - 2 * F.col("least").cast("double")))).otherwise(F.lit(float("inf")))
         bounded = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "norm", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-        found = home.unionByName(searched(bounded.mapInPandas(route(False), schema)))
+        found = home.unionByName(searched(bounded.mapInPandas(route(False), schema), "mtree-asked"))
         first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
         return ranked.select("query_id", "rank", "vec_id", "score")
@@ -200,7 +214,7 @@ class Index:
 def top_products(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """The k best inner products of each row whose id is divisible by `every`, against all other rows.
 
-    Repeated ids are candidates each by itself, and ask once, with the least vector; rows with the query's own id are not its results. Without
+    Components beyond a long are the nearest long, and so are scores. Repeated ids are candidates each by itself, and ask once, with the least vector; rows with the query's own id are not its results. Without
     a usable vector the result is empty. Shorter vectors count as filled up with zeros.
     """
     index = Index(quantised(embeddings))

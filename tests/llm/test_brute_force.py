@@ -34,6 +34,38 @@ def test_language_held_out():
     assert strange[0] < scores.min()
 
 
+def test_texts_in_languages_that_were_not_learned_are_rejected():
+    """Words of made-up languages with own syllables: one is left out of training, the thresholds know nothing of it."""
+    rng = random.Random(31)
+    syllables = {la: ["".join(rng.choice(c) for c in ("bdfgklmnprstvz", "aeiouyäöü", "nrslt")) for _ in range(25)] for la in "ABCDE"}
+    text = lambda la: " ".join("".join(rng.choice(syllables[la]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(15, 60)))
+    for strange in "AC":
+        known = [la for la in "ABCDE" if la != strange]
+        model = langid.train([text(la) for la in known for _ in range(80)], [la for la in known for _ in range(80)], epochs=4)
+        names, _, rejected = langid.judge_texts(model, [text(la) for la in known for _ in range(40)])
+        assert rejected.mean() <= 0.03 and sum(n == la for n, la in zip(names, (la for la in known for _ in range(40)), strict=True)) >= 155
+        assert langid.judge_texts(model, [text(strange) for _ in range(60)])[2].mean() >= 0.9
+        names, scores, rejected = langid.judge_texts(model, ["½ ²³ Ⅷ ①", "", None, "123 _"])
+        assert names == ["und"] * 4 and not scores.any() and rejected.all()
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that repeat one drawn id and text count once, whatever their number."""
+    same = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit("the same text").alias("text"))
+    many = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("de").alias("lang"), F.concat(F.lit("ein Text "), F.col("id")).alias("text"))
+    seen = []
+    train = langid.train
+    try:
+        langid.train = lambda texts, labels: seen.append(len(texts)) or train(texts[:20], labels[:20], epochs=1)
+        langid.fit(same.unionByName(many), rows_per_lang=50)
+    finally:
+        langid.train = train
+    assert 20 <= seen[0] <= 200
+    clash = many.select("text", F.lit(1).alias("score"), F.lit("x").alias("rejected"), F.lit("y").alias("lang_pred"), "lang").limit(5)
+    got = langid.identify(clash, langid.train(["ein Text", "one text"] * 9, ["de", "en"] * 9, epochs=1))
+    assert got.columns == ["text", "lang", "lang_pred", "score", "rejected"] and got.count() == 5
+
+
 def test_prediction_is_the_mean_over_the_whole_text():
     rng = random.Random(2)
     model = langid.train([prose(rng, la, 30) for la in WORDS for _ in range(20)], [la for la in WORDS for _ in range(20)], epochs=2)
@@ -209,6 +241,26 @@ def test_signatures_estimate_probability_jaccard():
     assert near_dup.similarities([a], [a]) == [1] and 0 < near_dup.similarities([a], [b])[0] < 1
 
 
+def test_mtree_with_large_components_and_few_pages(spark):
+    """Finite components of any size; pages go to the blocks that ask their subtree only."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.choice([0, 0, 3, 7])).tolist()) for i in range(260)] + [(500, [2e6] * 5), (501, [1e10, 0, 0, 0, 0]), (502, [-1e10, 1.0, 0, 0, 0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(np.floor(64 * x)) for x in e] for i, e in rows}
+    top = (1 << 63) - 1
+    want = []
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted((-max(-top, min(top, sum(a * b for a, b in zip(v[q], v[c], strict=True)))), c) for c in v if c != q)[:20]
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    got = mtree.top_products(table).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    index = mtree.Index(mtree.quantised(table), subtree=60)
+    keys = index.subtrees[["tree", "sub"]].iloc[0].tolist()
+    asked = spark.createDataFrame([(*keys, b % 2) for b in range(50)], "tree long, sub long, block long")
+    own = index.pages.filter((F.col("tree") == keys[0]) & (F.col("sub") == keys[1])).count()
+    assert len(index.subtrees) > 1 and index.pages_for(asked).count() == 2 * own
+
+
 def test_mtree_against_all_scores(spark):
     rng = np.random.default_rng(7)
     centers = rng.normal(0, 1, (6, 12))
