@@ -128,7 +128,9 @@ class Index:
 
     def pages_for(self, asked: DataFrame) -> DataFrame:
         """The pages of each subtree once for every block of queries that asks it."""
-        return self.pages.join(asked.select("tree", "sub", "block").distinct(), ["tree", "sub"])
+        # A column of its own: the result meets the queries again.
+        asks = asked.select("tree", "sub", (F.col("block") + 0).alias("block")).distinct()
+        return self.pages.join(asks, ["tree", "sub"])
 
     def search(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
         """Up to k rows per query (vec_id, v): query_id, vec_id, score, by score, then smaller id; a query is not its own result."""

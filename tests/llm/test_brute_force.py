@@ -244,7 +244,7 @@ def test_signatures_estimate_probability_jaccard():
 def test_mtree_with_large_components_and_few_pages(spark):
     """Finite components of any size; pages go to the blocks that ask their subtree only."""
     rng = np.random.default_rng(8)
-    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.choice([0, 0, 3, 7])).tolist()) for i in range(260)] + [(500, [2e6] * 5), (501, [1e10, 0, 0, 0, 0]), (502, [-1e10, 1.0, 0, 0, 0])]
+    rows = [(i, (rng.normal(size=5) * 10.0 ** rng.choice([0, 0, 3, 7])).tolist()) for i in range(260)] + [(500, [2e6] * 5), (501, [1e10, 0.0, 0.0, 0.0, 0.0]), (502, [-1e10, 1.0, 0.0, 0.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = {i: [int(np.floor(64 * x)) for x in e] for i, e in rows}
     top = (1 << 63) - 1
