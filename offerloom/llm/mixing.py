@@ -131,7 +131,8 @@ class Mix:
         held = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
         self.sources = plan({k: v[0] for k, v in held.items()}, block_words)
         table = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(self.sources)], "src int, name string, source_size long, target double")
-        numbered = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+        # Spark broadcasts the table if it is as small as a broadcast may be.
+        numbered = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
         order = ["doc_id", *(["text_key"] if "text_key" in carry else []), "size"]
         self.placed = with_prefix(numbered, ["src"], order, F.col("size"), "at", sum(n for _, n in held.values()))
         self.slots = slots_of(spark, self.sources, shards)

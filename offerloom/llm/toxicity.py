@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2500, longest:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Add score and predicted (1 from `threshold` on) to docs, which must have neither; null and empty texts are scored too."""
+    """Add score and predicted (1 from `threshold` on); columns of these names are replaced. Null and empty texts are scored too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
