@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import artifact_key
+from ..session import cut_lineage
 
 # Layout of a hand-checked truth file.
 GOLD_SCHEMA = """
@@ -50,10 +51,11 @@ def gold_files(gold: DataFrame) -> DataFrame:
 
 
 def write_reconciled(master: DataFrame, borderline: DataFrame, path: str) -> None:
-    """Master table, and the review table only when it has rows."""
+    """Master table, and the review table only when it has rows; its plan runs once."""
     master.write.mode("overwrite").parquet(f"{path}/master")
-    if not borderline.isEmpty():
-        borderline.write.mode("overwrite").parquet(f"{path}/borderline")
+    held = cut_lineage(borderline)
+    if not held.isEmpty():
+        held.write.mode("overwrite").parquet(f"{path}/borderline")
 
 
 def write_sections(slices: DataFrame, path: str) -> None:
