@@ -27,7 +27,7 @@ _PIECES = re.compile(
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _NEWLINE = 198
-_HELD = 300_000
+_HELD = 450_000
 
 
 def default_tokenizer() -> str:
@@ -44,7 +44,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Pieces:
-    """Encodes texts to little-endian unsigned 16-bit ids; keeps at most about 600,000 pieces.
+    """Encodes texts to little-endian unsigned 16-bit ids; keeps at most about 900,000 pieces.
 
     Words of letters go to the tokenizer's model by themselves; other pieces pass through all of it.
     """
@@ -75,8 +75,10 @@ class Pieces:
         again = {p for p in new if p in self.older}
         self.known.update({p: self.older[p] for p in again})
         new -= again
-        words = [p for p in new if (p[1:] if p[0] == " " else p).isalpha()]
-        others = list(new.difference(words))
+        words: list[str] = []
+        others: list[str] = []
+        for p in new:
+            (words if p.isalpha() or (p[0] == " " and p[1:].isalpha()) else others).append(p)
         for piece, ids in zip(others, self._ids(others), strict=True):
             self.known[piece] = array("H", ids).tobytes()
         if words:
