@@ -74,8 +74,8 @@ def _keys(df: DataFrame, threshold: float, shorter: bool) -> DataFrame:
     """Join keys of each name in its role as the shorter or the longer of a pair."""
     four, fewer = _bounds(threshold)
     length = F.length("name")
-    rank = [c for c in ("rank", "at", "reach") if c in df.columns]
-    places = ("short_at" if shorter else "long_at") if "at" in df.columns else None
+    rank = ["rank"] if "rank" in df.columns else []
+    places = ("short_at" if shorter else "long_at") if "short_at" in df.columns else None
     base = df.select("name", *rank, *([places] if places else []), length.alias("len"), bag_tokens(F.col("name")).alias("tokens"))
     parts = []
     for cls, bound in (("4", four), ("x", fewer)):
@@ -147,14 +147,17 @@ def similar_names_within(ranked: DataFrame, threshold: float) -> DataFrame:
         g,
         (F.col("s.cls") == F.col("g.cls")) & (F.col("s.short_len") == F.col("g.short_len")) & (F.col("s.sig") == F.col("g.sig"))
         & ((F.col("s.len") < F.col("g.len")) | ((F.col("s.len") == F.col("g.len")) & (F.col("s.rank") > F.col("g.rank"))))
-        & ((F.col("s.cls") == "4") == prefix4) & (common >= bound - F.lit(1e-9))
-        & (F.arrays_overlap("s.reach", "g.at") if "at" in ranked.columns else F.lit(True)),
+        & ((F.col("s.cls") == "4") == prefix4) & (common >= bound - F.lit(1e-9)),
     )
     later = F.col("s.rank") > F.col("g.rank")
     pairs = met.select(
         F.when(later, F.col("s.name")).otherwise(F.col("g.name")).alias("left_name"),
         F.when(later, F.col("g.name")).otherwise(F.col("s.name")).alias("right_name"),
     ).dropDuplicates(["left_name", "right_name"])
+    if "at" in ranked.columns:
+        # Names that met by a common key: their lists of buckets decide, before any score is taken.
+        held = ranked.select(F.col("name").alias("left_name"), "reach"), ranked.select(F.col("name").alias("right_name"), "at")
+        pairs = pairs.join(held[0], "left_name").join(held[1], "right_name").filter(F.arrays_overlap("reach", "at")).drop("reach", "at")
     return pairs.withColumn("score", jaro_winkler(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= threshold)
 
 
