@@ -24,8 +24,8 @@ from .common import slices
 NGRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Characters that count as of a word, yet are neither letters nor decimal digits: fractions, Roman and circled numbers.
-_NUMBERS = "".join(c for c in map(chr, range(0xB2, 0x1FBFA)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0xB2, 0x1FBFA)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: A text's length class is the number of these bounds that its number of n-grams reaches.
 LENGTHS = (24, 96, 384, 1536)
 
@@ -42,7 +42,11 @@ class Model:
 
 def normal(text: str | None) -> str:
     """Letters in lower case, other runs as one space, a space at both ends; empty without letters."""
-    s = _NOT_LETTERS.sub(" ", (text or "").lower()).strip(" ")
+    s = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not s.isascii() and not s.replace(" ", "").isalpha():
+        # The long pattern is slow, so only texts with such a character are searched.
+        s = re.sub(" +", " ", _NUMBERS.sub(" ", s))
+    s = s.strip(" ")
     return f" {s} " if s else ""
 
 
