@@ -19,14 +19,21 @@ def round2(c: Column) -> Column:
     return F.floor(c * 100 + F.lit(0.5)) / F.lit(100.0)
 
 
+#: Most amounts are bare digits, which need no look at brackets and signs.
+_PLAIN = r"^\d*\.?\d+$"
+
+
 def _signed(text: Column, digits: str) -> Column:
     """'(x)' and '-x' are negative; anything not matching ``digits`` is null."""
     def value(t: Column) -> Column:
-        minus = t.rlike(r"^(\(.*\)|-.*)$")
-        number = F.regexp_replace(t, r"^\((.*)\)$", "$1")
-        body = F.regexp_replace(number, "^-", "")
-        amount = F.when(body.rlike(digits), body.try_cast("double"))
-        return F.when(minus | number.startswith("-"), -amount).otherwise(amount)
+        minus = t.startswith("-") | (t.startswith("(") & t.endswith(")"))
+        number = F.when(t.startswith("("), F.regexp_replace(t, r"^\((.*)\)$", "$1")).otherwise(t)
+
+        def signed(n: Column) -> Column:
+            amount = let(F.when(n.startswith("-"), F.substring(n, 2, 2147483647)).otherwise(n), lambda body: F.when(body.rlike(digits), body.try_cast("double")))
+            return F.when(minus | n.startswith("-"), -amount).otherwise(amount)
+
+        return F.when(t.rlike(_PLAIN), t.try_cast("double")).otherwise(let(number, signed))
 
     return let(text, value)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import let, normalize_heading, parse_indian_num, parse_indian_number, trailing_page_number
@@ -40,19 +40,36 @@ def row_cells(items: DataFrame, tolerance: float = 4, round_x: bool = False) ->
 def page_rows(items: DataFrame, tolerance: float = 4, round_x: bool = False) -> DataFrame:
     """One row per page with its lines in reading order: rows array<struct<o, cells, text>>.
 
-    The repartition lets both aggregations use the same shuffle.
+    One aggregation gathers a page; its sorted pieces are cut where the line changes.
     """
-    lines = row_cells(items.repartition("doc_id", "page"), tolerance, round_x)
-    return lines.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("row_y")).alias("o"), "cells", "text"))).alias("rows")
+    x = _round_half_up(F.col("x")).cast("double") if round_x else F.col("x").cast("double")
+    bucket = (_round_half_up(F.col("y") / F.lit(tolerance)) * tolerance).cast("double")
+    named = items.select(*PAGE, (-bucket).alias("o"), x.alias("x"), "seq", F.trim("str").alias("text")).filter("text <> ''")
+    pieces = named.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("o", "x", "seq", "text"))).alias("_p"))
+    starts = F.filter(
+        F.transform("_p", lambda s, k: F.when((k == 0) | ~F.get("_p", k - 1)["o"].eqNullSafe(s["o"]), k + 1)), lambda k: k.isNotNull()
     )
+    cut = once(once(pieces, {"_p": F.col("_p")}), {"_starts": starts})
+
+    def line(start: Column, j: Column) -> Column:
+        held = F.slice("_p", start, F.coalesce(F.get("_starts", j + 1), F.size("_p") + 1) - start)
+        return let(held, lambda c: F.struct(
+            F.get(c, F.lit(0))["o"].alias("o"),
+            F.transform(c, lambda s: F.struct(s["x"].alias("x"), s["text"].alias("text"))).alias("cells"),
+            F.array_join(F.transform(c, lambda s: s["text"]), " ").alias("text"),
+        ))
+
+    return once(cut, {"rows": F.transform("_starts", line)}).select(*PAGE, "rows")
 
 
 # --- periods and metrics ----------------------------------------------------------------
 
 
 def _joined_cells(cells: Column) -> Column:
-    """Neighbouring pieces of one cell put together: less than 10 px after the last text."""
+    """Neighbouring pieces of one cell put together: less than 10 px after the last text.
+
+    Only lines in which a piece follows the one before it so closely are folded.
+    """
     empty = F.array().cast(CELL)
 
     def step(acc: Column, c: Column) -> Column:
@@ -61,7 +78,10 @@ def _joined_cells(cells: Column) -> Column:
         longer = F.array(F.struct(last["x"].alias("x"), F.concat(last["text"], F.lit(" "), c["text"]).alias("text")))
         return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(c))).cast(CELL)
 
-    return F.aggregate(cells, empty, step)
+    beside = F.exists(
+        F.transform(cells, lambda c, i: (i > 0) & (c["x"] - (F.get(cells, i - 1)["x"] + F.length(F.get(cells, i - 1)["text"]) * 4) < 10)), lambda b: b
+    )
+    return F.when(beside, F.aggregate(cells, empty, step)).otherwise(cells.cast(CELL))
 
 
 CLUSTERS = "array<struct<x:double,texts:array<string>>>"
@@ -122,13 +142,15 @@ def match_metric(plain: Column, metrics: list[tuple[str, list[str]]]) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(c, r"[,()]", "")
+    return F.translate(c, ",()", "")
 
 
 def _is_value(text: Column) -> Column:
-    bare = _bare(text)
-    number = bare.rlike(r"^[-\d,()]+(\.\d+)?$") | bare.rlike(r"^-?\d*\.?\d+$")
-    return number & ~bare.rlike(r"^\d{1,3}$")
+    def judged(bare: Column) -> Column:
+        number = bare.rlike(r"^[-\d,()]+(\.\d+)?$") | bare.rlike(r"^-?\d*\.?\d+$")
+        return number & ~bare.rlike(r"^\d{1,3}$")
+
+    return let(_bare(text), judged)
 
 
 TAKEN = "struct<used:array<int>,vals:array<double>>"
@@ -136,41 +158,47 @@ TAKEN = "struct<used:array<int>,vals:array<double>>"
 
 def nearest_values(cells: Column, periods: Column, reach: float = 120) -> Column:
     """For each period the closest number cell not used yet, less than ``reach`` px away."""
-    data = F.filter(cells, lambda c: _is_value(c["text"]))
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("vals"))
 
-    def step(acc: Column, p: Column) -> Column:
-        free = F.filter(
-            F.transform(data, lambda c, i: F.struct(F.abs(c["x"] - p["x"]).alias("d"), i.alias("i"), c["text"].alias("text"))),
-            lambda s: (s["d"] < reach) & ~F.array_contains(acc["used"], s["i"]),
-        )
-        def take(best: Column) -> Column:
-            return F.struct(
-                F.when(best.isNotNull(), F.array_append(acc["used"], best["i"])).otherwise(acc["used"]).alias("used"),
-                F.array_append(acc["vals"], parse_indian_num(best["text"])).alias("vals"),
+    def nearest(data: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            free = F.filter(
+                F.transform(data, lambda c, i: F.struct(F.abs(c["x"] - p["x"]).alias("d"), i.alias("i"), c["v"].alias("v"))),
+                lambda s: (s["d"] < reach) & ~F.array_contains(acc["used"], s["i"]),
             )
 
-        return let(F.array_min(free), take).cast(TAKEN)
+            def take(best: Column) -> Column:
+                return F.struct(
+                    F.when(best.isNotNull(), F.array_append(acc["used"], best["i"])).otherwise(acc["used"]).alias("used"),
+                    F.array_append(acc["vals"], best["v"]).alias("vals"),
+                )
+
+            return let(F.array_min(free), take).cast(TAKEN)
 
-    return F.aggregate(periods, start.cast(TAKEN), step)["vals"]
+        return F.aggregate(periods, start.cast(TAKEN), step)["vals"]
+
+    numbers = F.filter(cells, lambda c: _is_value(c["text"]))
+    return let(F.transform(numbers, lambda c: F.struct(c["x"].alias("x"), parse_indian_num(c["text"]).alias("v"))), nearest)
 
 
 def item_metrics(items: DataFrame, metrics: list[tuple[str, list[str]]]) -> DataFrame:
     """doc_id, page, key, period_idx, period, value: first row with a value per page and key."""
     pages = with_periods(page_rows(items, 3, round_x=True))
-    rows = pages.select(*PAGE, "periods", F.posexplode("rows").alias("row_idx", "r"))
-    label = F.get(
-        F.filter("r.cells", lambda c: ~_bare(c["text"]).rlike(r"^[-\d,()]+(\.\d+)?$") & (F.length(c["text"]) > 3)), F.lit(0)
-    )["text"]
-    labelled = once(rows, {"_label": plain_label(label)})
-    keyed = once(labelled, {"key": match_metric(F.col("_label"), metrics)}).filter(F.col("key").isNotNull())
-    valued = once(keyed, {"values": nearest_values(F.col("r.cells"), F.col("periods"))}).filter(
-        F.exists("values", lambda v: v.isNotNull())
-    )
-    first = valued.groupBy(*PAGE, "key").agg(F.min_by(F.struct("values", "periods"), "row_idx").alias("m"))
-    return first.select(*PAGE, "key", "m.periods", F.posexplode("m.values").alias("period_idx", "value")).select(
-        *PAGE, "key", "period_idx", F.get("periods", F.col("period_idx"))["label"].alias("period"), "value"
-    )
+
+    def keyed(r: Column) -> Column:
+        label = F.get(
+            F.filter(r["cells"], lambda c: (F.length(c["text"]) > 3) & ~_bare(c["text"]).rlike(r"^[-\d,()]+(\.\d+)?$")), F.lit(0)
+        )["text"]
+        return let(plain_label(label), lambda plain: F.struct(match_metric(plain, metrics).alias("key"), r["cells"].alias("cells")))
+
+    rows = once(pages, {"_rows": F.filter(F.transform("rows", keyed), lambda r: r["key"].isNotNull())}).drop("rows")
+    read = F.transform("_rows", lambda r: F.struct(r["key"].alias("key"), nearest_values(r["cells"], F.col("periods")).alias("values")))
+    valued = once(rows, {"_read": F.filter(read, lambda r: F.exists(r["values"], lambda v: v.isNotNull()))}).drop("_rows")
+    keys = F.transform("_read", lambda r: r["key"])
+    first = F.filter("_read", lambda r, i: F.array_position(keys, r["key"]) == i + 1)
+    return valued.select(*PAGE, "periods", F.explode(first).alias("m")).select(
+        *PAGE, F.col("m.key").alias("key"), "periods", F.posexplode("m.values").alias("period_idx", "value")
+    ).select(*PAGE, "key", "period_idx", F.get("periods", F.col("period_idx"))["label"].alias("period"), "value")
 
 
 def item_statements(items: DataFrame) -> DataFrame:
@@ -183,13 +211,12 @@ def item_ratios(items: DataFrame) -> DataFrame:
 
 def first_page_wins(metrics: DataFrame) -> DataFrame:
     """Per document the values of each metric from its first page; period labels from the
-    document's first page with any metric."""
-    per_key = metrics.groupBy("doc_id", "key").agg(F.min("page").alias("page"))
-    opening = metrics.groupBy("doc_id", "period_idx").agg(F.min_by("period", "page").alias("period"), F.min("page").alias("_p"))
-    first = metrics.groupBy("doc_id").agg(F.min("page").alias("_p"))
-    labels = opening.join(first, ["doc_id", "_p"]).select("doc_id", "period_idx", "period")
-    kept = metrics.drop("period").join(per_key, ["doc_id", "key", "page"])
-    return kept.join(labels, ["doc_id", "period_idx"], "left").select("doc_id", "key", "page", "period_idx", "period", "value")
+    document's first page with any metric. The metrics are read once, shuffled by document."""
+    own, opening = Window.partitionBy("doc_id", "key"), Window.partitionBy("doc_id", "period_idx")
+    paged = metrics.withColumn("_first", F.min("page").over(Window.partitionBy("doc_id"))).withColumn("_own", F.min("page").over(own))
+    label = F.max(F.when(F.col("page") == F.col("_first"), F.col("period"))).over(opening)
+    named = paged.withColumn("period", label).filter(F.col("page") == F.col("_own"))
+    return named.select("doc_id", "key", "page", "period_idx", "period", "value")
 
 
 def derive_ebitda(metrics: DataFrame) -> DataFrame:

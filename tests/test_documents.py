@@ -106,6 +106,14 @@ def test_page_merge_and_best_page(spark):
     assert items.best_page(items.page_fields(df)).first().page == 1
 
 
+def test_first_page_wins_reads_its_metrics_once(spark):
+    rows = [(1, 1, "a", 0, "p1", 1.0), (1, 2, "a", 0, "p2", 2.0), (1, 2, "b", 1, "q2", 3.0), (2, 3, "b", 0, "p3", None), (2, 3, "b", 1, "q3", 4.0)]
+    out = items.first_page_wins(spark.createDataFrame(rows, "doc_id bigint, page int, key string, period_idx int, period string, value double"))
+    assert {tuple(r) for r in out.collect()} == {(1, "a", 1, 0, "p1", 1.0), (1, "b", 2, 1, None, 3.0), (2, "b", 3, 0, "p3", None), (2, "b", 3, 1, "q3", 4.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_holding_and_tables(spark):
     df = spark.createDataFrame(it([(1, 90, "Total promoter group"), (50, 90, "70.5%"), (90, 90, "51.25")], page=3) + it([(1, 90, "Total promoter"), (50, 90, "x")], page=2), ITEM)
     r = items.promoter_holding(df).first()
