@@ -73,7 +73,7 @@ def markdown_cells(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def first_label(row: Column) -> Column:
-    return F.coalesce(trim_all(F.get(F.filter(row, lambda c: trim_all(c) != ""), F.lit(0))), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(row, trim_all), lambda c: c != ""), F.lit(0)), F.lit(""))
 
 
 def values_at(row: Column, cols: Column) -> Column:
@@ -102,12 +102,10 @@ def period_row(rows: Column) -> Column:
 
 def rule_score(rows: Column, rules: list[tuple[str, str]]) -> Column:
     """Number of different rules that some row label satisfies."""
-    labels = F.transform(rows, first_label)
+    def met(labels: Column) -> Column:
+        return reduce(add, [F.exists(labels, lambda x: x.rlike(p)).cast("int") for _, p in rules])
 
-    def met(pattern: str) -> Column:
-        return F.exists(labels, lambda x: x.rlike(pattern)).cast("int")
-
-    return reduce(add, [met(p) for _, p in rules])
+    return let(F.transform(rows, first_label), met)
 
 
 def tables_of(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = ("statement", "ratio")) -> DataFrame:

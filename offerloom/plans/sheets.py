@@ -86,7 +86,7 @@ def markdown_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("period_header", f"WITH {TABLES} SELECT doc_id, CAST(table_idx AS INTEGER) AS table_idx, 0 AS row_idx, 2 AS periods, '31 March 2025,FY 2024' AS labels FROM blocks")
 def period_header(spark: SparkSession, folder: str) -> DataFrame:
-    t = tables.tables_of(statement_docs(spark, folder))
+    t = tables.tables_of(statement_docs(spark, folder), kinds=())
     return t.filter(F.col("header").isNotNull()).select(
         "doc_id", "table_idx", "header.row_idx", F.col("header.n").alias("periods"), F.array_join("header.labels", ",").alias("labels")
     )
@@ -96,7 +96,7 @@ def period_header(spark: SparkSession, folder: str) -> DataFrame:
 WITH {TABLES} SELECT doc_id, CAST(arg_max(table_idx, {{'s': score, 'i': -table_idx}}) AS INTEGER) AS table_idx, CAST(max(score) AS INTEGER) AS score FROM blocks WHERE score >= 2 GROUP BY 1
 """)
 def best_table(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.best_table(tables.tables_of(statement_docs(spark, folder))).select("doc_id", "table_idx", "score")
+    return tables.best_table(tables.tables_of(statement_docs(spark, folder), kinds=("statement",))).select("doc_id", "table_idx", "score")
 
 
 @query("table_metrics", f"""

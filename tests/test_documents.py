@@ -301,3 +301,15 @@ def test_canonical_mention(spark):
     df = spark.createDataFrame([(["Rikhav Securities Limited", "RIKHAV SECURITIES LIMITED", "Other Broking Limited", "Other Broking Limited", "Other Broking Ltd Limited"],), ([],)], "names array<string>")
     got = [r.v for r in facts.canonical_mentions(df, "names", "v").collect()]
     assert got == [["Other Broking Limited", "Rikhav Securities Limited"], []]
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_labels_are_read_once_for_all_rules(spark):
+    from offerloom.rules import tables as TR
+
+    d = docs(spark, FIN)
+    few, many = (planned(d.select(tables.rule_score(F.array(F.split("text", " ")), TR.STATEMENT_METRICS[:n]).alias("s"))) for n in (1, 9))
+    assert few.count("trim(") == many.count("trim(")
