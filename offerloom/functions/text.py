@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 WS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 # Runs of white space that are not one plain space already; nothing else needs replacing.
-WS_RUN = f"[ ]{WS}+|[" + WS[3:].join([r"\t\n\x0B\f\r", ""]) + f"{WS}*"
+# Printable ASCII is told apart first: it is nearly every character.
+WS_RUN = f"[ ][[^!-~]&&{WS}]+|[[^ -~]&&[" + WS[3:].join([r"\t\n\x0B\f\r", ""]) + f"]{WS}*"
 
 # The same characters one by one, for trimming and translating without a pattern.
 WS_CHARS = " \t\n\x0b\f\r" + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
@@ -211,19 +212,27 @@ def is_person_name(c: Column) -> Column:
 
 def split_person_names(raw: Column) -> Column:
     """'A and B, Mr. C' → array of names, still with repeats."""
-    s = F.regexp_replace(squeeze(raw), r"\.$", "")
+    def split(text: Column) -> Column:
+        boilerplate = text.rlike(r"(?i)^(?:the\s+)?(?:issue|offer)\s*$")
+        return F.when(boilerplate, F.array().cast("array<string>")).otherwise(_person_names(text))
+
+    return let(squeeze(raw), split)
+
+
+def _person_names(text: Column) -> Column:
+    s = F.regexp_replace(text, r"\.$", "")
     s = F.regexp_replace(F.trim(s), r"(?i)\s+(?:and|&)\s*$", "")
     s = F.regexp_replace(s, r"(?i)\s+(?:and|&)\s+", ",")
     parts = F.transform(
         F.split(s, ","),
         lambda p: F.trim(F.regexp_replace(F.trim(p), r"(?i)^(?:mr|mrs|ms|shri|smt)[.\s]+", "")),
     )
-    names = F.filter(parts, lambda p: (F.length(p) >= 3) & is_person_name(p))
-    boilerplate = squeeze(raw).rlike(r"(?i)^(?:the\s+)?(?:issue|offer)\s*$")
-    return F.when(boilerplate, F.array().cast("array<string>")).otherwise(names)
+    return F.filter(parts, lambda p: (F.length(p) >= 3) & is_person_name(p))
 
 
 def distinct_names(names: Column) -> Column:
     """First spelling of each name, compared by letters only, order kept."""
-    keys = F.transform(names, letters_key)
-    return F.filter(names, lambda n, i: F.array_position(keys, letters_key(n)) == i + 1)
+    def firsts(held: Column) -> Column:
+        return let(F.transform(held, letters_key), lambda keys: F.filter(held, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+
+    return let(names, firsts)

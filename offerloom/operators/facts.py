@@ -415,22 +415,27 @@ def objects_of_issue(docs: DataFrame, few: int = 2, list_chars: int | None = Non
 # --- promoters ----------------------------------------------------------------------------
 
 
+def _named_at(names: Column, place: str) -> Column:
+    return let(names, lambda n: F.when(F.size(n) > 0, F.struct(F.lit(place).alias("place"), n.alias("names"))))
+
+
 def promoter_names(docs: DataFrame) -> DataFrame:
     """doc_id, promoters, confidence, origin, evidence (map name key → kind of place)."""
     flat = once(docs, {"_flat": squeeze(F.col("text"))})
     hits = []
     for pattern, place in R.PROMOTER_PATTERNS:
-        raw = F.regexp_extract("_flat", pattern, 1)
-        names = distinct_names(split_person_names(raw))
-        ok = (F.length(F.trim(raw)) >= 5) & (F.size(names) > 0)
-        hits.append(F.when(ok, F.struct(F.lit(place).alias("place"), names.alias("names"))))
+        names = let(F.regexp_extract("_flat", pattern, 1), lambda raw: F.when(F.length(F.trim(raw)) >= 5, distinct_names(split_person_names(raw))))
+        hits.append(_named_at(names, place))
     found = once(flat, {"_hits": F.array_compact(F.array(*hits))}).filter(F.size("_hits") > 0)
     strong = F.exists("_hits", lambda h: h["place"] == "cover") | (F.size("_hits") >= 2)
     tagged = F.flatten(F.transform("_hits", lambda h: F.transform(h["names"], lambda n: F.struct(letters_key(n).alias("k"), h["place"].alias("p")))))
-    keys = F.array_distinct(F.transform(tagged, lambda t: t["k"]))
-    evidence = F.map_from_entries(
-        F.transform(keys, lambda k: F.struct(k, F.get(F.filter(tagged, lambda t: t["k"] == k), F.lit(0))["p"]))
-    )
+    def places(held: Column) -> Column:
+        keys = F.array_distinct(F.transform(held, lambda t: t["k"]))
+        return F.map_from_entries(
+            F.transform(keys, lambda k: F.struct(k, F.get(F.filter(held, lambda t: t["k"] == k), F.lit(0))["p"]))
+        )
+
+    evidence = let(tagged, places)
     return found.select(
         "doc_id",
         distinct_names(F.flatten(F.transform("_hits", lambda h: h["names"]))).alias("promoters"),

@@ -313,3 +313,12 @@ def test_row_labels_are_read_once_for_all_rules(spark):
     d = docs(spark, FIN)
     few, many = (planned(d.select(tables.rule_score(F.array(F.split("text", " ")), TR.STATEMENT_METRICS[:n]).alias("s"))) for n in (1, 9))
     assert few.count("trim(") == many.count("trim(")
+
+
+def test_names_are_split_once(spark):
+    from offerloom.functions import distinct_names, split_person_names
+
+    d = spark.createDataFrame([("Asha Rao and asha rao, Mr. Dev Shah, xy",)], "t string")
+    assert d.select(distinct_names(split_person_names(F.col("t")))).first()[0] == ["Asha Rao", "Dev Shah"]
+    plan = planned(d.select(distinct_names(split_person_names(F.lower(F.upper("t")))).alias("n")))
+    assert plan.count("upper(") == 1
