@@ -161,10 +161,16 @@ def trailing_page_number(c: Column, last: int | None = None) -> Column:
 
 
 def clean_object_name(c: Column) -> Column:
-    t = F.regexp_replace(squeeze(c), r"\\", "")
-    t = F.regexp_replace(t, r"^\(?\d+\)?\.?\s*", "")
-    t = F.regexp_replace(t, r"[*#^]+$", "")
-    return F.trim(F.regexp_replace(t, r"\s*\(\d+\)\s*$", ""))
+    """Squeezed, without number in front, footnote marks and a bracketed number at the end."""
+    def unmarked(t: Column) -> Column:
+        marked = t.contains("*") | t.contains("#") | t.contains("^")
+        return F.when(marked, F.regexp_replace(t, r"[*#^]+$", "")).otherwise(t)
+
+    def unnumbered(t: Column) -> Column:
+        return F.trim(F.when(t.contains(")"), F.regexp_replace(t, r"\s*\(\d+\)\s*$", "")).otherwise(t))
+
+    front = F.regexp_replace(F.replace(squeeze(c), F.lit("\\"), F.lit("")), r"^\(?\d+\)?\.?\s*", "")
+    return let(let(front, unmarked), unnumbered)
 
 
 def clean_name(c: Column) -> Column:

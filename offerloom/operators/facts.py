@@ -378,9 +378,10 @@ def objects_of_issue(docs: DataFrame, few: int = 2, list_chars: int | None = Non
     staged = once(staged, {"_best": F.array_max(ranked)})
     rows = F.when(F.col("_best.score") >= 2, F.get("_tables", F.col("_best.at")))
     staged = once(staged, {"_read": F.coalesce(F.transform(rows, _object_row), F.array().cast("array<struct<kind:string,name:string,amount:double>>"))})
-    flat = squeeze(F.col("text"))
-    at = F.regexp_instr(flat, F.lit(R.OBJECT_LIST_HEAD))
-    span = F.when(at > 0, F.substr(flat, at) if list_chars is None else F.substr(flat, at, F.lit(list_chars)))
+    staged = once(staged, {"_flat": squeeze(F.col("text"))})
+    staged = once(staged, {"_at": F.regexp_instr("_flat", F.lit(R.OBJECT_LIST_HEAD))})
+    at = F.col("_at")
+    span = F.when(at > 0, F.substr("_flat", at) if list_chars is None else F.substr("_flat", at, F.lit(list_chars)))
     named = F.filter(
         F.transform(F.regexp_extract_all(span, F.lit(R.OBJECT_LIST_ITEM), F.lit(1)), clean_object_name), lambda n: F.length(n) >= 8
     )
@@ -390,11 +391,11 @@ def objects_of_issue(docs: DataFrame, few: int = 2, list_chars: int | None = Non
         "_named": F.coalesce(named, F.array().cast("array<string>")),
         "unit": detect_unit(F.col("text")),
     })
-    lowered = F.transform("_named", F.lower)
-    listed = F.filter("_named", lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
-    staged = staged.withColumn("_listed", F.transform(listed, lambda n: F.struct(F.lit("object").alias("kind"), n.alias("name"), F.lit(None).cast("double").alias("amount"))))
+    staged = once(staged, {"_lowered": F.transform("_named", F.lower)})
+    listed = F.filter("_named", lambda n, i: F.array_position("_lowered", F.get("_lowered", i)) == i + 1)
+    staged = once(staged, {"_listed": F.transform(listed, lambda n: F.struct(F.lit("object").alias("kind"), n.alias("name"), F.lit(None).cast("double").alias("amount")))})
     use_list = (F.size("_objects") < few) & (F.size("_listed") > F.size("_objects"))
-    staged = staged.withColumns({
+    staged = once(staged, {
         "_final": F.when(use_list, F.col("_listed")).otherwise(F.col("_objects")),
         "origin": F.when(use_list, "list").otherwise("table"),
     })
@@ -405,7 +406,7 @@ def objects_of_issue(docs: DataFrame, few: int = 2, list_chars: int | None = Non
     def crore(v: Column) -> Column:
         return F.when(F.col("unit") == "Crore", round2(v)).otherwise(round2(v / 100))
 
-    rows = staged.withColumn("total", total).select("doc_id", "unit", "origin", "total", F.posexplode("_final").alias("ord", "o"))
+    rows = once(staged, {"total": total}).select("doc_id", "unit", "origin", "total", F.posexplode("_final").alias("ord", "o"))
     return rows.select(
         "doc_id", "ord", F.col("o.name").alias("name"), F.col("o.amount").alias("amount"), crore(F.col("o.amount")).alias("amount_cr"),
         "total", crore(F.col("total")).alias("total_cr"), "unit", "origin",

@@ -322,3 +322,10 @@ def test_names_are_split_once(spark):
     assert d.select(distinct_names(split_person_names(F.col("t")))).first()[0] == ["Asha Rao", "Dev Shah"]
     plan = planned(d.select(distinct_names(split_person_names(F.lower(F.upper("t")))).alias("n")))
     assert plan.count("upper(") == 1
+
+
+def test_object_list_is_searched_once(spark):
+    d = docs(spark, "following objects: 1. Setting up of a plant (2); 2. setting UP of a plant; 3. New brand campaign*; ")
+    out = facts.objects_of_issue(d)
+    assert [r.name for r in out.orderBy("ord").collect()] == ["Setting up of a plant", "New brand campaign"]
+    assert planned(out).count("following") == 1
