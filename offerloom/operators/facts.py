@@ -159,7 +159,9 @@ def issue_details(docs: DataFrame, label_chars: int | None = None) -> DataFrame:
     venue = F.lit(None).cast("string")
     for pattern, name in reversed(R.VENUES):
         venue = F.when(flat.rlike(pattern), name).otherwise(venue)
-    names = reduce(F.concat, [F.regexp_extract_all(flat, F.lit(p), F.lit(1)) for p in R.MARKET_MAKER_NAMES])
+    lowered = F.lower(flat)
+    named = F.contains(lowered, F.lit("limited")) & F.contains(lowered, F.lit("maker"))
+    names = F.when(named, reduce(F.concat, [F.regexp_extract_all(flat, F.lit(p), F.lit(1)) for p in R.MARKET_MAKER_NAMES])).otherwise(F.array().cast("array<string>"))
     r = once(r, {
         "total_issue_shares": F.when(F.size("c_totalIssueShares") > 0, total).otherwise(computed),
         "_pp": pre_post_match(F.col("c_preIssueShares"), F.col("c_postIssueShares"), fresh),

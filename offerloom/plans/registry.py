@@ -27,3 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over the tasks by key: a small file of one row group is read by one task, and heavy text work would stay there."""
+    return df.repartition(key)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import facts, items, parties, tables
-from .registry import query, table
+from .registry import query, spread, table
 
 # Row labels by line number; the seventh means nothing.
 STATEMENT_LABELS = ["Revenue from operations", "Total income", "EBITDA", "Profit after tax", "Net worth", "Total borrowings", "Sundry row"]
@@ -302,7 +302,7 @@ def issue_details(spark: SparkSession, folder: str) -> DataFrame:
         _row(F.lit("Equity Shares outstanding prior to the Issue"), F.format_string("%,d", F.lit(20000))), _row(F.lit("Equity Shares outstanding after the Issue"), F.format_string("%,d", (n + 25000).cast("bigint"))),
         F.lit(""), F.when(k % 2 == 0, "The entire issue constitutes fresh issue on BSE SME.").otherwise("Listed on NSE."), F.when(k % 3 == 0, "A fixed price issue.").otherwise("A book building issue."),
     ]
-    d = table(spark, folder, "part").select(k.alias("doc_id"), F.concat_ws("\n", *rows).alias("text"), F.lit(True).alias("is_sme"))
+    d = spread(table(spark, folder, "part"), "p_partkey").select(k.alias("doc_id"), F.concat_ws("\n", *rows).alias("text"), F.lit(True).alias("is_sme"))
     return facts.issue_details(d).select(
         "doc_id", F.col("fresh_issue_shares").alias("fresh"), F.col("market_maker_shares").alias("mm"), F.col("net_offer_shares").alias("net"), F.col("ofs_shares").alias("ofs"),
         F.col("total_issue_shares").alias("total"), F.col("pre_issue_shares").alias("pre"), F.col("post_issue_shares").alias("post"), "confidence", "issue_type", "listing_at",
@@ -349,7 +349,7 @@ def issue_structures(spark: SparkSession, folder: str) -> DataFrame:
     )
     sale = lines(_row(F.lit("Offer for Sale"), share(n + 5000)), _row(F.lit("Total Offer Size"), share(n + 5000)), F.lit(""), F.lit("Listing through an offer for sale."))
     text = F.when(kind == 0, sme).when(kind == 1, main(n * 2 + 4000)).when(kind == 2, prose).when(kind == 3, sale).otherwise(main(n * 2 + 4001))
-    d = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), kind.isin(0, 2).alias("is_sme"))
+    d = spread(table(spark, folder, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), kind.isin(0, 2).alias("is_sme"))
     fields = {"fresh_issue": "fresh", "ofs": "ofs", "market_maker": "mm", "employee_reservation": "emp", "net_offer": "net", "total_issue": "total"}
     return facts.issue_details(d).select("doc_id", *[F.col(f"{c}_shares").alias(a) for c, a in fields.items()], "sale_type", "confidence")
 

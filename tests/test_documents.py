@@ -329,3 +329,12 @@ def test_object_list_is_searched_once(spark):
     out = facts.objects_of_issue(d)
     assert [r.name for r in out.orderBy("ord").collect()] == ["Setting up of a plant", "New brand campaign"]
     assert planned(out).count("following") == 1
+
+
+def test_part_texts_are_spread_over_tasks(spark, tmp_path):
+    from offerloom.plans import sheets
+
+    spark.range(8).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for query in (sheets.issue_details, sheets.issue_structures):
+        out = query(spark, str(tmp_path))
+        assert "RepartitionByExpression" in planned(out) and out.count() == 8
