@@ -448,27 +448,22 @@ def locate_by_contents(
         F.explode(F.filter(named, lambda x: F.size(x["sections"]) > 0)).alias("x"),
     )
     hits = flagged.select(*PAGE, "contents", "x.number", F.explode("x.sections").alias("section"))
-    per_section = hits.groupBy("doc_id", "section").agg(
+    # One shuffle by document serves both aggregations.
+    per_section = hits.repartition("doc_id").groupBy("doc_id", "section").agg(
         F.min(F.when(F.col("contents"), F.col("number"))).alias("start"), F.min("page").alias("first_page")
     )
-    listed = per_section.filter(F.col("start").isNotNull())
-    starts = listed.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("start")).alias("starts"), F.collect_list(F.struct("section", "start")).alias("s")
-    )
-    rows = starts.select("doc_id", "starts", F.explode("s").alias("s")).select("doc_id", "starts", "s.section", "s.start")
+    held = per_section.groupBy("doc_id").agg(F.collect_list(F.struct("section", "start", "first_page")).alias("s"))
+    starts = F.array_sort(F.filter(F.transform("s", lambda x: x["start"]), lambda n: n.isNotNull()))
+    rows = once(held, {"starts": starts}).select("doc_id", "starts", F.explode("s").alias("s")).select("doc_id", "starts", "s.*")
     following = F.get("starts", F.array_position("starts", F.col("start")).cast("int"))
     unknown = F.lit(None).cast("int")
     end = F.coalesce(following - 1, unknown if last_span is None else F.col("start") + last_span)
     if most_span is not None:
         end = F.least(end, F.col("start") + most_span)
-    by_contents = rows.select(
-        "doc_id", "section", F.col("start").alias("printed_start"), end.alias("printed_end"),
-        F.lit(None).cast("int").alias("pdf_start"), F.lit(None).cast("int").alias("pdf_end"), F.lit("toc").alias("origin"),
-    )
-    heads = per_section.filter(F.col("start").isNull()).withColumnRenamed("first_page", "p")
-    by_heading = heads.select(
-        "doc_id", "section", F.lit(None).cast("int").alias("printed_start"), F.lit(None).cast("int").alias("printed_end"),
-        F.col("p").cast("int").alias("pdf_start"), (unknown if last_span is None else F.col("p") + last_span).cast("int").alias("pdf_end"), F.lit("fullscan").alias("origin"),
+    listed, page = F.col("start").isNotNull(), F.col("first_page").cast("int")
+    page_end = unknown if last_span is None else (page + last_span).cast("int")
+    return rows.select(
+        "doc_id", "section", F.col("start").alias("printed_start"), F.when(listed, end).alias("printed_end"),
+        F.when(~listed, page).alias("pdf_start"), F.when(~listed, page_end).alias("pdf_end"), F.when(listed, "toc").otherwise("fullscan").alias("origin"),
     )
-    return by_contents.unionByName(by_heading)
 
