@@ -14,7 +14,7 @@ from ..operators import facts, items, listing, pages, parties, quality, stored
 from ..rows import once
 from ..session import shared_folder
 from ..sources import feeds, files
-from .registry import query, table
+from .registry import query, spread, table
 from .sheets import LINES, STATEMENT_KEYS, STATEMENT_LABELS, _key_sql, _money, _pick, order_lines
 
 NOW = "2026-06-07 10:00:00"
@@ -218,7 +218,7 @@ def _masters(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format(F.date_add(day, 4), "dd-MMM-yyyy").alias("endDate"), F.lit("Kfin").alias("registrar"), F.when(k % 3 != 0, rates).alias("subscriptionRates"),
     )
     c = F.struct(detail.alias("d"), F.lit("drhp").alias("docType"), F.when(k % 2 == 0, F.concat(F.lit("http://x/c"), key)).alias("documentUrl"), F.concat(F.lit("http://g/"), key).alias("detailUrl"))
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer"), "c_custkey").select(
         k.alias("entity_id"), F.when(k % 2 == 0, F.concat(F.lit("I"), key)).otherwise("").alias("isin"), F.concat(F.lit("S"), key).alias("symbol"), F.concat(F.lit("Master "), key, F.lit(" Limited")).alias("company_name"),
         F.when(k % 6 == 0, "").otherwise("open").alias("status"), bal.alias("price_min"), (bal + 10).alias("price_max"), F.when(k % 3 != 0, day).alias("bidding_start"), _none("date").alias("listing_date"),
         F.when(k % 4 == 0, F.concat(F.lit("http://x/a"), key)).alias("rhp"), _none().alias("drhp"), F.when(k % 3 != 2, a).alias(feeds.FEED_A), F.when(k % 4 != 3, c).alias(feeds.FEED_C),

@@ -347,3 +347,10 @@ def test_contents_read_their_pages_once(spark):
     assert got["RISK_FACTORS"] == (20, 49, None, None, "toc") and got["DIVIDEND_POLICY"] == (95, None, None, None, "toc")
     assert got["OUR_MANAGEMENT"] == (None, None, 9, None, "fullscan")
     assert planned(out).count("LogicalRDD") == 1
+
+
+def test_stored_records_are_spread_over_tasks(spark, tmp_path):
+    from offerloom.plans import records
+
+    spark.range(9).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert "RepartitionByExpression" in planned(records.documents_map(spark, str(tmp_path)))
