@@ -172,6 +172,10 @@ def _listed(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["run"].cast("string")), ",")
 
 
+def _counted(runs: Column) -> Column:
+    return F.array_join(F.transform(runs, lambda r: r["records"].cast("string")), ",")
+
+
 def _records(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["records"])
 
@@ -181,7 +185,7 @@ def borderline_pairs(runs: DataFrame, swept: DataFrame) -> DataFrame:
 
     The left name is the one that appeared first; left_id and right_id are the first pair of runs to look at. All pairs
     under review are those of left_ids and right_ids, without near_ids, which are matched already; `pairs` is
-    their number. Runs of one and the same name are similar with score 1: its row has the name on both sides,
+    their number, left_counts and right_counts the records of each run. Runs of one and the same name are similar with score 1: its row has the name on both sides,
     and each two of its runs are a pair.
     """
     missed = F.col("score") < MATCH_SCORE
@@ -194,6 +198,7 @@ def borderline_pairs(runs: DataFrame, swept: DataFrame) -> DataFrame:
         F.when(missed, first(F.col("left_list"))).otherwise(F.col("left_id")).alias("right_id"),
         F.col("right_name").alias("left_name"), F.col("left_name").alias("right_name"),
         _listed(F.col("right_list")).alias("left_ids"), _listed(F.col("left_list")).alias("right_ids"),
+        _counted(F.col("right_list")).alias("left_counts"), _counted(F.col("left_list")).alias("right_counts"),
         F.when(missed, "").otherwise(near).alias("near_ids"),
         F.when(missed, F.size("left_list").cast("long") * F.size("right_list")).otherwise(F.col("apart")).alias("pairs"),
         _records(F.col("right_list")).alias("left_records"), _records(F.col("left_list")).alias("right_records"),
@@ -202,7 +207,8 @@ def borderline_pairs(runs: DataFrame, swept: DataFrame) -> DataFrame:
     same = _run_lists(runs, "left").filter(n > 1).select(
         F.lit("fuzzy_name_match_date_guard_failed").alias("reason"), F.lit(1.0).alias("score"),
         first(F.col("left_list")).alias("left_id"), F.get("left_list", F.lit(1))["run"].alias("right_id"), "left_name", F.col("left_name").alias("right_name"),
-        _listed(F.col("left_list")).alias("left_ids"), _listed(F.col("left_list")).alias("right_ids"), F.lit("").alias("near_ids"),
+        _listed(F.col("left_list")).alias("left_ids"), _listed(F.col("left_list")).alias("right_ids"),
+        _counted(F.col("left_list")).alias("left_counts"), _counted(F.col("left_list")).alias("right_counts"), F.lit("").alias("near_ids"),
         F.floor(n * (n - 1) / 2).alias("pairs"), _records(F.col("left_list")).alias("left_records"), _records(F.col("left_list")).alias("right_records"),
     )
     return similar.unionByName(same)

@@ -281,7 +281,7 @@ sides AS (
   FROM scored JOIN runs r ON r.name = a JOIN runs l ON l.name = b WHERE score >= 0.85
   UNION ALL
   SELECT 1.0, l.run, r.run, l.name, r.name, FALSE FROM runs l JOIN runs r ON l.name = r.name AND l.run < r.run),
-lists AS (SELECT name, string_agg(CAST(run AS VARCHAR), ',' ORDER BY run) AS ids, CAST(sum(records) AS BIGINT) AS records FROM runs GROUP BY name),
+lists AS (SELECT name, string_agg(CAST(run AS VARCHAR), ',' ORDER BY run) AS ids, string_agg(CAST(records AS VARCHAR), ',' ORDER BY run) AS counts, CAST(sum(records) AS BIGINT) AS records FROM runs GROUP BY name),
 classes AS (
   SELECT ln, rn, score, CAST(count(*) FILTER (WHERE score < 0.9 OR NOT near) AS BIGINT) AS pairs,
     min({{'l': rr, 'r': lr}}) FILTER (WHERE NOT near) AS first_apart, min(lr) AS l0, min(rr) AS r0,
@@ -290,7 +290,7 @@ classes AS (
   GROUP BY ln, rn, score)
 SELECT CASE WHEN score >= 0.9 THEN 'fuzzy_name_match_date_guard_failed' ELSE 'near_miss_below_threshold' END AS reason, round(score, 6) AS score,
   CASE WHEN ln = rn OR score < 0.9 THEN l0 ELSE first_apart.r END AS left_id, CASE WHEN ln = rn OR score < 0.9 THEN r0 ELSE first_apart.l END AS right_id,
-  ln AS left_name, rn AS right_name, l.ids AS left_ids, r.ids AS right_ids, near_ids, pairs, l.records AS left_records, r.records AS right_records
+  ln AS left_name, rn AS right_name, l.ids AS left_ids, r.ids AS right_ids, l.counts AS left_counts, r.counts AS right_counts, near_ids, pairs, l.records AS left_records, r.records AS right_records
 FROM classes JOIN lists l ON l.name = ln JOIN lists r ON r.name = rn WHERE pairs > 0
 """)
 def borderline_pairs(spark: SparkSession, folder: str) -> DataFrame:

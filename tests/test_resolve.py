@@ -314,3 +314,10 @@ def test_contains_match_with_a_hot_lead_word(spark):
     # Candidates are counted before the names themselves are compared.
     counts = [matching.looked_up(short.orderBy("name").limit(n), long).count() for n in (150, 300)]
     assert counts[1] <= 3 * counts[0] and counts[1] <= 6 * 300
+
+
+def test_review_classes_keep_the_records_of_each_run(spark):
+    rows = [record(1, "upstox", "Apex Logistics", D(2026, 6, 1)), record(2, "nse", "Apex Logistics", D(2026, 6, 2)), record(3, "groww", "Apex Logistix", D(2026, 12, 1)), record(4, "nse", "Apex Logistics", D(2027, 6, 2))]
+    _, border = resolve_entities(frame(spark, rows))
+    got = {(r.left_name, r.right_name): (r.left_ids, r.left_counts, r.right_ids, r.right_counts) for r in border.collect()}
+    assert got[("apex logistics", "apex logistix")] == ("1,4", "2,1", "3", "1") and got[("apex logistics", "apex logistics")][:2] == ("1,4", "2,1")
