@@ -15,18 +15,22 @@ _MENTION = "array<struct<role:string,pos:int,raw:string>>"
 
 def _found(text: Column, role: str, pattern: str) -> Column:
     """Matches of a pattern as (role, pos, raw); positions are sums of the lengths of the pieces between them."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    pieces = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_MENTION).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(F.get(pieces, i))
-        one = F.array(F.struct(F.lit(role).alias("role"), at.alias("pos"), F.get(groups, i).alias("raw")))
-        return F.struct((at + F.length(F.get(whole, i))).alias("at"), F.concat(acc["out"], one).alias("out"))
+    def walked(whole: Column, groups: Column, pieces: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            at = acc["at"] + F.length(F.get(pieces, i))
+            one = F.array(F.struct(F.lit(role).alias("role"), at.alias("pos"), F.get(groups, i).alias("raw")))
+            return F.struct((at + F.length(F.get(whole, i))).alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    listed = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(listed, start, step)["out"]
+        return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step)["out"]
+
+    def met(whole: Column) -> Column:
+        groups, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
+        listed = let(groups, lambda g: let(pieces, lambda p: walked(whole, g, p)))
+        return F.when(F.size(whole) > 0, listed).otherwise(F.array().cast(_MENTION))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), met)
 
 
 def _email_pattern(token: Column) -> Column:

@@ -354,3 +354,13 @@ def test_stored_records_are_spread_over_tasks(spark, tmp_path):
 
     spark.range(9).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert "RepartitionByExpression" in planned(records.documents_map(spark, str(tmp_path)))
+
+
+def test_mentions_are_searched_once_per_text(spark):
+    text = "Registrar to the Issue: Kfin Technologies Limited; Registrar to the Issue: Link Intime Limited; end"
+    d = spark.createDataFrame([(text,), ("none",)], "t string")
+    found = parties._found(F.col("t"), "registrar", r"(?i)registrar to the issue: (\w+)")
+    assert [[(m.pos, m.raw) for m in r[0]] for r in d.select(found).collect()] == [[(0, "Kfin"), (51, "Link")], []]
+    plan = planned(d.select(found.alias("f")))
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("split(") == 1
+    assert "aggregate(" in plan and "split(" not in plan[plan.index("aggregate("):]
