@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,8 +131,9 @@ class Mix:
         self.rows = rows = stored(rows, "mix-rows")
         held = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
         self.sources = plan({k: v[0] for k, v in held.items()}, block_words)
-        table = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(self.sources)], "src int, name string, source_size long, target double")
-        # Spark broadcasts the table if it is as small as a broadcast may be.
+        # An Arrow table has a known size: if it is as small as a broadcast may be, Spark broadcasts it before the texts are shuffled.
+        facts = {"src": range(len(self.sources)), "name": [s.name for s in self.sources], "source_size": [s.size for s in self.sources], "target": [s.target for s in self.sources]}
+        table = spark.createDataFrame(pa.table(facts, pa.schema({"src": pa.int32(), "name": pa.string(), "source_size": pa.int64(), "target": pa.float64()})))
         numbered = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
         order = ["doc_id", *(["text_key"] if "text_key" in carry else []), "size"]
         self.placed = with_prefix(numbered, ["src"], order, F.col("size"), "at", sum(n for _, n in held.values()))

@@ -72,6 +72,12 @@ def test_mixing(odd, none):
     assert mixing.mix_digest(none).count() == 0 and mixing.mix_documents(none).count() == 0
 
 
+def test_mixing_joins_its_sources_by_a_table_of_known_size(odd):
+    placed = mixing.Mix(odd, 4, 3, {"text": F.col("text")}).placed
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and plan.count("LocalRelation") >= 1
+
+
 def test_sharding(odd, none):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == odd.count()
