@@ -6,6 +6,7 @@ a page's size bounds; the rest are array functions inside that row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +46,8 @@ def page_rows(items: DataFrame, tolerance: float = 4, round_x: bool = False) ->
     x = _round_half_up(F.col("x")).cast("double") if round_x else F.col("x").cast("double")
     bucket = (_round_half_up(F.col("y") / F.lit(tolerance)) * tolerance).cast("double")
     named = items.select(*PAGE, (-bucket).alias("o"), x.alias("x"), "seq", F.trim("str").alias("text")).filter("text <> ''")
-    pieces = named.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("o", "x", "seq", "text"))).alias("_p"))
+    # No piece is null, so sort_array gives the order of array_sort, whose comparison is interpreted for every pair.
+    pieces = named.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("o", "x", "seq", "text"))).alias("_p"))
     starts = F.filter(
         F.transform("_p", lambda s, k: F.when((k == 0) | ~F.get("_p", k - 1)["o"].eqNullSafe(s["o"]), k + 1)), lambda k: k.isNotNull()
     )
@@ -244,7 +246,8 @@ def derive_ebitda(metrics: DataFrame) -> DataFrame:
 
 # --- fields of one page -----------------------------------------------------------------
 
-FIELDS = "map<string,array<struct<col:int,value:double>>>"
+NUMBERS = "array<struct<col:int,value:double>>"
+FILLED = f"struct<full:array<string>,put:array<struct<field:string,vals:{NUMBERS}>>>"
 
 
 def page_fields(items: DataFrame) -> DataFrame:
@@ -253,45 +256,53 @@ def page_fields(items: DataFrame) -> DataFrame:
     A row fills the first matching field that is still empty and only one. With two or more
     year columns and two or more numbers each number goes to its nearest column (lowest index
     on ties, the last number stays); otherwise the first number is taken with a null column.
+    Each row's numbers and fields are read once; filling the fields only looks at them.
     """
-    pages = page_rows(items, 4)
     is_year = lambda c: c["text"].rlike(R.ITEM_YEAR)
-    header = F.get(F.filter("rows", lambda r: F.size(F.filter(r["cells"], is_year)) >= 2), F.lit(0))
-    years = F.coalesce(F.array_sort(F.filter(header["cells"], is_year)), F.array().cast(CELL))
-    headed = pages.withColumn("years", years)
+    none = F.array().cast(CELL)
 
-    def filled(acc: Column, field: str) -> Column:
-        v = F.try_element_at(acc, F.lit(field))
-        lone_zero = (F.size(v) == 1) & F.get(v, F.lit(0))["col"].isNull() & (F.get(v, F.lit(0))["value"] == 0)
-        return v.isNotNull() & ~F.coalesce(lone_zero, F.lit(False))
+    def header(acc: Column, r: Column) -> Column:
+        # Lines below the header are not searched.
+        return F.when(F.size(acc) >= 2, acc).otherwise(let(F.filter(r["cells"], is_year), lambda y: F.when(F.size(y) >= 2, y).otherwise(none)))
+
+    headed = once(page_rows(items, 4), {"years": F.sort_array(F.aggregate("rows", none, header))})
 
     def nearest(x: Column) -> Column:
         return F.array_min(F.transform(F.col("years"), lambda y, i: F.struct(F.abs(x - y["x"]).alias("d"), i.alias("i"))))["i"]
 
-    def step(acc: Column, r: Column) -> Column:
-        key = F.lit(None).cast("string")
-        for pattern, field in reversed(R.ITEM_FIELDS):
-            key = F.when(~filled(acc, field) & r["text"].rlike(pattern), field).otherwise(key)
+    def numbered(r: Column) -> Column:
         nums = F.filter(r["cells"], lambda c: F.trim(F.replace(c["text"], F.lit(","), F.lit(""))).rlike(r"^-?\d+\.?\d*$"))
-        spread = F.transform(nums, lambda n: F.struct(nearest(n["x"]).alias("col"), parse_indian_number(n["text"]).alias("value")))
-        single = F.transform(
-            F.slice(nums, 1, 1),
-            lambda n: F.struct(F.lit(None).cast("int").alias("col"), parse_indian_number(n["text"]).alias("value")),
-        )
-        values = F.when((F.size("years") >= 2) & (F.size(nums) >= 2), spread).otherwise(single)
-        usable = key.isNotNull() & (F.size(nums) > 0)
-        cleared = F.map_filter(acc, lambda k, _: ~k.eqNullSafe(key))
-        put = F.map_concat(cleared, F.map_from_entries(F.array(F.struct(key, values))))
-        return F.when(usable, put).otherwise(acc).cast(FIELDS)
-
-    found = headed.withColumn("fields", F.aggregate("rows", F.create_map().cast(FIELDS), step))
-    long = found.select(*PAGE, "years", F.explode("fields").alias("field", "vals")).select(
-        *PAGE, "years", "field", F.posexplode("vals").alias("pos", "v")
-    )
-    last = long.groupBy(*PAGE, "field", F.col("v.col").alias("col")).agg(
-        F.max_by(F.struct("v.value", F.get("years", F.col("v.col"))["text"].alias("label")), "pos").alias("w")
-    )
-    return last.select(*PAGE, "field", "col", "w.label", "w.value")
+        return let(nums, lambda n: F.when(F.size(n) > 0, F.struct(r["text"].alias("text"), n.alias("nums"))))
+
+    lines = once(headed, {"_lines": F.array_compact(F.transform("rows", numbered))}).drop("rows")
+
+    def valued(col: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda n: F.struct(col(n["x"]).alias("col"), parse_indian_number(n["text"]).alias("value"))
+
+    def step(acc: Column, r: Column) -> Column:
+        field = F.lit(None).cast("string")
+        for pattern, name in reversed(R.ITEM_FIELDS):
+            field = F.when(~F.array_contains(acc["full"], name) & r["text"].rlike(pattern), name).otherwise(field)
+        single = F.transform(F.slice(r["nums"], 1, 1), valued(lambda x: F.lit(None).cast("int")))
+        values = F.when((F.size("years") >= 2) & (F.size(r["nums"]) >= 2), F.transform(r["nums"], valued(nearest))).otherwise(single).cast(NUMBERS)
+
+        def fill(f: Column, v: Column) -> Column:
+            first = F.get(v, F.lit(0))
+            # A lone zero is kept until a later row has the field.
+            lone_zero = F.coalesce((F.size(v) == 1) & first["col"].isNull() & (first["value"] == 0), F.lit(False))
+            full = F.when(lone_zero, acc["full"]).otherwise(F.array_append(acc["full"], f))
+            return F.struct(full.alias("full"), F.array_append(acc["put"], F.struct(f.alias("field"), v.alias("vals"))).alias("put")).cast(FILLED)
+
+        return let(field, lambda f: F.when(f.isNull(), acc).otherwise(let(values, lambda v: fill(f, v)))).cast(FILLED)
+
+    empty = F.struct(F.array().cast("array<string>").alias("full"), F.array().cast(f"array<struct<field:string,vals:{NUMBERS}>>").alias("put")).cast(FILLED)
+    put = once(lines, {"_put": F.aggregate("_lines", empty, step)["put"]}).drop("_lines")
+    names = F.reverse(F.transform("_put", lambda p: p["field"]))
+    stays = let(names, lambda n: F.filter("_put", lambda p, i: F.array_position(n, p["field"]) == F.size(n) - i))
+    filled = put.select(*PAGE, "years", F.explode(stays).alias("p"))
+    last = F.filter("p.vals", lambda v, i: ~F.exists(F.slice("p.vals", i + 2, F.size("p.vals")), lambda w: w["col"].eqNullSafe(v["col"])))
+    long = filled.select(*PAGE, "years", F.col("p.field").alias("field"), F.explode(last).alias("v"))
+    return long.select(*PAGE, "field", F.col("v.col").alias("col"), F.get("years", F.col("v.col"))["text"].alias("label"), F.col("v.value").alias("value"))
 
 
 def best_page(fields: DataFrame, first: int = 1, last: int | None = None, enough: int | None = None) -> DataFrame:

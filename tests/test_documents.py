@@ -106,6 +106,16 @@ def test_page_merge_and_best_page(spark):
     assert items.best_page(items.page_fields(df)).first().page == 1
 
 
+def test_page_fields_read_a_row_once(spark):
+    zero = [(50, 700, "Net worth"), (300, 700, "0"), (50, 680, "Net worth"), (300, 680, "7.5"), (50, 660, "Net worth"), (300, 660, "9")]
+    years = [(50, 700, "x"), (300, 700, "March 2025"), (400, 700, "March 2024"), (50, 680, "Total income"), (290, 680, "1"), (310, 680, "2"), (400, 680, "3")]
+    out = items.page_fields(spark.createDataFrame(it(zero) + it(years, page=2), ITEM))
+    assert {tuple(r) for r in out.collect()} == {
+        (1, 1, "netWorth", None, None, 7.5), (1, 2, "totalIncome", 0, "March 2025", 2.0), (1, 2, "totalIncome", 1, "March 2024", 3.0),
+    }
+    assert planned(out).count("revenue from operations") == 1 and planned(out).count("Aggregate ") == 1
+
+
 def test_first_page_wins_reads_its_metrics_once(spark):
     rows = [(1, 1, "a", 0, "p1", 1.0), (1, 2, "a", 0, "p2", 2.0), (1, 2, "b", 1, "q2", 3.0), (2, 3, "b", 0, "p3", None), (2, 3, "b", 1, "q3", 4.0)]
     out = items.first_page_wins(spark.createDataFrame(rows, "doc_id bigint, page int, key string, period_idx int, period string, value double"))
