@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import approx_equal, clamp01, rx
-from ..rows import last_by
+from ..functions import approx_equal, clamp01, let, rx
+from ..rows import last_by, once
 from ..rules import checks as R
 
 
@@ -115,61 +115,80 @@ SOFT_METRICS = [
 ]
 
 
+def _statements(metrics: DataFrame, periods: DataFrame, key: str, grounding: DataFrame | None = None) -> DataFrame:
+    """One row per document: key, metrics, periods (arrays), grounding. One shuffle by key gathers the rows; a null key is a document too."""
+    given = metrics.select(key, F.struct("metric", "period_idx", "value").alias("_m"))
+    given = given.unionByName(periods.select(key, F.struct("period_idx", "label").alias("_p")), allowMissingColumns=True)
+    g = F.lit(None).cast("double")
+    if grounding is not None:
+        given = given.unionByName(grounding.select(key, F.col("grounding").cast("double").alias("_g")), allowMissingColumns=True)
+        g = F.max("_g")
+    gathered = given.groupBy(key).agg(F.collect_list("_m").alias("metrics"), F.collect_list("_p").alias("periods"), F.coalesce(g, F.lit(0.0)).alias("grounding"))
+    return gathered.filter((F.size("metrics") > 0) | (F.size("periods") > 0))
+
+
+def _check(name: Column, test: Column, level: str) -> Column:
+    return F.struct(name.alias("name"), F.lit(level).alias("level"), F.when(test, "pass").otherwise("fail").alias("status"))
+
+
 def metric_checks(metrics: DataFrame, periods: DataFrame, grounding: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, name, level, status for every check of a document's statement.
 
     ``metrics``: key, metric, period_idx, value (null allowed); ``periods``: key, period_idx,
-    label; ``grounding``: key, grounding.
+    label; ``grounding``: key, grounding. A document's rows are checked inside its own row.
     """
-    n_periods = periods.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    lengths = metrics.groupBy(key, "metric").agg(F.count(F.lit(1)).alias("len"))
-    per_doc = lengths.groupBy(key).agg(F.count(F.lit(1)).alias("n_metrics"))
-    docs = (
-        n_periods.join(per_doc, key, "full").join(grounding.select(key, "grounding"), key, "left")
-        .select(key, _zero("n").alias("n"), _zero("n_metrics").alias("n_metrics"), F.coalesce("grounding", F.lit(0.0)).alias("g"))
-    )
-    status = lambda test: F.when(test, "pass").otherwise("fail")
-    misaligned = lengths.join(n_periods, key, "left").filter(F.col("len") != _zero("n"))
-    bad_docs = misaligned.select(key).distinct().withColumn("_bad", F.lit(True))
-    hard = docs.join(bad_docs, key, "left").select(
-        key,
-        F.explode(F.array_compact(F.array(
-            F.struct(F.lit("periods_count").alias("name"), status(F.col("n").between(2, 4)).alias("status")),
-            F.when(F.col("_bad").isNull(), F.struct(F.lit("values_aligned").alias("name"), F.lit("pass").alias("status"))),
-            F.struct(F.lit("has_metrics").alias("name"), status(F.col("n_metrics") >= 3).alias("status")),
-            F.struct(F.lit("grounding").alias("name"), status(F.col("g") >= 0.6).alias("status")),
-        ))).alias("c"),
-    ).select(key, "c.name", "c.status")
-    aligned = misaligned.select(key, F.concat(F.lit("values_aligned:"), "metric").alias("name"), F.lit("fail").alias("status"))
-    return (
-        hard.unionByName(aligned).withColumn("level", F.lit("hard"))
-        .unionByName(soft_checks(metrics, periods, key).withColumn("level", F.lit("soft")))
-        .select(key, "name", "level", "status")
-    )
+    docs = once(_statements(metrics, periods, key, grounding), {"_names": F.array_distinct(F.transform("metrics", lambda m: m["metric"]))})
+    n = F.size("periods")
+    odd = F.filter("_names", lambda x: F.size(F.filter("metrics", lambda m: m["metric"].eqNullSafe(x))) != n)
+    docs = once(docs, {"_odd": odd})
+    hard = F.array_compact(F.array(
+        _check(F.lit("periods_count"), n.between(2, 4), "hard"),
+        F.when(F.size("_odd") == 0, _check(F.lit("values_aligned"), F.lit(True), "hard")),
+        _check(F.lit("has_metrics"), F.size("_names") >= 3, "hard"),
+        _check(F.lit("grounding"), F.col("grounding") >= 0.6, "hard"),
+    ))
+    misaligned = F.transform("_odd", lambda x: _check(F.concat(F.lit("values_aligned:"), x), F.lit(False), "hard"))
+    return docs.select(key, F.explode(F.concat(hard, misaligned, _soft_checks())).alias("c")).select(key, "c.*")
 
 
 def soft_checks(metrics: DataFrame, periods: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, name, status: plausibility of the values of one period against each other."""
-    wide = metrics.filter(F.col("metric").isin(SOFT_METRICS)).groupBy(key, "period_idx").pivot("metric", SOFT_METRICS).agg(F.first("value"))
-    labelled = wide.join(periods, [key, "period_idx"]).withColumn(
-        "_label", F.coalesce("label", F.concat(F.lit("period"), F.col("period_idx").cast("string")))
-    )
-    rev, inc, pat, ebitda, nw, ronw, basic, diluted = (F.col(m) for m in SOFT_METRICS)
-    tests = {
-        "rev<=income": rev <= inc * 1.02,
-        "pat<=income": pat <= inc * 1.02,
-        "eps_sign": (F.signum(pat) == F.signum(basic)) | (basic == 0),
-        "diluted<=basic": F.when(basic > 0, diluted <= basic + 0.01),
-        "ronw_consistency": approx_equal(pat / F.nullif(nw, F.lit(0.0)) * 100, ronw, 0.20, 1.0),
-        "ebitda_margin": (ebitda / F.nullif(rev, F.lit(0.0))).between(-1, 1.5),
-    }
-    # eps_sign needs both values: the or-branch alone must not decide.
-    tests["eps_sign"] = F.when(pat.isNotNull() & basic.isNotNull(), tests["eps_sign"])
-    entries = [
-        F.when(t.isNotNull(), F.struct(F.concat(F.lit(f"{n}:"), "_label").alias("name"), F.when(t, "pass").otherwise("fail").alias("status")))
-        for n, t in tests.items()
-    ]
-    return labelled.select(key, F.explode(F.array_compact(F.array(*entries))).alias("c")).select(key, "c.name", "c.status")
+    return _statements(metrics, periods, key).select(key, F.explode(_soft_checks()).alias("c")).select(key, "c.name", "c.status")
+
+
+def _soft_checks() -> Column:
+    """The soft checks of all periods of a row of _statements."""
+    def tested(w: Column, label: Column) -> Column:
+        rev, inc, pat, ebitda, nw, ronw, basic, diluted = (w[m] for m in SOFT_METRICS)
+        tests = {
+            "rev<=income": rev <= inc * 1.02,
+            "pat<=income": pat <= inc * 1.02,
+            # Both values are needed: the or-branch alone must not decide.
+            "eps_sign": F.when(pat.isNotNull() & basic.isNotNull(), (F.signum(pat) == F.signum(basic)) | (basic == 0)),
+            "diluted<=basic": F.when(basic > 0, diluted <= basic + 0.01),
+            "ronw_consistency": approx_equal(pat / F.nullif(nw, F.lit(0.0)) * 100, ronw, 0.20, 1.0),
+            "ebitda_margin": (ebitda / F.nullif(rev, F.lit(0.0))).between(-1, 1.5),
+        }
+
+        def checked(name: str, test: Column) -> Column:
+            return let(test, lambda ok: F.when(ok.isNotNull(), _check(F.concat(F.lit(f"{name}:"), label), ok, "soft")))
+
+        return F.array_compact(F.array(*[checked(n, t) for n, t in tests.items()]))
+
+    def of_period(p: Column) -> Column:
+        label = F.coalesce(p["label"], F.concat(F.lit("period"), p["period_idx"].cast("string")))
+        held = F.filter("metrics", lambda m: (m["period_idx"] == p["period_idx"]) & m["metric"].isin(SOFT_METRICS))
+
+        def value(h: Column, name: str) -> Column:
+            return F.get(F.filter(h, lambda m: m["metric"] == name), F.lit(0))["value"].alias(name)
+
+        def wide(h: Column) -> Column:
+            return F.struct(*[value(h, name) for name in SOFT_METRICS])
+
+        # A period without a metric to test has no checks.
+        return let(held, lambda h: F.when(F.size(h) > 0, let(wide(h), lambda w: tested(w, label))))
+
+    return F.flatten(F.array_compact(F.transform("periods", of_period)))
 
 
 def metric_verdicts(metrics: DataFrame, checks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -177,11 +196,11 @@ def metric_verdicts(metrics: DataFrame, checks: DataFrame, key: str = "doc_id")
 
     Soft checks carry a period label, so only alignment failures can name a metric.
     """
-    failed = checks.filter((F.col("status") == "fail") & F.contains("name", F.lit(":"))).select(
-        key, F.substring_index("name", ":", -1).alias("metric"), F.lit(1).alias("_f")
-    ).distinct()
-    return metrics.join(failed, [key, "metric"], "left").withColumn(
-        "ok", F.coalesce(F.col("grounded"), F.lit(False)) & F.col("_f").isNull()
+    named = checks.filter((F.col("status") == "fail") & F.contains("name", F.lit(":")))
+    # Joined by document alone, as both sides are shuffled already.
+    failed = named.groupBy(key).agg(F.collect_set(F.substring_index("name", ":", -1)).alias("_f"))
+    return metrics.join(failed, key, "left").withColumn(
+        "ok", F.coalesce(F.col("grounded"), F.lit(False)) & ~F.coalesce(F.array_contains("_f", F.col("metric")), F.lit(False))
     ).drop("_f")
 
 

@@ -53,6 +53,16 @@ def test_metric_checks(spark, change, ground, fails):
     assert (c.hard_fails, c.soft_fails) == (sum(":FY" not in f for f in fails), sum(":FY" in f for f in fails))
 
 
+def test_metric_checks_gather_a_document_once(spark):
+    m, p = statement(spark, GOOD)
+    lone = spark.createDataFrame([("e", 0, "FY25")], "doc_id string, period_idx int, label string")
+    checks = quality.metric_checks(m, p.unionByName(lone), grounded(spark, 1.0).unionByName(grounded(spark, 1.0, "unread")))
+    got = {(r.name, r.status) for r in checks.filter("doc_id <> 'd'").collect()}
+    assert got == {("periods_count", "fail"), ("values_aligned", "pass"), ("has_metrics", "fail"), ("grounding", "fail")}
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 0 and plan.count("Aggregate ") == 1
+
+
 def test_consistency(spark):
     row = dict(doc_id="d", postIssueShares=110, preIssueShares=100, freshIssueShares=10, totalIssueShares=15, ofsShares=5, netOfferShares=10, priceMin=5.0, priceMax=4.0, promoterCount=0, leadManagerCount=0, objectCount=0)
     df = spark.createDataFrame([row], ", ".join(f"{k} {'string' if k == 'doc_id' else 'double' if k.startswith('price') else 'bigint'}" for k in row))
