@@ -336,31 +336,37 @@ def promoter_holding(items: DataFrame, last_page: int | None = None) -> DataFram
 # --- tables by column positions ---------------------------------------------------------
 
 
-_RUNS = "array<struct<lo:bigint,hi:bigint,n:bigint>>"
+def _column_runs(xs: Column, gap: int) -> Column:
+    """Sorted positions → runs array<struct<lo, hi, n>> that a gap separates: cut where a position is not near the one before."""
+    starts = F.filter(F.transform(xs, lambda x, k: F.when((k == 0) | ~F.coalesce(x - F.get(xs, k - 1) < gap, F.lit(False)), k)), lambda k: k.isNotNull())
 
+    def run(s: Column) -> Column:
+        def held(start: Column, j: Column) -> Column:
+            after = F.coalesce(F.get(s, j + 1), F.size(xs))
+            return F.struct(F.get(xs, start).alias("lo"), F.get(xs, after - 1).alias("hi"), (after - start).cast("long").alias("n"))
 
-def _column_runs(xs: Column, gap: int) -> Column:
-    """Sorted positions → runs (lo, hi, n) that a gap separates, in one sweep."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        near = F.coalesce(x - last["hi"] < gap, F.lit(False))
-        grown = F.array(F.struct(last["lo"].alias("lo"), x.alias("hi"), (last["n"] + 1).alias("n")))
-        fresh = F.array(F.struct(x.alias("lo"), x.alias("hi"), F.lit(1).cast("long").alias("n")))
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, fresh)).cast(_RUNS)
+        return F.transform(s, held)
 
-    return F.aggregate(xs, F.array().cast(_RUNS), step)
+    return let(starts, run)
 
 
 def _centers(xs: Column, gap: int, least: int) -> Column:
     """array<struct<center, items>> of the runs with so many positions, from left to right."""
-    kept = F.filter(_column_runs(F.array_sort(xs), gap), lambda r: r["n"] >= least)
+    # Unknown positions go last, as by array_sort, whose comparison is interpreted for every pair.
+    ordered = let(xs, lambda x: F.concat(F.sort_array(F.filter(x, lambda v: v.isNotNull())), F.filter(x, lambda v: v.isNull())))
+    kept = let(ordered, lambda x: F.filter(_column_runs(x, gap), lambda r: r["n"] >= least))
     return F.transform(kept, lambda r: F.struct(_round_half_up((r["lo"] + r["hi"]) / 2).alias("center"), r["n"].alias("items")))
 
 
+def _middles(centers: Column) -> Column:
+    """Where each of the sorted centers but the last gives way to the next."""
+    later = F.slice(centers, 2, F.greatest(F.size(centers) - 1, F.lit(0)))
+    return F.transform(later, lambda c, i: (c["center"] + F.get(centers, i)["center"]) / 2)
+
+
 def _column_of(x: Column, centers: Column) -> Column:
     """Index of the closest of the sorted centers, the lowest on ties: the number of middles that x lies beyond."""
-    middles = F.transform(F.slice(centers, 2, F.greatest(F.size(centers) - 1, F.lit(0))), lambda c, i: (c["center"] + F.get(centers, i)["center"]) / 2)
-    return F.size(F.filter(middles, lambda m: x > m))
+    return F.size(F.filter(_middles(centers), lambda m: x > m))
 
 
 def page_columns(items: DataFrame, gap: int = 20, least: int = 2) -> DataFrame:
@@ -403,13 +409,16 @@ def detect_tables(items: DataFrame) -> DataFrame:
     lines = page_rows(items, 4, round_x=True).filter(F.size("rows") >= 5)
     pages = once(lines, {"cols": _centers(xs, 20, 2)}).filter(F.size("cols") >= 3)
 
+    # A cell belongs to a column if it lies beyond as many middles.
+    pages = once(pages, {"_middles": _middles(F.col("cols"))})
+
     def assign(cells: Column) -> Column:
-        placed = F.transform(cells, lambda c: F.struct(_column_of(c["x"], F.col("cols")).alias("col"), c["text"].alias("text")))
+        placed = F.transform(cells, lambda c: F.struct(F.size(F.filter("_middles", lambda m: c["x"] > m)).alias("col"), c["text"].alias("text")))
         return let(placed, lambda held: F.transform(
             F.col("cols"), lambda _, k: F.array_join(F.transform(F.filter(held, lambda p: p["col"] == k), lambda p: p["text"]), " ")
         ))
 
-    placed = once(pages, {"grid": F.transform("rows", lambda r: assign(r["cells"]))})
+    placed = once(pages, {"grid": F.transform("rows", lambda r: assign(r["cells"]))}).drop("rows", "_middles")
     data = F.filter("grid", lambda g: F.size(F.filter(g, lambda c: F.trim(c) != "")) >= 2)
     kept = once(placed, {"data": data}).filter(F.size("data") >= 3)
     numbers = F.exists(

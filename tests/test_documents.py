@@ -116,6 +116,15 @@ def test_page_fields_read_a_row_once(spark):
     assert planned(out).count("revenue from operations") == 1 and planned(out).count("Aggregate ") == 1
 
 
+def test_column_runs_are_cut_not_folded(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([40, None, 1, 20, 100, 60, 105, None],), ([],), ([7],)], "xs array<bigint>")
+    got = df.select(items._centers(F.col("xs"), 20, 1).alias("c"))
+    assert [[(c.center, c["items"]) for c in r.c] for r in got.collect()] == [[(11, 2), (40, 1), (60, 1), (103, 2), (None, 1), (None, 1)], [], [(7, 1)]]
+    assert "aggregate(" not in planned(got) and "array_sort" not in planned(got)
+
+
 def test_first_page_wins_reads_its_metrics_once(spark):
     rows = [(1, 1, "a", 0, "p1", 1.0), (1, 2, "a", 0, "p2", 2.0), (1, 2, "b", 1, "q2", 3.0), (2, 3, "b", 0, "p3", None), (2, 3, "b", 1, "q3", 4.0)]
     out = items.first_page_wins(spark.createDataFrame(rows, "doc_id bigint, page int, key string, period_idx int, period string, value double"))
