@@ -67,6 +67,27 @@ def score_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(equal, 1.0, score)
 
 
+def most_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bounds on score_pairs from above: the characters that two texts share in any places, and their common prefix.
+
+    Characters are counted by their last six bits, which can only make the shared ones more.
+    """
+    n = len(left)
+    if n == 0:
+        return np.zeros(0)
+    (a, len_a), (b, len_b) = _codes(left), _codes(right)
+
+    def counts(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        row, at = np.nonzero(np.arange(codes.shape[1])[None, :] < size[:, None])
+        return np.bincount(row * 64 + (codes[row, at] & 63).astype(np.int64), minlength=n * 64).reshape(n, 64)
+
+    shared = np.minimum(counts(a, len_a), counts(b, len_b)).sum(axis=1)
+    jaro = np.where(shared == 0, 0.0, (shared / np.maximum(len_a, 1) + shared / np.maximum(len_b, 1) + 1) / 3)
+    head = min(4, a.shape[1], b.shape[1])
+    prefix = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1)
+    return np.where(shared == 0, 0.0, jaro + prefix * PREFIX_SCALE * (1 - jaro))
+
+
 @F.pandas_udf(DoubleType())
 def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     a = left.fillna("").to_numpy(dtype=object)
@@ -88,7 +109,7 @@ def jaro_winkler(left: Column, right: Column) -> Column:
 def group_heads(rows: list[list[str]], threshold: float) -> list[list[str]]:
     """For each list of names the head of every name: the first earlier head it resembles.
 
-    Position by position, all lists of a batch are scored in one call.
+    Position by position, all lists of a batch are scored in one call; pairs that cannot reach the threshold are not.
     """
     uniq = [list(dict.fromkeys(r)) for r in rows]
     heads: list[list[str]] = [[] for _ in rows]
@@ -98,14 +119,17 @@ def group_heads(rows: list[list[str]], threshold: float) -> list[list[str]]:
         owner = [i for i in live for _ in heads[i]]
         a = np.array([h.lower() for i in live for h in heads[i]], dtype=object)
         b = np.array([uniq[i][pos].lower() for i in owner], dtype=object)
-        near = score_pairs(a, b) >= threshold
-        at = 0
+        # The bound is computed in other steps than the score; the margin covers their rounding.
+        open_pairs = np.flatnonzero(most_scores(a, b) >= threshold - 1e-9)
+        near = np.zeros(len(a), dtype=bool)
+        near[open_pairs] = score_pairs(a[open_pairs], b[open_pairs]) >= threshold
+        flags, at = near.tolist(), 0
         for i in live:
             name, mine = uniq[i][pos], heads[i]
-            hit = np.flatnonzero(near[at : at + len(mine)])
+            first = next((k for k in range(len(mine)) if flags[at + k]), None)
             at += len(mine)
-            found[i][name] = mine[int(hit[0])] if len(hit) else name
-            if not len(hit):
+            found[i][name] = name if first is None else mine[first]
+            if first is None:
                 mine.append(name)
     return [[found[i][n] for n in r] for i, r in enumerate(rows)]
 

@@ -215,3 +215,23 @@ def test_jaro_winkler_model():
     got = fn.score_pairs(a, b)
     want = np.array([model_score(x, y) for x, y in pairs])
     assert np.abs(got - want).max() < 1e-12
+
+
+def test_group_heads_score_only_pairs_that_may_be_near(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from offerloom.functions import similarity
+
+    rng = random.Random(5)
+    words = ["rikhav", "spread", "x", "securities", "broking", "nirmal", "bang", "limited", "ltd", "Ünal", ""]
+    rows = [[" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(rng.randint(0, 7))] for _ in range(300)]
+    a, b = (np.array([rng.choice(rng.choice(rows) or [""]) for _ in range(4000)], dtype=object) for _ in range(2))
+    assert (similarity.most_scores(a, b) >= similarity.score_pairs(a, b) - 1e-9).all()
+    scored, score = [], similarity.score_pairs
+    monkeypatch.setattr(similarity, "score_pairs", lambda x, y: scored.append(len(x)) or score(x, y))
+    got, few = similarity.group_heads(rows, 0.9), sum(scored)
+    scored.clear()
+    monkeypatch.setattr(similarity, "most_scores", lambda x, y: np.ones(len(x)))
+    assert got == similarity.group_heads(rows, 0.9) and few < sum(scored) / 2
