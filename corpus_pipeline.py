@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import langid, line_rules, mixing, near_dup, packing
 from offerloom.llm.common import stored
+from offerloom.session import small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words, null ones too, are one class.
     """
+    small_batches(spark)
     return near_dup.one_of_each(docs.select(*COLUMNS))
 
 
@@ -53,6 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences of 1,024 tokens; a null text is an end id alone."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .common import slices
 
 NGRAMS = (1, 2, 3, 4)
@@ -28,6 +29,8 @@ _NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0xB2, 0x1FBFA)) if
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: A text's length class is the number of these bounds that its number of n-grams reaches.
 LENGTHS = (24, 96, 384, 1536)
+#: Characters that are judged at a time: numpy holds about 60 bytes for each of them.
+_JUDGED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -196,7 +199,7 @@ def judge_texts(model: Model, texts: Sequence[str | None]) -> tuple[list[str], n
     n, buckets = len(model.langs), len(model.table)
     names, scores, rejects = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     limits = np.array(model.thresholds)
-    for a, b in slices([t or "" for t in texts]):
+    for a, b in slices([t or "" for t in texts], _JUDGED):
         clean = [normal(t) for t in texts[a:b]]
         sizes = np.array([len(c) for c in clean])
         live = np.flatnonzero(sizes)
@@ -256,7 +259,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A text that is null or has no letter is `und` with score 0. Rejected are those and texts whose score
     is under the model's threshold for their length. Rows are kept as they are, repeated rows too.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     results = ["lang_pred", "score", "rejected"]
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -35,6 +35,12 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
     return tune(spark)
 
 
+def small_batches(spark: SparkSession, size: str = "2m") -> SparkSession:
+    """Arrow batches end at so many bytes: 10,000 rows of long texts fill a worker's memory, and as much again in the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a local session may make its own."""
     context = spark.sparkContext
