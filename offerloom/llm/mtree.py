@@ -9,7 +9,8 @@ subtree has a bounded number of vectors. Its vectors lie in pages; a page has a
 radius and its distance to the subtree's routing vector, and each entry its distance to the page's
 routing vector. Queries first search the subtree nearest to them, which gives a bound on the k-th
 distance; with it they search the other subtrees that the bound does not rule out, best page first.
-Stored distances rule out pages and entries before their distance is computed.
+Stored distances rule out pages and entries before their distance is computed. Queries travel in tiles: one
+row holds all queries of a tile that ask a subtree, and no task holds a query's vector for all its subtrees.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from .common import stored
 
 PAGE = 128
 SUBTREE = 4096
-_STEP = 8  # pages that a search takes at a time
+TILE = 512  # queries that travel and search together
+_SENT = 8 << 20  # bytes of asking queries that leave a Python worker at a time
+_NONE = -(1 << 63)  # a k-th score that is not known
 _NODES = "tree long, sub long, page long, n long, ids binary, vectors binary, entry_dist binary, router binary, radius double, parent_dist double"
+_TILES = "block long, n long, ids binary, vectors binary, norms binary, least binary"
+_ASKED = f"tree long, sub long, {_TILES}"
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -43,13 +48,13 @@ def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
     return kept.select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _scores(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products of the rows with a query, as the nearest long."""
+def _scores(queries: np.ndarray, vectors: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer inner products of queries with vectors, as the nearest longs; exact ones may stay doubles."""
     if exact:
-        return (vectors.astype(float) @ query.astype(float)).astype(np.int64)
-    wide = vectors.astype(object) @ query.astype(object)
+        return queries @ vectors.T
+    wide = queries.astype(object) @ vectors.T.astype(object)
     top = (1 << 63) - 1
-    return np.array([max(-top, min(top, x)) for x in wide.tolist()], np.int64)
+    return np.array([max(-top, min(top, x)) for x in wide.ravel().tolist()], np.int64).reshape(wide.shape)
 
 
 def _gap(q: np.ndarray, qn: np.ndarray, v: np.ndarray, m: float) -> np.ndarray:
@@ -70,6 +75,56 @@ def _matrix(column: pd.Series, width: int, kind: type = float) -> np.ndarray:
     return out
 
 
+def _packed(whole: np.ndarray) -> bytes:
+    """Integers in the fewest bytes that hold each of them."""
+    top = max(int(whole.max()), -int(whole.min()) - 1)
+    return whole.astype(np.min_scalar_type(-top - 1)).tobytes()
+
+
+def _unpacked(held: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(held, f"i{len(held) // (n * width)}").reshape(n, width)
+
+
+def _tiles(block: int, ids: np.ndarray, whole: np.ndarray, norms: np.ndarray, least: np.ndarray) -> pd.DataFrame:
+    cut = [slice(a, a + TILE) for a in range(0, len(ids), TILE)]
+    rows = [(block, len(ids[c]), ids[c].tobytes(), _packed(whole[c]), norms[c].tobytes(), least[c].tobytes()) for c in cut]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _TILES.split(", ")])
+
+
+def _bounds(norms: np.ndarray, least: np.ndarray, m: float) -> np.ndarray:
+    """The distance of each query's k-th score; a score that may stand for smaller ones bounds nothing."""
+    d = np.sqrt(np.maximum(norms + m - 2 * least.astype(float), 0))
+    return np.where(least > _NONE + 1, d, np.inf)
+
+
+def asking(frames: Iterator[pd.DataFrame], first: bool, subtrees: pd.DataFrame, routers: np.ndarray, m: float) -> Iterator[pd.DataFrame]:
+    """Tiles of queries → per subtree the queries of a tile that ask it, in frames of bounded size.
+
+    First that is the nearest subtree of each query, then all others that its bound does not rule out.
+    """
+    trees, subs, reach = subtrees["tree"].to_numpy(), subtrees["sub"].to_numpy(), subtrees["reach"].to_numpy(float)
+    names, scale = [c.split()[0] for c in _ASKED.split(", ")], math.sqrt(m)
+    rows: list[tuple] = []
+    held = 0
+    for frame in frames:
+        for tile in frame.itertuples(index=False):
+            ids, norms, least = np.frombuffer(tile.ids, np.int64), np.frombuffer(tile.norms), np.frombuffer(tile.least, np.int64)
+            whole = _unpacked(tile.vectors, tile.n, routers.shape[1])
+            d = _gap(whole.astype(float), norms, routers, m)[:, trees]
+            home = np.zeros(d.shape, bool)
+            home[np.arange(tile.n), d.argmin(axis=1)] = True
+            ok = home if first else ~home & (d - reach - 1e-7 * (1 + d + scale) <= _bounds(norms, least, m)[:, None])
+            for s in np.flatnonzero(ok.any(axis=0)):
+                own = np.flatnonzero(ok[:, s])
+                rows.append((trees[s], subs[s], tile.block, len(own), ids[own].tobytes(), whole[own].tobytes(), norms[own].tobytes(), least[own].tobytes()))
+                held += sum(map(len, rows[-1][4:]))
+                if held >= _SENT:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 class Index:
     """A stored M-tree over quantised vectors."""
 
@@ -119,7 +174,7 @@ class Index:
                     r, rn = v[seeds[p]][None, :], n[seeds[p]][None]
                     d = _between(v[own], n[own], r, rn, m)[:, 0]
                     up = float(_between(r, rn, routers[tree][None, :], norms[tree][None], m)[0, 0])
-                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), whole[own].tobytes(), d.tobytes(), r.tobytes(), float(d.max()), up))
+                    rows.append((tree, sub, len(rows), len(own), frame["vec_id"].to_numpy(np.int64)[own].tobytes(), _packed(whole[own]), d.tobytes(), r.tobytes(), float(d.max()), up))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in _NODES.split(", ")])
 
         self.pages = stored(placed.groupBy("tree", "sub").applyInPandas(build, _NODES), "mtree-pages")
@@ -134,80 +189,96 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
         """Up to k rows per query (vec_id, v): query_id, vec_id, score, by score, then smaller id; a query is not its own result."""
-        m, w, subtrees = self.m, self.width, self.subtrees
-        tree_of, reach = subtrees["tree"].to_numpy(), subtrees["reach"].to_numpy(float)
-        routers, exact, scale = self.routers, self.exact, math.sqrt(self.m)
+        m, w, subtrees, routers, exact, scale = self.m, self.width, self.subtrees, self.routers, self.exact, math.sqrt(self.m)
         blocks = max(1, -(-queries.count() // block))
 
-        def route(first: bool):
-            def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for frame in frames:
-                    q, qn = _matrix(frame["v"], w), frame["norm"].to_numpy(float)
-                    d = _gap(q, qn, routers, m)[:, tree_of]
-                    home = d.argmin(axis=1)
-                    if first:
-                        yield frame[["vec_id", "v", "norm"]].assign(tree=subtrees["tree"].to_numpy()[home], sub=subtrees["sub"].to_numpy()[home], bound=np.inf)
-                        continue
-                    slack = 1e-7 * (1 + d + scale)
-                    ok = d - reach[None, :] - slack <= frame["bound"].to_numpy(float)[:, None]
-                    ok[np.arange(len(frame)), home] = False
-                    i, s = np.nonzero(ok)
-                    yield frame[["vec_id", "v", "norm", "bound"]].iloc[i].assign(tree=subtrees["tree"].to_numpy()[s], sub=subtrees["sub"].to_numpy()[s])[["vec_id", "v", "norm", "tree", "sub", "bound"]]
-
-            return run
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("vec_id", ignore_index=True)
+            whole = _matrix(frame["v"], w, np.int64)
+            return _tiles(int(frame["block"].iloc[0]), frame["vec_id"].to_numpy(np.int64), whole, frame["norm"].to_numpy(float), frame["least"].to_numpy(np.int64))
 
         def look(asked: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(pages):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            kind = float if exact else np.int64
             ids = [np.frombuffer(b, np.int64) for b in pages["ids"]]
-            vs = [np.frombuffer(b, np.int64).reshape(-1, w) for b in pages["vectors"]]
+            vs = [_unpacked(b, n, w).astype(kind) for b, n in zip(pages["vectors"], pages["n"], strict=True)]
             ds = [np.frombuffer(b) for b in pages["entry_dist"]]
             router = np.concatenate([np.frombuffer(b).reshape(1, w) for b in pages["router"]])
             radius, parent = (pages[c].to_numpy(float) for c in ("radius", "parent_dist"))
-            tree = int(pages["tree"].iloc[0])
-            asks, qn, bounds = _matrix(asked["v"], w, np.int64), asked["norm"].to_numpy(float), asked["bound"].to_numpy(float)
-            q = asks.astype(float)
-            above = _gap(q, qn, routers[tree][None, :], m)[:, 0]
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i, me in enumerate(asked["vec_id"].tolist()):
-                bound, slack = bounds[i], 1e-7 * (1 + above[i] + scale)
+            above = routers[int(pages["tree"].iloc[0])][None, :]
+            whole = np.concatenate([_unpacked(b, n, w).astype(kind) for b, n in zip(asked["vectors"], asked["n"], strict=True)])
+            who, least = (np.concatenate([np.frombuffer(b, np.int64) for b in asked[c]]) for c in ("ids", "least"))
+            norms = np.concatenate([np.frombuffer(b) for b in asked["norms"]])
+
+            def tile(whole: np.ndarray, who: np.ndarray, norms: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """The best of the subtree for some queries: places of the queries, ids, scores."""
+                q, least, bound = whole.astype(float), least.copy(), _bounds(norms, least, m)
+                up = _gap(q, norms, above, m)
+                slack = 1e-7 * (1 + up + scale)
                 # The parent's distance alone rules out pages.
-                open_ = np.flatnonzero(np.abs(above[i] - parent) - radius - slack <= bound)
-                d = _gap(q[i : i + 1], qn[i : i + 1], router[open_], m)[0]
-                low = np.maximum(d - radius[open_], 0) - slack
-                order = np.argsort(low, kind="stable")
-                best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for a in range(0, len(order), _STEP):
-                    batch = [x for x in order[a : a + _STEP].tolist() if low[x] <= bound]
-                    if not batch:
-                        break
-                    keep = [np.abs(ds[open_[x]] - d[x]) - slack <= bound for x in batch]
-                    new = np.concatenate([ids[open_[x]][g] for x, g in zip(batch, keep, strict=True)])
-                    score = _scores(np.concatenate([vs[open_[x]][g] for x, g in zip(batch, keep, strict=True)]), asks[i], exact)
-                    other = new != me
-                    best_id, best = np.concatenate([best_id, new[other]]), np.concatenate([best, score[other]])
-                    if len(best) > k:
-                        top = np.lexsort((best_id, -best))[:k]
-                        best_id, best = best_id[top], best[top]
-                    if len(best) >= k:
-                        bound = min(bound, math.sqrt(max(0.0, qn[i] + m - 2 * float(best.min()))))
-                out.append((np.full(len(best), me), best_id, best))
-            cols = [np.concatenate([o[j] for o in out]) for j in range(3)]
-            return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
-
-        def searched(asked: DataFrame, name: str) -> DataFrame:
+                open_ = np.abs(up - parent) - radius - slack <= bound[:, None]
+                asks = np.flatnonzero(open_.any(axis=0))
+                d = np.full(open_.shape, np.inf)
+                d[:, asks] = _gap(q, norms, router[asks], m)
+                low = np.where(open_, np.maximum(d - radius, 0) - slack, np.inf)
+                best = [np.zeros(0, np.int64)] * 3
+                new: list[list[np.ndarray]] = []
+
+                def settle() -> None:
+                    """Keep the k best of each query; the last of them is its bound."""
+                    nonlocal best, new, bound
+                    at, x, score = (np.concatenate([best[j], *(c[j] for c in new)]) for j in range(3))
+                    order = np.lexsort((x, -score, at))
+                    at = at[order]
+                    place = np.arange(len(at)) - np.searchsorted(at, at)
+                    kept = order[place < k]
+                    best, new = [at[place < k], x[kept], score[kept]], []
+                    last = place == k - 1
+                    least[at[last]] = np.maximum(least[at[last]], score[order][last])
+                    bound = _bounds(norms, least, m)
+
+                def visit(p: int, own: np.ndarray) -> None:
+                    near = np.abs(ds[p] - d[own, p][:, None]) - slack[own] <= bound[own][:, None]
+                    some = np.flatnonzero(near.any(axis=0))
+                    score = _scores(whole[own], vs[p][some], exact)
+                    i, j = np.nonzero(near[:, some] & (score >= least[own][:, None]) & (ids[p][some] != who[own][:, None]))
+                    new.append([own[i], ids[p][some[j]], score[i, j].astype(np.int64)])
+                    if sum(len(c[0]) for c in new) > 32 * TILE:
+                        settle()
+
+                # Each query's best page first, which gives a bound, then the others by their best query.
+                nearest = low.argmin(axis=1)
+                for p in np.unique(nearest).tolist():
+                    visit(p, np.flatnonzero((nearest == p) & (low[:, p] <= bound)))
+                settle()
+                for p in np.argsort(low.min(axis=0), kind="stable").tolist():
+                    own = np.flatnonzero((nearest != p) & (low[:, p] <= bound))
+                    if len(own):
+                        visit(p, own)
+                settle()
+                return best[0], best[1], best[2]
+
+            out = []
+            for a in range(0, len(who), TILE):
+                c = slice(a, a + TILE)
+                at, x, score = tile(whole[c], who[c], norms[c], least[c])
+                out.append(pd.DataFrame({"query_id": who[c][at], "vec_id": x, "score": score}))
+            return pd.concat(out, ignore_index=True)
+
+        def searched(asked: DataFrame, first: bool, name: str) -> DataFrame:
             """Queries that meet a subtree come in blocks of bounded size; its pages go to the blocks that ask it, and to no others."""
+            dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, _TILES)
+            asks = stored(dealt.mapInPandas(lambda frames: asking(frames, first, subtrees, routers, m), _ASKED), name)
             keys = ["tree", "sub", "block"]
-            asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), name)
-            return asked.groupBy(*keys).cogroup(self.pages_for(asked).groupBy(*keys)).applyInPandas(look, _FOUND)
+            return asks.groupBy(*keys).cogroup(self.pages_for(asks).groupBy(*keys)).applyInPandas(look, _FOUND)
 
-        schema = "vec_id long, v array<long>, norm double, tree long, sub long, bound double"
         queries = stored(queries, "mtree-queries")
-        home = stored(searched(queries.mapInPandas(route(True), schema), "mtree-first"), "mtree-home")
-        kth = home.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-        bound = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + F.lit(m) - 2 * F.col("least").cast("double")))).otherwise(F.lit(float("inf")))
-        bounded = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "norm", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
-        found = home.unionByName(searched(bounded.mapInPandas(route(False), schema), "mtree-asked"))
+        unknown = F.lit(_NONE).cast("long")
+        home = stored(searched(queries.withColumn("least", unknown), True, "mtree-first"), "mtree-home")
+        kth = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        bounded = queries.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", unknown))
+        found = home.unionByName(searched(bounded, False, "mtree-asked"))
         first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
         return ranked.select("query_id", "rank", "vec_id", "score")
