@@ -394,9 +394,13 @@ def nearest_column(cells: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def placed_items(pages: DataFrame) -> DataFrame:
-    """Rows of page_columns → each item with col, its closest column; pages without a column give nothing."""
-    placed = F.transform("items", lambda i: F.struct(i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"), _column_of(i["x"], F.col("columns")).alias("col")))
-    return pages.filter(F.size("columns") > 0).select(*PAGE, F.explode(placed).alias("i")).select(*PAGE, "i.*")
+    """Rows of page_columns → each item with col, its closest column, and how far that is; pages without a column give nothing."""
+    def placed(i: Column) -> Column:
+        far = let(_column_of(i["x"], F.col("columns")), lambda c: F.struct(c.alias("col"), F.abs(i["x"] - F.get("columns", c)["center"]).alias("far")))
+        return F.struct(i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"), far.alias("c"))
+
+    kept = pages.filter(F.size("columns") > 0).select(*PAGE, F.explode(F.transform("items", placed)).alias("i"))
+    return kept.select(*PAGE, "i.x", "i.seq", "i.str", "i.c.col", "i.c.far")
 
 
 def detect_tables(items: DataFrame) -> DataFrame:

@@ -165,8 +165,9 @@ def column_centers(spark: SparkSession, folder: str) -> DataFrame:
 WITH {CENTERS} SELECT i.doc_id, i.page, i.seq, arg_min(c.col, {{'d': abs(i.x - c.center), 'c': c.col}}) AS col FROM (SELECT DISTINCT doc_id, page, seq, x FROM items) i JOIN centers c USING (doc_id, page) GROUP BY 1, 2, 3
 """)
 def nearest_column(spark: SparkSession, folder: str) -> DataFrame:
+    """Of places with one number on a page, that closest to a column decides."""
     placed = items.placed_items(items.page_columns(line_items(spark, folder)))
-    return placed.select("doc_id", "page", "seq", "x", "col").distinct().drop("x")
+    return placed.groupBy("doc_id", "page", "seq").agg(F.min(F.struct("far", "col")).alias("c")).select("doc_id", "page", "seq", "c.col")
 
 
 @query("detect_tables", """

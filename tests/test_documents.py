@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators import facts, items, pages, parties, tables
+from offerloom.plans import load_queries
 from offerloom.rules import pages as PR
 
 FIN = """
@@ -146,6 +147,15 @@ def test_holding_and_tables(spark):
     assert sorted(r.col for r in near.collect()) == [0, 2]
 
 
+def test_places_of_one_number_get_one_column(spark, tmp_path):
+    """Two parts of an order may make the same number; each place had its own row."""
+    lines = [(1, 2, 97, 5), (1, 4, 0, 20000), (1, 6, 20, 0), (1, 8, 21, 5)]
+    table = spark.createDataFrame([(*x, 1.0) for x in lines], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = load_queries()[0]["nearest_column"](spark, str(tmp_path)).select("doc_id", "page", "seq", "col").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 20000, 0), (1, 1, 21005, 1), (1, 1, 97005, 0)]
+
+
 def test_contents(spark):
     toc = [(1, 10 * i, f"{n} ....... {p}") for i, (n, p) in enumerate([("RISK FACTORS", 24), ("CAPITAL STRUCTURE", 60), ("OBJECTS OF THE ISSUE", 60), ("OUR BUSINESS", 200), ("OTHER", 210)])]
     body = [(1, 10, "Dividend Policy and more")]
